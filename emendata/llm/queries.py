@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import llr_quality, minhash, ppm_language, zstd_toxicity
+from . import llr_quality, minhash, ppm_language, substring, zstd_toxicity
 from .common import held_out, table
 
 
@@ -19,6 +20,11 @@ def op5_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", *llr_quality.BASE_COLUMNS, "base_failed", "kept", "llr")
 
 
+def op6_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -31,6 +37,7 @@ def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ppm_language": op2_ppm_language,
     "op5_llr_quality": op5_llr_quality,
+    "op6_doubling": op6_doubling,
     "op7_minhash": op7_minhash,
     "op10_zstd_toxicity": op10_zstd_toxicity,
 }
