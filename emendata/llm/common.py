@@ -27,6 +27,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame, rows: int, rows_per_partition: int = 50_000) -> DataFrame:
+    """``df``, of which about ``rows`` rows are known, in no more partitions than they fill.
+
+    Small tables that go through many joins would leave files for every pair of map and reduce tasks.
+    """
+    return df.coalesce(max(1, -(-rows // rows_per_partition)))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD_OUT_FOLD, F.lit(False))
 

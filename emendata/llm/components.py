@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, packed
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -17,26 +17,28 @@ def _digest(edges: DataFrame) -> tuple:
     return row["n"], row["x"], row["y"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    return packed(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v"), rows).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     linked = edges.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+    return packed(linked.union(least.select("u", F.col("m").alias("v"))).filter("u != v"), rows).distinct()
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(u, v) for each vertex u of ``edges`` (columns u > v) that is not the least of its component v."""
     now = materialise(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _digest(now)
+    now = packed(now, seen[0])
     for _ in range(most_rounds):
         if not seen[0]:
             return now
-        now = materialise(_small_star(_large_star(now)))
+        large = packed(_large_star(now, seen[0]), seen[0])
+        now = materialise(packed(_small_star(large, seen[0]), 2 * seen[0]))
         before, seen = seen, _digest(now)
         if before == seen:
             return now

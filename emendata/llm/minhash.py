@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import materialise
+from .common import materialise, packed
 from .components import connected_components
 
 BANDS, ROWS = 52, 7
@@ -104,14 +104,15 @@ def sketch(df: DataFrame, size: int, text: str = "text") -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, _SKETCH)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, rows: int) -> DataFrame:
     """Of the pairs (u, v) those whose full shingle sets have a similarity of ``percent`` or more.
 
     ``texts`` has doc_id and _text of every document in a pair. A hub's text comes with each of its pairs, but
     the join on the hub may be split, as no later step needs its pairs together.
     """
-    left = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("_text").alias("_u")), "u")
+    left = packed(pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("_text").alias("_u")), "u"), rows, 1000)
     both = left.join(texts.select(F.col("doc_id").alias("v"), F.col("_text").alias("_v")), "v").select("u", "v", "_u", "_v")
+    both = packed(both, rows, 1000)
 
     def sets(column: pa.Array) -> list[np.ndarray]:
         out = []
@@ -150,27 +151,30 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, rounds: int
     members = known.join(classes.select(F.col("class_id").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
     banded = members.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").select("key", "hub")
+    # only documents in a bucket with others go on
     buckets = materialise(banded.join(hubs, "key").select("key", "doc_id", "n_shingles", "hub"))
     wanted = buckets.select("doc_id").distinct()
     texts = materialise(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text")).filter("_text is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
-    offered = buckets.filter("doc_id > hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")).distinct()
-    tried = materialise(offered)
-    links = materialise(confirm(tried, texts, size, percent))
+    n_buckets = buckets.count()
+    offered = packed(buckets.filter("doc_id > hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")), n_buckets).distinct()
+    tried = materialise(packed(offered, n_buckets))
+    n_tried = tried.count()
+    links = materialise(packed(confirm(tried, texts, size, percent, n_tried), n_tried))
     stars = connected_components(links)
     for turn in range(1, rounds):
         labels = stars.select(F.col("u").alias("doc_id"), F.col("v").alias("label"))
-        placed = buckets.select("key", "doc_id").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        placed = materialise(packed(buckets.select("key", "doc_id").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), n_buckets))
         draw = F.struct(F.xxhash64(F.lit(turn), "key", "doc_id").alias("r"), F.col("doc_id").alias("hub"), F.col("label").alias("hub_label"))
         split = placed.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min(draw).alias("h")).filter("a < b").select("key", "h.hub", "h.hub_label")
-        again = placed.join(split, "key").filter("label != hub_label").select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")).distinct()
-        fresh = materialise(again.join(tried, ["u", "v"], "left_anti"))
-        if fresh.isEmpty():
+        again = packed(placed.join(split, "key").filter("label != hub_label").select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")), n_buckets).distinct()
+        fresh = materialise(packed(packed(again, n_buckets).join(tried, ["u", "v"], "left_anti"), n_buckets))
+        n_fresh = fresh.count()
+        if not n_fresh:
             break
-        found = materialise(confirm(fresh, texts, size, percent))
+        found = materialise(packed(confirm(packed(fresh, n_fresh), texts, size, percent, n_fresh), n_fresh))
         tried = tried.union(fresh)
         if not found.isEmpty():
-            links = links.union(found)
             stars = connected_components(stars.union(found))
     labels = classes.join(stars, classes["class_id"] == stars["u"], "left").select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), F.col("n_shingles").alias("_n"), F.coalesce("v", "class_id").alias("_component"))
     out = sketched.join(labels, (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")) & (F.col("n_shingles") == F.col("_n")), "left")
