@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows with this remainder of crc32(doc_id as text) are held out: never learned from.
 FOLDS, HELD_OUT_FOLD = 4, 2
@@ -39,6 +40,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD_OUT_FOLD, F.lit(False))
 
 
+def kept_fields(df: DataFrame, kept: int, more: str) -> StructType:
+    """The first ``kept`` fields of ``df`` and those that the DDL string ``more`` names."""
+    return StructType([*df.schema.fields[:kept], *StructType.fromDDL(more).fields])
+
+
 def hash_unit(seed: int, *names: str) -> Column:
     """A number in [0, 1) that depends on the given columns and the seed only."""
     return F.pmod(F.xxhash64(F.lit(seed), *[F.col(n) for n in names]), F.lit(1 << 30)) / float(1 << 30)
@@ -50,7 +56,7 @@ def bucketed_rank(df: DataFrame, group: str, key: list[str], rank: str, rows_per
     Rows are ordered by (bucket, key); the bucket is a hash of the key, so a group that holds most of the
     rows is spread over many buckets. Ranks within a bucket come from a window, and the bucket's first rank
     from a running sum over the bucket counts, of which there are rows / rows_per_bucket for each group.
-    The frame is read twice: pass one whose lineage is cut.
+    The frame is read three times. ``group`` must not be null; the window's exchange serves the join as well.
     """
     total = df.count()
     buckets = max(1, -(-total // rows_per_bucket))
@@ -61,7 +67,7 @@ def bucketed_rank(df: DataFrame, group: str, key: list[str], rank: str, rows_per
     within = Window.partitionBy(group, "_bucket").orderBy(*[F.col(k) for k in key])
     ranked = placed.withColumn("_within", F.row_number().over(within) - 1)
     return (
-        ranked.join(first, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_bucket") == F.col("_b")))
+        ranked.join(first, (F.col(group) == F.col("_g")) & (F.col("_bucket") == F.col("_b")))
         .withColumn(rank, (F.col("_first") + F.col("_within")).cast("long"))
         .drop("_bucket", "_g", "_b", "_n", "_first", "_within")
     )

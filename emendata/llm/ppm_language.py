@@ -19,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import held_out, hash_unit
+from .common import hash_unit, held_out, kept_fields
 
 SYMBOLS = 128
 UNDETERMINED = "und"
@@ -133,7 +133,7 @@ def _score(texts: textscan.Texts, model: LanguageModel, state: np.ndarray, bits:
     return out
 
 
-def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, lang_pred, score (the posterior under equal priors), n_bytes and code_bits (of the best).
 
     Null texts and texts without a letter get ``und`` and score 0. Ties go to the first language by name.
@@ -142,6 +142,8 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple
     shared = spark.sparkContext.broadcast(model)
     wanted = df.select(*keep, F.col(text).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
 
+    labels = wanted.columns[: len(keep)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         if shared.id not in _tables:
@@ -162,11 +164,10 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple
             size = np.diff(textscan.as_texts(column).offsets)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(k) for k in range(len(keep))], pa.array(np.where(letter, names[best], UNDETERMINED), pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(size.astype(np.int64)), pa.array(np.where(letter, least, 0.0))],
-                names=[*keep, "lang_pred", "score", "n_bytes", "code_bits"],
+                names=[*labels, "lang_pred", "score", "n_bytes", "code_bits"],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[: len(keep)])
-    return wanted.mapInArrow(run, f"{fields}, lang_pred string, score double, n_bytes long, code_bits double")
+    return wanted.mapInArrow(run, kept_fields(wanted, len(keep), "lang_pred string, score double, n_bytes long, code_bits double"))
 
 
 def training_sample(df: DataFrame, rows_per_language: int = 1500, most_rows: int = 12_000, seed: int = 17) -> dict[str, list[str]]:

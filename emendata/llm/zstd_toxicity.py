@@ -16,11 +16,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import hash_unit, held_out
+from .common import hash_unit, held_out, kept_fields
 
 WINDOW, STRIDE, LEVEL, GRAM = 32, 16, 3, 5
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
@@ -188,7 +188,7 @@ def labelled_sample(df: DataFrame, labels: DataFrame, toxic_rows: int = 2000, or
     return [t for t, k in zip(texts, toxic, strict=True) if k == 1], [t for t, k in zip(texts, toxic, strict=True) if k == 0], share
 
 
-def score(df: DataFrame, labels: DataFrame, toxic_rows: int = 2000, ordinary_rows: int = 4000, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(df: DataFrame, labels: DataFrame, toxic_rows: int = 2000, ordinary_rows: int = 4000, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, score and predicted (1 from THRESHOLD on) for every row of ``df``.
 
     Null and empty texts have no window and get the score of a document without savings. Repeated rows are
@@ -204,6 +204,8 @@ def score(df: DataFrame, labels: DataFrame, toxic_rows: int = 2000, ordinary_row
     shared = spark.sparkContext.broadcast(model)
     wanted = df.select(*keep, F.col(text).alias("_text"))
 
+    names = wanted.columns[: len(keep)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         if shared.id not in _compressors:
@@ -213,7 +215,6 @@ def score(df: DataFrame, labels: DataFrame, toxic_rows: int = 2000, ordinary_row
             for low in range(0, len(batch), 256):
                 part = batch.slice(low, 256)
                 value = scores(part.column(len(keep)).to_pylist(), model, _compressors[shared.id])
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(keep))], pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32))], names=[*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(keep))], pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[: len(keep)])
-    return wanted.mapInArrow(run, f"{fields}, score double, predicted int")
+    return wanted.mapInArrow(run, kept_fields(wanted, len(keep), "score double, predicted int"))
