@@ -7,14 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import llr_quality, minhash, ppm_language, substring, zstd_toxicity
+from . import chat_views, decontaminate, kd_shards, llr_quality, minhash, pfair_mix, ppm_language, substring, warc_revisits, zstd_toxicity
 from .common import held_out, table
 
 
+SHARDS = 24
+
+
+def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards.assign_shards(table(spark, sf_dir, "documents"), shards=SHARDS)
+    slots = kd_shards.number_slots(placed.select("doc_id", "size", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "shard"))
+    return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_language.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op4_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = chat_views.rotate(table(spark, sf_dir, "conversations"))
+    return views.select("conv_id", "perspective", "chunk", "n_turns", "text", chat_views.mask_text().alias("mask"))
+
+
 def op5_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = llr_quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rules.select("doc_id", *llr_quality.BASE_COLUMNS, "base_failed", "kept", "llr")
@@ -29,17 +47,34 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_revisits.records_of_pages(table(spark, sf_dir, "pages"))
+    return warc_revisits.digest(warc_revisits.resolve(records))
+
+
 def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = zstd_toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kd_shards": op1_kd_shards,
     "op2_ppm_language": op2_ppm_language,
+    "op3_pfair_mix": op3_pfair_mix,
+    "op4_chat_views": op4_chat_views,
     "op5_llr_quality": op5_llr_quality,
     "op6_doubling": op6_doubling,
     "op7_minhash": op7_minhash,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_warc_revisits": op9_warc_revisits,
     "op10_zstd_toxicity": op10_zstd_toxicity,
 }
-#: None of these methods can be put in SQL over these tables; tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+#: The other methods cannot be put in SQL over these tables; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op4_chat_views": chat_views.ORACLE,
+    "op9_warc_revisits": warc_revisits.ORACLE,
+}
