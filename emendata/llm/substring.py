@@ -166,10 +166,10 @@ def remove_repeats(df: DataFrame, window: int = 50, text: str = "text") -> DataF
     texts = every.filter("doc_id is not null")
     survey = materialise(_survey(texts, window)).filter(F.col("n_words") >= window)
     classes = materialise(survey.groupBy("seq_a", "seq_b", "n_words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")))
-    sole = survey.join(classes.select(F.col("least").alias("doc_id"), "seq_a", "seq_b"), ["doc_id", "seq_a", "seq_b"], "left_semi")
-    halves = sole.select(F.explode("halves").alias("half"), "doc_id")
-    twice = halves.groupBy("half").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("half")
-    wanted = materialise(halves.join(twice, "half").groupBy("doc_id").agg(F.collect_set("half").alias("_halves")))
+    halves = survey.select(F.explode("halves").alias("half"), "doc_id", "seq_a")
+    twice = halves.groupBy("half").agg(F.min("seq_a").alias("a"), F.max("seq_a").alias("b")).filter("a < b").select("half")
+    listed = halves.select("half", "doc_id").join(twice, "half").groupBy("doc_id").agg(F.collect_set("half").alias("_halves"))
+    wanted = materialise(listed.join(classes.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     found = _full_windows(texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "_text", "_halves"), window)
     least = found.groupBy("win_a", "win_b").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("win_a", "win_b", "a")
     repeats = found.join(least, ["win_a", "win_b"]).filter("doc_id > a").groupBy("doc_id").agg(F.collect_set("at").alias("_at"))
