@@ -1,0 +1,394 @@
+"""Seeded program mutation: small edits that keep a function's signature.
+
+A mutator names the kinds of nodes it looks at and a rule; the rule edits the first node, in walk order, that
+it applies to. Rules that draw get the row's own generator, seeded by a stable hash of its key.
+"""
+
+from __future__ import annotations
+
+import ast
+import random
+import zlib
+from collections.abc import Callable
+from copy import deepcopy
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .code import first_function, parses
+
+Rule = Callable[[ast.AST, random.Random], bool]
+BASE: dict[str, tuple[tuple, Rule]] = {}
+EXTRA: dict[str, tuple[tuple, Rule]] = {}
+MOST_BASE, MOST_EXTRA = 2, 10
+#: Fixed swaps of the rules below.
+COMPARISONS = {ast.Lt: ast.LtE, ast.LtE: ast.Lt, ast.Gt: ast.GtE, ast.GtE: ast.Gt, ast.Eq: ast.NotEq, ast.NotEq: ast.Eq}
+ARITHMETIC = {ast.Add: ast.Sub, ast.Sub: ast.Add, ast.Mult: ast.FloorDiv, ast.FloorDiv: ast.Div}
+CALLS = {"mean": "median", "max": "min", "sum": "len"}
+ACCUMULATORS = ("sum", "total", "count")
+
+
+def _mutator(name: str, *kinds: type, family: dict = BASE):
+    def add(rule: Rule) -> Rule:
+        family[name] = (kinds, rule)
+        return rule
+
+    return add
+
+
+def _extra(name: str, *kinds: type):
+    return _mutator(name, *kinds, family=EXTRA)
+
+
+def _number(node: ast.AST | None, *values) -> bool:
+    return isinstance(node, ast.Constant) and type(node.value) in (int, float) and (not values or node.value in values)
+
+
+def _shifted(node: ast.expr, by: int) -> ast.expr:
+    return ast.BinOp(node, ast.Add() if by > 0 else ast.Sub(), ast.Constant(abs(by)))
+
+
+def _calls(node: ast.Call, *names: str) -> bool:
+    return isinstance(node.func, ast.Name) and node.func.id in names
+
+
+def _method(node: ast.Call, *names: str) -> bool:
+    return isinstance(node.func, ast.Attribute) and node.func.attr in names
+
+
+@_mutator("comparison_operators", ast.Compare)
+def _(node, rng):
+    for i, op in enumerate(node.ops):
+        if type(op) in COMPARISONS:
+            node.ops[i] = COMPARISONS[type(op)]()
+            return True
+    return False
+
+
+@_mutator("range_bounds", ast.Call)
+def _(node, rng):
+    if not _calls(node, "range") or not node.args:
+        return False
+    at = 0 if len(node.args) == 1 else rng.randrange(2)
+    node.args[at] = _shifted(node.args[at], rng.choice((1, -1)))
+    return True
+
+
+@_mutator("sort_order", ast.Call)
+def _(node, rng):
+    """Flips the order of sorted() and .sort(); a call without one gets reverse=True, so that it is no idle edit."""
+    if not (_calls(node, "sorted") or _method(node, "sort", "sort_values")):
+        return False
+    for keyword in node.keywords:
+        if keyword.arg in ("reverse", "ascending") and isinstance(keyword.value, ast.Constant):
+            keyword.value = ast.Constant(not keyword.value.value)
+            return True
+    name, value = ("ascending", False) if _method(node, "sort_values") else ("reverse", True)
+    node.keywords.append(ast.keyword(name, ast.Constant(value)))
+    return True
+
+
+@_mutator("accumulator_init", ast.Assign)
+def _(node, rng):
+    target = node.targets[0]
+    if not (isinstance(target, ast.Name) and any(word in target.id.lower() for word in ACCUMULATORS)):
+        return False
+    if _number(node.value, 0) and node.value.value is not False:
+        node.value = ast.Constant(1)
+        return True
+    if isinstance(node.value, ast.List) and not node.value.elts:
+        node.value = ast.List([ast.Constant(0)], ast.Load())
+        return True
+    return False
+
+
+@_mutator("arithmetic_operators", ast.BinOp)
+def _(node, rng):
+    swap = ARITHMETIC.get(type(node.op))
+    if swap:
+        node.op = swap()
+    return swap is not None
+
+
+@_mutator("edge_case_guards", ast.If)
+def _(node, rng):
+    if isinstance(node.test, ast.UnaryOp) and isinstance(node.test.op, ast.Not):
+        node.test = node.test.operand
+        return True
+    if isinstance(node.test, ast.Compare):
+        for i, value in enumerate(node.test.comparators):
+            if _number(value, 0, 1):
+                node.test.comparators[i] = ast.Constant(1 - value.value)
+                return True
+    return False
+
+
+@_mutator("list_indexing", ast.Subscript)
+def _(node, rng):
+    if isinstance(node.slice, ast.BinOp) and isinstance(node.slice.op, (ast.Add, ast.Sub)) and _number(node.slice.right, 1):
+        node.slice = node.slice.left
+        return True
+    if isinstance(node.slice, ast.Name) or (_number(node.slice) and isinstance(node.slice.value, int)):
+        node.slice = ast.Constant(node.slice.value + 1) if isinstance(node.slice, ast.Constant) else _shifted(node.slice, 1)
+        return True
+    return False
+
+
+@_mutator("function_call_name", ast.Call)
+def _(node, rng):
+    if isinstance(node.func, ast.Name) and node.func.id in CALLS:
+        node.func.id = CALLS[node.func.id]
+        return True
+    if isinstance(node.func, ast.Attribute) and node.func.attr in CALLS:
+        node.func.attr = CALLS[node.func.attr]
+        return True
+    return False
+
+
+@_mutator("remove_copy_calls", ast.AST)
+def _(node, rng):
+    for field, value in ast.iter_fields(node):
+        for i, child in enumerate(value if isinstance(value, list) else [value]):
+            if isinstance(child, ast.Call) and _method(child, "copy") and not child.args:
+                if isinstance(value, list):
+                    value[i] = child.func.value
+                else:
+                    setattr(node, field, child.func.value)
+                return True
+    return False
+
+
+@_mutator("boolean_constants", ast.Constant)
+def _(node, rng):
+    if isinstance(node.value, bool):
+        node.value = not node.value
+        return True
+    return False
+
+
+@_mutator("numeric_constants", ast.Constant)
+def _(node, rng):
+    if type(node.value) is int and node.value not in (0, 1):
+        node.value += rng.choice((1, -1))
+        return True
+    if type(node.value) is float:
+        node.value += rng.choice((0.1, -0.1))
+        return True
+    return False
+
+
+@_mutator("slice_bounds", ast.Slice)
+def _(node, rng):
+    for side in ("lower", "upper"):
+        bound = getattr(node, side)
+        if _number(bound) and isinstance(bound.value, int):
+            setattr(node, side, ast.Constant(bound.value + rng.choice((1, bound.value - 1))))
+            return True
+    return False
+
+
+@_mutator("conditional_inversion", ast.BoolOp)
+def _(node, rng):
+    at = rng.randrange(len(node.values))
+    node.values[at] = ast.UnaryOp(ast.Not(), node.values[at])
+    return True
+
+
+@_mutator("range_step", ast.Call)
+def _(node, rng):
+    if not _calls(node, "range") or not node.args:
+        return False
+    if len(node.args) == 3:
+        node.args[2] = ast.Constant(node.args[2].value + 1) if _number(node.args[2]) else _shifted(node.args[2], 1)
+    else:
+        node.args.append(ast.Constant(2))
+    return True
+
+
+def _swap_names(*pairs: tuple[str, str]) -> Rule:
+    table = {a: b for x, y in pairs for a, b in ((x, y), (y, x))}
+
+    def rule(node, rng):
+        if isinstance(node.func, ast.Name) and node.func.id in table:
+            node.func.id = table[node.func.id]
+            return True
+        return False
+
+    return rule
+
+
+def _swap_methods(*ring: str) -> Rule:
+    def rule(node, rng):
+        if _method(node, *ring):
+            others = [x for x in ring if x != node.func.attr]
+            node.func.attr = others[0] if len(others) == 1 else rng.choice(others)
+            return True
+        return False
+
+    return rule
+
+
+_extra("min_max_usage", ast.Call)(_swap_names(("min", "max")))
+_extra("append_extend", ast.Call)(_swap_methods("append", "extend"))
+_extra("string_lower_upper", ast.Call)(_swap_methods("lower", "upper"))
+_extra("strip_variant", ast.Call)(_swap_methods("strip", "rstrip", "lstrip"))
+_extra("set_vs_list_cast", ast.Call)(_swap_names(("set", "list")))
+_extra("round_to_int", ast.Call)(_swap_names(("round", "int")))
+_extra("find_vs_index", ast.Call)(_swap_methods("find", "index"))
+_extra("any_all_swap", ast.Call)(_swap_names(("any", "all")))
+_extra("dict_items_variant", ast.Call)(_swap_methods("items", "keys", "values"))
+
+
+@_extra("abs_usage", ast.AST)
+def _(node, rng):
+    for field, value in ast.iter_fields(node):
+        if isinstance(value, ast.Call) and _calls(value, "abs") and len(value.args) == 1:
+            setattr(node, field, value.args[0])
+            return True
+        if isinstance(value, ast.BinOp) and field in ("value", "left", "right", "test"):
+            setattr(node, field, ast.Call(ast.Name("abs", ast.Load()), [value], []))
+            return True
+    return False
+
+
+@_extra("enumerate_start", ast.Call)
+def _(node, rng):
+    if not _calls(node, "enumerate"):
+        return False
+    held = next((k for k in node.keywords if k.arg == "start"), None)
+    if held is not None and _number(held.value, 0, 1):
+        held.value = ast.Constant(1 - held.value.value)
+    elif len(node.args) > 1 and _number(node.args[1], 0, 1):
+        node.args[1] = ast.Constant(1 - node.args[1].value)
+    elif len(node.args) == 1 and held is None:
+        node.keywords.append(ast.keyword("start", ast.Constant(1)))
+    else:
+        return False
+    return True
+
+
+@_extra("break_to_continue", ast.AST)
+def _(node, rng):
+    for _, value in ast.iter_fields(node):
+        if isinstance(value, list):
+            for i, child in enumerate(value):
+                if isinstance(child, ast.Break):
+                    value[i] = ast.Continue()
+                    return True
+    return False
+
+
+@_extra("dict_get_default", ast.Call)
+def _(node, rng):
+    if not _method(node, "get") or not node.args:
+        return False
+    if len(node.args) == 1:
+        node.args.append(ast.Constant(1))
+        return True
+    if _number(node.args[1], 0, 1):
+        node.args[1] = ast.Constant(1 - node.args[1].value)
+        return True
+    return False
+
+
+@_extra("join_separator", ast.Call)
+def _(node, rng):
+    if not (_method(node, "join") and isinstance(node.func.value, ast.Constant) and isinstance(node.func.value.value, str)):
+        return False
+    node.func.value = ast.Constant({"": " ", " ": ""}.get(node.func.value.value, ","))
+    return True
+
+
+@_extra("sorted_toggle_key_len", ast.Call)
+def _(node, rng):
+    if not _calls(node, "sorted"):
+        return False
+    kept = [k for k in node.keywords if k.arg != "key"]
+    node.keywords = kept if len(kept) < len(node.keywords) else [*kept, ast.keyword("key", ast.Name("len", ast.Load()))]
+    return True
+
+
+@_extra("comp_filter_remove", ast.comprehension)
+def _(node, rng):
+    if node.ifs:
+        node.ifs.pop(0)
+        return True
+    return False
+
+
+@_extra("zip_arg_order", ast.Call)
+def _(node, rng):
+    if _calls(node, "zip") and len(node.args) > 1:
+        node.args[:2] = node.args[1::-1]
+        return True
+    return False
+
+
+@_extra("len_range_endpoint", ast.Call)
+def _(node, rng):
+    if not _calls(node, "range"):
+        return False
+    for i, arg in enumerate(node.args):
+        if isinstance(arg, ast.Call) and _calls(arg, "len"):
+            node.args[i] = _shifted(arg, rng.choice((1, -1)))
+            return True
+    return False
+
+
+@_extra("negative_indexing_shift", ast.Subscript)
+def _(node, rng):
+    at = node.slice
+    if isinstance(at, ast.UnaryOp) and isinstance(at.op, ast.USub) and _number(at.operand, 1):
+        at.operand = ast.Constant(2)
+        return True
+    return False
+
+
+@_extra("none_equality_operator", ast.Compare)
+def _(node, rng):
+    swap = {ast.Eq: ast.Is, ast.Is: ast.Eq, ast.NotEq: ast.IsNot, ast.IsNot: ast.NotEq}
+    for i, (op, value) in enumerate(zip(node.ops, node.comparators, strict=True)):
+        if isinstance(value, ast.Constant) and value.value is None and type(op) in swap:
+            node.ops[i] = swap[type(op)]()
+            return True
+    return False
+
+
+def mutate(code: str, key: str, seed: int = 42, extra: bool = False, most: int | None = None) -> tuple[str | None, list[str], str | None]:
+    """(code, names of the mutations, error): the first function with up to ``most`` mutations that leave its arguments."""
+    if not parses(code):
+        return None, [], "the code does not parse"
+    tree = ast.parse(code)
+    function = first_function(tree)
+    if function is None:
+        return None, [], "no function"
+    signature = ast.dump(function.args)
+    rules = BASE | EXTRA if extra else BASE
+    rng = random.Random(zlib.crc32(key.encode()) ^ seed)
+    names = sorted(rules)
+    rng.shuffle(names)
+    applied: list[str] = []
+    for name in names:
+        if len(applied) >= (most or (MOST_EXTRA if extra else MOST_BASE)):
+            break
+        kinds, rule = rules[name]
+        trial = deepcopy(tree)
+        target = first_function(trial)
+        if any(isinstance(n, kinds) and rule(n, rng) for n in ast.walk(target)) and ast.dump(target.args) == signature:
+            tree = trial
+            applied.append(name)
+    if not applied:
+        return None, [], "no mutation fits"
+    return ast.unparse(ast.fix_missing_locations(tree)), applied, None
+
+
+def corrupt(code: Column, key: Column, seed: int = 42, extra: bool = False, most: int | None = None) -> Column:
+    """struct<code, mutations, error> of each program; the same key and seed give the same edit on any cluster."""
+
+    @F.pandas_udf("code string, mutations array<string>, error string")
+    def run(codes: pd.Series, keys: pd.Series) -> pd.DataFrame:
+        rows = [mutate(c, k or "", seed, extra, most) if isinstance(c, str) else (None, [], "no code") for c, k in zip(codes, keys, strict=True)]
+        return pd.DataFrame(rows, columns=["code", "mutations", "error"])
+
+    return run(code, key)

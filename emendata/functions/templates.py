@@ -1,0 +1,106 @@
+"""Benchmark prompts by model style, as struct<system, messages>. The texts are fixed values."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Code generation.
+EXPERT = "You are an expert Python programmer. You will be given a question (problem specification) and will generate a correct Python program that matches the specification and passes all tests."
+EXPERT_PLAIN = "You are an expert Python programmer. You will be given a question (problem specification) and will generate a correct Python program that matches the specification and passes all tests. Do NOT use system calls like `exit` in the generated program. Ensure that the first code block contains the solution."
+DEEPSEEK = "You are an AI programming assistant, utilizing the DeepSeek Coder model, developed by DeepSeek Company, and you answer questions related to computer science."
+WITH_STARTER = "You will use the following starter code to write the solution to the problem and enclose your code within delimiters."
+WITHOUT_STARTER = "Read the inputs from stdin solve the problem and write the answer to stdout (do not directly test on the sample inputs). Enclose your code within delimiters as follows. Ensure that when the python program runs, it reads the inputs, runs the algorithm and writes output to STDOUT."
+WITHOUT_STARTER_REPAIR = "Read the inputs from stdin solve the problem and write the answer to stdout (do not directly test on the sample inputs). Enclose your code within delimiters as follows."
+YOUR_CODE = "```python\n# YOUR CODE HERE\n```\n\n"
+ANSWER_FORMAT = "### Answer: (use the provided format with backticks)\n\n"
+# Self repair.
+REPAIRER = "You are a helpful programming assistant and an expert Python programmer. You are helping a user write a program to solve a problem. The user has written some code, but it has some errors and is not passing the tests. You will help the user by first giving a concise (at most 2-3 sentences) textual explanation of what is wrong with the code. After you have pointed out what is wrong with the code, you will then generate a fixed version of the program. You must put the entired fixed program within code delimiters only for once."
+# Test output prediction.
+TESTER = "You are a helpful programming assistant and an expert Python programmer. You are helping a user to write a test case to help to check the correctness of the function. The user has written a input for the testcase. You will calculate the output of the testcase and write the whole assertion statement in the markdown code block with the correct output."
+# Code execution.
+EXECUTE = 'You are given a Python function and an assertion containing an input to the function. Complete the assertion with a literal (no unsimplified expressions, no function calls) containing the output when executing the provided code on the given input, even if the function is incorrect or incomplete. Do NOT output any extra information. Provide the full assertion with the correct output in [ANSWER] and [/ANSWER] tags, following the examples.\n\n[PYTHON]\ndef repeatNumber(number : int) -> int:\n    return number\nassert repeatNumber(number = 17) == ??\n[/PYTHON]\n[ANSWER]\nassert repeatNumber(number = 17) == 17\n[/ANSWER]\n\n[PYTHON]\ndef addCharacterA(string : str) -> str:\n    return string + "a"\nassert addCharacterA(string = "x9j") == ??\n[/PYTHON]\n[ANSWER]\nassert addCharacterA(string = "x9j") == "x9ja"\n[/ANSWER]\n\n[PYTHON]\n'
+EXECUTE_STEPS = 'You are given a Python function and an assertion containing an input to the function. Complete the assertion with a literal (no unsimplified expressions, no function calls) containing the output when executing the provided code on the given input, even if the function is incorrect or incomplete. Do NOT output any extra information. Execute the program step by step before arriving at an answer, and provide the full assertion with the correct output in [ANSWER] and [/ANSWER] tags, following the examples.\n\n[PYTHON]\ndef performOperation(s):\n    s = s + s\n    return "b" + s + "a"\nassert performOperation(s = "hi") == ??\n[/PYTHON]\n[THOUGHT]\nLet\'s execute the code step by step:\n\n1. The function performOperation is defined, which takes a single argument s.\n2. The function is called with the argument "hi", so within the function, s is initially "hi".\n3. Inside the function, s is concatenated with itself, so s becomes "hihi".\n4. The function then returns a new string that starts with "b", followed by the value of s (which is now "hihi"), and ends with "a".\n5. The return value of the function is therefore "bhihia".\n[/THOUGHT]\n[ANSWER]\nassert performOperation(s = "hi") == "bhihia"\n[/ANSWER]\n\n[PYTHON]\n'
+
+#: (style, shape, system): chat has a system turn, merged puts it before the user's text, plain is one string.
+STYLES = (
+    ("OpenAIChat", "chat", EXPERT),
+    ("DeepSeekAPI", "chat", EXPERT),
+    ("TogetherAI", "chat", EXPERT),
+    ("CohereCommand", "chat", EXPERT),
+    ("LLaMa3", "chat", EXPERT),
+    ("MistralWeb", "chat", EXPERT),
+    ("Claude3", "chat", EXPERT),
+    ("Claude3Thinking", "chat", EXPERT),
+    ("OpenAIReasonPreview", "merged", EXPERT),
+    ("Grok", "merged", EXPERT),
+    ("Gemini", "plain", EXPERT_PLAIN),
+    ("GeminiThinking", "plain", EXPERT),
+    ("DeepSeekCodeInstruct", "merged", DEEPSEEK),
+)
+
+
+def _filled(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")) != ""
+
+
+def question(content: Column, starter: Column) -> Column:
+    """The generic question: the format depends on whether there is starter code."""
+    shape = F.when(_filled(starter), F.concat(F.lit(f"### Format: {WITH_STARTER}\n```python\n"), starter, F.lit("\n```\n\n"))).otherwise(F.lit(f"### Format: {WITHOUT_STARTER}\n{YOUR_CODE}"))
+    return F.concat(F.lit("### Question:\n"), content, F.lit("\n\n"), shape, F.lit(ANSWER_FORMAT))
+
+
+def base_question(content: Column, starter: Column, functional: str, stdin: str) -> Column:
+    """For models without chat: one worked example, chosen by whether there is starter code, then the question."""
+    code = F.when(_filled(starter), F.concat(F.lit("### Starter Code\n"), starter, F.lit("\n\n"))).otherwise(F.lit(""))
+    return F.concat(F.when(_filled(starter), F.lit(functional)).otherwise(F.lit(stdin)), F.lit("### Question\n"), content, F.lit("\n\n"), code, F.lit("### Answer\n\n"))
+
+
+def generation_prompts(problems: DataFrame) -> DataFrame:
+    """(question_id, style, prompt) for each problem and style; the styles are a small literal table."""
+    spark = problems.sparkSession
+    styles = spark.createDataFrame(list(STYLES), "style string, shape string, system string")
+    rows = problems.select("question_id", question(F.col("question_content"), F.col("starter_code")).alias("user")).join(F.broadcast(styles))
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    merged = F.concat("system", F.when(F.col("shape") == "plain", F.lit("\n")).otherwise(F.lit("\n\n")), F.col("user"))
+    messages = F.when(F.col("shape") == "chat", F.array(turn("user", F.col("user")))).otherwise(F.array(turn("user", merged)))
+    prompt = F.struct(F.when(F.col("shape") == "chat", F.col("system")).alias("system"), messages.alias("messages"))
+    return rows.select("question_id", "style", prompt.alias("prompt"))
+
+
+def check_message(metadata: Column) -> Column:
+    """What went wrong, from a grader's JSON; empty for a passing sample. Unknown codes give the plain error.
+
+    Codes: -1 compilation, -2 wrong answer, -3 time limit, -4 run time.
+    """
+    get = lambda name: F.coalesce(F.get_json_object(metadata, f"$.{name}"), F.lit(""))
+    code = F.get_json_object(metadata, "$.error_code").cast("int")
+    wrong = F.lit("The above code is incorrect and got ")
+    return (
+        F.when(code.isNull(), F.lit(""))
+        .when(code == -1, F.concat(wrong, F.lit("the following compilation error.\n"), get("error")))
+        .when(code == -2, F.concat(wrong, F.lit("a wrong answer.\nInput: "), get("inputs"), F.lit("\nGenerated Output: "), get("output"), F.lit("\nExpected: "), get("expected")))
+        .when(code == -3, F.concat(wrong, F.lit("time limit exceeded.\n"), get("error"), F.lit("\nInput: "), get("inputs"), F.lit("\nExpected: "), get("expected")))
+        .when(code == -4, F.concat(wrong, F.lit("a runtime error.\nInput: "), get("inputs"), F.lit("\nExpected: "), get("expected"), F.lit("\n"), get("error")))
+        .otherwise(F.concat(wrong, F.lit("an error.\n"), get("error")))
+    )
+
+
+def repair_prompt(content: Column, code: Column, metadata: Column) -> Column:
+    """The request to repair, empty where the sample passes."""
+    message = check_message(metadata)
+    text = F.concat(F.lit("### Question:\n"), content, F.lit("\n\n### Answer:\n```python\n"), code, F.lit("\n```\n\n"), message, F.lit(f"\n### Format: {WITHOUT_STARTER_REPAIR}\n{YOUR_CODE}{ANSWER_FORMAT}"))
+    return F.when(message == "", F.lit("")).otherwise(text)
+
+
+def test_case(function: Column, test_input: Column) -> Column:
+    return F.concat(F.lit("assert "), function, F.lit("("), F.replace(test_input, F.lit("\n"), F.lit(", ")), F.lit(") == # TODO"))
+
+
+def test_output_prompt(content: Column, starter: Column, function: Column, test_input: Column) -> Column:
+    return F.concat(F.lit("Problem:\n"), content, F.lit("Function:\n```\n"), starter, F.lit("\n```\nPlease complete the following test case:\n\n```\n"), test_case(function, test_input), F.lit("\n```\n"))
+
+
+def execution_prompt(code: Column, call: Column, steps: bool = False) -> Column:
+    end = "[THOUGHT]\n" if steps else "[ANSWER]\n"
+    return F.concat(F.lit(EXECUTE_STEPS if steps else EXECUTE), code, F.lit("\nassert "), call, F.lit(f" == ??\n[/PYTHON]\n{end}"))
