@@ -14,6 +14,7 @@ lookups, whatever the order at which it is found.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from .common import hash_unit, held_out, kept_fields
 
 SYMBOLS = 128
 UNDETERMINED = "und"
-_tables: dict[int, tuple] = {}
+_tables: dict[str, tuple] = {}  # of the last model that this worker has seen
 
 
 @dataclass(frozen=True)
@@ -139,21 +140,21 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple
     Null texts and texts without a letter get ``und`` and score 0. Ties go to the first language by name.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared, model_id = spark.sparkContext.broadcast(model), uuid.uuid4().hex
     wanted = df.select(*keep, F.col(text).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
 
-    labels = wanted.columns[: len(keep)]
+    labels, width = wanted.columns[: len(keep)], len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        if shared.id not in _tables:
+        if model_id not in _tables:
             _tables.clear()
-            _tables[shared.id] = code_lengths(model)
-        state, bits = _tables[shared.id]
+            _tables[model_id] = code_lengths(model)
+        state, bits = _tables[model_id]
         names = np.array([*model.languages, UNDETERMINED], object)
         for batch in batches:
-            column = batch.column(len(keep))
-            letter = np.asarray(batch.column(len(keep) + 1).to_numpy(zero_copy_only=False), bool)
+            column = batch.column(width)
+            letter = np.asarray(batch.column(width + 1).to_numpy(zero_copy_only=False), bool)
             if model.languages:
                 cost = np.concatenate([np.zeros((0, len(model.languages))), *[_score(x, model, state, bits) for _, _, x in textscan.chunks(column)]])
                 best = cost.argmin(1)
@@ -163,7 +164,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple
                 best, least, score, letter = np.zeros(len(column), int), np.zeros(len(column)), np.zeros(len(column)), np.zeros(len(column), bool)
             size = np.diff(textscan.as_texts(column).offsets)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in range(len(keep))], pa.array(np.where(letter, names[best], UNDETERMINED), pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(size.astype(np.int64)), pa.array(np.where(letter, least, 0.0))],
+                [*[batch.column(k) for k in range(width)], pa.array(np.where(letter, names[best], UNDETERMINED), pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(size.astype(np.int64)), pa.array(np.where(letter, least, 0.0))],
                 names=[*labels, "lang_pred", "score", "n_bytes", "code_bits"],
             )
 

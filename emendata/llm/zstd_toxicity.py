@@ -10,6 +10,7 @@ calibrates them to a score.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,7 +27,7 @@ WINDOW, STRIDE, LEVEL, GRAM = 32, 16, 3, 5
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
 THRESHOLD = 0.3
 _BLANKS = np.array([0x20, *range(0x09, 0x0E)], np.uint64)
-_compressors: dict[int, tuple] = {}
+_compressors: dict[str, tuple] = {}  # of the last model that this worker has seen
 
 
 @dataclass(frozen=True)
@@ -201,20 +202,20 @@ def score(df: DataFrame, labels: DataFrame, toxic_rows: int = 2000, ordinary_row
         start[0] += np.log(share / (1 - share)) - np.log(len(toxic) / len(ordinary))
         model = ToxicityModel(model.ordinary, model.toxic, start)
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared, model_id = spark.sparkContext.broadcast(model), uuid.uuid4().hex
     wanted = df.select(*keep, F.col(text).alias("_text"))
 
-    names = wanted.columns[: len(keep)]
+    labels, width = wanted.columns[: len(keep)], len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        if shared.id not in _compressors:
+        if model_id not in _compressors:
             _compressors.clear()
-            _compressors[shared.id] = _pair(model)
+            _compressors[model_id] = _pair(model)
         for batch in batches:
             for low in range(0, len(batch), 256):
                 part = batch.slice(low, 256)
-                value = scores(part.column(len(keep)).to_pylist(), model, _compressors[shared.id])
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(keep))], pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32))], names=[*names, "score", "predicted"])
+                value = scores(part.column(width).to_pylist(), model, _compressors[model_id])
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(width)], pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32))], names=[*labels, "score", "predicted"])
 
     return wanted.mapInArrow(run, kept_fields(wanted, len(keep), "score double, predicted int"))
