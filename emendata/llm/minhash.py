@@ -108,7 +108,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, rows: i
     """Of the pairs (u, v) those whose full shingle sets have a similarity of ``percent`` or more.
 
     ``texts`` has doc_id and _text of every document in a pair. A hub's text comes with each of its pairs, but
-    the join on the hub may be split, as no later step needs its pairs together.
+    the join on the hub may be split, as no later step needs its pairs together. ``rows`` is the number of
+    texts: every partition of these joins reads a part of them, however few the pairs are.
     """
     left = packed(pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("_text").alias("_u")), "u"), rows, 1000)
     both = left.join(texts.select(F.col("doc_id").alias("v"), F.col("_text").alias("_v")), "v").select("u", "v", "_u", "_v")
@@ -156,11 +157,10 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, rounds: int
     wanted = buckets.select("doc_id").distinct()
     texts = materialise(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text")).filter("_text is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
-    n_buckets = buckets.count()
+    n_buckets, n_texts = buckets.count(), texts.count()
     offered = packed(buckets.filter("doc_id > hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")), n_buckets).distinct()
     tried = materialise(packed(offered, n_buckets))
-    n_tried = tried.count()
-    links = materialise(packed(confirm(tried, texts, size, percent, n_tried), n_tried))
+    links = materialise(confirm(tried, texts, size, percent, n_texts))
     stars = connected_components(links)
     for turn in range(1, rounds):
         labels = stars.select(F.col("u").alias("doc_id"), F.col("v").alias("label"))
@@ -172,7 +172,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, rounds: int
         n_fresh = fresh.count()
         if not n_fresh:
             break
-        found = materialise(packed(confirm(packed(fresh, n_fresh), texts, size, percent, n_fresh), n_fresh))
+        found = materialise(confirm(packed(fresh, n_fresh), texts, size, percent, n_texts))
         tried = tried.union(fresh)
         if not found.isEmpty():
             stars = connected_components(stars.union(found))
