@@ -149,8 +149,8 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple
         model = shared.value
         if model_id not in _tables:
             _tables.clear()
-            _tables[model_id] = code_lengths(model)
-        state, bits = _tables[model_id]
+            _tables[model_id] = code_lengths(model) if model.languages else ()
+        state, bits = _tables[model_id] or (None, None)
         names = np.array([*model.languages, UNDETERMINED], object)
         for batch in batches:
             column = batch.column(width)
