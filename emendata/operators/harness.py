@@ -1,0 +1,69 @@
+"""The benchmark harness: what to generate anew, repairs of failed samples, grading columns, and result tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import extract, templates
+from . import passk
+from .relational import take_first, unprocessed
+
+#: Keys that name a row of each scenario.
+KEYS = {"codegeneration": ["question_id"], "testoutputprediction": ["question_id", "test_id"], "selfrepair": ["question_id"], "codeexecution": ["id"]}
+
+
+def usable_rows(old: DataFrame) -> DataFrame:
+    """Rows of an earlier run with at least one output that is not empty."""
+    return old.filter(F.coalesce(F.exists("output_list", lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(False)))
+
+
+def resume(benchmark: DataFrame, old: DataFrame, scenario: str) -> tuple[DataFrame, DataFrame]:
+    """(usable old rows, benchmark rows that they do not cover), by the scenario's whole key."""
+    kept = usable_rows(old)
+    return kept, unprocessed(benchmark, kept, KEYS[scenario])
+
+
+def extracted(outputs: DataFrame, scenario: str, name: str = "output_list") -> DataFrame:
+    """The answer in each output: a block, an assert line, or what an execution is said to give."""
+    pick = {"codeexecution": extract.execution_answer, "testoutputprediction": extract.assert_line}.get(scenario, extract.between_last_fences)
+    column = "pred_list" if scenario in ("codeexecution", "testoutputprediction") else "code_list"
+    return outputs.withColumn(column, F.transform(name, lambda x: pick(x)))
+
+
+def combined(old: DataFrame, new: DataFrame, scenario: str) -> DataFrame:
+    """Old and new rows in the order of the key; an id such as sample_12 sorts by its number."""
+    rows = old.unionByName(new, allowMissingColumns=True)
+    order: list[Column] = [F.split("id", "_")[1].cast("int"), F.col("id")] if scenario == "codeexecution" else [F.col(k) for k in KEYS[scenario]]
+    return rows.orderBy(*order)
+
+
+def repair_rows(benchmark: DataFrame, evaluated: DataFrame) -> DataFrame:
+    """(question_id, position, prompt): a repair prompt for each sample, empty where the sample passes.
+
+    Samples and their metadata are parallel lists; a problem with no evaluated row gives none.
+    """
+    samples = F.posexplode(F.arrays_zip(F.col("code_list"), F.col("metadata"))).alias("position", "s")
+    rows = benchmark.select("question_id", "question_content").join(evaluated, "question_id").select("question_id", "question_content", samples)
+    return rows.select("question_id", "position", templates.repair_prompt(F.col("question_content"), F.col("s.code_list"), F.col("s.metadata")).alias("prompt"))
+
+
+def with_scores(rows: DataFrame) -> DataFrame:
+    """pass_at_1 of each row from graded_list."""
+    return rows.withColumn("pass_at_1", passk.share_passed(F.col("graded_list")))
+
+
+def report(evaluated: DataFrame, ks: tuple[int, ...] = passk.REPORTED_K) -> DataFrame:
+    """(difficulty or null, k, pass_at_k, problems) from graded rows."""
+    counts = evaluated.select("difficulty", F.size("graded_list").alias("n"), F.size(F.filter("graded_list", lambda g: g)).alias("c"))
+    return passk.by_slice(counts, "difficulty", ks)
+
+
+def first_passing(rows: DataFrame, verdict: Column, order: list[str], n: int) -> DataFrame:
+    """The first n rows in order that pass: a scan that stops when it has them."""
+    return take_first(rows.filter(verdict), order, n)
+
+
+def with_style(requests: DataFrame, registry: DataFrame) -> DataFrame:
+    """Requests with their model's style; unknown models keep a null style. The registry is a small dimension table."""
+    return requests.join(registry.select("model_name", "model_style").dropDuplicates(["model_name"]), "model_name", "left")
