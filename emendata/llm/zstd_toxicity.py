@@ -23,10 +23,16 @@ from pyspark.sql import functions as F
 from . import textscan
 from .common import hash_unit, held_out, kept_fields
 
-WINDOW, STRIDE, LEVEL, GRAM = 32, 16, 3, 5
+WINDOW, STRIDE, LEVEL, GRAM = 32, 16, 9, 5
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
 THRESHOLD = 0.3
-_BLANKS = np.array([0x20, *range(0x09, 0x0E)], np.uint64)
+#: Savings of a window, in bytes, from which on windows are counted.
+CUTS = range(2, 10)
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[ord("a") : ord("z") + 1] = True
+_LETTER[0x80:] = True
 _compressors: dict[str, tuple] = {}  # of the last model that this worker has seen
 
 
@@ -34,7 +40,7 @@ _compressors: dict[str, tuple] = {}  # of the last model that this worker has se
 class ToxicityModel:
     ordinary: bytes = b""
     toxic: bytes = b""
-    weights: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0, 0, 0, 0]))
+    weights: np.ndarray = field(default_factory=lambda: np.array([-4.0] + [0.0] * (len(CUTS) + 3)))
 
 
 def _lowered(text: str) -> bytes:
@@ -58,7 +64,8 @@ def _document_frequency(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _telling_grams(toxic: list[bytes], ordinary: list[bytes], z_least: float = 7.0, least: int = 60) -> np.ndarray:
     """5-grams of toxic texts that are over-represented by at least ``z_least`` standard deviations, or the ``least`` most so.
 
-    Grams across two words are left out: they hold more of the neighbours than of the word.
+    Grams across two words are left out, as they hold more of the neighbours than of the word, and so are those
+    with marks or digits: they tell of layout.
     """
     gram, a = _document_frequency(toxic)
     other, count = _document_frequency(ordinary)
@@ -69,10 +76,11 @@ def _telling_grams(toxic: list[bytes], ordinary: list[bytes], z_least: float = 7
     n, m = max(len(toxic), 1), max(len(ordinary), 1)
     share = (a + b) / (n + m)
     z = (a - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
-    across = np.zeros(len(gram), bool)
-    for k in range(1, GRAM - 1):
-        across |= np.isin((gram >> np.uint64(8 * k)) & np.uint64(255), _BLANKS)
-    usable = (a >= 3) & ((a + 0.5) / n >= 4 * (b + 0.5) / m) & ~across
+    plain = np.ones(len(gram), bool)
+    for k in range(GRAM):
+        byte = ((gram >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)
+        plain &= _LETTER[byte] | (_BLANK[byte] if k in (0, GRAM - 1) else False)
+    usable = plain & (a >= 3) & ((a + 0.5) / n >= 10 * (b + 0.5) / m)
     chosen = usable & (z >= z_least)
     if chosen.sum() < least:
         chosen = usable & (z >= np.sort(z[usable])[-least:].min(initial=np.inf))
@@ -116,8 +124,8 @@ def _lengths(compressor: zstandard.ZstdCompressor, data: bytes, segments: bytes)
 
 
 def _features(texts: list[str | None], pair: tuple) -> np.ndarray:
-    """For each text: 1, the largest saving, the three largest, the mean and the share of windows that save 3 or more."""
-    out = np.zeros((len(texts), 5))
+    """For each text: 1, its largest saving, the sum of its three largest, the share of windows that save CUTS or more, and its windows."""
+    out = np.zeros((len(texts), len(CUTS) + 4))
     out[:, 0] = 1
     low = 0
     while low < len(texts):
@@ -137,17 +145,15 @@ def _features(texts: list[str | None], pair: tuple) -> np.ndarray:
             continue
         data, of = b"".join(parts), np.concatenate(owner)
         segments = np.stack([np.concatenate(starts), np.concatenate(sizes)], 1).astype("<u8").tobytes()
-        saved = np.maximum(_lengths(pair[0], data, segments) - _lengths(pair[1], data, segments), 0)
-        order = np.lexsort((-saved, of))
-        first = np.searchsorted(of, np.unique(of))
-        ids, n = of[first], np.diff([*first, len(of)])
-        ranked = saved[order]
+        saved = _lengths(pair[0], data, segments) - _lengths(pair[1], data, segments)
+        ranked = np.maximum(saved[np.lexsort((-saved, of))], 0)
+        ids, first, n = np.unique(of, return_index=True, return_counts=True)
         out[ids, 1] = ranked[first]
-        out[ids, 2] = ranked[first]
-        for k in (1, 2):
+        for k in range(3):
             out[ids, 2] += np.where(n > k, ranked[np.minimum(first + k, len(of) - 1)], 0)
-        out[ids, 3] = np.log1p(20 * np.add.reduceat(saved, first) / n)
-        out[ids, 4] = np.log1p(50 * np.add.reduceat((saved >= 3).astype(np.int64), first) / n)
+        for k, cut in enumerate(CUTS):
+            out[ids, 3 + k] = np.log1p(50 * np.add.reduceat((saved >= cut).astype(np.int64), first) / n)
+        out[ids, -1] = np.log(n)
     return out
 
 
@@ -163,10 +169,15 @@ def fit(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     pair = _pair(model)
     x = np.concatenate([_features(toxic, pair), _features(ordinary, pair)])
     y = np.concatenate([np.ones(len(toxic)), np.zeros(len(ordinary))])
-    weights, ridge = np.zeros(x.shape[1]), 1e-2 * np.eye(x.shape[1])
+    middle, spread = x.mean(0), x.std(0)
+    middle[0], spread[spread == 0] = 0, 1
+    scaled = (x - middle) / spread
+    weights, ridge = np.zeros(x.shape[1]), 0.1 * np.eye(x.shape[1])
     for _ in range(60):  # Newton's steps for a logistic curve with a small ridge
-        p = 1 / (1 + np.exp(-(x @ weights).clip(-30, 30)))
-        weights = weights + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ weights)
+        p = 1 / (1 + np.exp(-(scaled @ weights).clip(-30, 30)))
+        weights = weights + np.linalg.solve((scaled * (p * (1 - p))[:, None]).T @ scaled + ridge, scaled.T @ (y - p) - ridge @ weights)
+    weights = weights / spread
+    weights[0] -= weights[1:] @ middle[1:]
     return ToxicityModel(model.ordinary, model.toxic, weights)
 
 
