@@ -113,3 +113,21 @@ def drop_leaks(documents: DataFrame, benchmark: DataFrame, size: int = 5, percen
     """The rows of ``documents`` in which no item is found; rows without doc_id stay."""
     leaks = find_leaks(documents, benchmark, size, percent).select("doc_id").distinct()
     return documents.join(leaks, "doc_id", "left_anti").select(*documents.columns)
+
+
+#: The exact result in SQL, without fingerprints: every window that a shared shingle proposes is compared.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+t AS (SELECT item_id, ws, len(ws) AS n, least(len(ws), 5) AS k FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark) WHERE len(ws) > 0),
+ts AS (SELECT item_id, n, k, i, array_to_string(ws[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, n - k + 2)) AS i FROM t)),
+ks AS (SELECT DISTINCT k FROM t),
+ds AS (SELECT doc_id, k, i, n_doc, array_to_string(ws[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, k, ws, len(ws) AS n_doc, unnest(range(1, len(ws) - k + 2)) AS i FROM d, ks)),
+starts AS (SELECT DISTINCT doc_id, item_id, n, ds.k, greatest(least(ds.i - ts.i, n_doc - n), 0) AS first FROM ds JOIN ts ON ds.g = ts.g AND ds.k = ts.k),
+windows AS (SELECT doc_id, item_id, n, k, first, ws[first + 1:first + n] AS ws FROM starts JOIN d USING (doc_id)),
+found AS (SELECT doc_id, item_id, first, g, count(*) AS c FROM (SELECT doc_id, item_id, first, array_to_string(ws[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS i FROM windows)) GROUP BY ALL),
+wanted AS (SELECT item_id, g, count(*) AS c FROM ts GROUP BY ALL),
+common AS (SELECT doc_id, item_id, first, sum(least(f.c, w.c)) AS common FROM found f JOIN wanted w USING (item_id, g) GROUP BY ALL),
+scored AS (SELECT doc_id, item_id, first, len(ws) AS n_words, common / ((len(ws) - k + 1) + (n - k + 1) - common)::DOUBLE AS similarity FROM common JOIN windows USING (doc_id, item_id, first))
+SELECT doc_id, item_id, first::INT AS first_word, n_words::INT AS n_words, similarity FROM scored WHERE 100 * similarity >= 80
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, first) = 1
+"""

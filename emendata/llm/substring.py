@@ -180,3 +180,15 @@ def remove_repeats(df: DataFrame, window: int = 50, text: str = "text") -> DataF
     ready = marked.select("doc_id", "_text", F.coalesce("_at", nothing).alias("_at"), F.coalesce("_copy", F.lit(False)).alias("_copy"))
     without = every.filter("doc_id is null").select("doc_id", "_text", nothing.alias("_at"), F.lit(False).alias("_copy"))
     return _remove(ready.unionByName(without), window)
+
+
+#: The result of remove_repeats() in SQL, with the kept words as a digest.
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+first AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN first USING (g) WHERE m < doc_id) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+    sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
