@@ -13,14 +13,25 @@ def _schema(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, _file, _line): the lines of text files with their numbers from 1.
+
+    A file's splits may be read in any order and by any task. So a line's number is its place in its split,
+    plus the lines of the file's earlier splits; only the splits' counts are gathered, never a file.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    splits = lines.groupBy("_file", "_block").agg(F.min("_at").alias("_begin"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("_file", "_block", "_begin", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return lines.join(starts, ["_file", "_block"]).select("value", "_file", (F.col("_at") - F.col("_begin") + F.col("_before") + 1).alias("_line"))
+
+
 def read_ordered(spark: SparkSession, path: str, ddl: str, blank: str = "skip") -> DataFrame:
     """Records with _file and _line, the number of their line in the file from 1.
 
-    ``blank`` lines are skipped, but counted, or make the read fail. Line numbers come from a window over each
-    file, as files are small next to the table of all of them.
+    ``blank`` lines are skipped, but counted, or make the read fail.
     """
-    lines = spark.read.text(path).select(F.col("value"), F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_at"))
-    numbered = lines.withColumn("_line", F.row_number().over(Window.partitionBy("_file").orderBy("_at")).cast("long"))
+    numbered = numbered_lines(spark, path)
     if blank == "skip":
         numbered = numbered.filter(F.trim("value") != "")
     parsed = F.from_json("value", _schema(ddl), {"mode": "FAILFAST"})

@@ -18,6 +18,19 @@ def test_solutions_keep_line_numbers(spark, tmp_path):
     assert {t: (r._line, r._identifier) for t, r in got.items()} == {"a": (1, "a_1"), "b": (3, "b_3")}
 
 
+def test_line_numbers_over_many_splits(spark, tmp_path):
+    for name, n in (("a", 3000), ("b", 700)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i} {'x' * (i % 50)}\n" for i in range(1, n + 1)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = jsonl.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 3700
+    assert all(r.value.split()[0] == f"{r._file[-5]}{r._line}" for r in got)
+
+
 def test_processed_ids(spark, tmp_path):
     assert jsonl.processed_ids(spark, str(tmp_path / "absent")).count() == 0
     write(tmp_path / "good.jsonl", [{"task_id": "a"}, {"task_id": "a"}, {"task_id": "b"}])
