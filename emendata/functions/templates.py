@@ -40,6 +40,22 @@ STYLES = (
 )
 
 
+# Styles whose prompt is one string with marks of its own. A text's lead, what stands before the
+# format's line, and its end.
+LEAD_ONLY_PROGRAM = "You will be given a question (problem specification) and will generate a correct Python program that matches the specification and passes all tests. You will NOT return anything except for the program.\n\n"
+LEAD = "You will be given a question (problem specification) and will generate a correct Python program that matches the specification and passes all tests.\n\n"
+CODEQWEN = "<|im_start|>system\nYou are an expert Python programmer. You will be given a question (problem specification) and will generate a correct Python program that matches the specification and passes all tests. Wrap your response in ```python and ```. Answer with the code and nothing else.<|im_end|>\n<|im_start|>user"
+QWQ = "<|im_start|>system\nYou are a helpful and harmless assistant. You are Qwen developed by Alibaba. You should think step-by-step.<|im_end|>\n<|im_start|>user"
+DEEPSEEK_R1 = "<｜begin▁of▁sentence｜>A conversation between User and Assistant. The user asks a question, and the Assistant solves it. The assistant first thinks about the reasoning process in the mind and then provides the user with the answer. The reasoning process and answer are enclosed within <think> </think> and <answer> </answer> tags, respectively, i.e., <think> reasoning process here </think> <answer> answer here </answer>.<｜User｜>"
+CHAT_END = "<|im_end|>\n<|im_start|>assistant\n"
+#: (style, system, break after it, lead, end)
+WRAPPED = (
+    ("CodeQwenInstruct", CODEQWEN, "\n\n", LEAD_ONLY_PROGRAM, CHAT_END),
+    ("QwQ", QWQ, "\n\n", LEAD, CHAT_END),
+    ("DeepSeekR1", DEEPSEEK_R1, "", LEAD, "<｜Assistant｜>"),
+)
+
+
 def _filled(text: Column) -> Column:
     return F.coalesce(text, F.lit("")) != ""
 
@@ -50,6 +66,13 @@ def question(content: Column, starter: Column) -> Column:
     return F.concat(F.lit("### Question:\n"), content, F.lit("\n\n"), shape, F.lit(ANSWER_FORMAT))
 
 
+def wrapped_question(style: str, content: Column, starter: Column) -> Column:
+    """The whole prompt of a style in WRAPPED."""
+    _, system, gap, lead, end = next(w for w in WRAPPED if w[0] == style)
+    shape = F.when(_filled(starter), F.concat(F.lit(f"{WITH_STARTER}\n```python\n"), starter, F.lit("\n```\n\n"))).otherwise(F.lit(f"{WITHOUT_STARTER}\n{YOUR_CODE}"))
+    return F.concat(F.lit(f"{system}{gap}{lead}Question: "), content, F.lit("\n\n"), shape, F.lit(end))
+
+
 def base_question(content: Column, starter: Column, functional: str, stdin: str) -> Column:
     """For models without chat: one worked example, chosen by whether there is starter code, then the question."""
     code = F.when(_filled(starter), F.concat(F.lit("### Starter Code\n"), starter, F.lit("\n\n"))).otherwise(F.lit(""))

@@ -3,7 +3,7 @@
 import ast
 
 import pytest
-from emendata.functions import code, compare, corrupt, extract, similarity, stemmer
+from emendata.functions import code, compare, corrupt, extract, prompts, similarity, stemmer, templates
 from emendata.operators import grading, passk
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -164,3 +164,28 @@ def test_expressions_equal_plain_functions(spark):
         assert bleu[i] == pytest.approx(code.sentence_bleu(a.split(), b.split()))
         assert letters[i] == pytest.approx(code.chrf(a, b))
         assert two[i] == pytest.approx(code.rouge_n(a, b, 2))
+
+
+def test_prompts(spark):
+    rows = spark.createDataFrame([("Add.", "def f():", "x = 1"), ("Add.", "", "x = 1")], "content string, starter string, code string")
+    c = [F.col(n) for n in ("content", "starter", "code")]
+    got = rows.select(
+        templates.question(c[0], c[1]).alias("question"),
+        templates.wrapped_question("QwQ", c[0], c[1]).alias("wrapped"),
+        templates.base_question(c[0], c[1], "F ", "S ").alias("base"),
+        templates.execution_prompt(c[2], F.lit("f(1)"), steps=True).alias("execution"),
+        templates.test_output_prompt(c[0], c[1], F.lit("f"), F.lit("1\n2")).alias("output"),
+        templates.repair_prompt(c[0], c[2], F.lit("{}")).alias("passing"),
+        prompts.user_message(c[0], c[2]).alias("user"),
+        prompts.strip_fence(F.lit("```python\nx\n```")).alias("bare"),
+        prompts.clean_problem(F.lit(" a. DROP b "), ("DROP ",)).alias("clean"),
+    ).collect()
+    with_code, without = got
+    assert with_code.question == f"### Question:\nAdd.\n\n### Format: {templates.WITH_STARTER}\n```python\ndef f():\n```\n\n{templates.ANSWER_FORMAT}"
+    assert without.question == f"### Question:\nAdd.\n\n### Format: {templates.WITHOUT_STARTER}\n{templates.YOUR_CODE}{templates.ANSWER_FORMAT}"
+    assert with_code.wrapped.startswith(templates.QWQ) and with_code.wrapped.endswith("```\n\n" + templates.CHAT_END)
+    assert with_code.base == "F ### Question\nAdd.\n\n### Starter Code\ndef f():\n\n### Answer\n\n" and without.base == "S ### Question\nAdd.\n\n### Answer\n\n"
+    assert with_code.execution.endswith("[PYTHON]\nx = 1\nassert f(1) == ??\n[/PYTHON]\n[THOUGHT]\n")
+    assert "assert f(1, 2) == # TODO" in with_code.output and with_code.passing == ""
+    assert with_code.user.endswith("The function I have written so far is:\nx = 1 \n\n" + prompts.ASK + prompts.WRAP)
+    assert (with_code.bare, with_code.clean) == ("x", "a. b")
