@@ -42,17 +42,26 @@ def fold_generations(results: DataFrame, key: str = "question_id", codes: str =
     return results.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(all_passed(F.col(codes))).alias("c"))
 
 
+def _estimates(counts: DataFrame, by: list[str], ks: tuple[int, ...]) -> DataFrame:
+    """(by, n, k, p, m): the estimate for each k, once for every (n, c) that occurs, and how many rows have it.
+
+    Rows are counted by (n, c) first, so that the estimates' work does not grow with the table.
+    """
+    alike = counts.groupBy(*by, "n", "c").agg(F.count(F.lit(1)).alias("m"))
+    exploded = alike.select(*by, "n", "c", "m", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    return exploded.withColumn("p", pass_at_k(F.col("n"), F.col("c"), F.col("k")))
+
+
 def metrics(counts: DataFrame, ks: tuple[int, ...] = (1, 5), gate: bool = True) -> DataFrame:
     """(k, pass_at_k) over (n, c) rows: the mean estimate; with the gate only for k that every row's n reaches."""
-    exploded = counts.select("n", "c", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
-    scored = exploded.groupBy("k").agg(F.min("n").alias("least"), F.avg(pass_at_k(F.col("n"), F.col("c"), F.col("k"))).alias("pass_at_k"))
+    scored = _estimates(counts, [], ks).groupBy("k").agg(F.min("n").alias("least"), (F.sum(F.col("p") * F.col("m")) / F.sum("m")).alias("pass_at_k"))
     return (scored.filter(F.col("least") >= F.col("k")) if gate else scored).select("k", "pass_at_k")
 
 
 def by_slice(counts: DataFrame, slice_by: str, ks: tuple[int, ...] = REPORTED_K) -> DataFrame:
     """(slice, k, pass_at_k, problems) for every value of ``slice_by`` and, with a null slice, over all."""
-    exploded = counts.select(slice_by, "n", "c", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).withColumn("p", pass_at_k(F.col("n"), F.col("c"), F.col("k")))
-    return exploded.groupingSets([[F.col(slice_by), F.col("k")], [F.col("k")]], slice_by, "k").agg(F.avg("p").alias("pass_at_k"), F.count(F.lit(1)).alias("problems"))
+    scored = _estimates(counts, [slice_by], ks)
+    return scored.groupingSets([[F.col(slice_by), F.col("k")], [F.col("k")]], slice_by, "k").agg((F.sum(F.col("p") * F.col("m")) / F.sum("m")).alias("pass_at_k"), F.sum("m").alias("problems"))
 
 
 def in_window(df: DataFrame, date: str = "contest_date", start: str | None = None, end: str | None = None, platform: str | None = None, difficulty: str | None = None) -> DataFrame:
