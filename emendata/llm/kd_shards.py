@@ -142,7 +142,7 @@ def assign_shards(df: DataFrame, shards: int | None = None, target_bytes: int |
     dimension. An empty table has no rows in any shard.
     """
     shards = shards or shards_for(df, target_bytes or (1 << 30), text)
-    names = {c: f"_in_{k}" for k, c in enumerate(df.columns) if c in ("size", "node", "shard", *[f"x{k}" for k in range(len(DIMENSIONS))])}
+    names = {c: f"_in_{k}" for k, c in enumerate(df.columns) if c in ("size", "node", "shard", "slot", *[f"x{k}" for k in range(len(DIMENSIONS))])}
     keys = materialise(df.select(_size(text).alias("size"), *_coordinates(df, text)))
     nodes, depth = build_tree(keys, shards)
     first = F.array(*[F.lit(n.first) for n in nodes])
@@ -152,6 +152,6 @@ def assign_shards(df: DataFrame, shards: int | None = None, target_bytes: int |
     return out.select(*[F.col(names.get(c, c)).alias(f"in_{c}" if c in names else c) for c in df.columns], "size", "shard")
 
 
-def number_slots(df: DataFrame) -> DataFrame:
-    """``df`` (doc_id, shard, and a crc) with slot: gapless from 0 within each shard, in an order set by hashes."""
-    return bucketed_rank(df, "shard", ["doc_id", "text_crc32", "size"], "slot")
+def number_slots(df: DataFrame, keys: tuple[str, ...] = ("doc_id", "text_crc32", "size")) -> DataFrame:
+    """``df`` (shard and ``keys``) with slot: gapless from 0 within each shard, in an order set by a hash of the keys."""
+    return bucketed_rank(df, "shard", list(keys), "slot")

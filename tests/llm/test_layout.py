@@ -135,6 +135,24 @@ def test_as_of_join_over_many_ranges(spark):
         assert (tuple(got[i]) if got[i] else None) == (max(earlier) if earlier else None)
 
 
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_tables(spark, stage, documents, corpus, nothing, data):
+    """Nulls, empty, long and repeated rows, and columns whose names the stages use themselves."""
+    named = documents.withColumns({"slot": F.lit(7), "row": F.lit("r"), "label": F.lit(1), "predicted": F.lit(1), "text_crc32": F.lit(0)})
+    out = stage(spark, named, data)
+    last = stage is corpus_pipeline.STAGES[-1][1]
+    if last:
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "in_shard", "bucket", "in_slot", "row", "label", "predicted", "text_crc32", "size", "shard", "slot"]
+    else:
+        assert out.columns == named.columns
+    ids = [r[0] for r in corpus]
+    kept = [r.doc_id for r in out.collect()]
+    assert set(kept) <= set(ids) and None in kept
+    if stage not in (corpus_pipeline.toxicity, corpus_pipeline.near_duplicates):
+        assert Counter(kept) == Counter(ids)
+    assert stage(spark, nothing, data).count() == 0
+
+
 def test_pipeline(spark, data, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     columns, before = docs.columns, docs.count()
