@@ -330,26 +330,36 @@ def private_tests(packed: str) -> str | None:
         return None
 
 
+#: Fixed messages of assert_right_side().
+NO_PARSE, NO_STATEMENT, NO_ASSERT, NO_EQUALITY = "Invalid syntax", "Empty statement", "Not an assert statement", "Not an equality assertion"
+
+
 def assert_right_side(line: str) -> str:
     """The source of what an assert compares with, or a message that says why there is none."""
+    if not parses(line):
+        return NO_PARSE
+    body = ast.parse(line).body
+    if not body:
+        return NO_STATEMENT
+    if not isinstance(body[0], ast.Assert):
+        return NO_ASSERT
+    test = body[0].test
+    if not isinstance(test, ast.Compare) or not isinstance(test.ops[0], ast.Eq):
+        return NO_EQUALITY
+    return ast.get_source_segment(line, test.comparators[0]) or ""
+
+
+def expected_equal(text: str, expected: str) -> bool:
+    """Whether an assert's right side, or else the whole text, equals a JSON value; only literals are read, nothing is run.
+
+    Of several lines the first with an assert that is no comment counts.
+    """
+    lines = text.splitlines()
+    if len(lines) > 1:
+        text = next((x for x in lines if "assert" in x and not x.startswith("#")), text)
+    text = text.strip()
     try:
-        tree = ast.parse(line)
-    except (SyntaxError, ValueError):
-        return "SYNTAX ERROR"
-    if not tree.body:
-        return "NO STATEMENT"
-    statement = tree.body[0]
-    if not isinstance(statement, ast.Assert):
-        return "NOT AN ASSERT"
-    if not isinstance(statement.test, ast.Compare) or not isinstance(statement.test.ops[0], ast.Eq):
-        return "NOT AN EQUALITY"
-    return ast.unparse(statement.test.comparators[0])
-
-
-def expected_equal(line: str, expected: str) -> bool:
-    """Whether an assert's right side, as a literal, equals a JSON value."""
-    try:
-        return ast.literal_eval(assert_right_side(line)) == json.loads(expected)
+        return ast.literal_eval(assert_right_side(text) if "assert" in text else text) == json.loads(expected)
     except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
         return False
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Fixed patterns of fenced blocks, thought marks and answers.
 CLOSED_FENCE = r"(?im)^```(?:python)?\s*\n([\s\S]*?)\n```"
 OPEN_FENCE = r"(?im)^```(?:python)?\s*\n([\s\S]*)\z"
-ANY_FENCE = r"```[^\n]*\n([\s\S]*?)```"
+ANY_FENCE = r"```(?:\w+)?\n([\s\S]*?)```"
 DOCSTRING = r"(def\s+[^:]+:\s*)(\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')\s*\n"
 THOUGHT_ENDS = ("</think>", "</thought>")
 ANSWER, ANSWER_END = "[ANSWER]", "[/ANSWER]"
@@ -44,27 +44,51 @@ def block_after_thought(text: Column) -> Column:
     return last_block(F.substring_index(text, THOUGHT_ENDS[0], -1))
 
 
-def between_last_fences(text: Column) -> Column:
-    """The lines between the last two fence lines, those of the last python block where one exists; empty with fewer fences."""
-    lines = F.split(text, "\n", -1)
-    at = F.filter(F.transform(lines, lambda line, i: F.when(F.contains(line, F.lit("```")), i)), lambda i: i.isNotNull())
-    python = F.filter(F.transform(lines, lambda line, i: F.when(F.contains(F.lower(line), F.lit("```python")), i)), lambda i: i.isNotNull())
-    begin = F.try_element_at(python, F.lit(-1))
-    finish = F.try_element_at(F.filter(at, lambda i: i > begin), F.lit(1))
-    first = F.when(finish.isNotNull(), begin).otherwise(F.try_element_at(at, F.lit(-2)))
-    last = F.when(finish.isNotNull(), finish).otherwise(F.try_element_at(at, F.lit(-1)))
-    return F.when(first.isNull(), F.lit("")).otherwise(F.array_join(F.slice(lines, first + 2, last - first - 1), "\n"))
+def _marked(lines: Column, mark: str, any_case: bool = False) -> Column:
+    """Numbers of the lines that hold a mark."""
+    shown = (lambda x: F.lower(x)) if any_case else (lambda x: x)
+    return F.filter(F.transform(lines, lambda x, i: F.when(F.contains(shown(x), F.lit(mark)), i)), lambda i: i.isNotNull())
 
 
-def assert_line(text: Column) -> Column:
-    """The last line that begins with assert; the text between the last fences without one."""
-    lines = F.filter(F.split(text, "\n", -1), lambda line: F.startswith(line, F.lit("assert")))
-    return F.coalesce(F.try_element_at(lines, F.lit(-1)), between_last_fences(text))
+def _between(lines: Column, first: Column, last: Column) -> Column:
+    """The lines between two of them, up to the end where the last is null; empty without a first."""
+    stop = F.coalesce(last, F.size(lines))
+    return F.when(first.isNull(), F.lit("")).otherwise(F.array_join(F.slice(lines, first + 2, stop - first - 1), "\n"))
+
+
+def between_last_fences(text: Column, style: str | None = None) -> Column:
+    """The last python block, to the end where it is not closed; else what the last two fence lines enclose, or nothing.
+
+    Style "base" gives all of the text, and "llama" what the last two lines with PYTHON] enclose where there are two.
+    """
+    if style == "base":
+        return strip(text)
+    lines = F.split(text, "\n", -1)
+    fences = _marked(lines, "```")
+    if style == "llama":
+        tags = _marked(lines, "PYTHON]")
+        marks = F.when(F.size(tags) >= 2, tags).otherwise(fences)
+        return _between(lines, F.try_element_at(marks, F.lit(-2)), F.try_element_at(marks, F.lit(-1)))
+    begin = F.try_element_at(_marked(lines, "```python", any_case=True), F.lit(-1))
+    closed = F.try_element_at(F.filter(fences, lambda i: i > begin), F.lit(1))
+    return F.when(begin.isNotNull(), _between(lines, begin, closed)).otherwise(_between(lines, F.try_element_at(fences, F.lit(-2)), F.try_element_at(fences, F.lit(-1))))
 
 
-def execution_answer(text: Column) -> Column:
-    """The answer part, of it what follows the first ==, up to the end mark or else the line's end."""
-    inside = F.when(F.contains(text, F.lit(ANSWER)), strip(F.get(F.split(text, r"\[ANSWER\]", -1), F.lit(1)))).otherwise(text)
+def assert_line(text: Column) -> Column:
+    """The last line that begins with assert; without one the first python block, else what the first two fence lines enclose."""
+    lines = F.split(text, "\n", -1)
+    asserts = F.filter(lines, lambda line: F.startswith(line, F.lit("assert")))
+    fences = _marked(lines, "```")
+    begin = F.try_element_at(F.array_sort(F.concat(_marked(lines, "```python"), _marked(lines, "```Python"))), F.lit(1))
+    first = F.coalesce(begin, F.try_element_at(fences, F.lit(1)))
+    last = F.try_element_at(F.filter(fences, lambda i: i > first), F.lit(1))
+    block = F.when(last.isNull(), F.lit("")).otherwise(_between(lines, first, last))
+    return F.coalesce(F.try_element_at(asserts, F.lit(-1)), block)
+
+
+def execution_answer(text: Column, steps: bool = False) -> Column:
+    """What follows the first ==, up to the end mark or else the line's end; with ``steps`` within the answer part only."""
+    inside = F.when(F.contains(text, F.lit(ANSWER)), strip(F.get(F.split(text, r"\[ANSWER\]", -1), F.lit(1)))).otherwise(text) if steps else text
     right = F.when(F.contains(inside, F.lit("==")), strip(F.get(F.split(inside, "==", -1), F.lit(1)))).otherwise(inside)
     ended = F.when(F.contains(right, F.lit(ANSWER_END)), F.get(F.split(right, r"\[/ANSWER\]", -1), F.lit(0))).otherwise(F.get(F.split(right, "\n", -1), F.lit(0)))
     return strip(ended)

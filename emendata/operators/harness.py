@@ -24,9 +24,14 @@ def resume(benchmark: DataFrame, old: DataFrame, scenario: str) -> tuple[DataFra
     return kept, unprocessed(benchmark, kept, KEYS[scenario])
 
 
-def extracted(outputs: DataFrame, scenario: str, name: str = "output_list") -> DataFrame:
+def extracted(outputs: DataFrame, scenario: str, name: str = "output_list", style: str | None = None, steps: bool = False) -> DataFrame:
     """The answer in each output: a block, an assert line, or what an execution is said to give."""
-    pick = {"codeexecution": extract.execution_answer, "testoutputprediction": extract.assert_line}.get(scenario, extract.between_last_fences)
+
+    def pick(text: Column) -> Column:
+        if scenario == "codeexecution":
+            return extract.execution_answer(text, steps)
+        return extract.assert_line(text) if scenario == "testoutputprediction" else extract.between_last_fences(text, style)
+
     column = "pred_list" if scenario in ("codeexecution", "testoutputprediction") else "code_list"
     return outputs.withColumn(column, F.transform(name, lambda x: pick(x)))
 

@@ -38,7 +38,7 @@ def strip_think(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("[ANSWER]\nassert f("), F.col("doc_id").cast("string"), F.lit(") == "), F.left(F.translate("text", "=[]\n", "----"), F.lit(40)), F.lit("\n[/ANSWER] more"))
     rows = _documents(spark, sf_dir).select("doc_id", said.alias("said"))
-    return rows.select("doc_id", extract.execution_answer(F.col("said")).alias("answer"), extract.assert_line(F.concat(F.lit("so\n"), F.regexp_replace("said", r"^\[ANSWER\]\n", ""))).alias("line"))
+    return rows.select("doc_id", extract.execution_answer(F.col("said"), steps=True).alias("answer"), extract.assert_line(F.concat(F.lit("so\n"), F.regexp_replace("said", r"^\[ANSWER\]\n", ""))).alias("line"))
 
 
 def truncate_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,23 @@ def test_extraction_expressions(spark):
     assert [(r.last, r.longest) for r in got] == [("yy=22", "yy=22"), (None, ""), (None, "open")]
 
 
+def test_blocks_of_model_styles(spark):
+    texts = ["a\n```Python\nx\n```\nb\n```\ny\n```", "```python\nopen\nend", "```\n1\n```\n```\n2\n```", "one ``` only", "[PYTHON]\nz\n[/PYTHON]", "no"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = rows.select("i", extract.between_last_fences(F.col("t")).alias("a"), extract.between_last_fences(F.col("t"), "llama").alias("b"), extract.between_last_fences(F.col("t"), "base").alias("c"), extract.assert_line(F.col("t")).alias("d")).orderBy("i").collect()
+    assert [r.a for r in got] == ["x", "open\nend", "2", "", "", ""]
+    assert [r.b for r in got] == ["y", "", "2", "", "z", ""]
+    assert [r.c for r in got] == texts
+    assert [r.d for r in got] == ["x", "", "1", "", "", ""]
+
+
+def test_execution_answers(spark):
+    texts = ["[ANSWER]\nassert f(1) == 2\n[/ANSWER] x", "f(1) == 3\nmore", "4\n5", "think == no [ANSWER] f() == 6 [/ANSWER]"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    assert [r.a for r in rows.select(extract.execution_answer(F.col("t"), steps=True).alias("a")).collect()] == ["2", "3", "4", "6"]
+    assert [r.a for r in rows.select(extract.execution_answer(F.col("t")).alias("a")).collect()] == ["2", "3", "4", "no [ANSWER] f()"]
+
+
 def test_structured_diff():
     assert code.structured_diff("a", "a") == [{"type": "context", "content": "a"}]
     assert code.structured_diff("a\nb", "a\nc") == [{"type": "context", "content": "a"}, {"type": "removed", "content": "b"}, {"type": "added", "content": "c"}]
@@ -144,8 +161,9 @@ def test_lenient_outputs():
 
 
 def test_other_helpers(spark):
-    assert code.assert_right_side("assert f(1) == [1, 2]") == "[1, 2]" and code.assert_right_side("x = 1") == "NOT AN ASSERT"
+    assert code.assert_right_side("assert f(1) == [1, 2]") == "[1, 2]" and code.assert_right_side("x = 1") == "Not an assert statement"
     assert code.expected_equal("assert f() == [1, 'a']", '[1, "a"]') and not code.expected_equal("assert f() == g()", "1")
+    assert code.expected_equal("# assert f() == 1\nassert f() == 2", "2") and code.expected_equal("[1]", "[1]")
     assert code.integer_keys('{"01": {"-2": 1}}') == '{"1": {"-2": 1}}'
     assert "def wrapped_function():" in code.as_function("import os\nx = 1\nprint(x)")
     assert code.without_main_guard("x = 1\nif __name__ == '__main__':\n    print(x)\n") == "x = 1\nprint(x)"
