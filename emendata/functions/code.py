@@ -193,13 +193,38 @@ def structured_diff(before: str, after: str) -> list[dict[str, str]]:
     return out
 
 
-def _lcs(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+def _places(items: list[str]) -> dict[str, int]:
+    """For each element the positions that hold it, as bits."""
+    out: dict[str, int] = {}
+    for i, x in enumerate(items):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+def common_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, a whole row of the table at a time (bit-parallel)."""
+    places, whole = _places(a), (1 << len(a)) - 1
+    row = whole
+    for y in b:
+        hit = row & places.get(y, 0)
+        row = ((row + hit) | (row - hit)) & whole
+    return len(a) - row.bit_count()
+
+
+def sequence_distance(a: list[str], b: list[str]) -> int:
+    """Edit distance of two lists by Myers' bit-parallel columns: vertical steps of +1 and -1 as two bit sets."""
+    if not a or not b:
+        return len(a) + len(b)
+    places, whole, last = _places(a), (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = whole, 0, len(a)
+    for y in b:
+        equal = places.get(y, 0)
+        diagonal = (((equal & up) + up) ^ up) | equal | down
+        right_up, right_down = down | (whole & ~(diagonal | up)), up & diagonal
+        score += bool(right_up & last) - bool(right_down & last)
+        right_up, right_down = (right_up << 1) | 1, right_down << 1
+        up, down = (right_down | ~(diagonal | right_up)) & whole, right_up & diagonal & whole
+    return score
 
 
 def _rouge_words(text: str) -> list[str]:
@@ -209,7 +234,7 @@ def _rouge_words(text: str) -> list[str]:
 
 def rouge_l(reference: str, prediction: str) -> float:
     a, b = _rouge_words(reference), _rouge_words(prediction)
-    common = _lcs(a, b)
+    common = common_length(a, b)
     return 2 * common / (len(a) + len(b)) if common else 0.0
 
 

@@ -19,21 +19,12 @@ METRICS = ("levenshtein", "normalized_levenshtein", "line_distance", "normalized
 LONG = "task_id string, _line long, pair string, variant string, metric string, value double"
 
 
-def _distance(a: list[str], b: list[str]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return row[-1]
-
-
 @lru_cache(maxsize=4096)
 def _metrics(reference: str, prediction: str) -> tuple[float, ...]:
     """METRICS of one pair of texts, tokenised once; diffsitter is an external program and absent, which is -1."""
     a, b = code_functions.code_tokens(reference), code_functions.code_tokens(prediction)
     x, y = ([line.strip() for line in text.split("\n")] for text in (reference, prediction))
-    tokens, lines = _distance(a, b), _distance(x, y)
+    tokens, lines = code_functions.sequence_distance(a, b), code_functions.sequence_distance(x, y)
     distances = (float(tokens), tokens / max(len(a), len(b), 1), float(lines), lines / max(len(x), len(y), 1))
     overlaps = (code_functions.sentence_bleu(a, b), code_functions.rouge_n(reference, prediction, 1), code_functions.rouge_n(reference, prediction, 2), code_functions.rouge_l(reference, prediction), code_functions.meteor(reference, prediction), code_functions.chrf(reference, prediction), code_functions.codebleu(reference, prediction))
     return (*distances, *overlaps, -1.0, -1.0)

@@ -137,6 +137,25 @@ def plain_distance(a, b):
     return row[-1]
 
 
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+LONGER = st.lists(st.sampled_from("abcde"), max_size=90)
+
+
+@settings(max_examples=200, deadline=None)
+@given(LONGER, LONGER)
+def test_bit_parallel_tables(a, b):
+    assert code.sequence_distance(a, b) == plain_distance(a, b)
+    assert code.common_length(a, b) == plain_common(a, b)
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(TEXTS, TEXTS), min_size=1, max_size=20))
 def test_sequence_distance(spark, pairs):
