@@ -10,7 +10,6 @@ import ast
 import random
 import zlib
 from collections.abc import Callable
-from copy import deepcopy
 
 import pandas as pd
 from pyspark.sql import Column
@@ -359,7 +358,8 @@ def mutate(code: str, key: str, seed: int = 42, extra: bool = False, most: int |
     """(code, names of the mutations, error): the first function with up to ``most`` mutations that leave its arguments."""
     if not parses(code):
         return None, [], "the code does not parse"
-    tree = ast.parse(code)
+    accepted = code
+    tree = ast.parse(accepted)
     function = first_function(tree)
     if function is None:
         return None, [], "no function"
@@ -373,14 +373,17 @@ def mutate(code: str, key: str, seed: int = 42, extra: bool = False, most: int |
         if len(applied) >= (most or (MOST_EXTRA if extra else MOST_BASE)):
             break
         kinds, rule = rules[name]
-        trial = deepcopy(tree)
-        target = first_function(trial)
-        if any(isinstance(n, kinds) and rule(n, rng) for n in ast.walk(target)) and ast.dump(target.args) == signature:
-            tree = trial
-            applied.append(name)
+        function = first_function(tree)
+        if not any(isinstance(n, kinds) and rule(n, rng) for n in ast.walk(function)):
+            continue  # a rule that does not apply leaves the tree as it is
+        if ast.dump(function.args) != signature:
+            tree = ast.parse(accepted)
+            continue
+        accepted = ast.unparse(ast.fix_missing_locations(tree))
+        applied.append(name)
     if not applied:
         return None, [], "no mutation fits"
-    return ast.unparse(ast.fix_missing_locations(tree)), applied, None
+    return accepted, applied, None
 
 
 def corrupt(code: Column, key: Column, seed: int = 42, extra: bool = False, most: int | None = None) -> Column:
