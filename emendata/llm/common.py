@@ -50,7 +50,7 @@ def hash_unit(seed: int, *names: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *[F.col(n) for n in names]), F.lit(1 << 30)) / float(1 << 30)
 
 
-def bucketed_rank(df: DataFrame, group: str, key: list[str], rank: str, rows_per_bucket: int = 50_000) -> DataFrame:
+def bucketed_rank(df: DataFrame, group: str, key: list[str], rank: str, rows_per_bucket: int = 4_000) -> DataFrame:
     """Add a gapless rank from 0 within ``group`` without bringing a whole group together.
 
     Rows are ordered by (bucket, key); the bucket is a hash of the key, so a group that holds most of the
