@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import materialise
+from .common import join_back, materialise
 
 _SECOND_BASE = 0xE7037ED1A0B428DB
 
@@ -168,11 +168,11 @@ def remove_repeats(df: DataFrame, window: int = 50, text: str = "text") -> DataF
     classes = materialise(survey.groupBy("seq_a", "seq_b", "n_words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")))
     halves = survey.select(F.explode("halves").alias("half"), "doc_id", "seq_a")
     twice = halves.groupBy("half").agg(F.min("seq_a").alias("a"), F.max("seq_a").alias("b")).filter("a < b").select("half")
-    listed = halves.select("half", "doc_id").join(twice, "half").groupBy("doc_id").agg(F.collect_set("half").alias("_halves"))
+    listed = join_back(halves.select("half", "doc_id"), twice, ["half"]).groupBy("doc_id").agg(F.collect_set("half").alias("_halves"))
     wanted = materialise(listed.join(classes.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     found = _full_windows(texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "_text", "_halves"), window)
     least = found.groupBy("win_a", "win_b").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("win_a", "win_b", "a")
-    repeats = found.join(least, ["win_a", "win_b"]).filter("doc_id > a").groupBy("doc_id").agg(F.collect_set("at").alias("_at"))
+    repeats = join_back(found, least, ["win_a", "win_b"]).filter("doc_id > a").groupBy("doc_id").agg(F.collect_set("at").alias("_at"))
     copies = survey.join(classes.filter("least < last").select("seq_a", "seq_b", "least"), ["seq_a", "seq_b"]).filter("doc_id > least").select("doc_id", "seq_a").groupBy("doc_id").agg(F.lit(True).alias("_copy"))
     marks = repeats.join(copies, "doc_id", "full_outer")
     marked = texts.join(marks.hint("shuffle_hash"), "doc_id", "left")
