@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, packed
+from .common import join_back, materialise, packed
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -20,12 +20,12 @@ def _digest(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return packed(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v"), rows).distinct()
+    return packed(join_back(both.filter("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v"), rows).distinct()
 
 
 def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    linked = edges.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = join_back(edges, least, ["u"]).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return packed(linked.union(least.select("u", F.col("m").alias("v"))).filter("u != v"), rows).distinct()
 
 

@@ -7,8 +7,9 @@ only star-shaped edges, from its members to one hub, so that pairs stay in propo
 
 1. Documents with equal shingle sets collapse to a class; classes alone enter buckets.
 2. Every bucket offers its members' edges to its least document. Edges are confirmed on full shingle sets.
-3. Where a bucket still holds several components it offers another star around a hub drawn anew, to the
-   members outside the hub's component; this repeats until nothing new is offered or ``rounds`` are done.
+3. Where a bucket still holds several components it offers more stars, around a few hubs drawn from its
+   largest component, to the members outside it; this repeats until nothing new is offered or ``rounds`` are
+   done.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import materialise, packed
+from .common import hash_unit, join_back, materialise, packed
 from .components import connected_components
 
-BANDS, ROWS = 52, 7
+BANDS, ROWS, HUBS = 52, 7, 8
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
@@ -138,6 +139,21 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, rows: i
     return both.mapInArrow(run, "u long, v long")
 
 
+def _offers(placed: DataFrame, turn: int) -> DataFrame:
+    """(doc_id, hub): new edges in buckets that hold several components, from (key, doc_id, label).
+
+    Members outside the bucket's largest component are offered to about HUBS of that component's members (to
+    all of a smaller one), drawn anew for each turn. So a document at the edge of a large group meets many of
+    its members, over all its buckets, while a bucket's edges stay in proportion to its members.
+    """
+    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max(F.struct("n", "label")).alias("top")
+    split = sizes.groupBy("key").agg(largest, F.sum("n").alias("all")).filter("all > top.n").select("key", F.col("top.n").alias("n"), F.col("top.label").alias("top"))
+    members = join_back(placed, split, ["key"])
+    hubs = members.filter((F.col("label") == F.col("top")) & (hash_unit(turn, "key", "doc_id") < HUBS / F.col("n"))).select("key", F.col("doc_id").alias("hub"))
+    return members.filter("label != top").select("key", "doc_id").join(hubs, "key").select("doc_id", "hub")
+
+
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, rounds: int = 4, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``df``.
 
@@ -153,7 +169,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, rounds: int
     banded = members.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").select("key", "hub")
     # only documents in a bucket with others go on
-    buckets = materialise(banded.join(hubs, "key").select("key", "doc_id", "n_shingles", "hub"))
+    buckets = materialise(join_back(banded, hubs, ["key"]).select("key", "doc_id", "n_shingles", "hub"))
     wanted = buckets.select("doc_id").distinct()
     texts = materialise(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text")).filter("_text is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
@@ -165,9 +181,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, rounds: int
     for turn in range(1, rounds):
         labels = stars.select(F.col("u").alias("doc_id"), F.col("v").alias("label"))
         placed = materialise(packed(buckets.select("key", "doc_id").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), n_buckets))
-        draw = F.struct(F.xxhash64(F.lit(turn), "key", "doc_id").alias("r"), F.col("doc_id").alias("hub"), F.col("label").alias("hub_label"))
-        split = placed.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min(draw).alias("h")).filter("a < b").select("key", "h.hub", "h.hub_label")
-        again = packed(placed.join(split, "key").filter("label != hub_label").select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")), n_buckets).distinct()
+        again = packed(_offers(placed, turn).select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")), n_buckets).distinct()
         fresh = materialise(packed(packed(again, n_buckets).join(tried, ["u", "v"], "left_anti"), n_buckets))
         n_fresh = fresh.count()
         if not n_fresh:
