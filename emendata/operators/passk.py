@@ -89,6 +89,11 @@ def merge_details(old: DataFrame, new: DataFrame, key: str, value: str) -> DataF
     return a.join(b, key, "full_outer").select(key, F.when(F.col("_has"), F.col("_old")).otherwise(F.col("_new")).alias(value))
 
 
+def mean_of_rows(graded: DataFrame, name: str = "graded") -> DataFrame:
+    """One row: pass@1 in percent as the mean over rows of their share of right samples."""
+    return graded.agg((F.avg(share_passed(F.col(name))) * 100).alias("pass_at_1"))
+
+
 def execution_scores(results: DataFrame, key: str = "question_id") -> DataFrame:
     """Percent right for each problem from (key, generation, input, right); generations that quote the input are skipped.
 

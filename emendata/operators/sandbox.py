@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 VERDICT = "status string, details map<string,string>, tests_run int, failures int, errors int, skipped int, was_successful boolean"
 CODES = "codes array<int>"
 #: Fixed limits, in seconds and bytes.
-SOLUTION_SECONDS, TEST_SECONDS, MEMORY = 240, 6, 4 << 30
+SOLUTION_SECONDS, TEST_SECONDS, ASSERTION_SECONDS, MEMORY = 240, 6, 3, 4 << 30
 
 _UNITTEST = """
 import json, sys, types, unittest
@@ -88,6 +88,29 @@ def run_tests(code: str, tests: list[tuple[str, str]], name: str | None, seconds
     return out
 
 
+def run_assertion(code: str, output: str, generation: str, seconds: float = ASSERTION_SECONDS) -> bool:
+    """Whether the program's known output equals what a generation says it is."""
+    out, _, code_no = _child(f"{code}\nassert {output} == {generation}\n", "", seconds)
+    return out is not None and code_no == 0
+
+
+def execution_results(df: DataFrame, seconds: float = ASSERTION_SECONDS) -> DataFrame:
+    """(id, graded): a verdict for each generation that does not quote the input; all wrong where every one does.
+
+    ``df`` has id, code, input, output and generations.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                used = [g for g in r.generations if r.input not in g]
+                rows.append((r.id, [run_assertion(r.code, r.output, g, seconds) for g in used] or [False] * len(r.generations)))
+            yield pd.DataFrame(rows, columns=["id", "graded"])
+
+    return df.select("id", "code", "input", "output", "generations").mapInPandas(run, "id string, graded array<boolean>")
+
+
 def execute_solutions(df: DataFrame, code: str = "solution", test: str = "test_code", seconds: float = SOLUTION_SECONDS) -> DataFrame:
     """``df`` with VERDICT. Repartition before it: rows are slow and uneven."""
 

@@ -51,3 +51,17 @@ def evaluation_sample(problems: DataFrame) -> DataFrame:
     every = F.concat("public_test_cases", "private_test_cases")
     shape = F.struct(F.transform(every, lambda t: t["input"]).alias("inputs"), F.transform(every, lambda t: t["output"]).alias("outputs"), F.col("metadata")["func_name"].alias("fn_name"))
     return problems.select("question_id", F.to_json(shape).alias("input_output"))
+
+
+def execution_sample(problems: DataFrame) -> DataFrame:
+    return problems.select("id", "code", "input", "output")
+
+
+def test_output_sample(problems: DataFrame) -> DataFrame:
+    """The question as input, and the first test's output as what is expected."""
+    return problems.select("question_id", "test_id", F.col("question_content").alias("input"), F.get("test", F.lit(0))["output"].alias("output"))
+
+
+def write_dataset(df: DataFrame, path: str, split: str) -> None:
+    """Publishes a split of a data set as a folder of Parquet files."""
+    df.write.mode("overwrite").parquet(f"{path}/{split}")

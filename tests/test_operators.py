@@ -2,7 +2,7 @@
 
 import json
 
-from emendata.operators import datasets, evaluation, grading, relational, sandbox
+from emendata.operators import datasets, evaluation, grading, passk, relational, sandbox
 from emendata.sources import benchmarks, connectors, jsonl, naming, schemas
 from emendata.streaming import resume
 from pyspark.sql import functions as F
@@ -139,6 +139,23 @@ def test_sandbox_in_a_table(spark):
     assert sorted(r.codes for r in sandbox.grade(rows, seconds=20).collect()) == [[-2], [1]]
 
 
+def test_execution_results(spark):
+    rows = spark.createDataFrame([("sample_1", "def f(a):\n    return a + 1", "f(1)", "f(1)", ["2", "3", "f(1)"]), ("sample_2", "x = 1", "x", "x", ["x", "x x"])], "id string, code string, input string, output string, generations array<string>")
+    got = {r.id: r.graded for r in sandbox.execution_results(rows, 20).collect()}
+    assert got == {"sample_1": [True, False], "sample_2": [False, False]}
+    assert passk.mean_of_rows(sandbox.execution_results(rows, 20)).first().pass_at_1 == 25.0
+
+
+def test_samples_of_other_benchmarks(spark, tmp_path):
+    ids = spark.createDataFrame([("sample_10", "c"), ("sample_9", "d")], "id string, code string").withColumns({"input": F.lit("i"), "output": F.lit("o")})
+    ids.write.parquet(str(tmp_path / "e"))
+    assert [r.id for r in benchmarks.execution_sample(benchmarks.execution_problems(spark, str(tmp_path / "e"))).collect()] == ["sample_9", "sample_10"]
+    tests = spark.createDataFrame([("q", 1, "text", '[{"input": "1", "output": "2", "testtype": "functional"}]')], "question_id string, test_id int, question_content string, test string")
+    benchmarks.write_dataset(tests, str(tmp_path / "t"), "test")
+    row = benchmarks.test_output_sample(benchmarks.test_output_problems(spark, str(tmp_path / "t" / "test"))).first()
+    assert (row.input, row.output) == ("text", "2")
+
+
 def test_evaluation(spark):
     same = "def f(a):\n    return a + 1\n"
     rows = spark.createDataFrame([("t", 1, same, same.replace("+", "-"), same), ("u", 2, "", None, same)], "task_id string, _line long, solution string, corrupted_solution string, canonical_solution string")
