@@ -25,7 +25,7 @@ from . import textscan
 from .common import hash_unit, join_back, materialise, packed
 from .components import connected_components
 
-BANDS, ROWS, HUBS = 52, 7, 8
+BANDS, ROWS = 52, 7
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
@@ -142,15 +142,16 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, rows: i
 def _offers(placed: DataFrame, turn: int) -> DataFrame:
     """(doc_id, hub): new edges in buckets that hold several components, from (key, doc_id, label).
 
-    Members outside the bucket's largest component are offered to about HUBS of that component's members (to
-    all of a smaller one), drawn anew for each turn. So a document at the edge of a large group meets many of
-    its members, over all its buckets, while a bucket's edges stay in proportion to its members.
+    Members outside the bucket's largest component are offered to about 2 ** turn of that component's members
+    (to all of a smaller one), drawn anew for each turn: the fewer documents are open, the more each is tried.
+    So one at the edge of a large group meets many of its members, over all its buckets, while a bucket's
+    edges stay in proportion to its members.
     """
     sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = F.max(F.struct("n", "label")).alias("top")
     split = sizes.groupBy("key").agg(largest, F.sum("n").alias("all")).filter("all > top.n").select("key", F.col("top.n").alias("n"), F.col("top.label").alias("top"))
     members = join_back(placed, split, ["key"])
-    hubs = members.filter((F.col("label") == F.col("top")) & (hash_unit(turn, "key", "doc_id") < HUBS / F.col("n"))).select("key", F.col("doc_id").alias("hub"))
+    hubs = members.filter((F.col("label") == F.col("top")) & (hash_unit(turn, "key", "doc_id") < 2.0**turn / F.col("n"))).select("key", F.col("doc_id").alias("hub"))
     return members.filter("label != top").select("key", "doc_id").join(hubs, "key").select("doc_id", "hub")
 
 
