@@ -56,9 +56,16 @@ def _grams(text: bytes) -> np.ndarray:
     return out
 
 
-def _document_frequency(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.unique(_grams(x)) for x in texts]
-    return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def _document_frequency(texts: list[bytes], at_once: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Each gram and the number of texts that hold it; some texts at a time, as their grams outweigh them by far."""
+    gram, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for low in range(0, len(texts), at_once):
+        new, n = np.unique(np.concatenate([np.unique(_grams(x)) for x in texts[low : low + at_once]]), return_counts=True)
+        known, place = np.unique(np.concatenate([gram, new]), return_inverse=True)
+        total = np.zeros(len(known), np.int64)
+        np.add.at(total, place, np.concatenate([count, n]))
+        gram, count = known, total
+    return gram, count
 
 
 def _telling_grams(toxic: list[bytes], ordinary: list[bytes], z_least: float = 7.0, least: int = 60) -> np.ndarray:
