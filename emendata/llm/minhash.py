@@ -10,6 +10,8 @@ only star-shaped edges, from its members to one hub, so that pairs stay in propo
 3. Where a bucket still holds several components it offers more stars, around a few hubs drawn from its
    largest component, to the members outside it; this repeats until nothing new is offered or ``rounds`` are
    done.
+4. What the stars left apart is compared to the end: every pair of members of different components of a bucket
+   is confirmed, unless the parities of the two sets already show that they differ by too much.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .common import hash_unit, join_back, materialise, packed
 from .components import connected_components
 
 BANDS, ROWS = 52, 7
+#: Words of 64 bits that hold the parities of a shingle set.
+PARITIES = 16
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
@@ -139,6 +143,33 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, rows: i
     return both.mapInArrow(run, "u long, v long")
 
 
+def parities(texts: DataFrame, size: int) -> DataFrame:
+    """doc_id, n and p0, p1, ...: for each of 64 * PARITIES cells whether an odd number of shingles lies in it.
+
+    Shingles that two sets share cancel out, so the sets differ by at least as many shingles as parities.
+    """
+    cells = 64 * PARITIES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, part in textscan.chunks(batch.column(1)):
+                value, of = shingles(textscan.Texts(textscan.LOWER[part.data], part.offsets), size)
+                cell = (textscan.mix(value ^ np.uint64(0xA24BAED4963EE407)) % np.uint64(cells)).astype(np.int64)
+                odd = (np.bincount(of * cells + cell, minlength=len(part) * cells) & 1).astype(np.uint8)
+                bits = np.packbits(odd).view(np.int64).reshape(len(part), PARITIES)
+                counts = np.bincount(of, minlength=len(part)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(counts), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(PARITIES)]], names=["doc_id", "n", *[f"p{k}" for k in range(PARITIES)]])
+
+    return texts.select("doc_id", "_text").mapInArrow(run, "doc_id long, n long, " + ", ".join(f"p{k} long" for k in range(PARITIES)))
+
+
+def _split(placed: DataFrame) -> DataFrame:
+    """key, n and top (the size and label of the largest component) of the buckets that hold several components."""
+    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max(F.struct("n", "label")).alias("top")
+    return sizes.groupBy("key").agg(largest, F.sum("n").alias("all")).filter("all > top.n").select("key", F.col("top.n").alias("n"), F.col("top.label").alias("top"))
+
+
 def _offers(placed: DataFrame, turn: int) -> DataFrame:
     """(doc_id, hub): new edges in buckets that hold several components, from (key, doc_id, label).
 
@@ -147,19 +178,40 @@ def _offers(placed: DataFrame, turn: int) -> DataFrame:
     So one at the edge of a large group meets many of its members, over all its buckets, while a bucket's
     edges stay in proportion to its members.
     """
-    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = F.max(F.struct("n", "label")).alias("top")
-    split = sizes.groupBy("key").agg(largest, F.sum("n").alias("all")).filter("all > top.n").select("key", F.col("top.n").alias("n"), F.col("top.label").alias("top"))
-    members = join_back(placed, split, ["key"])
+    members = join_back(placed, _split(placed), ["key"])
     hubs = members.filter((F.col("label") == F.col("top")) & (hash_unit(turn, "key", "doc_id") < 2.0**turn / F.col("n"))).select("key", F.col("doc_id").alias("hub"))
     return members.filter("label != top").select("key", "doc_id").join(hubs, "key").select("doc_id", "hub")
 
 
+def _remaining(placed: DataFrame, texts: DataFrame, size: int, percent: int, rows: int) -> DataFrame:
+    """(u, v): all pairs of different components of a bucket, but those that parities or sizes rule out.
+
+    Sets of n and m shingles reach ``percent`` only if they differ by at most (n + m)(100 - percent) /
+    (100 + percent) shingles. Each pair holds a member outside the bucket's largest component; a pair of two
+    such members is made once.
+    """
+    split = materialise(join_back(placed, _split(placed).drop("n"), ["key"]).select("key", "doc_id", "label", (F.col("label") == F.col("top")).alias("inner")))
+    marks = parities(texts.join(split.select("doc_id").distinct(), "doc_id", "left_semi"), size)
+    members = materialise(packed(split.join(marks, "doc_id"), rows))
+    names = ["doc_id", "label", "inner", "n", *[f"p{k}" for k in range(PARITIES)]]
+    left, right = [members.select("key", *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in ("a", "b")]
+    apart = F.col("a_label") != F.col("b_label")
+    once = F.col("b_inner") | (F.col("a_doc_id") > F.col("b_doc_id"))
+    differ = F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0")))
+    for k in range(1, PARITIES):
+        differ = differ + F.bit_count(F.col(f"a_p{k}").bitwiseXOR(F.col(f"b_p{k}")))
+    most = (F.col("a_n") + F.col("b_n")) * (100 - percent)
+    near = (F.abs(F.col("a_n") - F.col("b_n")) * (100 + percent) <= most) & (differ * (100 + percent) <= most)
+    pairs = left.filter("not a_inner").withColumnRenamed("key", "_key").join(right, (F.col("_key") == F.col("key")) & apart & once & near)
+    return pairs.select(F.greatest("a_doc_id", "b_doc_id").alias("u"), F.least("a_doc_id", "b_doc_id").alias("v"))
+
+
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, rounds: int = 4, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``df``.
 
     Words are lower-cased (A-Z); documents of equal sets, or of sets whose Jaccard similarity is ``percent`` or
-    more, are linked, and component_id is the least doc_id that links reach. Null and empty texts have no
+    more, are linked, and component_id is the least doc_id that links reach. After ``rounds`` rounds of stars all
+    pairs of components that still share a bucket are compared. Null and empty texts have no
     shingles and link with nothing. Rows that repeat a doc_id all get the same component if their texts do.
     A row without doc_id links with nothing, and is kept with a null component. Other columns are ignored.
     """
@@ -179,14 +231,18 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, rounds: int
     tried = materialise(packed(offered, n_buckets))
     links = materialise(confirm(tried, texts, size, percent, n_texts))
     stars = connected_components(links)
-    for turn in range(1, rounds):
+    for turn in range(1, rounds + 1):
         labels = stars.select(F.col("u").alias("doc_id"), F.col("v").alias("label"))
         placed = materialise(packed(buckets.select("key", "doc_id").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), n_buckets))
-        again = packed(_offers(placed, turn).select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")), n_buckets).distinct()
+        if turn < rounds:
+            again = _offers(placed, turn).select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v"))
+        else:
+            again = _remaining(placed, texts, size, percent, n_buckets)
+        again = packed(again, n_buckets).distinct()
         fresh = materialise(packed(packed(again, n_buckets).join(tried, ["u", "v"], "left_anti"), n_buckets))
         n_fresh = fresh.count()
         if not n_fresh:
-            break
+            continue
         found = materialise(confirm(packed(fresh, n_fresh), texts, size, percent, n_texts))
         tried = tried.union(fresh)
         if not found.isEmpty():

@@ -55,6 +55,18 @@ def test_many_near_copies_stay_one_component(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_pairs_within_a_group_of_unlike_texts(spark):
+    """Members of the group are 0.78 alike, so none is a link between others; pairs in it are 0.81 alike."""
+    start = [f"w{k}" for k in range(203)]
+    rows = []
+    for i in range(100):
+        rows.append((i, " ".join(start + [f"pair{i // 2}-{k}" for k in range(4)] + [f"own{i}-{k}" for k in range(24)])))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()}
+    want = {i: c for i, (_, c) in expected_components(rows, 4, 80).items()}
+    assert set(want.values()) == set(range(0, 100, 2))
+    assert got == want
+
+
 def test_empty_tables(nothing, spark):
     assert minhash.near_duplicates(nothing).count() == 0
     assert substring.remove_repeats(nothing).count() == 0
