@@ -1,13 +1,10 @@
-"""Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
-
-1. Words are the lower-cased runs of letters and digits. A window that passes the last step shares most of
-   its shingles with the item, so at least one; a shingle that a document shares with an item proposes the
-   window that lays the item's shingle over the document's, cut to the document.
-2. Each proposed window gets a 64-bit SimHash over its words, one count per bit.
-3. Both sides are cut into radius + 1 blocks of bits. Two fingerprints within the radius agree in a block, so
-   the join on (item size, block, bits) finds every pair of them, whichever item proposed the window.
-4. Pairs within the radius are compared exactly: the weighted Jaccard similarity of their shingles, weighted
-   by how often each occurs.
+"""Benchmark decontamination by exact comparison of item-sized windows, in DataFrame functions only.
+
+1. Words are the lower-cased runs of letters and digits. A shingle that a document shares with an item proposes
+   the window that lays the item's shingle over the document's, cut to the document.
+2. Each proposed window is compared exactly with the items that proposed it: the weighted Jaccard similarity of
+   their shingles, weighted by how often each occurs. No fingerprint comes between, as any radius of one drops
+   some windows that pass.
 """
 
 from __future__ import annotations
@@ -15,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RADIUS = 11
 #: An index of at most this many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -38,26 +34,8 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _simhash(windows: DataFrame, key: list[str]) -> DataFrame:
-    """(key, print) by summing +1 or -1 for each bit over the words' hashes."""
-    hashed = windows.select(*key, F.explode("window").alias("word")).select(*key, F.xxhash64("word").alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{b}") for b in range(64)]
-    bits = [F.when(F.col(f"b{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(64)]
-    fingerprint = bits[0]
-    for bit in bits[1:]:
-        fingerprint = fingerprint.bitwiseOR(bit)
-    return hashed.groupBy(*key).agg(*sums).select(*key, fingerprint.alias("print"))
-
-
-def _blocks(df: DataFrame, keep: list[str], radius: int) -> DataFrame:
-    """One row for each block of each fingerprint: the block's number and bits."""
-    edges = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
-    blocks = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("print", low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long")).alias("bits")) for k, (low, high) in enumerate(zip(edges, edges[1:], strict=False))]
-    return df.select(*keep, F.inline(F.array(*blocks)))
-
-
-def find_leaks(documents: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 80, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, item_id, first_word, n_words, distance, similarity): each item found in each document, at its best window.
+def find_leaks(documents: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, item_id, first_word, n_words, similarity): each item found in each document, at its best window.
 
     Items of fewer words than ``size`` count as one shingle. A document shorter than an item is compared
     whole. Null and empty texts on either side match nothing, as do rows without an id; an empty benchmark
@@ -67,7 +45,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, size: int = 5, percen
     items = items.withColumn("n", F.size("words"))
     sizes = [r["k"] for r in items.select(F.least("n", F.lit(size)).alias("k")).distinct().orderBy("k").collect()]  # at most ``size`` values
     texts = documents.filter("doc_id is not null").select("doc_id", _words(F.col("text")).alias("words"))
-    empty = texts.sparkSession.createDataFrame([], "doc_id long, item_id long, first_word int, n_words int, distance int, similarity double")
+    empty = texts.sparkSession.createDataFrame([], "doc_id long, item_id long, first_word int, n_words int, similarity double")
     if not sizes:
         return empty
     item_rows = None
@@ -77,36 +55,25 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, size: int = 5, percen
     item_rows = item_rows.cache()
     n_rows = item_rows.count()
     # windows proposed by shared shingles; the window's words are cut from the row at hand
-    proposed = None
+    key = ["doc_id", "item_id", "first_word", "n", "have"]
+    found = None
     for k in sizes:
-        lines = item_rows.filter(F.least("n", F.lit(size)) == k).select("shingle", F.col("at").alias("offset"), "n").distinct()
+        lines = item_rows.filter(F.least("n", F.lit(size)) == k).select("shingle", F.col("at").alias("offset"), "item_id", "n")
         hits = _shingle_rows(texts, "words", k, ["doc_id", "words"]).join(_small(lines, n_rows), "shingle")
         first = F.greatest(F.least(F.col("at") - F.col("offset"), F.size("words") - F.col("n")), F.lit(0))
-        part = hits.select("doc_id", first.alias("first_word"), "n", "words").select("doc_id", "first_word", "n", F.slice("words", F.col("first_word") + 1, F.col("n")).alias("window"))
-        proposed = part if proposed is None else proposed.union(part)
-    windows = proposed.dropDuplicates(["doc_id", "first_word", "n"])
-    key = ["doc_id", "first_word", "n"]
-    prints = _simhash(windows, key)
-    item_prints = _simhash(items.select("item_id", "n", F.col("words").alias("window")), ["item_id", "n"])
-    index = _blocks(item_prints, ["item_id", "n", F.col("print").alias("item_print")], radius)
-    near = _blocks(prints, [*key, "print"], radius).join(_small(index, n_rows * (radius + 1)), ["n", "block", "bits"])
-    distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    pairs = near.select(*key, "item_id", distance.cast("int").alias("distance")).filter(F.col("distance") <= radius).distinct()
-    # exact weighted similarity
-    found = None
-    for k in sizes:
-        group = windows.filter(F.least("n", F.lit(size)) == k)
-        of_window = _shingle_rows(group, "window", k, key).groupBy(*key, "shingle").agg(F.count(F.lit(1)).alias("c"))
+        cut = hits.select("doc_id", "item_id", first.alias("first_word"), "n", "words").select("doc_id", "item_id", "first_word", "n", F.slice("words", F.col("first_word") + 1, F.col("n")).alias("window"))
+        windows = cut.dropDuplicates(["doc_id", "item_id", "first_word", "n"]).withColumn("have", F.size("window"))
+        of_window = _shingle_rows(windows, "window", k, key).groupBy(*key, "shingle").agg(F.count(F.lit(1)).alias("c"))
         found = of_window if found is None else found.union(of_window)
+    # exact weighted similarity
     of_item = item_rows.groupBy("item_id", "shingle").agg(F.count(F.lit(1)).alias("d"))
-    common = pairs.join(found, key).join(_small(of_item, n_rows), ["item_id", "shingle"]).groupBy(*key, "item_id", "distance").agg(F.sum(F.least("c", "d")).alias("common"))
+    common = found.join(_small(of_item, n_rows), ["item_id", "shingle"]).groupBy(*key).agg(F.sum(F.least("c", "d")).alias("common"))
     used = F.greatest(F.least(F.col("n"), F.col("have")) - F.least("n", F.lit(size)) + 1, F.lit(0))
-    lengths = windows.select(*key, F.size("window").alias("have"))
     whole = F.col("n") - F.least("n", F.lit(size)) + 1
     similarity = F.col("common") / (used + whole - F.col("common"))
-    judged = common.join(lengths, key).select("doc_id", "item_id", "first_word", F.col("have").alias("n_words"), "distance", similarity.alias("similarity")).filter(F.col("similarity") * 100 >= percent)
-    best = F.max(F.struct("similarity", -F.col("first_word"), "n_words", "distance")).alias("b")
-    return judged.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.col2")).alias("first_word"), "b.n_words", "b.distance", "b.similarity")
+    judged = common.select("doc_id", "item_id", "first_word", F.col("have").alias("n_words"), similarity.alias("similarity")).filter(F.col("similarity") * 100 >= percent)
+    best = F.max(F.struct("similarity", -F.col("first_word"), "n_words")).alias("b")
+    return judged.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.col2")).alias("first_word"), "b.n_words", "b.similarity")
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

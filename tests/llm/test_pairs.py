@@ -157,6 +157,24 @@ def test_leaks_match_brute_force(spark):
     assert got == want
 
 
+def test_leaks_with_cut_or_replaced_ends(spark):
+    """A number of last words are replaced or cut off, so that the shingles are just 0.8 alike or a little more."""
+    items, rows, want = [], [], set()
+    for n, ends in ((13, 1), (22, 2), (40, 4), (49, 5), (94, 10)):
+        for turn in range(12):
+            item = [f"t{n}-{turn}-{k}".replace("-", "x") for k in range(n)]
+            doc = len(rows)
+            items.append((doc, " ".join(item)))
+            end = [f"e{doc}x{k}" for k in range(ends)] if turn % 2 else []
+            rows.append((doc, " ".join([f"f{doc}x{k}" for k in range(30)] + item[: n - ends] + end)))
+            kept = n - ends - 4
+            # a document that ends within the item is compared at its last n words
+            assert kept / (2 * (n - 4) - kept) >= 0.8
+            want.add((doc, doc))
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_clean_documents_stay(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta")], "item_id long, text string")
     rows = spark.createDataFrame([(1, "Alpha, beta gamma delta epsilon zeta eta theta!", "x"), (2, "alpha beta gamma", "y"), (3, None, "z"), (None, "q", "w")], "doc_id long, text string, similarity string")
