@@ -65,21 +65,24 @@ def hash_unit(seed: int, *names: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *[F.col(n) for n in names]), F.lit(1 << 30)) / float(1 << 30)
 
 
-def bucketed_rank(df: DataFrame, group: str, key: list[str], rank: str, rows_per_bucket: int = 4_000) -> DataFrame:
+def bucketed_rank(df: DataFrame, group: str, key: list[str], rank: str, rows_per_bucket: int = 4_000, along: str | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """Add a gapless rank from 0 within ``group`` without bringing a whole group together.
 
     Rows are ordered by (bucket, key); the bucket is a hash of the key, so a group that holds most of the
     rows is spread over many buckets. Ranks within a bucket come from a window, and the bucket's first rank
     from a running sum over the bucket counts, of which there are rows / rows_per_bucket for each group.
     The frame is read three times. ``group`` must not be null; the window's exchange serves the join as well.
+    With ``along``, a column of gapless numbers from 0 over all rows, rows are ordered by it, and buckets are
+    its ranges. ``ties`` order rows of equal keys.
     """
     total = df.count()
     buckets = max(1, -(-total // rows_per_bucket))
-    placed = df.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(buckets)).cast("int"))
+    bucket = F.expr(f"{along} div {rows_per_bucket}") if along else F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(buckets))
+    placed = df.withColumn("_bucket", bucket.cast("int"))
     counts = placed.groupBy(F.col(group).alias("_g"), F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    within = Window.partitionBy(group, "_bucket").orderBy(*[F.col(k) for k in key])
+    within = Window.partitionBy(group, "_bucket").orderBy(*[F.col(k) for k in ((along,) if along else (*key, *ties))])
     ranked = placed.withColumn("_within", F.row_number().over(within) - 1)
     return (
         ranked.join(first, (F.col(group) == F.col("_g")) & (F.col("_bucket") == F.col("_b")))

@@ -152,6 +152,9 @@ def assign_shards(df: DataFrame, shards: int | None = None, target_bytes: int |
     return out.select(*[F.col(names.get(c, c)).alias(f"in_{c}" if c in names else c) for c in df.columns], "size", "shard")
 
 
-def number_slots(df: DataFrame, keys: tuple[str, ...] = ("doc_id", "text_crc32", "size")) -> DataFrame:
-    """``df`` (shard and ``keys``) with slot: gapless from 0 within each shard, in an order set by a hash of the keys."""
-    return bucketed_rank(df, "shard", list(keys), "slot")
+def number_slots(df: DataFrame, keys: tuple[str, ...] = ("doc_id", "text_crc32", "size"), along: str | None = None) -> DataFrame:
+    """``df`` (shard and ``keys``) with slot: gapless from 0 within each shard, in an order set by a hash of the keys.
+
+    With ``along``, a column of gapless positions from 0 over all rows, slots follow these instead.
+    """
+    return bucketed_rank(df, "shard", list(keys), "slot", along=along)

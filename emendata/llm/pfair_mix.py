@@ -73,10 +73,10 @@ def tempered_weights(rows: dict[str, int], power: float = 0.5) -> dict[str, floa
     return {s: v / total for s, v in raw.items()}
 
 
-def mix(df: DataFrame, weights: dict[str, float] | None = None, block_rows: int | None = None, source: str = "source", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def mix(df: DataFrame, weights: dict[str, float] | None = None, block_rows: int | None = None, source: str = "source", keys: tuple[str, ...] = ("doc_id",), ties: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with mix_block, mix_slot and mix_position (gapless from 0): the order in which to read it.
 
-    Within a source rows follow a hash of ``keys``. Weights default to tempered_weights(). A null source is a
+    Within a source rows follow a hash of ``keys``, and those of equal keys ``ties``. Weights default to tempered_weights(). A null source is a
     source of its own, named "". Equal rows take neighbouring places. An empty table stays empty.
     """
     named = F.coalesce(F.col(source).cast("string"), F.lit(""))
@@ -92,7 +92,7 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, block_rows: int
         at += min(size, counts[s] - j * size)
     plan = pa.table({"_s": pa.array([s for s, _ in order], pa.string()), "_j": pa.array([j for _, j in order], pa.int64()), "mix_slot": pa.array(range(len(order)), pa.int64()), "_start": pa.array(start, pa.int64())})
     placed = df.sparkSession.createDataFrame(plan)
-    ranked = bucketed_rank(base, "_source", list(keys), "_rank")
+    ranked = bucketed_rank(base, "_source", list(keys), "_rank", ties=ties)
     with_block = ranked.withColumn("mix_block", F.expr(f"_rank div {size}"))
     joined = with_block.join(F.broadcast(placed), (F.col("_source") == F.col("_s")) & (F.col("mix_block") == F.col("_j")))
     position = F.col("_start") + F.col("_rank") - F.col("mix_block") * size

@@ -153,6 +153,21 @@ def test_stages_on_odd_tables(spark, stage, documents, corpus, nothing, data):
     assert stage(spark, nothing, data).count() == 0
 
 
+@pytest.mark.parametrize("shards", [1, 24])
+def test_slots_follow_the_mixed_order(spark, data, monkeypatch, shards):
+    monkeypatch.setattr(corpus_pipeline, "SHARDS", shards)
+    docs = spark.createDataFrame([(i, f"text {i}", "rare" if i % 10 == 0 else "common") for i in range(9000)], "doc_id long, text string, source string")
+    got = sorted((r.shard, r.slot, r.doc_id, r.source) for r in corpus_pipeline.sharding(spark, docs, data).collect())
+    position = {r.doc_id: r.mix_position for r in pfair_mix.mix(docs).collect()}
+    for shard in range(shards):
+        ids = [i for s, _, i, _ in got if s == shard]
+        assert [k for s, k, _, _ in got if s == shard] == list(range(len(ids)))
+        assert ids == sorted(ids, key=position.get)
+    if shards == 1:  # weights are 3 to 1: roots of 8100 and 900
+        for n in range(200, 3600, 200):
+            assert abs(sum(source == "rare" for _, _, _, source in got[:n]) - n / 4) <= 2 * pfair_mix.LEAST_BLOCK_ROWS
+
+
 def test_pipeline(spark, data, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     columns, before = docs.columns, docs.count()
