@@ -171,7 +171,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     low_toxic, low_ordinary = [_lowered(x) for x in toxic], [_lowered(x) for x in ordinary]
     telling = _telling_grams(low_toxic, low_ordinary)
     passages = [p for x in low_toxic for p in _passages(x, telling)]
-    trained = _dictionary([x[k : k + 256] for x in low_ordinary for k in range(0, len(x), 256)][:40_000], ORDINARY_BYTES)
+    trained = _dictionary([x[k : k + 256] for x in low_ordinary for k in range(0, len(x), 256)], ORDINARY_BYTES)
     model = ToxicityModel(trained, _dictionary([b"".join(passages[k : k + 8]) for k in range(0, len(passages), 8)], TOXIC_BYTES))
     pair = _pair(model)
     x = np.concatenate([_features(toxic, pair), _features(ordinary, pair)])

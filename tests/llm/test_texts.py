@@ -1,6 +1,7 @@
 """Language, quality and toxicity: exact counts, code lengths, and accuracy on held-out rows."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from emendata.llm import llr_quality, ppm_language, textscan, zstd_toxicity
 
-from .conftest import words
+from .conftest import sentence, words
 
 
 def brute_code_length(texts, text):
@@ -144,3 +145,15 @@ def test_toxicity_on_held_out_rows(spark):
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert sum(got[i].predicted == (i % 4 == 0) for i in held) / len(held) > 0.95
     assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_ordinary_dictionary_learns_from_all_sampled_texts(monkeypatch):
+    given = []
+    train = zstd_toxicity._dictionary
+    monkeypatch.setattr(zstd_toxicity, "_dictionary", lambda samples, size: given.append(samples) or train(samples, size))
+    rng = random.Random(5)
+    ordinary = [sentence(rng, 8000) for _ in range(300)] + [f"last passage {k} {sentence(rng, 40)}" for k in range(20)]
+    zstd_toxicity.fit([f"bad {sentence(rng, 60, 2000)}" for _ in range(20)], ordinary)
+    assert len(given[0]) > 40_000
+    assert sum(len(x) for x in given[0]) == sum(len(zstd_toxicity._lowered(x)) for x in ordinary)
+    assert b"last passage 19" in given[0][-1] + given[0][-2]
