@@ -40,6 +40,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD_OUT_FOLD, F.lit(False))
 
 
+def text_key(text: str = "text") -> Column:
+    """128 bits of SHA-256 over a text: rows of one doc_id are told apart by it."""
+    return F.substring(F.unhex(F.sha2(F.col(text).cast("binary"), 256)), 1, 16)
+
+
 def join_back(rows: DataFrame, grouped: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with the columns that ``grouped``, an aggregate of them by ``keys``, has for their keys.
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise, text_key
+
 #: An index of at most this many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -34,52 +36,66 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, item_id, first_word, n_words, similarity): each item found in each document, at its best window.
+def _found(texts: DataFrame, benchmark: DataFrame, names: list[str], size: int, percent: int) -> DataFrame | None:
+    """(names, item_id, first_word, n_words, similarity) of every window of ``texts`` (names, words) that holds an item.
 
-    Items of fewer words than ``size`` count as one shingle. A document shorter than an item is compared
-    whole. Null and empty texts on either side match nothing, as do rows without an id; an empty benchmark
-    gives no rows. Rows that repeat a doc_id or an item_id give one row for each pair of ids.
+    An item is a text: rows of one item_id with other texts are compared each. None stands for an empty benchmark.
     """
-    items = benchmark.filter("item_id is not null").select("item_id", _words(F.col("text")).alias("words")).filter(F.size("words") > 0).dropDuplicates(["item_id"])
-    items = items.withColumn("n", F.size("words"))
+    items = benchmark.filter("item_id is not null").select("item_id", _words(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    items = items.select("item_id", "words", F.size("words").alias("n"), F.sha2(F.array_join("words", " ").cast("binary"), 256).alias("item")).dropDuplicates(["item_id", "item"])
     sizes = [r["k"] for r in items.select(F.least("n", F.lit(size)).alias("k")).distinct().orderBy("k").collect()]  # at most ``size`` values
-    texts = documents.filter("doc_id is not null").select("doc_id", _words(F.col("text")).alias("words"))
-    empty = texts.sparkSession.createDataFrame([], "doc_id long, item_id long, first_word int, n_words int, similarity double")
     if not sizes:
-        return empty
+        return None
     item_rows = None
     for k in sizes:
-        part = _shingle_rows(items.filter(F.least("n", F.lit(size)) == k), "words", k, ["item_id", "n"])
+        part = _shingle_rows(items.filter(F.least("n", F.lit(size)) == k), "words", k, ["item_id", "item", "n"])
         item_rows = part if item_rows is None else item_rows.union(part)
-    item_rows = item_rows.cache()
+    item_rows = materialise(item_rows)
     n_rows = item_rows.count()
-    # windows proposed by shared shingles; the window's words are cut from the row at hand
-    key = ["doc_id", "item_id", "first_word", "n", "have"]
+    # windows proposed by shared shingles; the window's words are cut from the row at hand and stand for it
+    key = [*names, "item_id", "item", "first_word", "n", "window"]
     found = None
     for k in sizes:
-        lines = item_rows.filter(F.least("n", F.lit(size)) == k).select("shingle", F.col("at").alias("offset"), "item_id", "n")
-        hits = _shingle_rows(texts, "words", k, ["doc_id", "words"]).join(_small(lines, n_rows), "shingle")
+        lines = item_rows.filter(F.least("n", F.lit(size)) == k).select("shingle", F.col("at").alias("offset"), "item_id", "item", "n")
+        hits = _shingle_rows(texts, "words", k, [*names, "words"]).join(_small(lines, n_rows), "shingle")
         first = F.greatest(F.least(F.col("at") - F.col("offset"), F.size("words") - F.col("n")), F.lit(0))
-        cut = hits.select("doc_id", "item_id", first.alias("first_word"), "n", "words").select("doc_id", "item_id", "first_word", "n", F.slice("words", F.col("first_word") + 1, F.col("n")).alias("window"))
-        windows = cut.dropDuplicates(["doc_id", "item_id", "first_word", "n"]).withColumn("have", F.size("window"))
+        placed = hits.select(*names, "item_id", "item", first.alias("first_word"), "n", "words")
+        windows = placed.select(*key[:-1], F.slice("words", F.col("first_word") + 1, F.col("n")).alias("window")).distinct()
         of_window = _shingle_rows(windows, "window", k, key).groupBy(*key, "shingle").agg(F.count(F.lit(1)).alias("c"))
         found = of_window if found is None else found.union(of_window)
     # exact weighted similarity
-    of_item = item_rows.groupBy("item_id", "shingle").agg(F.count(F.lit(1)).alias("d"))
-    common = found.join(_small(of_item, n_rows), ["item_id", "shingle"]).groupBy(*key).agg(F.sum(F.least("c", "d")).alias("common"))
-    used = F.greatest(F.least(F.col("n"), F.col("have")) - F.least("n", F.lit(size)) + 1, F.lit(0))
+    of_item = item_rows.groupBy("item_id", "item", "shingle").agg(F.count(F.lit(1)).alias("d"))
+    common = found.join(_small(of_item, n_rows), ["item_id", "item", "shingle"]).groupBy(*key).agg(F.sum(F.least("c", "d")).alias("common"))
+    have = F.size("window")
+    used = F.greatest(F.least(F.col("n"), have) - F.least("n", F.lit(size)) + 1, F.lit(0))
     whole = F.col("n") - F.least("n", F.lit(size)) + 1
     similarity = F.col("common") / (used + whole - F.col("common"))
-    judged = common.select("doc_id", "item_id", "first_word", F.col("have").alias("n_words"), similarity.alias("similarity")).filter(F.col("similarity") * 100 >= percent)
+    return common.select(*names, "item_id", "first_word", have.alias("n_words"), similarity.alias("similarity")).filter(F.col("similarity") * 100 >= percent)
+
+
+def find_leaks(documents: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, item_id, first_word, n_words, similarity): each item found in each document, at its best window.
+
+    Items of fewer words than ``size`` count as one shingle. A document shorter than an item is compared
+    whole. Null and empty texts on either side match nothing, as do rows without an id; an empty benchmark
+    gives no rows. Rows that repeat a doc_id or an item_id are compared each, by their own texts, and give one
+    row for each pair of ids: that of the best window.
+    """
+    texts = documents.filter("doc_id is not null").select("doc_id", _words(F.col("text")).alias("words"))
+    judged = _found(texts, benchmark, ["doc_id"], size, percent)
+    if judged is None:
+        return texts.sparkSession.createDataFrame([], "doc_id long, item_id long, first_word int, n_words int, similarity double")
     best = F.max(F.struct("similarity", -F.col("first_word"), "n_words")).alias("b")
     return judged.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.col2")).alias("first_word"), "b.n_words", "b.similarity")
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``documents`` in which no item is found; rows without doc_id stay."""
-    leaks = find_leaks(documents, benchmark, size, percent).select("doc_id").distinct()
-    return documents.join(leaks, "doc_id", "left_anti").select(*documents.columns)
+    """The rows of ``documents`` whose own text holds no item, whatever their doc_id is."""
+    texts = documents.select(text_key().alias("_leaking"), _words(F.col("text")).alias("words"))
+    judged = _found(texts, benchmark, ["_leaking"], size, percent)
+    if judged is None:
+        return documents
+    return documents.join(judged.select("_leaking").distinct(), text_key() == F.col("_leaking"), "left_anti")
 
 
 #: The exact result in SQL, without fingerprints: every window that a shared shingle proposes is compared.

@@ -8,10 +8,13 @@ only star-shaped edges, from its members to one hub, so that pairs stay in propo
 1. Documents with equal shingle sets collapse to a class; classes alone enter buckets.
 2. Every bucket offers its members' edges to its least document. Edges are confirmed on full shingle sets.
 3. Where a bucket still holds several components it offers more stars, around a few hubs drawn from its
-   largest component, to the members outside it; this repeats until nothing new is offered or ``rounds`` are
-   done.
-4. What the stars left apart is compared to the end: every pair of members of different components of a bucket
-   is confirmed, unless the parities of the two sets already show that they differ by too much.
+   largest component, to the members outside it, for ``rounds`` rounds.
+4. What the stars left apart is settled exactly, by a prefix filter over the members of such buckets: sets of
+   n and m shingles that reach the similarity share one of the first few in an order from rare to common, and
+   its places bound what they have in common.
+
+A document is a row, not an id: rows of one doc_id with other texts are judged each. Sets are compared by
+64-bit hashes of their shingles (see textscan).
 """
 
 from __future__ import annotations
@@ -20,18 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import hash_unit, join_back, materialise, packed
+from .common import hash_unit, join_back, materialise, packed, text_key
 from .components import connected_components
 
 BANDS, ROWS = 52, 7
-#: Words of 64 bits that hold the parities of a shingle set.
-PARITIES = 16
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-_SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+_SKETCH = "doc_id long, text_key binary, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
 def shingles(texts: textscan.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,11 +84,11 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def sketch(df: DataFrame, size: int, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (a fingerprint of the set) and bands (bucket keys) of each row."""
+    """doc_id, text_key, n_shingles, set_a, set_b (a fingerprint of the set) and bands (bucket keys) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, texts in textscan.chunks(batch.column(1)):
+            for low, high, texts in textscan.chunks(batch.column(2)):
                 texts = textscan.Texts(textscan.LOWER[texts.data], texts.offsets)
                 value, of = shingles(texts, size)
                 n = len(texts)
@@ -104,20 +105,20 @@ def sketch(df: DataFrame, size: int, text: str = "text") -> DataFrame:
                 for k in range(ROWS):
                     key = textscan.mix(key * np.uint64(0x2545F4914F6CDD1D) + signature[:, :, k])
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(_signed(key).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(counts.astype(np.int64)), pa.array(_signed(sums[0])), pa.array(_signed(sums[1])), bands], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(low, high - low) for k in (0, 1)], pa.array(counts.astype(np.int64)), pa.array(_signed(sums[0])), pa.array(_signed(sums[1])), bands], names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, _SKETCH)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("_text")).mapInArrow(run, _SKETCH)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, rows: int) -> DataFrame:
     """Of the pairs (u, v) those whose full shingle sets have a similarity of ``percent`` or more.
 
-    ``texts`` has doc_id and _text of every document in a pair. A hub's text comes with each of its pairs, but
+    ``texts`` has node and _text of every document in a pair. A hub's text comes with each of its pairs, but
     the join on the hub may be split, as no later step needs its pairs together. ``rows`` is the number of
     texts: every partition of these joins reads a part of them, however few the pairs are.
     """
-    left = packed(pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("_text").alias("_u")), "u"), rows, 1000)
-    both = left.join(texts.select(F.col("doc_id").alias("v"), F.col("_text").alias("_v")), "v").select("u", "v", "_u", "_v")
+    left = packed(pairs.join(texts.select(F.col("node").alias("u"), F.col("_text").alias("_u")), "u"), rows, 1000)
+    both = left.join(texts.select(F.col("node").alias("v"), F.col("_text").alias("_v")), "v").select("u", "v", "_u", "_v")
     both = packed(both, rows, 1000)
 
     def sets(column: pa.Array) -> list[np.ndarray]:
@@ -143,24 +144,17 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, rows: i
     return both.mapInArrow(run, "u long, v long")
 
 
-def parities(texts: DataFrame, size: int) -> DataFrame:
-    """doc_id, n and p0, p1, ...: for each of 64 * PARITIES cells whether an odd number of shingles lies in it.
-
-    Shingles that two sets share cancel out, so the sets differ by at least as many shingles as parities.
-    """
-    cells = 64 * PARITIES
+def _tokens(texts: DataFrame, size: int) -> DataFrame:
+    """(node, n, key) for every shingle of every text; n is the size of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, part in textscan.chunks(batch.column(1)):
                 value, of = shingles(textscan.Texts(textscan.LOWER[part.data], part.offsets), size)
-                cell = (textscan.mix(value ^ np.uint64(0xA24BAED4963EE407)) % np.uint64(cells)).astype(np.int64)
-                odd = (np.bincount(of * cells + cell, minlength=len(part) * cells) & 1).astype(np.uint8)
-                bits = np.packbits(odd).view(np.int64).reshape(len(part), PARITIES)
-                counts = np.bincount(of, minlength=len(part)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(counts), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(PARITIES)]], names=["doc_id", "n", *[f"p{k}" for k in range(PARITIES)]])
+                edges = np.searchsorted(of, np.arange(len(part) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(edges)), pa.ListArray.from_arrays(pa.array(edges), pa.array(_signed(value)))], names=["node", "n", "keys"])
 
-    return texts.select("doc_id", "_text").mapInArrow(run, "doc_id long, n long, " + ", ".join(f"p{k} long" for k in range(PARITIES)))
+    return texts.select("node", "_text").mapInArrow(run, "node long, n int, keys array<long>").select("node", "n", F.explode("keys").alias("key"))
 
 
 def _split(placed: DataFrame) -> DataFrame:
@@ -171,7 +165,7 @@ def _split(placed: DataFrame) -> DataFrame:
 
 
 def _offers(placed: DataFrame, turn: int) -> DataFrame:
-    """(doc_id, hub): new edges in buckets that hold several components, from (key, doc_id, label).
+    """(node, hub): new edges in buckets that hold several components, from (key, node, label).
 
     Members outside the bucket's largest component are offered to about 2 ** turn of that component's members
     (to all of a smaller one), drawn anew for each turn: the fewer documents are open, the more each is tried.
@@ -179,65 +173,68 @@ def _offers(placed: DataFrame, turn: int) -> DataFrame:
     edges stay in proportion to its members.
     """
     members = join_back(placed, _split(placed), ["key"])
-    hubs = members.filter((F.col("label") == F.col("top")) & (hash_unit(turn, "key", "doc_id") < 2.0**turn / F.col("n"))).select("key", F.col("doc_id").alias("hub"))
-    return members.filter("label != top").select("key", "doc_id").join(hubs, "key").select("doc_id", "hub")
+    hubs = members.filter((F.col("label") == F.col("top")) & (hash_unit(turn, "key", "node") < 2.0**turn / F.col("n"))).select("key", F.col("node").alias("hub"))
+    return members.filter("label != top").select("key", "node").join(hubs, "key").select("node", "hub")
 
 
-def _remaining(placed: DataFrame, texts: DataFrame, size: int, percent: int, rows: int) -> DataFrame:
-    """(u, v): all pairs of different components of a bucket, but those that parities or sizes rule out.
+def _remaining(placed: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(u, v): every pair of different components that may reach ``percent``, among members of open buckets.
 
-    Sets of n and m shingles reach ``percent`` only if they differ by at most (n + m)(100 - percent) /
-    (100 + percent) shingles. Each pair holds a member outside the bucket's largest component; a pair of two
-    such members is made once.
+    Shingles are ordered from rare to common. If the first that sets of n and m shingles share stands at places
+    i and j (from 0), they share at most min(n - i, m - j), and they must share (n + m) percent / (100 + percent).
+    So only the first n - n percent / 100 places count, and in the smaller set only the first
+    n - 2 n percent / (100 + percent), called early. A pair is made at a shingle where one side is early; where
+    members of a large group are less alike than ``percent``, what they have in common is early in none.
     """
-    split = materialise(join_back(placed, _split(placed).drop("n"), ["key"]).select("key", "doc_id", "label", (F.col("label") == F.col("top")).alias("inner")))
-    marks = parities(texts.join(split.select("doc_id").distinct(), "doc_id", "left_semi"), size)
-    members = materialise(packed(split.join(marks, "doc_id"), rows))
-    names = ["doc_id", "label", "inner", "n", *[f"p{k}" for k in range(PARITIES)]]
-    left, right = [members.select("key", *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in ("a", "b")]
-    apart = F.col("a_label") != F.col("b_label")
-    once = F.col("b_inner") | (F.col("a_doc_id") > F.col("b_doc_id"))
-    differ = F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0")))
-    for k in range(1, PARITIES):
-        differ = differ + F.bit_count(F.col(f"a_p{k}").bitwiseXOR(F.col(f"b_p{k}")))
-    most = (F.col("a_n") + F.col("b_n")) * (100 - percent)
-    near = (F.abs(F.col("a_n") - F.col("b_n")) * (100 + percent) <= most) & (differ * (100 + percent) <= most)
-    pairs = left.filter("not a_inner").withColumnRenamed("key", "_key").join(right, (F.col("_key") == F.col("key")) & apart & once & near)
-    return pairs.select(F.greatest("a_doc_id", "b_doc_id").alias("u"), F.least("a_doc_id", "b_doc_id").alias("v"))
-
-
-def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, rounds: int = 4, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``df``.
-
-    Words are lower-cased (A-Z); documents of equal sets, or of sets whose Jaccard similarity is ``percent`` or
-    more, are linked, and component_id is the least doc_id that links reach. After ``rounds`` rounds of stars all
-    pairs of components that still share a bucket are compared. Null and empty texts have no
-    shingles and link with nothing. Rows that repeat a doc_id all get the same component if their texts do.
-    A row without doc_id links with nothing, and is kept with a null component. Other columns are ignored.
+    labels = join_back(placed, _split(placed).select("key"), ["key"]).select("node", "label").distinct()
+    open_ = materialise(labels)
+    tokens = materialise(_tokens(texts.join(open_.select("node"), "node", "left_semi"), size))
+    often = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("node").orderBy("often", "key")
+    ranked = join_back(tokens, often, ["key"]).withColumn("at", F.row_number().over(order) - 1)
+    reach = ranked.filter(F.col("at") * 100 <= F.col("n") * (100 - percent)).filter("often > 1")
+    early = (F.col("n") - F.col("at")) * (100 + percent) >= 2 * percent * F.col("n")
+    prefix = materialise(reach.join(open_, "node").select("key", "node", "label", "n", "at", early.alias("early")))
+    members = materialise(join_back(prefix, _split(prefix).select("key", "top"), ["key"]).select(*prefix.columns, (F.col("label") == F.col("top")).alias("inner")))
+    left, right = [members.select(*[F.col(c).alias(f"{side}_{c}") for c in members.columns]) for side in ("a", "b")]
+    common = percent * (F.col("a_n") + F.col("b_n"))
+    near = ((F.col("a_n") - F.col("a_at")) * (100 + percent) >= common) & ((F.col("b_n") - F.col("b_at")) * (100 + percent) >= common)
+    meet = (F.col("a_key") == F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & near
+    pairs = left.filter("a_early and not a_inner").join(right, meet).union(left.filter("a_early and a_inner").join(right.filter("not b_inner"), meet))
+    return pairs.select(F.greatest("a_node", "b_node").alias("u"), F.least("a_node", "b_node").alias("v"))
+
+
+def judge(df: DataFrame, size: int = 5, percent: int = 80, rounds: int = 4, text: str = "text") -> DataFrame:
+    """doc_id, text_key, n_shingles and component for every row of ``df``; see near_duplicates().
+
+    component is null for rows that link with nothing, because they have no shingles or no doc_id.
     """
     sketched = materialise(sketch(df, size, text))
     known = sketched.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialise(known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class_id")))
-    members = known.join(classes.select(F.col("class_id").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
-    banded = members.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").select("key", "hub")
+    sets = ["set_a", "set_b", "n_shingles"]
+    # a checkpoint's partitions stay as they are, so these numbers do
+    classes = materialise(known.groupBy(*sets).agg(F.min("doc_id").alias("class_id"))).withColumn("node", F.monotonically_increasing_id())
+    members = known.join(classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", *sets])
+    banded = members.select("node", F.explode("bands").alias("key"))
+    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub")
     # only documents in a bucket with others go on
-    buckets = materialise(join_back(banded, hubs, ["key"]).select("key", "doc_id", "n_shingles", "hub"))
-    wanted = buckets.select("doc_id").distinct()
-    texts = materialise(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text")).filter("_text is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    buckets = materialise(join_back(banded, hubs, ["key"]).select("key", "node", "hub"))
+    wanted = members.select("node", "doc_id", "text_key").join(buckets.select("node").distinct(), "node", "left_semi")
+    every = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("_text"))
+    texts = materialise(every.join(wanted.distinct(), ["doc_id", "text_key"]).select("node", "_text").dropDuplicates(["node"]))
 
     n_buckets, n_texts = buckets.count(), texts.count()
-    offered = packed(buckets.filter("doc_id > hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")), n_buckets).distinct()
+    offered = packed(buckets.filter("node > hub").select(F.col("node").alias("u"), F.col("hub").alias("v")), n_buckets).distinct()
     tried = materialise(packed(offered, n_buckets))
     links = materialise(confirm(tried, texts, size, percent, n_texts))
     stars = connected_components(links)
     for turn in range(1, rounds + 1):
-        labels = stars.select(F.col("u").alias("doc_id"), F.col("v").alias("label"))
-        placed = materialise(packed(buckets.select("key", "doc_id").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), n_buckets))
+        labels = stars.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        placed = materialise(packed(buckets.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), n_buckets))
         if turn < rounds:
-            again = _offers(placed, turn).select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v"))
+            again = _offers(placed, turn).select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
         else:
-            again = _remaining(placed, texts, size, percent, n_buckets)
+            again = _remaining(placed, texts, size, percent)
         again = packed(again, n_buckets).distinct()
         fresh = materialise(packed(packed(again, n_buckets).join(tried, ["u", "v"], "left_anti"), n_buckets))
         n_fresh = fresh.count()
@@ -247,10 +244,41 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, rounds: int
         tried = tried.union(fresh)
         if not found.isEmpty():
             stars = connected_components(stars.union(found))
-    labels = classes.join(stars, classes["class_id"] == stars["u"], "left").select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), F.col("n_shingles").alias("_n"), F.coalesce("v", "class_id").alias("_component"))
-    out = sketched.join(labels, (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")) & (F.col("n_shingles") == F.col("_n")), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    ends = classes.join(stars, classes["node"] == stars["u"], "left").select(*sets, "class_id", F.coalesce("v", "node").alias("end"))
+    least = ends.groupBy("end").agg(F.min("class_id").alias("component"))
+    labels = join_back(ends, least, ["end"]).select(*[F.col(c).alias(f"_{c}") for c in sets], "component")
+    same = [F.col(c) == F.col(f"_{c}") for c in sets]
+    out = sketched.join(labels, same[0] & same[1] & same[2], "left")
+    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
+
+
+def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, rounds: int = 4, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``df``.
+
+    Words are lower-cased (A-Z); documents of equal sets, or of sets whose Jaccard similarity is ``percent`` or
+    more, are linked, and component_id is the least doc_id that links reach. Null and empty texts have no
+    shingles and link with nothing. Rows that repeat a doc_id are judged each by their own text. A row without
+    doc_id links with nothing, and is kept with a null component. Other columns are ignored.
+    """
+    component = F.coalesce("component", "doc_id")
+    return judge(df, size, percent, rounds, text).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def without_copies(df: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """The rows of ``df`` but all except one of each component: the one of least doc_id, then of least text_key.
+
+    Rows that link with nothing stay, also where they are equal. Of equal rows of a component's first document
+    one stays.
+    """
+    linked = judge(df, size, percent, text=text).filter("component is not null")
+    rows = materialise(linked.groupBy("doc_id", "text_key", "component").agg(F.count(F.lit(1)).alias("copies")))
+    first = rows.filter("doc_id = component").groupBy("component").agg(F.min("text_key").alias("first"))
+    placed = join_back(rows, first, ["component"]).select("doc_id", "text_key", "copies", ((F.col("doc_id") == F.col("component")) & (F.col("text_key") == F.col("first"))).alias("stays"))
+    apart = placed.filter("not stays or copies > 1").select(F.col("doc_id").alias("_copy_doc"), F.col("text_key").alias("_copy_key"))
+    one = placed.filter("stays and copies > 1").select(F.col("doc_id").alias("_copy_doc"), F.col("text_key").alias("_copy_key"))
+    same = (F.col("doc_id").cast("long") == F.col("_copy_doc")) & (text_key(text) == F.col("_copy_key"))
+    again = df.join(one, same).dropDuplicates(["_copy_doc", "_copy_key"])
+    return df.join(apart, same, "left_anti").select(*df.columns).unionByName(again.select(*df.columns))
 
 
 #: The exact components for shingles of four words in SQL, by a join on shingles.

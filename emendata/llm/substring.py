@@ -63,12 +63,7 @@ def _survey(df: DataFrame, window: int) -> DataFrame:
             for low, high, texts in textscan.chunks(batch.column(1)):
                 texts.find_words()
                 words = texts.word_hash()
-                prints = []
-                for base in (0xC2B2AE3D27D4EB4F, _SECOND_BASE):
-                    total = np.zeros(len(words) + 1, np.uint64)
-                    np.cumsum(textscan.mix(words ^ np.uint64(base)) * textscan.powers(base | 1, len(words)), out=total[1:])
-                    back = textscan.powers(pow(base | 1, -1, 1 << 64), len(words) + 1)
-                    prints.append(_signed(textscan.mix((total[texts.first + texts.counts] - total[texts.first]) * back[texts.first])))
+                prints = texts.sequence_prints()
                 least, at = _standing(texts, words, window)
                 of = texts.text[at]
                 new = np.ones(len(least), bool)
@@ -76,7 +71,7 @@ def _survey(df: DataFrame, window: int) -> DataFrame:
                 least, of = least[new], of[new]
                 edges = np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32)
                 halves = pa.ListArray.from_arrays(pa.array(edges), pa.array(_signed(least)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(texts.counts.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), halves], names=["doc_id", "n_words", "seq_a", "seq_b", "halves"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(texts.counts.astype(np.int64)), pa.array(np.ascontiguousarray(prints[:, 0])), pa.array(np.ascontiguousarray(prints[:, 1])), halves], names=["doc_id", "n_words", "seq_a", "seq_b", "halves"])
 
     return df.mapInArrow(run, "doc_id long, n_words long, seq_a long, seq_b long, halves array<long>")
 
@@ -129,20 +124,8 @@ def _remove(df: DataFrame, window: int) -> DataFrame:
 
 def _rows(ids: pa.Array, texts: textscan.Texts, gone: np.ndarray) -> pa.RecordBatch:
     n = len(texts)
-    stay = np.flatnonzero(~gone)
-    of = texts.text[stay]
-    last = np.ones(len(stay), bool)
-    last[:-1] = of[1:] != of[:-1]
-    edge = np.zeros(len(texts.data) + 2, np.int8)
-    edge[texts.starts[stay]] += 1
-    after = texts.ends[stay] + ~last  # each but a text's last word brings the separator behind it
-    np.subtract.at(edge, after, 1)
-    data = texts.data.copy()
-    data[texts.ends[stay][~last]] = 0x20
-    mask = np.cumsum(edge[:-2], dtype=np.int8).astype(bool)
-    sizes = texts.sums(mask)
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    kept = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[mask])))
+    data, offsets = texts.joined(~gone)
+    kept = pa.StringArray.from_buffers(n, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
     # spans of removed words, counted from the text's first word
     inside = np.zeros(len(gone) + 1, bool)
     inside[:-1] = gone

@@ -7,21 +7,21 @@ bytes. Texts of a chunk lie one behind the other in one buffer, and no word or l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 #: Chunks end after the text that reaches this many bytes, which bounds the memory of a scan.
 CHUNK_BYTES = 1 << 20
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 2048
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE_VALUES = np.random.Generator(np.random.PCG64(20240501)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -57,18 +57,58 @@ class Texts:
         return self.n
 
     @property
-    def prefix(self) -> np.ndarray:
-        """Running polynomial sums over the bytes, 0 first."""
-        if not hasattr(self, "_prefix"):
-            out = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTE_VALUES[self.data] * powers(_BASE, len(self.data)), out=out[1:])
-            self._prefix = out
-        return self._prefix
+    def lanes(self) -> np.ndarray:
+        """The eight bytes from each byte on, as one number; zeros lie behind the last."""
+        if not hasattr(self, "_lanes"):
+            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            self._lanes = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        return self._lanes
 
     def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of the bytes of each span."""
-        total = (self.prefix[ends] - self.prefix[starts]) * powers(_BASE_INVERSE, len(self.data) + 1)[starts]
-        return mix(total + (ends - starts).astype(np.uint64))
+        """A 64-bit hash of the bytes of each span: eight at a time, spread anew after each eight.
+
+        It is no polynomial over the bytes, of which texts of two letters exist that collide at every base. Long
+        spans are hashed by BLAKE2.
+        """
+        size = ends - starts
+        out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
+        todo = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+        at, left, value = starts[todo], size[todo], out[todo]
+        while len(todo):
+            lane = self.lanes[at]
+            part = left < 8
+            lane[part] &= (np.uint64(1) << (left[part].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+            value = mix((value ^ lane) * np.uint64(0xC2B2AE3D27D4EB4F) + (value >> np.uint64(29)))
+            more = left > 8
+            if not more.all():
+                out[todo[~more]] = value[~more]
+                todo, at, left, value = todo[more], at[more], left[more], value[more]
+            at, left = at + 8, left - 8
+        for k in np.flatnonzero(size > LONG_SPAN):
+            out[k] = np.frombuffer(blake2b(self.data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+        return out
+
+    def joined(self, stay: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and offsets of the texts made of their words, or of those that ``stay`` marks, joined by one space."""
+        stay = np.arange(len(self.starts)) if stay is None else np.flatnonzero(stay)
+        of = self.text[stay]
+        last = np.ones(len(stay), bool)
+        last[:-1] = of[1:] != of[:-1]
+        edge = np.zeros(len(self.data) + 2, np.int8)
+        edge[self.starts[stay]] += 1
+        np.subtract.at(edge, self.ends[stay] + ~last, 1)  # each but a text's last word brings the separator behind it
+        data = self.data.copy()
+        data[self.ends[stay][~last]] = 0x20
+        mask = np.cumsum(edge[:-2], dtype=np.int8).astype(bool)
+        return data[mask], np.concatenate([[0], np.cumsum(self.sums(mask))])
+
+    def sequence_prints(self) -> np.ndarray:
+        """[text, 2]: 128 bits of BLAKE2 over each text's words."""
+        data, offsets = self.joined()
+        out = np.zeros((self.n, 2), np.int64)
+        for k in range(self.n):
+            out[k] = np.frombuffer(blake2b(data[offsets[k] : offsets[k + 1]].tobytes(), digest_size=16).digest(), np.int64)
+        return out
 
     def find_words(self) -> None:
         """Set starts, ends, counts (words of each text), first (its first word) and text (of each word)."""

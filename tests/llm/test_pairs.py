@@ -181,3 +181,42 @@ def test_clean_documents_stay(spark):
     kept = decontaminate.drop_leaks(rows, items)
     assert kept.columns == rows.columns
     assert sorted(r.similarity for r in kept.collect()) == ["w", "y", "z"]
+
+
+def test_repeated_ids_are_judged_by_their_own_texts(spark):
+    """Of rows with one id only those go that hold an item themselves; each text of an item counts."""
+    one, two = ([f"{c}{k}" for k in range(12)] for c in "ab")
+    items = spark.createDataFrame([(1, " ".join(one)), (1, " ".join(two)), (1, " ".join(one))], "item_id long, text string")
+    texts = ["x y " + " ".join(one), "q " + " ".join(two) + " z", "clean words alone", None]
+    rows = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate([(7, texts[0]), (7, texts[1]), (7, texts[2]), (8, texts[1]), (None, texts[0]), (None, texts[2]), (7, texts[3])])], "doc_id long, text string, row long")
+    assert {(r.doc_id, r.item_id, r.first_word) for r in decontaminate.find_leaks(rows, items).collect()} == {(7, 1, 1), (8, 1, 1)}
+    assert sorted(r.row for r in decontaminate.drop_leaks(rows, items).collect()) == [2, 5, 6]
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id with other texts: each belongs to the component of its own text."""
+    texts = {k: " ".join(f"{k}{n}" for n in range(60)) for k in "abc"}
+    near = texts["a"].replace("a30", "other")
+    rows = [(1, texts["a"]), (2, texts["a"]), (2, texts["b"]), (5, texts["c"]), (5, near), (1, texts["a"]), (1, texts["a"]), (None, texts["a"]), (9, ""), (9, ""), (6, texts["c"])]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, component string")
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, size=5).collect())
+    assert got == sorted([(1, 56, 1, True)] * 3 + [(2, 56, 1, False), (2, 56, 2, True), (5, 56, 5, True), (5, 56, 1, False), (-1, 56, None, True), (9, 0, 9, True), (9, 0, 9, True), (6, 56, 5, False)])
+    kept = minhash.without_copies(df, size=5)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in kept.collect()) == sorted([(1, texts["a"]), (2, texts["b"]), (5, texts["c"]), (-1, texts["a"]), (9, ""), (9, "")])
+
+
+def test_texts_that_collide_in_polynomial_hashes(spark):
+    """The Thue-Morse sequence and its complement have equal sums of powers modulo 2 ** 64 at every odd base."""
+    bits = [bin(k).count("1") % 2 for k in range(4096)]
+    one, two = (["ab"[b ^ flip] for b in bits] for flip in (0, 1))
+    start = [f"p{k}" for k in range(10)]
+    rows = [(1, " ".join(one)), (2, " ".join(start + two))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_repeats(rows, 50)
+    for r in substring.remove_repeats(df, window=50).withColumn("sha", F.sha2("kept_text", 256)).collect():
+        assert (r.n_words, r.n_removed, r.sha) == want[r.doc_id]
+    whole = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeats(whole, window=2048).collect()} == {i: n for i, (_, n, _) in brute_repeats([(1, " ".join(one)), (2, " ".join(two))], 2048).items()}
+    letters = spark.createDataFrame([(1, "".join(one)), (2, "".join(two))], "doc_id long, text string")
+    assert {r.component_id for r in minhash.near_duplicates(letters, size=4).collect()} == {1, 2}

@@ -113,6 +113,24 @@ def test_base_counts(spark, corpus):
         assert not (got[i].base_failed and got[i].kept)
 
 
+def test_lines_that_collide_in_polynomial_hashes(spark):
+    bits = [bin(k).count("1") % 2 for k in range(4096)]
+    text = "\n".join("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    assert llr_quality.base_counts(textscan.as_texts(pa.array([text])))["n_dup_lines"].tolist() == [brute_counts(text)[3]] == [0]
+
+
+def test_span_hash_tells_bytes_apart():
+    rng = random.Random(2)
+    texts = [" ".join(sentence(rng, 1, 0, 3000) * rng.randrange(1, 5) for _ in range(300)), "x" * 2048 + " " + "x" * 2049 + " " + "x" * 4000, "", "é ab ab\0 ab\0\0", "ends with eight b ytes678"]
+    seen = {}
+    for part in (texts, texts[::-1], texts[3:]):
+        found = textscan.as_texts(pa.array(part))
+        found.find_words()
+        for start, end, value in zip(found.starts, found.ends, found.word_hash(), strict=True):
+            assert seen.setdefault(found.data[start:end].tobytes(), value) == value
+    assert len(set(seen.values())) == len(seen) > 500
+
+
 def test_ratio_is_that_of_the_multinomials(spark):
     rows = [(1, "a b a"), (2, "a c")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
