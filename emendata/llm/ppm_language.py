@@ -6,10 +6,10 @@ context with N bytes, D of them distinct, gives a seen byte n / (N + D) and leav
 shorter context; order -1 is uniform. A text's score in a language is the exact sum of these code lengths
 over all its bytes, and the shortest code wins.
 
-Bytes are ranked by frequency into 127 symbols and one for the rest (whose bytes then cost a uniform code
-more), so that contexts of three symbols index one array. That array names the longest context kept for any
-language, and a second one holds the code lengths of its 128 symbols in each language. Scoring a byte is two
-lookups, whatever the order at which it is found.
+Contexts are runs of whole bytes, and every context of the sample is kept. A context holds 256 bits that tell
+which bytes follow it in any language, and the code lengths of those in each language lie one behind the
+other; a byte that is not among them costs the context's escape and is looked for in the next shorter one.
+So the tables are as large as what the sample holds, whatever the number of languages and scripts.
 """
 
 from __future__ import annotations
@@ -26,111 +26,142 @@ from pyspark.sql import functions as F
 from . import textscan
 from .common import hash_unit, held_out, kept_fields
 
-SYMBOLS = 128
+ORDERS = 4
+#: Code lengths that are gathered at once while texts are scored.
+GATHERED = 1 << 22
 UNDETERMINED = "und"
-_tables: dict[str, tuple] = {}  # of the last model that this worker has seen
+#: A table of more languages is not broadcast.
+BROADCAST_LANGUAGES = 100_000
+_tables: dict[str, object] = {}  # of the last model that this worker has seen
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Counts of the sample: code is three symbols of context and one that follows, seven bits each."""
+    """Counts of the sample: a code is three bytes of context and the one that follows."""
 
     languages: tuple[str, ...]
-    rank: np.ndarray
-    rare: int
     codes: np.ndarray
     counts: np.ndarray
-    table_bytes: int
 
 
-def _symbols(texts: textscan.Texts, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each byte its symbol and its context of three; a text begins after three symbols 0."""
-    symbol = rank[texts.data].astype(np.int32)
-    context = np.zeros(len(symbol), np.int32)
+@dataclass(frozen=True)
+class CodeTables:
+    """Row 0 is the empty context; by_order[k] gives the row of a context of k bytes, 0 where it was not seen."""
+
+    by_order: list[np.ndarray]
+    parent: np.ndarray
+    escape: np.ndarray
+    followers: np.ndarray
+    first: np.ndarray
+    bits: np.ndarray
+
+
+def _contexts(texts: textscan.Texts) -> np.ndarray:
+    """The three bytes before each byte, the nearest lowest; a text begins after three zeros."""
+    data = texts.data.astype(np.int64)
+    context = np.zeros(len(data), np.int64)
     for back in (1, 2, 3):
-        context[back:] |= symbol[:-back] << (7 * (back - 1))
+        context[back:] |= data[:-back] << (8 * (back - 1))
     starts, size = texts.offsets[:-1], np.diff(texts.offsets)
     for at in range(3):
         here = (starts + at)[size > at]
-        context[here] &= (1 << (7 * at)) - 1
-    return symbol, context
+        context[here] &= (1 << (8 * at)) - 1
+    return context
 
 
-def fit(texts: dict[str, list[str]], table_bytes: int = 96 << 20) -> LanguageModel:
-    """``table_bytes`` bounds the arrays that an executor builds from the model."""
+def fit(texts: dict[str, list[str]]) -> LanguageModel:
     languages = tuple(sorted(texts))
-    columns = [textscan.as_texts(pa.array(texts[name], pa.large_string())) for name in languages]
-    seen = np.zeros(256, np.int64)
-    for column in columns:
-        seen += np.bincount(column.data, minlength=256)
-    rank = np.zeros(256, np.uint8)
-    frequent = [b for b in np.argsort(-seen, kind="stable")[: SYMBOLS - 1] if seen[b]]
-    rank[frequent] = np.arange(1, len(frequent) + 1)
     found = []
-    for column in columns:
-        symbol, context = _symbols(column, rank)
-        found.append(np.unique((context << 7) | symbol, return_counts=True))
-    codes = np.unique(np.concatenate([c for c, _ in found])) if found else np.zeros(0, np.int32)
+    for name in languages:
+        column = textscan.as_texts(pa.array(texts[name], pa.large_string()))
+        found.append(np.unique((_contexts(column) << 8) | column.data, return_counts=True))
+    codes = np.unique(np.concatenate([c for c, _ in found])) if found else np.zeros(0, np.int64)
     counts = np.zeros((len(codes), len(languages)), np.float32)
     for k, (code, count) in enumerate(found):
         counts[np.searchsorted(codes, code), k] = count
-    return LanguageModel(languages, rank, 256 - len(frequent), codes, counts, table_bytes)
+    return LanguageModel(languages, codes, counts)
 
 
-def code_lengths(model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
-    """The row of each context of three symbols, and bits[row, symbol, language]."""
+def code_lengths(model: LanguageModel) -> CodeTables:
+    """The tables of a model, order by order: a byte that a language lacks in a context costs its escape and the shorter context's price."""
     n = len(model.languages)
-    most_rows = max(SYMBOLS + 2, model.table_bytes // (SYMBOLS * max(n, 1) * 4))
-    bits = np.full((1, SYMBOLS, n), 1.0 / SYMBOLS, np.float32)
-    kept = np.zeros(1, np.int64)  # contexts of the order before; row k belongs to kept[k]
-    rows, of_order, first = bits, [], 0
-    for order in range(4):
-        code, at = np.unique(model.codes & ((1 << (7 * (order + 1))) - 1), return_inverse=True)
-        count = np.zeros((len(code), n), np.float32)
+    by_order, parents, escapes, followers, firsts, bits = [], [], [], [], [], []
+    rows, cells = 0, 0
+    codes_before, price_before = np.arange(256), np.full((256, n), 8.0)
+    for order in range(ORDERS):
+        code, at = np.unique(model.codes & ((1 << (8 * (order + 1))) - 1), return_inverse=True)
+        count = np.zeros((len(code), n))
         np.add.at(count, at, model.counts)
-        context, place = np.unique(code >> 7, return_inverse=True)
-        weight = np.zeros(len(context), np.float64)
-        np.add.at(weight, place, count.sum(1))
-        shorter = context & ((1 << (7 * max(order - 1, 0))) - 1)
-        parent = np.searchsorted(kept, shorter).clip(0, len(kept) - 1)
-        weight[kept[parent] != shorter] = 0  # a context is kept only with the shorter one
-        room = max(1, most_rows - first)
-        if len(context) > room or not weight.all():
-            keep = np.sort(np.argsort(-weight, kind="stable")[: min(room, max(1, int((weight > 0).sum())))])
-            new = np.full(len(context), -1)
-            new[keep] = np.arange(len(keep))
-            inside = new[place] >= 0
-            code, count, place, context, parent = code[inside], count[inside], new[place][inside], context[keep], parent[keep]
-        table = np.zeros((len(context), SYMBOLS, n), np.float32)
-        table[place, code & (SYMBOLS - 1)] = count
-        total, distinct = table.sum(1), (table > 0).sum(1)
-        base = rows[parent]
-        whole = (total + distinct)[:, None, :]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            table = np.where(whole == 0, base, np.where(table > 0, table / whole, distinct[:, None, :] / whole * base)).astype(np.float32)
-        of_order.append((order, context, table, first))
-        first += len(context)
-        kept, rows = context, table
-    state = np.zeros(1 << 21, np.int32)
-    for order, context, table, start in of_order[1:]:
-        by = np.full(1 << (7 * order), -1, np.int32)
-        by[context] = start + np.arange(len(context), dtype=np.int32)
-        spread = np.tile(by, 1 << (7 * (3 - order)))
-        state = np.where(spread >= 0, spread, state)
-    probability = np.concatenate([table for _, _, table, _ in of_order])
-    out = -np.log2(probability)
-    out[:, 0, :] += np.log2(max(model.rare, 1))
-    return state, out.reshape(-1, n)
-
-
-def _score(texts: textscan.Texts, model: LanguageModel, state: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Code length of each text in each language, in bits."""
-    out = np.zeros((len(texts), len(model.languages)))
-    some = np.flatnonzero(np.diff(texts.offsets))
-    if len(some):
-        symbol, context = _symbols(texts, model.rank)
-        cost = bits[state[context].astype(np.int64) * SYMBOLS + symbol]
-        out[some] = np.add.reduceat(cost, texts.offsets[:-1][some], axis=0, dtype=np.float64)
+        context, place = np.unique(code >> 8, return_inverse=True)
+        total, distinct = np.zeros((len(context), n)), np.zeros((len(context), n))
+        np.add.at(total, place, count)
+        np.add.at(distinct, place, count > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            escape = np.where(total > 0, np.log2((total + distinct) / distinct), 0.0)
+            shorter = price_before[np.searchsorted(codes_before, code & ((1 << (8 * max(order, 1))) - 1))]
+            price = np.where(count > 0, np.log2((total + distinct)[place] / count), escape[place] + shorter)
+        lookup = np.zeros(1 << (8 * order), np.int32)  # pages of contexts that were never seen stay untouched
+        lookup[context] = rows + np.arange(len(context), dtype=np.int32)
+        parents.append(by_order[-1][context & ((1 << (8 * (order - 1))) - 1)] if order else np.zeros(len(context), np.int32))
+        byte = code & 255
+        mask = np.zeros((len(context), 4), np.uint64)
+        np.bitwise_or.at(mask, (place, byte >> 6), np.uint64(1) << (byte & 63).astype(np.uint64))
+        held = np.bitwise_count(mask).astype(np.int64)
+        start = cells + np.concatenate([[0], np.cumsum(held.ravel())])[:-1]
+        by_order.append(lookup)
+        escapes.append(escape)
+        followers.append(mask.ravel())
+        firsts.append(start)
+        bits.append(price)
+        rows, cells = rows + len(context), cells + len(code)
+        codes_before, price_before = code, price
+    return CodeTables(by_order, np.concatenate(parents), np.concatenate(escapes).astype(np.float32), np.concatenate(followers), np.concatenate(firsts), np.concatenate(bits).astype(np.float32))
+
+
+def _prices(byte: np.ndarray, context: np.ndarray, tables: CodeTables) -> np.ndarray:
+    """Bits of each byte after its context, in each language."""
+    row = tables.by_order[3][context]
+    for order in (2, 1):
+        none = np.flatnonzero(row == 0)
+        row[none] = tables.by_order[order][context[none] & ((1 << (8 * order)) - 1)]
+    out = np.zeros((len(byte), tables.bits.shape[1]), np.float32)
+    todo = np.arange(len(byte))
+    for _ in range(ORDERS):
+        cell, bit = row.astype(np.int64) * 4 + (byte >> 6), (byte & 63).astype(np.uint64)
+        mask = tables.followers[cell]
+        seen = (mask >> bit) & np.uint64(1) == 1
+        place = tables.first[cell] + np.bitwise_count(mask & ((np.uint64(1) << bit) - np.uint64(1)))
+        if len(todo) == len(out):
+            out[seen] = tables.bits[place[seen]]
+        else:
+            out[todo[seen]] += tables.bits[place[seen]]
+        if seen.all():
+            return out
+        lost = ~seen
+        todo, byte, row = todo[lost], byte[lost], row[lost]
+        out[todo] += tables.escape[row]
+        if not row.any():  # only the empty context was left
+            out[todo] += np.float32(8)
+            return out
+        root = row == 0
+        if root.any():
+            out[todo[root]] += np.float32(8)
+            todo, byte, row = todo[~root], byte[~root], row[~root]
+        row = tables.parent[row]
+    return out
+
+
+def _score(texts: textscan.Texts, tables: CodeTables) -> np.ndarray:
+    """Code length of each text in each language, in bits; bytes are priced in blocks that bound the memory."""
+    n = tables.bits.shape[1]
+    out = np.zeros((len(texts), n))
+    context = _contexts(texts)
+    step = max(1, GATHERED // max(n, 1))
+    for low in range(0, len(context), step):
+        high = min(low + step, len(context))
+        cost = _prices(texts.data[low:high].astype(np.int64), context[low:high], tables)
+        some = np.flatnonzero((texts.offsets[1:] > low) & (texts.offsets[:-1] < high) & (np.diff(texts.offsets) > 0))
+        out[some] += np.add.reduceat(cost, np.maximum(texts.offsets[:-1][some], low) - low, axis=0, dtype=np.float64)
     return out
 
 
@@ -149,14 +180,14 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple
         model = shared.value
         if model_id not in _tables:
             _tables.clear()
-            _tables[model_id] = code_lengths(model) if model.languages else ()
-        state, bits = _tables[model_id] or (None, None)
+            _tables[model_id] = code_lengths(model) if model.languages else None
+        tables = _tables[model_id]
         names = np.array([*model.languages, UNDETERMINED], object)
         for batch in batches:
             column = batch.column(width)
             letter = np.asarray(batch.column(width + 1).to_numpy(zero_copy_only=False), bool)
             if model.languages:
-                cost = np.concatenate([np.zeros((0, len(model.languages))), *[_score(x, model, state, bits) for _, _, x in textscan.chunks(column)]])
+                cost = np.concatenate([np.zeros((0, len(model.languages))), *[_score(x, tables) for _, _, x in textscan.chunks(column)]])
                 best = cost.argmin(1)
                 least = cost.min(1)
                 score = 1 / np.exp2(np.maximum(least[:, None] - cost, -1000)).sum(1)
@@ -182,10 +213,10 @@ def training_sample(df: DataFrame, rows_per_language: int = 1500, most_rows: int
     if not sizes:
         return {}
     aim = min(rows_per_language, max(1, most_rows // len(sizes)))
-    rate = F.lit(0.0)
-    for name, n in sorted(sizes.items()):
-        rate = F.when(F.col("lang") == name, F.lit(min(1.0, aim / n))).otherwise(rate)
-    rows = usable.filter(hash_unit(seed, "doc_id") < rate).select("lang", "doc_id", "text").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    rates = df.sparkSession.createDataFrame([(name, min(1.0, aim / n)) for name, n in sizes.items()], "_lang string, _rate double")
+    rates = F.broadcast(rates) if len(sizes) <= BROADCAST_LANGUAGES else rates
+    chosen = usable.join(rates, F.col("lang") == F.col("_lang")).filter(hash_unit(seed, "doc_id") < F.col("_rate"))
+    rows = chosen.select("lang", "doc_id", "text").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
     out: dict[str, list[str]] = {}
     for name, text in zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), strict=True):
         out.setdefault(name, []).append(text)
