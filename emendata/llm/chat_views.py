@@ -2,27 +2,48 @@
 
 For every participant of a dialogue the whole dialogue is rendered with that speaker as the assistant and the
 others as named users; system turns stay system turns and are no participants. The mask marks what is to be
-learned: the assistant's turns with their end marks. A dialogue is rendered in chunks of TURNS turn numbers,
-so that no row or task holds more than a chunk, however long a dialogue is.
+learned: the assistant's turns with their end marks. A view of up to TURNS turns is one row. A longer one comes
+in pieces of TURNS turns that follow each other without a gap: their texts, one behind the other, are the whole
+view, and spans count its characters. So no row holds more than TURNS turns, whatever their numbers are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 TURNS = 256
 #: Fixed values of the template.
 SYSTEM, END, UNKNOWN = "system", "<|end|>\n", "unknown"
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with position: gapless from 0 in each dialogue, by turn, name and text.
+
+    Rows lie in sorted ranges, so a dialogue may spread over many tasks; a part begins after the parts before it.
+    """
+    order = ["conv_id", "turn", "name", "said"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = materialise(rows.repartitionByRange(n, *order).sortWithinPartitions(*order)).withColumn("id", F.monotonically_increasing_id())
+    # the number of a row's partition, and its place there
+    placed = laid.withColumns({"part": F.shiftright("id", 33), "at": F.col("id").bitwiseAND((1 << 33) - 1)})
+    parts = placed.groupBy(F.col("conv_id").alias("_conv"), F.col("part").alias("_part")).agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("_conv").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = parts.select("_conv", "_part", "low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    joined = placed.join(first, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")))
+    return joined.select(*order, (F.col("first") + F.col("at") - F.col("low")).alias("position"))
+
+
 def rotate(df: DataFrame, turns: int = TURNS) -> DataFrame:
-    """(conv_id, perspective, chunk, n_turns, text, spans) for each participant and chunk of each dialogue.
+    """(conv_id, perspective, piece, n_turns, start, text, spans) for each participant of each dialogue.
 
-    ``df`` has conv_id, turn, role (the speaker's name) and text. A null role is the participant "unknown", a
-    null text is empty, a null turn comes first (as -1), and rows without conv_id form one dialogue. Turns of
-    equal number follow by name and text, and repeated rows are rendered each. A dialogue of system turns
-    alone has no participant and gives no row. spans are (start, end) in characters of the chunk's text.
+    ``df`` has conv_id, turn, role (the speaker's name) and text; other columns are ignored. A null role is the
+    participant "unknown", a null text is empty, a null turn comes first (as -1), and rows without conv_id form
+    one dialogue. Turns of equal number follow by name and text, and repeated rows are rendered each. A dialogue
+    of system turns alone has no participant and gives no row. A piece begins at character ``start`` of the
+    view; spans are (start, end) in characters of the view.
     """
     rows = df.select(
         "conv_id",
@@ -30,13 +51,20 @@ def rotate(df: DataFrame, turns: int = TURNS) -> DataFrame:
         F.coalesce(F.col("role"), F.lit(UNKNOWN)).alias("name"),
         F.coalesce(F.col("text"), F.lit("")).alias("said"),
     )
+    numbered = _numbered(rows).withColumn("piece", F.expr(f"position div {turns}"))
     participants = rows.filter(F.col("name") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("name").alias("perspective")).distinct()
-    views = rows.join(participants, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    joined = numbered.join(participants, F.col("conv_id").eqNullSafe(F.col("_conv")))
     own = F.col("name") == F.col("perspective")
     head = F.when(F.col("name") == SYSTEM, F.lit("<|system|>\n")).when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), F.col("name"), F.lit("|>\n")))
-    segment = F.struct("turn", "name", "said", head.alias("head"), own.alias("own"))
-    chunked = views.withColumn("chunk", F.floor(F.col("turn") / turns)).groupBy("conv_id", "perspective", "chunk").agg(F.array_sort(F.collect_list(segment)).alias("parts"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    views = joined.select("conv_id", "perspective", "piece", "position", "said", head.alias("head"), own.alias("own"))
+    key = ["conv_id", "perspective", "piece"]
+    sizes = views.groupBy(*key).agg(F.sum(F.length("head") + F.length("said") + len(END)).alias("size"))
+    before = Window.partitionBy("conv_id", "perspective").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select(*[F.col(k).alias(f"_{k}") for k in key], F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    pieces = views.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("position", "said", "head", "own"))).alias("parts"))
+    same = F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("perspective") == F.col("_perspective")) & (F.col("piece") == F.col("_piece"))
+    placed = pieces.join(begins, same)
+    nothing = F.struct(F.col("start").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
 
     def step(done, part):
         first = done["at"] + F.length(part["head"])
@@ -45,7 +73,7 @@ def rotate(df: DataFrame, turns: int = TURNS) -> DataFrame:
         return F.struct((after + 1).alias("at"), spans.alias("spans"))
 
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["said"], F.lit(END))), "")
-    return chunked.select("conv_id", "perspective", "chunk", F.size("parts").cast("long").alias("n_turns"), text.alias("text"), F.aggregate("parts", start, step)["spans"].alias("spans"))
+    return placed.select(*key, F.size("parts").cast("long").alias("n_turns"), "start", text.alias("text"), F.aggregate("parts", nothing, step)["spans"].alias("spans"))
 
 
 def mask_text(spans: str = "spans"):
@@ -54,19 +82,20 @@ def mask_text(spans: str = "spans"):
 
 ORACLE = """
 WITH rows AS (
-    SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS name, coalesce(text, '') AS said FROM conversations
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, name, said) - 1 AS position
+    FROM (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS name, coalesce(text, '') AS said FROM conversations)
 ), participants AS (
     SELECT DISTINCT conv_id AS c, name AS perspective FROM rows WHERE name <> 'system'
 ), views AS (
-    SELECT conv_id, perspective, CAST(floor(turn / 256.0) AS BIGINT) AS chunk, turn, name, said,
+    SELECT conv_id, perspective, position // 256 AS piece, position, name, said,
         CASE WHEN name = 'system' THEN '<|system|>' WHEN name = perspective THEN '<|assistant|>' ELSE '<|user name=' || name || '|>' END || chr(10) AS head
     FROM rows JOIN participants ON conv_id IS NOT DISTINCT FROM c
 ), placed AS (
-    SELECT *, coalesce(sum(length(head) + length(said) + 8) OVER (PARTITION BY conv_id, perspective, chunk ORDER BY turn, name, said ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS first
+    SELECT *, coalesce(sum(length(head) + length(said) + 8) OVER (PARTITION BY conv_id, perspective ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
     FROM views
 )
-SELECT conv_id, perspective, chunk, count(*) AS n_turns,
-    string_agg(head || said || '<|end|>' || chr(10), '' ORDER BY turn, name, said) AS text,
-    coalesce(string_agg(CAST(first AS BIGINT) || '-' || CAST(first + length(said) + 7 AS BIGINT), ',' ORDER BY turn, name, said) FILTER (WHERE name = perspective), '') AS mask
-FROM placed GROUP BY conv_id, perspective, chunk
+SELECT conv_id, perspective, piece::BIGINT AS piece, count(*) AS n_turns, min(at)::BIGINT AS start,
+    string_agg(head || said || '<|end|>' || chr(10), '' ORDER BY position) AS text,
+    coalesce(string_agg(CAST(at + length(head) AS BIGINT) || '-' || CAST(at + length(head) + length(said) + 7 AS BIGINT), ',' ORDER BY position) FILTER (WHERE name = perspective), '') AS mask
+FROM placed GROUP BY conv_id, perspective, piece
 """

@@ -70,27 +70,29 @@ def hash_unit(seed: int, *names: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *[F.col(n) for n in names]), F.lit(1 << 30)) / float(1 << 30)
 
 
-def bucketed_rank(df: DataFrame, group: str, key: list[str], rank: str, rows_per_bucket: int = 4_000, along: str | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Add a gapless rank from 0 within ``group`` without bringing a whole group together.
-
-    Rows are ordered by (bucket, key); the bucket is a hash of the key, so a group that holds most of the
-    rows is spread over many buckets. Ranks within a bucket come from a window, and the bucket's first rank
-    from a running sum over the bucket counts, of which there are rows / rows_per_bucket for each group.
-    The frame is read three times. ``group`` must not be null; the window's exchange serves the join as well.
-    With ``along``, a column of gapless numbers from 0 over all rows, rows are ordered by it, and buckets are
-    its ranges. ``ties`` order rows of equal keys.
+#: At most this many buckets spread the rows of a group, and a bucket is not aimed to be smaller than this.
+MOST_BUCKETS, LEAST_BUCKET_ROWS = 1 << 16, 500
+
+
+def bucketed_rank(df: DataFrame, group: Column, key: list[Column], rank: str, rows_per_bucket: int | None = None, along: Column | None = None) -> DataFrame:
+    """``df`` with a gapless rank from 0 within ``group``, without bringing a whole group together.
+
+    Rows are ordered by (bucket, key); the bucket is a hash of the whole key, so a group that holds most of the
+    rows is spread over many buckets, and so are rows of one doc_id whose key tells them apart. Ranks within a
+    bucket come from a window, and the bucket's first rank from a running sum over the bucket counts, of which
+    there are at most MOST_BUCKETS for each group. ``group`` must not be null. With ``along``, gapless numbers
+    from 0 over all rows, rows are ordered by it, and buckets are its ranges. A column named as ``rank`` is
+    replaced; other columns keep their names, whatever these are.
     """
     total = df.count()
-    buckets = max(1, -(-total // rows_per_bucket))
-    bucket = F.expr(f"{along} div {rows_per_bucket}") if along else F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(buckets))
-    placed = df.withColumn("_bucket", bucket.cast("int"))
-    counts = placed.groupBy(F.col(group).alias("_g"), F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    size = rows_per_bucket or max(LEAST_BUCKET_ROWS, -(-total // MOST_BUCKETS))
+    bucket = F.floor(along / size) if along is not None else F.pmod(F.xxhash64(*key), F.lit(max(1, -(-total // size))))
+    order = [along] if along is not None else key
+    kept = [c for c in df.columns if c != rank]
+    placed = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), group.alias("g"), bucket.cast("int").alias("b"), *[o.alias(f"o{k}") for k, o in enumerate(order)])
+    counts = placed.groupBy(F.col("g").alias("_g"), F.col("b").alias("_b")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    within = Window.partitionBy(group, "_bucket").orderBy(*[F.col(k) for k in ((along,) if along else (*key, *ties))])
-    ranked = placed.withColumn("_within", F.row_number().over(within) - 1)
-    return (
-        ranked.join(first, (F.col(group) == F.col("_g")) & (F.col("_bucket") == F.col("_b")))
-        .withColumn(rank, (F.col("_first") + F.col("_within")).cast("long"))
-        .drop("_bucket", "_g", "_b", "_n", "_first", "_within")
-    )
+    first = counts.select("_g", "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("g", "b").orderBy(*[f"o{k}" for k in range(len(order))])
+    ranked = placed.withColumn("within", F.row_number().over(within) - 1)
+    return ranked.join(first, (F.col("g") == F.col("_g")) & (F.col("b") == F.col("_b"))).select("row.*", (F.col("first") + F.col("within")).cast("long").alias(rank))

@@ -155,6 +155,7 @@ def assign_shards(df: DataFrame, shards: int | None = None, target_bytes: int |
 def number_slots(df: DataFrame, keys: tuple[str, ...] = ("doc_id", "text_crc32", "size"), along: str | None = None) -> DataFrame:
     """``df`` (shard and ``keys``) with slot: gapless from 0 within each shard, in an order set by a hash of the keys.
 
-    With ``along``, a column of gapless positions from 0 over all rows, slots follow these instead.
+    With ``along``, a column of gapless positions from 0 over all rows, slots follow these instead. An input
+    column slot is replaced; others are kept, whatever their names.
     """
-    return bucketed_rank(df, "shard", list(keys), "slot", along=along)
+    return bucketed_rank(df, F.col("shard"), [F.col(k) for k in keys], "slot", along=F.col(along) if along else None)

@@ -15,10 +15,10 @@ import heapq
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed_rank, materialise
+from .common import bucketed_rank, materialise, text_key
 
 MOST_BLOCKS = 1 << 18
 LEAST_BLOCK_ROWS = 16
@@ -73,15 +73,16 @@ def tempered_weights(rows: dict[str, int], power: float = 0.5) -> dict[str, floa
     return {s: v / total for s, v in raw.items()}
 
 
-def mix(df: DataFrame, weights: dict[str, float] | None = None, block_rows: int | None = None, source: str = "source", keys: tuple[str, ...] = ("doc_id",), ties: tuple[str, ...] = ()) -> DataFrame:
+def mix(df: DataFrame, weights: dict[str, float] | None = None, block_rows: int | None = None, source: str = "source", keys: tuple[str | Column, ...] = ("doc_id",), ties: tuple[str | Column, ...] = ()) -> DataFrame:
     """``df`` with mix_block, mix_slot and mix_position (gapless from 0): the order in which to read it.
 
-    Within a source rows follow a hash of ``keys``, and those of equal keys ``ties``. Weights default to tempered_weights(). A null source is a
-    source of its own, named "". Equal rows take neighbouring places. An empty table stays empty.
+    Within a source rows follow a hash of ``keys`` and ``ties``, then these themselves; ties spread rows of one
+    key, as of none. Weights default to tempered_weights(). A null source is a source of its own, named "".
+    Equal rows take neighbouring places. An empty table stays empty. Input columns with the names of the new
+    ones are replaced; all others are kept, whatever their names.
     """
-    named = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    base = df.withColumn("_source", named)
-    counts = {r["_source"]: r["n"] for r in base.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    base = df.select(F.struct("*").alias("row"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), *[(F.col(k) if isinstance(k, str) else k).alias(f"k{i}") for i, k in enumerate((*keys, *ties))])
+    counts = {r["source"]: r["n"] for r in base.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     size = block_rows or max(LEAST_BLOCK_ROWS, -(-total // MOST_BLOCKS))
     blocks = {s: -(-n // size) for s, n in counts.items()}
@@ -90,19 +91,23 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, block_rows: int
     for s, j in order:  # the last block of a source may be short
         start.append(at)
         at += min(size, counts[s] - j * size)
-    plan = pa.table({"_s": pa.array([s for s, _ in order], pa.string()), "_j": pa.array([j for _, j in order], pa.int64()), "mix_slot": pa.array(range(len(order)), pa.int64()), "_start": pa.array(start, pa.int64())})
+    plan = pa.table({"_s": pa.array([s for s, _ in order], pa.string()), "_j": pa.array([j for _, j in order], pa.int64()), "mix_slot": pa.array(range(len(order)), pa.int64()), "start": pa.array(start, pa.int64())})
     placed = df.sparkSession.createDataFrame(plan)
-    ranked = bucketed_rank(base, "_source", list(keys), "_rank", ties=ties)
-    with_block = ranked.withColumn("mix_block", F.expr(f"_rank div {size}"))
-    joined = with_block.join(F.broadcast(placed), (F.col("_source") == F.col("_s")) & (F.col("mix_block") == F.col("_j")))
-    position = F.col("_start") + F.col("_rank") - F.col("mix_block") * size
-    return joined.select(*df.columns, "mix_block", "mix_slot", position.alias("mix_position"))
-
-
-def mixed(df: DataFrame, weights: dict[str, float] | None = None, block_rows: int | None = None, source: str = "source") -> DataFrame:
-    """The rows of ``df`` laid out in mixed order: partitions are ranges of the order, sorted within."""
-    keyed = materialise(df.select("doc_id", source))
-    placed = mix(keyed, weights, block_rows, source)
-    lone = placed.groupBy(F.col("doc_id").alias("_id")).agg(F.min("mix_position").alias("_at"))
-    ordered = df.join(lone, df["doc_id"].eqNullSafe(F.col("_id")), "left")
-    return ordered.repartitionByRange("_at").sortWithinPartitions("_at").select(*[df[c] for c in df.columns])
+    ranked = bucketed_rank(base, F.col("source"), [F.col(f"k{i}") for i in range(len(keys) + len(ties))], "rank")
+    with_block = ranked.withColumn("mix_block", F.expr(f"rank div {size}"))
+    joined = with_block.join(F.broadcast(placed), (F.col("source") == F.col("_s")) & (F.col("mix_block") == F.col("_j")))
+    position = F.col("start") + F.col("rank") - F.col("mix_block") * size
+    kept = [F.col(f"row.`{c}`") for c in df.columns if c not in ("mix_block", "mix_slot", "mix_position")]
+    return joined.select(*kept, "mix_block", "mix_slot", position.alias("mix_position"))
+
+
+def mixed(df: DataFrame, weights: dict[str, float] | None = None, block_rows: int | None = None, source: str = "source", text: str = "text") -> DataFrame:
+    """The rows of ``df`` laid out in mixed order: partitions are ranges of the order, sorted within.
+
+    Rows equal in doc_id and text lie together. Those without doc_id are told apart by their texts.
+    """
+    keyed = materialise(df.select("doc_id", source, text_key(text).alias("key")))
+    placed = mix(keyed, weights, block_rows, source, ties=("key",))
+    lone = placed.groupBy(F.col("doc_id").alias("_mix_doc"), F.col("key").alias("_mix_key")).agg(F.min("mix_position").alias("_mix_at"))
+    ordered = df.join(lone, df["doc_id"].eqNullSafe(F.col("_mix_doc")) & text_key(text).eqNullSafe(F.col("_mix_key")), "left")
+    return ordered.repartitionByRange("_mix_at").sortWithinPartitions("_mix_at").select(*[df[c] for c in df.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_views, decontaminate, kd_shards, llr_quality, minhash, pfair_mix, ppm_language, substring, warc_revisits, zstd_toxicity
-from .common import held_out, table
+from .common import held_out, table, text_key
 
 
 SHARDS = 24
@@ -25,12 +25,12 @@ def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pfair_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return pfair_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "source", text_key().alias("text_key")), ties=("text_key",)).drop("text_key")
 
 
 def op4_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = chat_views.rotate(table(spark, sf_dir, "conversations"))
-    return views.select("conv_id", "perspective", "chunk", "n_turns", "text", chat_views.mask_text().alias("mask"))
+    return views.select("conv_id", "perspective", "piece", "n_turns", "start", "text", chat_views.mask_text().alias("mask"))
 
 
 def op5_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

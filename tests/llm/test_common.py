@@ -16,13 +16,13 @@ def test_join_back_equals_a_plain_join(spark):
 def test_ranks_of_a_hot_group_are_gapless(spark):
     rows = spark.range(1000).select(F.when(F.col("id") % 10 < 7, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))).alias("g"), "id")
     rows = rows.union(rows.filter("id < 5"))  # some rows are repeated
-    got = bucketed_rank(rows, "g", ["id"], "rank", rows_per_bucket=37).collect()
+    got = bucketed_rank(rows, F.col("g"), [F.col("id")], "rank", rows_per_bucket=37).collect()
     assert len(got) == 1005
     for g in {r.g for r in got}:
         assert sorted(r["rank"] for r in got if r.g == g) == list(range(sum(r.g == g for r in got)))
-    again = {(r.g, r.id, r["rank"]) for r in bucketed_rank(rows.repartition(9), "g", ["id"], "rank", rows_per_bucket=37).collect()}
+    again = {(r.g, r.id, r["rank"]) for r in bucketed_rank(rows.repartition(9), F.col("g"), [F.col("id")], "rank", rows_per_bucket=37).collect()}
     assert again == {(r.g, r.id, r["rank"]) for r in got}
-    assert bucketed_rank(rows.limit(0), "g", ["id"], "rank").count() == 0
+    assert bucketed_rank(rows.limit(0), F.col("g"), [F.col("id")], "rank").count() == 0
 
 
 def test_folds_and_samples(spark):

@@ -6,6 +6,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 from emendata.llm import chat_views, kd_shards, pfair_mix, warc_revisits
+from emendata.llm.common import text_key
 from pyspark.sql import functions as F
 
 from .conftest import words
@@ -68,17 +69,93 @@ def test_mix_places_every_row(spark, documents, corpus, nothing):
     assert laid.columns == documents.columns and laid.count() == len(corpus)
 
 
+def test_mix_follows_the_schedule(spark):
+    """Positions from the definition: ranks within a source by hash, and the schedule's blocks one behind the other."""
+    rng = random.Random(8)
+    rows = [(i if i % 5 else None, f"t{rng.randrange(60)}", rng.choice(["a", "a", "a", "b", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(k) for k, c in enumerate(("mix_slot", "row", "rank", "k0", "g", "b", "n", "first", "_s", "start"))})
+    got = pfair_mix.mix(df, {"a": 0.5, "b": 0.3, "": 0.2}, block_rows=7, ties=("text",))
+    assert got.columns == ["doc_id", "text", "source", "row", "rank", "k0", "g", "b", "n", "first", "_s", "start", "mix_block", "mix_slot", "mix_position"]
+    hashed = df.select("doc_id", "text", "source", F.xxhash64("doc_id", "text").alias("h")).collect()
+    ordered: dict = {}
+    for r in hashed:
+        ordered.setdefault(r.source or "", []).append((r.h % 1, r.doc_id is not None, r.doc_id or 0, r.text))
+    blocks = {s: -(-len(x) // 7) for s, x in ordered.items()}
+    want, slots = [], {}
+    for slot, (s, j) in enumerate(pfair_mix.schedule(blocks, {"a": 0.5, "b": 0.3, "": 0.2})):
+        slots[s, j] = slot
+        want += [(s, d if known else None, t) for _, known, d, t in sorted(ordered[s])[7 * j : 7 * j + 7]]
+    rows = sorted(got.collect(), key=lambda r: r.mix_position)
+    assert [r.mix_position for r in rows] == list(range(300))
+    assert [(r.source or "", r.doc_id, r.text) for r in rows] == want
+    assert all(slots[r.source or "", r.mix_block] == r.mix_slot for r in rows)
+
+
+def test_slots_keep_any_columns(spark):
+    df = spark.range(50).select((F.col("id") % 3).cast("int").alias("shard"), "id", *[F.lit(9).alias(c) for c in ("slot", "row", "g", "b", "n", "first", "within", "_bucket", "_n")])
+    got = kd_shards.number_slots(df, ("id",))
+    assert got.columns == ["shard", "id", "row", "g", "b", "n", "first", "within", "_bucket", "_n", "slot"]
+    for shard in range(3):
+        assert sorted(r.slot for r in got.collect() if r.shard == shard) == list(range(17 if shard < 2 else 16))
+
+
+def test_tree_splits_at_weighted_medians_along_the_widest_dimension(spark):
+    """The tree of brute force: each node is cut where its weight parts, on the dimension that is widest in it."""
+    rng = random.Random(6)
+    points = [(rng.randrange(8, 400), *[rng.randrange(1 << 31) * (1 << 32) // w + rng.randrange(1 << 32) for w in (1, 4, 2, 3)]) for _ in range(700)]
+    rows = spark.createDataFrame(points, "size long, x0 long, x1 long, x2 long, x3 long")
+    nodes, depth = kd_shards.build_tree(rows, 11)
+    total = sum(p[0] for p in points)
+    spread = [(max(p[1 + k] for p in points) >> 32) - (min(p[1 + k] for p in points) >> 32) for k in range(4)]
+
+    def check(at, inside):
+        node = nodes[at]
+        if node.shards == 1:
+            assert abs(sum(p[0] for p in inside) - total / 11) < 2 * 400
+            return 1
+        widths = [((max(p[1 + k] for p in inside) >> 32) - (min(p[1 + k] for p in inside) >> 32)) / spread[k] for k in range(4)]
+        assert widths[node.axis] == max(widths)
+        left, right = [p for p in inside if p[1 + node.axis] <= node.split], [p for p in inside if p[1 + node.axis] > node.split]
+        goal = sum(p[0] for p in inside) * (node.shards // 2) // node.shards
+        assert abs(sum(p[0] for p in left) - goal) <= 400  # as near as whole rows allow
+        return check(node.low, left) + check(node.high, right)
+
+    assert check(0, points) == 11 and depth == 4
+
+def view(rows, perspective):
+    """The whole view of one dialogue and the texts that are to be learned."""
+    text, learned = "", []
+    for _, name, said in sorted(rows):
+        head = {"system": "<|system|>", perspective: "<|assistant|>"}.get(name, f"<|user name={name}|>")
+        text += f"{head}\n{said}<|end|>\n"
+        if name == perspective:
+            learned.append(f"{said}<|end|>")
+    return text, learned
+
+
 def test_chat_views(spark):
+    rng = random.Random(3)
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo é"), (1, 300, "ann", None), (2, None, None, "x"), (2, 0, "ann", "y"), (3, 0, "system", "alone"), (None, 0, "ann", "z"), (1, 1, "ann", "hi")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(r.conv_id, r.perspective, r.chunk): r for r in chat_views.rotate(df).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (1, "ann", 1), (1, "bob", 1), (2, "ann", 0), (2, "ann", -1), (2, "unknown", 0), (2, "unknown", -1), (None, "ann", 0)}
-    bob = got[1, "bob", 0]
-    assert bob.text == "<|system|>\nbe kind<|end|>\n<|user name=ann|>\nhi<|end|>\n<|user name=ann|>\nhi<|end|>\n<|assistant|>\nyo é<|end|>\n"
-    assert [bob.text[s.start : s.end] for s in bob.spans] == ["yo é<|end|>"]
-    ann = got[1, "ann", 0]
-    assert [ann.text[s.start : s.end] for s in ann.spans] == ["hi<|end|>", "hi<|end|>"]
-    assert got[1, "ann", 1].text == "<|assistant|>\n<|end|>\n"
+    rows += [(4, None if k % 2 else rng.randrange(9), rng.choice(["ann", "bob", "system"]), f"turn {k}" * rng.randrange(3)) for k in range(1000)]
+    rows += [(5, 0, "ann", "long " * 20_000)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, perspective string, piece int")
+    got: dict = {}
+    for r in sorted(chat_views.rotate(df, turns=100).collect(), key=lambda r: r.piece):
+        got.setdefault((r.conv_id, r.perspective), []).append(r)
+    want: dict = {}
+    for conv in {r[0] for r in rows}:
+        turns = [(-1 if t is None else t, n or "unknown", x or "") for c, t, n, x in rows if c == conv]
+        want |= {(conv, p): (len(turns), *view(turns, p)) for p in {n for _, n, _ in turns} - {"system"}}
+    assert set(got) == set(want)
+    for key, (n, text, learned) in want.items():
+        pieces = got[key]
+        assert [p.piece for p in pieces] == list(range(len(pieces))) and sum(p.n_turns for p in pieces) == n
+        assert all(p.n_turns == 100 for p in pieces[:-1]) and pieces[-1].n_turns <= 100
+        whole = "".join(p.text for p in pieces)
+        assert whole == text
+        assert [p.start for p in pieces] == [len("".join(q.text for q in pieces[:k])) for k in range(len(pieces))]
+        assert [whole[s.start : s.end] for p in pieces for s in p.spans] == learned
+    assert len(got[4, "ann"]) == 10
     assert chat_views.rotate(df.limit(0)).count() == 0
 
 
@@ -158,7 +235,7 @@ def test_slots_follow_the_mixed_order(spark, data, monkeypatch, shards):
     monkeypatch.setattr(corpus_pipeline, "SHARDS", shards)
     docs = spark.createDataFrame([(i, f"text {i}", "rare" if i % 10 == 0 else "common") for i in range(9000)], "doc_id long, text string, source string")
     got = sorted((r.shard, r.slot, r.doc_id, r.source) for r in corpus_pipeline.sharding(spark, docs, data).collect())
-    position = {r.doc_id: r.mix_position for r in pfair_mix.mix(docs).collect()}
+    position = {r.doc_id: r.mix_position for r in pfair_mix.mix(docs, ties=(text_key(),)).collect()}
     for shard in range(shards):
         ids = [i for s, _, i, _ in got if s == shard]
         assert [k for s, k, _, _ in got if s == shard] == list(range(len(ids)))
