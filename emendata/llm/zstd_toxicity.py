@@ -68,8 +68,8 @@ def _document_frequency(texts: list[bytes], at_once: int = 200) -> tuple[np.ndar
     return gram, count
 
 
-def _telling_grams(toxic: list[bytes], ordinary: list[bytes], z_least: float = 7.0, least: int = 60) -> np.ndarray:
-    """5-grams of toxic texts that are over-represented by at least ``z_least`` standard deviations, or the ``least`` most so.
+def _telling_grams(toxic: list[bytes], ordinary: list[bytes], z_least: float = 5.0) -> np.ndarray:
+    """5-grams of toxic texts that are over-represented by at least ``z_least`` standard deviations.
 
     Grams across two words are left out, as they hold more of the neighbours than of the word, and so are those
     with marks or digits: they tell of layout.
@@ -88,10 +88,7 @@ def _telling_grams(toxic: list[bytes], ordinary: list[bytes], z_least: float = 7
         byte = ((gram >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)
         plain &= _LETTER[byte] | (_BLANK[byte] if k in (0, GRAM - 1) else False)
     usable = plain & (a >= 3) & ((a + 0.5) / n >= 10 * (b + 0.5) / m)
-    chosen = usable & (z >= z_least)
-    if chosen.sum() < least:
-        chosen = usable & (z >= np.sort(z[usable])[-least:].min(initial=np.inf))
-    return np.sort(gram[chosen])
+    return np.sort(gram[usable & (z >= z_least)])
 
 
 def _passages(text: bytes, telling: np.ndarray) -> list[bytes]:
@@ -211,7 +208,7 @@ def score(df: DataFrame, labels: DataFrame, toxic_rows: int = 2000, ordinary_row
     """Columns ``keep``, score and predicted (1 from THRESHOLD on) for every row of ``df``.
 
     Null and empty texts have no window and get the score of a document without savings. Repeated rows are
-    scored each. The curve's start is moved from the sample's share of toxic rows to that of all labels.
+    scored each; a document with labels of both kinds is learned from as both. The curve's start is moved from the sample's share of toxic rows to that of all labels.
     """
     toxic, ordinary, share = labelled_sample(df, labels, toxic_rows, ordinary_rows)
     model = fit(toxic, ordinary)

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from emendata.llm import llr_quality, ppm_language, textscan, zstd_toxicity
 
 from .conftest import sentence, words
@@ -175,3 +176,31 @@ def test_ordinary_dictionary_learns_from_all_sampled_texts(monkeypatch):
     assert len(given[0]) > 40_000
     assert sum(len(x) for x in given[0]) == sum(len(zstd_toxicity._lowered(x)) for x in ordinary)
     assert b"last passage 19" in given[0][-1] + given[0][-2]
+
+
+def test_scores_are_those_of_compression_lengths():
+    """Every window compressed by itself, with a compressor of its own for each dictionary, and the curve over the savings."""
+    rng = random.Random(3)
+    toxic = [f"{sentence(rng, 30, 0, 90)} gruffle {sentence(rng, 20, 0, 90)} Blorpish gruffle quaxom" for _ in range(60)]
+    ordinary = [sentence(rng, 60, 0, 90) for _ in range(120)]
+    model = zstd_toxicity.fit(toxic, ordinary)
+    assert b"gruffle" in model.toxic and b"gruffle" not in model.ordinary
+    texts = [*toxic[:5], *ordinary[:5], "gruffle", "", None, "é" * 50, sentence(rng, 30_000, 0, 90) + " gruffle", " \n"]
+    got = zstd_toxicity.scores(texts, model, zstd_toxicity._pair(model))
+
+    def size(content, part):
+        trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=9, dict_data=trained, write_content_size=False, write_checksum=False, write_dict_id=False).compress(part))
+
+    for text, score in zip(texts, got, strict=True):
+        features = [1.0] + [0.0] * 11
+        if text:
+            data = f" {text.lower()} ".encode()
+            parts = [data[k : k + 32] for k in range(0, max(len(data) - 16, 1), 16)]
+            seen = {part: size(model.ordinary, part) - size(model.ordinary + model.toxic, part) for part in set(parts)}
+            saved = sorted((seen[part] for part in parts), reverse=True)
+            features[1] = max(saved[0], 0)
+            features[2] = sum(max(x, 0) for x in saved[:3])
+            features[3:11] = [math.log1p(50 * sum(x >= cut for x in saved) / len(saved)) for cut in range(2, 10)]
+            features[11] = math.log(len(saved))
+        assert score == pytest.approx(1 / (1 + math.exp(-np.clip(np.dot(features, model.weights), -30, 30))), abs=1e-8)
