@@ -8,7 +8,6 @@ may update are laid over the response's own.
 from __future__ import annotations
 
 import gzip
-import io
 import zlib
 from collections.abc import Iterator
 
@@ -39,40 +38,50 @@ def _header_block(data: bytes) -> tuple[str, dict[str, str], bytes]:
     return first, out, rest
 
 
-def parse_warc(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, gzipped by record or not; what follows a broken record is left out."""
-    if data[:2] == b"\x1f\x8b":
+def _plain(data: bytes, piece: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of a file, or of each of its gzip members; after a broken member the next one is looked for."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while 0 <= at < len(data):
+        member, out, stop = zlib.decompressobj(31), [], at
         try:
-            data = gzip.decompress(data)
-        except (OSError, EOFError, zlib.error):
-            plain = b""
-            while data[:2] == b"\x1f\x8b":
-                member = zlib.decompressobj(31)
-                try:
-                    plain += member.decompress(data)
-                except zlib.error:
-                    break
-                data = member.unused_data
-            data = plain
-    at = 0
-    stream = io.BytesIO(data)
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", start)
-        if end < 0:
-            return
-        _, fields, _ = _header_block(data[start : end + 4])
-        size = fields.get("content-length", "")
-        if not size.isdigit() or end + 4 + int(size) > len(data):
-            return
-        stream.seek(end + 4)
-        block = stream.read(int(size))
-        row = {"position": start, "type": fields.get("warc-type"), "uri": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "record_id": fields.get("warc-record-id"), "fields": fields, "status": None, "headers": {}, "payload": block}
-        if fields.get("content-type", "").startswith("application/http") and block.startswith(b"HTTP/"):
-            line, headers, body = _header_block(block)
-            code = line.split(" ")[1:2]
-            row |= {"status": int(code[0]) if code and code[0].isdigit() else None, "headers": headers, "payload": body}
-        yield row
-        at = end + 4 + int(size)
+            while stop < len(data) and not member.eof:
+                out.append(member.decompress(view[stop : stop + piece]))
+                stop = min(stop + piece, len(data))
+        except zlib.error:
+            pass
+        if member.eof:
+            yield b"".join(out)
+            at = stop - len(member.unused_data)
+            if data[at : at + 2] == b"\x1f\x8b":
+                continue
+        at = data.find(b"\x1f\x8b\x08", at + (not member.eof))
+
+
+def parse_warc(data: bytes) -> Iterator[dict]:
+    """The records of a WARC file, gzipped by record or not; a broken record is left out, and those behind it are not."""
+    before = 0
+    for plain in _plain(data):
+        at = 0
+        while (start := plain.find(b"WARC/", at)) >= 0:
+            end = plain.find(b"\r\n\r\n", start)
+            fields = _header_block(plain[start : end + 4])[1] if end >= 0 else {}
+            size = fields.get("content-length", "")
+            after = end + 4 + int(size) if size.isdigit() else -1
+            if not (0 <= after <= len(plain)):
+                at = start + 5
+                continue
+            block = plain[end + 4 : after]
+            row = {"position": before + start, "type": fields.get("warc-type"), "uri": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "record_id": fields.get("warc-record-id"), "fields": fields, "status": None, "headers": {}, "payload": block}
+            if fields.get("content-type", "").startswith("application/http") and block.startswith(b"HTTP/"):
+                line, headers, body = _header_block(block)
+                code = line.split(" ")[1:2]
+                row |= {"status": int(code[0]) if code and code[0].isdigit() else None, "headers": headers, "payload": body}
+            yield row
+            at = after
+        before += len(plain)
 
 
 def format_warc(kind: str, uri: str, date: str, record_id: str, status: int, headers: dict[str, str], payload: bytes, packed: bool = True) -> bytes:

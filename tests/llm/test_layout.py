@@ -10,6 +10,7 @@ from emendata.llm.common import text_key
 from pyspark.sql import functions as F
 
 from .conftest import words
+from .test_pairs import best_similarity, expected_components, leak_words
 
 
 def test_shards_are_near_equal_and_slots_gapless(spark):
@@ -171,6 +172,26 @@ def test_warc_round_trip(spark, tmp_path):
         assert [(r.type, r.uri, r.date, r.record_id, r.status, r.headers, bytes(r.payload)) for r in mine] == records
 
 
+def test_records_behind_a_broken_one_are_read():
+    record = lambda k: ("response", f"http://a.example/{k}", "2024-01-01T00:00:00Z", f"<urn:{k}>", 200, {"etag": f'"{k}"'}, bytes([65 + k]) * 40)
+    for packed in (True, False):
+        parts = [warc_revisits.format_warc(*record(k), packed=packed) for k in range(5)]
+        broken = parts[1][:90] if packed else parts[1].replace(b"Content-Length: ", b"Content-Length: x")
+        cut = parts[4][:-40]
+        got = list(warc_revisits.parse_warc(parts[0] + broken + parts[2] + parts[3] + cut))
+        assert [r["record_id"] for r in got] == ["<urn:0>", "<urn:2>", "<urn:3>"]
+        assert [r["payload"] for r in got] == [bytes([65 + k]) * 40 for k in (0, 2, 3)]
+
+
+def test_revisits_with_odd_columns(spark):
+    """Repeated records, extra columns whose names the join uses itself, and an empty table."""
+    rows = [(1, "response", "http://a/x", 1, 200, {"etag": "1"}, b"one"), (2, "revisit", "http://a/x", 2, 304, {"etag": "1"}, None)]
+    records = spark.createDataFrame(rows, "record_id long, type string, uri string, at long, status int, headers map<string,string>, payload binary").withColumns({"date": F.timestamp_seconds("at"), **{c: F.lit(5) for c in ("url", "outcome", "response_id", "old", "new", "full", "_found")}})
+    assert [(r.record_id, r.url, r.outcome, r.response_id) for r in warc_revisits.resolve(records).collect()] == [(2, "a/x", "resolved", 1)]
+    twice = warc_revisits.resolve(records.union(records)).collect()
+    assert {(r.record_id, r.outcome, r.response_id) for r in twice} == {(2, "resolved", 1)}
+
+
 def test_canonical_urls(spark):
     urls = {"HTTP://WWW.Example.com:80/a/?b=2&a=1&utm_source=x#top": "example.com/a?a=1&b=2", "https://m.example.com": "example.com", "https://example.com/?ref=q": "example.com", " example.com/A/ ": "example.com/A"}
     rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", warc_revisits.canonical_url(F.col("u")).alias("c")).collect()
@@ -258,6 +279,14 @@ def test_pipeline(spark, data, tmp_path):
             assert kept == ids
         else:
             assert len(kept) < len(ids)
+        rows = docs.select("doc_id", "text").collect()
+        if name == "near_duplicates":
+            assert kept == {i for i, (_, c) in expected_components([(r.doc_id, r.text) for r in rows], 5, 80).items() if c == i}
+        if name == "decontamination":
+            items = [leak_words(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+            grams = {tuple(x[j : j + 5]) for x in items for j in range(len(x) - 4)}
+            near = [(r.doc_id, ws) for r in rows if (ws := leak_words(r.text)) and any(tuple(ws[j : j + 5]) in grams for j in range(len(ws) - 4))]
+            assert ids - kept == {i for i, ws in near if any(best_similarity(ws, x) >= 0.8 for x in items if x)}
         docs, ids = after, kept
     assert before > docs.count() > before // 2
     assert corpus_pipeline.run(spark, data).count() == docs.count()

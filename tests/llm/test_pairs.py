@@ -115,6 +115,19 @@ def leak_words(text):
     return regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
 
 
+def best_similarity(ws, item):
+    """The highest weighted similarity of an item's shingles to those of a window of as many words."""
+    size = min(5, len(item))
+    wanted = Counter(tuple(item[j : j + size]) for j in range(len(item) - size + 1))
+    best = 0
+    for s in range(max(len(ws) - len(item), 0) + 1):
+        part = ws[s : s + len(item)]
+        have = Counter(tuple(part[j : j + size]) for j in range(len(part) - size + 1))
+        if have:
+            best = max(best, sum((have & wanted).values()) / sum((have | wanted).values()))
+    return best
+
+
 def test_leaks_match_brute_force(spark):
     import random
 
@@ -141,16 +154,8 @@ def test_leaks_match_brute_force(spark):
     got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.find_leaks(documents, spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = {}
     for i, text, _ in rows:
-        ws = leak_words(text)
         for k, item in enumerate(item_words):
-            size = min(5, len(item))
-            wanted = Counter(tuple(item[j : j + size]) for j in range(len(item) - size + 1))
-            best = 0
-            for s in range(max(len(ws) - len(item), 0) + 1):
-                part = ws[s : s + len(item)]
-                have = Counter(tuple(part[j : j + size]) for j in range(len(part) - size + 1))
-                if have:
-                    best = max(best, sum((have & wanted).values()) / sum((have | wanted).values()))
+            best = best_similarity(leak_words(text), item)
             if i is not None and best >= 0.8:
                 want[i, k] = round(best, 9)
     assert len(want) > 20
