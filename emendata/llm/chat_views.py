@@ -9,7 +9,7 @@ view, and spans count its characters. So no row holds more than TURNS turns, wha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -24,16 +24,36 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
     Rows lie in sorted ranges, so a dialogue may spread over many tasks; a part begins after the parts before it.
     """
-    order = ["conv_id", "turn", "name", "said"]
+    order = ["conv", "lone", "turn", "name", "said"]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = materialise(rows.repartitionByRange(n, *order).sortWithinPartitions(*order)).withColumn("id", F.monotonically_increasing_id())
     # the number of a row's partition, and its place there
     placed = laid.withColumns({"part": F.shiftright("id", 33), "at": F.col("id").bitwiseAND((1 << 33) - 1)})
-    parts = placed.groupBy(F.col("conv_id").alias("_conv"), F.col("part").alias("_part")).agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("_conv").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    first = parts.select("_conv", "_part", "low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    joined = placed.join(first, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")))
-    return joined.select(*order, (F.col("first") + F.col("at") - F.col("low")).alias("position"))
+    parts = placed.groupBy("conv", "lone", "part").agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("conv", "lone").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = parts.select("conv", "lone", "part", "low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return placed.join(first, ["conv", "lone", "part"]).select(*order, (F.col("first") + F.col("at") - F.col("low")).alias("position"))
+
+
+def _head(name: Column, own: Column) -> Column:
+    return F.when(name == SYSTEM, F.lit("<|system|>\n")).when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))
+
+
+def _begins(numbered: DataFrame) -> DataFrame:
+    """(conv, lone, piece, perspective, start) for each piece of each view, from lengths by piece and speaker.
+
+    A view's length is that of a reader who says nothing, less what the speaker's own heads are shorter by.
+    """
+    spoken = numbered.groupBy("conv", "lone", "piece", "name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("said")).alias("said"))
+    spoken = materialise(spoken.withColumn("size", F.col("said") + F.col("n") * (F.length(_head(F.col("name"), F.lit(False))) + len(END))))
+    whole = spoken.groupBy("conv", "lone", "piece").agg(F.sum("size").alias("size"))
+    participants = spoken.filter(F.col("name") != SYSTEM).select("conv", "lone", F.col("name").alias("perspective")).distinct()
+    less = F.col("n") * (F.length(_head(F.col("name"), F.lit(False))) - F.length(_head(F.col("name"), F.lit(True))))
+    own = spoken.select("conv", "lone", "piece", F.col("name").alias("perspective"), less.alias("less"))
+    sizes = whole.join(participants, ["conv", "lone"]).join(own, ["conv", "lone", "piece", "perspective"], "left")
+    before = Window.partitionBy("conv", "lone", "perspective").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("size") - F.coalesce("less", F.lit(0))).over(before), F.lit(0))
+    return sizes.select("conv", "lone", "piece", "perspective", start.alias("start"))
 
 
 def rotate(df: DataFrame, turns: int = TURNS) -> DataFrame:
@@ -45,25 +65,20 @@ def rotate(df: DataFrame, turns: int = TURNS) -> DataFrame:
     of system turns alone has no participant and gives no row. A piece begins at character ``start`` of the
     view; spans are (start, end) in characters of the view.
     """
+    kind = df.schema["conv_id"].dataType
     rows = df.select(
-        "conv_id",
+        F.coalesce(F.col("conv_id"), F.lit(0).cast(kind)).alias("conv"),
+        F.col("conv_id").isNull().alias("lone"),
         F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
         F.coalesce(F.col("role"), F.lit(UNKNOWN)).alias("name"),
         F.coalesce(F.col("text"), F.lit("")).alias("said"),
     )
     numbered = _numbered(rows).withColumn("piece", F.expr(f"position div {turns}"))
-    participants = rows.filter(F.col("name") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("name").alias("perspective")).distinct()
-    joined = numbered.join(participants, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    # dealt by pieces, so that a long dialogue is spread, and grouped without another exchange
+    joined = numbered.join(_begins(numbered), ["conv", "lone", "piece"])
     own = F.col("name") == F.col("perspective")
-    head = F.when(F.col("name") == SYSTEM, F.lit("<|system|>\n")).when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), F.col("name"), F.lit("|>\n")))
-    views = joined.select("conv_id", "perspective", "piece", "position", "said", head.alias("head"), own.alias("own"))
-    key = ["conv_id", "perspective", "piece"]
-    sizes = views.groupBy(*key).agg(F.sum(F.length("head") + F.length("said") + len(END)).alias("size"))
-    before = Window.partitionBy("conv_id", "perspective").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    begins = sizes.select(*[F.col(k).alias(f"_{k}") for k in key], F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    pieces = views.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("position", "said", "head", "own"))).alias("parts"))
-    same = F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("perspective") == F.col("_perspective")) & (F.col("piece") == F.col("_piece"))
-    placed = pieces.join(begins, same)
+    turn = F.struct("position", "said", _head(F.col("name"), own).alias("head"), own.alias("own"))
+    placed = joined.groupBy("conv", "lone", "piece", "perspective").agg(F.first("start").alias("start"), F.array_sort(F.collect_list(turn)).alias("parts"))
     nothing = F.struct(F.col("start").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
 
     def step(done, part):
@@ -73,7 +88,8 @@ def rotate(df: DataFrame, turns: int = TURNS) -> DataFrame:
         return F.struct((after + 1).alias("at"), spans.alias("spans"))
 
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["said"], F.lit(END))), "")
-    return placed.select(*key, F.size("parts").cast("long").alias("n_turns"), "start", text.alias("text"), F.aggregate("parts", nothing, step)["spans"].alias("spans"))
+    conv_id = F.when(~F.col("lone"), F.col("conv")).alias("conv_id")
+    return placed.select(conv_id, "perspective", "piece", F.size("parts").cast("long").alias("n_turns"), "start", text.alias("text"), F.aggregate("parts", nothing, step)["spans"].alias("spans"))
 
 
 def mask_text(spans: str = "spans"):

@@ -68,8 +68,8 @@ def _document_frequency(texts: list[bytes], at_once: int = 200) -> tuple[np.ndar
     return gram, count
 
 
-def _telling_grams(toxic: list[bytes], ordinary: list[bytes], z_least: float = 5.0) -> np.ndarray:
-    """5-grams of toxic texts that are over-represented by at least ``z_least`` standard deviations.
+def _telling_grams(toxic: list[bytes], ordinary: list[bytes], z_least: float = 7.0, foremost: int = 60) -> np.ndarray:
+    """5-grams of toxic texts that are over-represented by at least ``z_least`` standard deviations, and the ``foremost`` of all.
 
     Grams across two words are left out, as they hold more of the neighbours than of the word, and so are those
     with marks or digits: they tell of layout.
@@ -88,7 +88,8 @@ def _telling_grams(toxic: list[bytes], ordinary: list[bytes], z_least: float = 5
         byte = ((gram >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)
         plain &= _LETTER[byte] | (_BLANK[byte] if k in (0, GRAM - 1) else False)
     usable = plain & (a >= 3) & ((a + 0.5) / n >= 10 * (b + 0.5) / m)
-    return np.sort(gram[usable & (z >= z_least)])
+    highest = np.sort(z[usable])[-foremost:].min(initial=np.inf)
+    return np.sort(gram[usable & (z >= min(z_least, highest))])
 
 
 def _passages(text: bytes, telling: np.ndarray) -> list[bytes]:
