@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import code, corrupt
+from ..functions import code
 from ..operators import evaluation
 from ..streaming import resume
 from .tables import rounded, table, turn_pairs
@@ -35,16 +35,6 @@ def code_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.complexity_rows(_programs(spark, sf_dir))
 
 
-def corrupt_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _programs(spark, sf_dir).select("task_id", corrupt.corrupt(F.col("canonical_solution"), F.col("task_id")).alias("m"))
-    return made.select("task_id", "m.code", F.array_join("m.mutations", ",").alias("mutations"), "m.error")
-
-
-def corrupt_code_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _programs(spark, sf_dir).select("task_id", corrupt.corrupt(F.col("canonical_solution"), F.col("task_id"), extra=True).alias("m"))
-    return made.select("task_id", "m.code", F.array_join("m.mutations", ",").alias("mutations"), "m.error")
-
-
 def standardize_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _programs(spark, sf_dir)
     return rows.select("task_id", code.standardise_code("canonical_solution").alias("standard"), code.body_of("canonical_solution").alias("body"), F.size(code.tokenise_code("solution")).cast("long").alias("n_tokens"))
@@ -96,6 +86,6 @@ def streaming_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(f"{ddl}, batch int").option("recursiveFileLookup", "true").json(f"{folder}/out").select("task_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (structured_diff, code_complexity, corrupt_code, corrupt_code_extra, standardize_code, response_code, similarity_metrics, similarity_summary, corpus_codebleu, rouge_l, meteor, codebleu, streaming_resume)}
+QUERIES = {f.__name__: f for f in (structured_diff, code_complexity, standardize_code, response_code, similarity_metrics, similarity_summary, corpus_codebleu, rouge_l, meteor, codebleu, streaming_resume)}
 #: The others need a parser for programs, a stemmer or an edit table, which SQL has not.
 ORACLES = {"streaming_resume": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS task_id FROM events"}

@@ -109,12 +109,12 @@ def test_lists_of_mutators():
     assert (len(corrupt.BASE), len(corrupt.EXTRA)) == (14, 20)
 
 
-@pytest.mark.parametrize("extra", [False, True])
+@pytest.mark.parametrize("family", ["base", "extra", "both"])
 @pytest.mark.parametrize("key", [f"task/{i}" for i in range(25)])
-def test_mutations_keep_the_signature(key, extra):
-    made, names, error = corrupt.mutate(SOURCE, key, extra=extra)
-    assert error is None and names and len(names) <= (corrupt.MOST_EXTRA if extra else corrupt.MOST_BASE)
-    assert made == corrupt.mutate(SOURCE, key, extra=extra)[0]
+def test_mutations_keep_the_signature(key, family):
+    made, names, error = corrupt.mutate(SOURCE, key, family=family)
+    assert error is None and names and len(names) <= (corrupt.MOST_BASE if family == "base" else corrupt.MOST_EXTRA)
+    assert made == corrupt.mutate(SOURCE, key, family=family)[0]
     assert made != ast.unparse(ast.parse(SOURCE))
     assert ast.dump(ast.parse(made).body[0].args) == ast.dump(ast.parse(SOURCE).body[0].args)
 
