@@ -17,9 +17,10 @@ import zlib
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import stemmer
 
@@ -77,6 +78,12 @@ def first_function(tree: ast.AST) -> ast.FunctionDef | None:
     return next((n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef)), None)
 
 
+def function_name(code: str) -> str | None:
+    """The name of the one function in a program; null where there are none or several."""
+    names = [n.name for n in ast.walk(ast.parse(code)) if isinstance(n, ast.FunctionDef)] if parses(code) else []
+    return names[0] if len(names) == 1 else None
+
+
 _DEF_LINE = re.compile(r"def\s+[^:]+:\s*\n")
 _DOC_BLOCK = re.compile(r"^\s*(\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')\s*\n")
 
@@ -227,22 +234,23 @@ def sequence_distance(a: list[str], b: list[str]) -> int:
     return score
 
 
+_stem = lru_cache(maxsize=1 << 16)(stemmer.stem)
+
+
 def _rouge_words(text: str) -> list[str]:
     words = re.findall(r"[a-z0-9]+", text.lower())
-    return [stemmer.stem(w) if len(w) > 3 else w for w in words]
+    return [_stem(w) if len(w) > 3 else w for w in words]
 
 
 def rouge_l(reference: str, prediction: str) -> float:
-    a, b = _rouge_words(reference), _rouge_words(prediction)
-    common = common_length(a, b)
-    return 2 * common / (len(a) + len(b)) if common else 0.0
+    return rouges(reference, prediction)[2]
 
 
 def meteor(reference: str, prediction: str) -> float:
     """Unigram matches, exact and then by stem, with a penalty for chunks (0.9, 3, 0.5). Synonyms need WordNet and are left out."""
     ref, pred = reference.lower().split(), prediction.lower().split()
     free, pairs = set(range(len(ref))), {}
-    for form in (lambda w: w, stemmer.stem):
+    for form in (lambda w: w, _stem):
         places: dict[str, list[int]] = {}
         for j in sorted(free, reverse=True):
             places.setdefault(form(ref[j]), []).append(j)
@@ -264,15 +272,38 @@ def _grams(items: list[str], n: int) -> Counter:
     return Counter(tuple(items[i : i + n]) for i in range(len(items) - n + 1))
 
 
-def sentence_bleu(reference: list[str], prediction: list[str]) -> float:
-    """BLEU-4 of two token lists; zero matches count as 0.1, without a common token it is 0."""
-    if not set(reference) & set(prediction):
+def clipped(a: list, b: list, orders: int) -> list[tuple[int, int, int]]:
+    """(matches, n-grams of b, n-grams of a) for n up to ``orders``, of two lists; exact, without a table of n-grams."""
+    _, known = np.unique(np.array([*a, *b], dtype=object), return_inverse=True) if a or b else (None, np.zeros(0, np.int64))
+    letters, out = (known[: len(a)], known[len(a) :]), []
+    grams = list(letters)
+    for n in range(1, orders + 1):
+        if n > 1:  # a gram is the number of the one before it, and one element more
+            grams = [g[:-1] * len(known) + x[n - 1 :] if len(g) > 1 else g[:0] for g, x in zip(grams, letters, strict=True)]
+            _, both = np.unique(np.concatenate(grams), return_inverse=True)
+            grams = [both[: len(grams[0])], both[len(grams[0]) :]]
+        size = int(max((g.max(initial=-1) for g in grams))) + 1
+        counts = [np.bincount(g, minlength=size) for g in grams]
+        out.append((int(np.minimum(*counts).sum()), len(grams[1]), len(grams[0])))
+    return out
+
+
+def bleu_counts(reference: list[str], prediction: list[str]) -> list[int]:
+    """What a pair adds to a corpus score: both lengths, then matches and n-grams of the prediction for n up to 4."""
+    return [len(reference), len(prediction), *[x for matches, predicted, _ in clipped(reference, prediction, 4) for x in (matches, predicted)]]
+
+
+def bleu_of_counts(counts: list[float]) -> float:
+    """BLEU-4; zero matches count as 0.1, without a common token it is 0."""
+    expected, predicted, *pairs = counts
+    if not pairs[0]:
         return 0.0
-    product = 1.0
-    for n in range(1, 5):
-        found = _grams(prediction, n)
-        product *= (sum((found & _grams(reference, n)).values()) or 0.1) / max(sum(found.values()), 1)
-    return product**0.25 * _brevity(len(prediction), len(reference))
+    product = math.prod((pairs[k] or 0.1) / max(pairs[k + 1], 1) for k in range(0, 8, 2))
+    return product**0.25 * _brevity(predicted, expected)
+
+
+def sentence_bleu(reference: list[str], prediction: list[str]) -> float:
+    return bleu_of_counts(bleu_counts(reference, prediction))
 
 
 def _brevity(predicted: int, expected: int) -> float:
@@ -280,20 +311,23 @@ def _brevity(predicted: int, expected: int) -> float:
 
 
 def rouge_n(reference: str, prediction: str, n: int) -> float:
-    a, b = _grams(_rouge_words(reference), n), _grams(_rouge_words(prediction), n)
-    total = sum(a.values()) + sum(b.values())
-    return 2 * sum((a & b).values()) / total if total else 0.0
+    return rouges(reference, prediction)[n - 1]
+
+
+def rouges(reference: str, prediction: str) -> tuple[float, float, float]:
+    """ROUGE-1, ROUGE-2 and ROUGE-L (F1) over stems."""
+    a, b = _rouge_words(reference), _rouge_words(prediction)
+    one, two = (2 * matches / (predicted + expected) if matches else 0.0 for matches, predicted, expected in clipped(a, b, 2))
+    common = common_length(a, b)
+    return one, two, 2 * common / (len(a) + len(b)) if common else 0.0
 
 
 def chrf(reference: str, prediction: str) -> float:
     """Mean F-score (beta 3) of character n-grams up to 6, white space removed; an order that a side lacks is 0."""
-    a, b = (list("".join(t.split())) for t in (reference, prediction))
     scores = []
-    for n in range(1, min(6, len(a), len(b)) + 1):
-        x, y = _grams(a, n), _grams(b, n)
-        common = sum((x & y).values())
-        precision, recall = common / sum(y.values()), common / sum(x.values())
-        scores.append(10 * precision * recall / (9 * precision + recall) if common else 0.0)
+    for matches, predicted, expected in clipped(list("".join(reference.split())), list("".join(prediction.split())), 6):
+        precision, recall = matches / max(predicted, 1), matches / max(expected, 1)
+        scores.append(10 * precision * recall / (9 * precision + recall) if matches else 0.0)
     return sum(scores) / 6
 
 
@@ -447,10 +481,15 @@ standardise_code = _each(standardise, StringType())
 tokenise_code = _each(code_tokens, ArrayType(StringType()))
 body_of = _each(function_body, StringType())
 code_of_response = _each(response_code, StringType())
+function_named = _each(function_name, StringType())
 right_side = _each(assert_right_side, StringType())
 tests_of = _each(private_tests, StringType())
 insert_doc = _each_pair(insert_docstring, StringType())
 rouge_l_of = _each_pair(rouge_l, DoubleType())
+chrf_of = _each_pair(chrf, DoubleType())
+bleu_of = _each_pair(lambda a, b: sentence_bleu(list(a), list(b)), DoubleType())
+bleu_counts_of = _each_pair(lambda a, b: bleu_counts(list(a), list(b)), ArrayType(LongType()))
+rouges_of = _each_pair(lambda a, b: list(rouges(a, b)), ArrayType(DoubleType()))
 meteor_of = _each_pair(meteor, DoubleType())
 codebleu_of = _each_pair(codebleu, DoubleType())
 diff_of = _each_pair(structured_diff, ArrayType(StructType([StructField("type", StringType()), StructField("content", StringType())])))

@@ -24,6 +24,30 @@ When fixing the target code:
 - Try to preserve the original code and the logic of the original code as much as possible
 
 The examples are carefully chosen to guide you in fixing similar types of issues. Use them as a reference for how to approach and structure your solution."""
+CORRUPTION_SYSTEM_PROMPT = """
+You are a Python Expert specializing in code analysis and debugging. You will be provided with a problem statement, a correct solution, and the test cases. Your task is to create a subtly incorrect version of the solution such that the test cases fail:
+
+Requirements for the corrupted solution:
+1. Introduce exactly one logical bug that makes the solution incorrect
+2. The bug should be subtle and not immediately obvious from reading the code
+3. Prefer bugs that could realistically be made by a programmer (e.g., off-by-one errors, incorrect operators, swapped variables)
+4. Changes must be minimal - modify as few lines of code as possible
+5. Maintain the original function signature, default arguments, and overall structure
+6. Preserve all existing comments and docstrings
+7. The bug should not cause runtime errors or exceptions
+8. Do not leave any comments or hints in the code about where the bug is that would help the user identify the bug
+
+Guidelines for selecting bugs:
+- Focus on logic/algorithmic errors rather than syntax errors
+- Consider edge cases where the bug might manifest
+- The bug should be discoverable through testing
+- Avoid obvious mistakes like incorrect variable names or syntax errors
+- Try to make the bug as subtle as possible
+- Do not make changes to the error message or print statements
+- When someone is provided with your corruption, they should not need to have access to the test cases to identify the bug
+
+First, think step by step and come up with an approach to generate the corrupted solution.
+Then, output the corrupted solution in a code block, maintaining exact formatting and whitespace of the original code except for your specific changes. Remember to try to limit the number of changes you make to the code that still causes the test cases to fail."""
 # The pieces of the user message.
 TASK = "I am trying to implement a function with the following specifications:\n"
 SO_FAR = "The function I have written so far is:\n"
@@ -38,6 +62,11 @@ def full_solution(prompt: Column, body: Column) -> Column:
     return F.concat(prompt, F.lit("\n"), body)
 
 
+def corruption_request(problem: Column, solution: Column, tests: Column) -> Column:
+    """The request to break a solution; CORRUPTION_SYSTEM_PROMPT goes with it."""
+    return F.concat(F.lit("Problem Statement:\n"), problem, F.lit("\n\nCorrect Solution:\n"), solution, F.lit("\n\nTest Code:\n"), tests)
+
+
 def user_message(problem: Column, corrupted: Column, minimal: bool = False, tests: Column | None = None) -> Column:
     """The request to fix a function; the tests' part only where there is one."""
     shown = F.lit("") if tests is None else F.when(F.coalesce(tests, F.lit("")) != "", F.concat(F.lit(TESTS), tests, F.lit("\n\n"))).otherwise(F.lit(""))

@@ -1,5 +1,6 @@
 """Similarity metrics as expressions and aggregates.
 
+What counts n-grams does so within the row, by an Arrow function, so that none of them is shuffled.
 Distances over tokens or lines use the built-in levenshtein(): each distinct element is mapped to a character
 of its own, so the edit distance of two short strings is that of the sequences.
 """
@@ -9,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import code
+
 #: Code points for elements begin here; surrogates (no characters) are skipped.
 FIRST_CODE, SURROGATES, SURROGATE_COUNT = 0x100, 0xD800, 0x800
 #: Fixed values of the metrics.
 BLEU_ORDER, BLEU_EPSILON = 4, 0.1
-CHRF_ORDER, CHRF_BETA = 6, 3.0
 
 
 def tokens(text: Column) -> Column:
@@ -54,72 +56,29 @@ def complexity_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(1 / (1 + F.abs(a - b)), F.lit(0.0))
 
 
-def ngrams(items: Column, n: int) -> Column:
-    """All runs of n elements, joined by a space."""
-    count = F.size(items) - (n - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(items, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-
-
-def clipped(df: DataFrame, keys: list[str], reference: str, prediction: str, orders: int) -> DataFrame:
-    """(keys, n, matches, predicted, expected): clipped n-gram counts of each pair, for n up to ``orders``."""
-    sides = []
-    for name, side in ((reference, "r"), (prediction, "p")):
-        per_n = F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col(name), n).alias("g")) for n in range(1, orders + 1)])
-        rows = df.select(*keys, F.inline(per_n)).select(*keys, "n", F.explode("g").alias("g"))
-        sides.append(rows.withColumn("side", F.lit(side)))
-    counts = sides[0].union(sides[1]).groupBy(*keys, "n", "g").agg(F.count_if(F.col("side") == "r").alias("r"), F.count_if(F.col("side") == "p").alias("p"))
-    found = counts.groupBy(*keys, "n").agg(F.sum(F.least("r", "p")).alias("matches"), F.sum("p").alias("predicted"), F.sum("r").alias("expected"))
-    return found
-
-
-def _brevity(predicted: Column, expected: Column) -> Column:
-    return F.when(predicted == 0, F.lit(0.0)).when(predicted > expected, F.lit(1.0)).otherwise(F.exp(1 - expected / predicted))
-
-
-def _log_precision() -> Column:
-    """Mean log precision over the orders, from matches1, predicted1, ...; zero matches are smoothed."""
-    logs = F.lit(0.0)
-    for n in range(1, BLEU_ORDER + 1):
-        matches, total = F.coalesce(f"matches{n}", F.lit(0)), F.greatest(F.coalesce(f"predicted{n}", F.lit(0)), F.lit(1))
-        logs = logs + F.log(F.when(matches > 0, matches.cast("double")).otherwise(F.lit(BLEU_EPSILON)) / total) / BLEU_ORDER
-    return logs
-
-
 def sentence_bleu(df: DataFrame, keys: list[str], reference: str, prediction: str) -> DataFrame:
     """(keys, bleu): BLEU-4 of each pair of token lists, zero matches smoothed by a small count; 0 without a common word."""
-    counts = clipped(df, keys, reference, prediction, BLEU_ORDER).select(*keys, "n", "matches", "predicted")
-    wide = counts.groupBy(*keys).agg(*[F.max(F.when(F.col("n") == n, F.col(c))).alias(f"{c}{n}") for n in range(1, BLEU_ORDER + 1) for c in ("matches", "predicted")])
-    sizes = df.select(*keys, F.size(reference).alias("_r"), F.size(prediction).alias("_p"))
-    score = F.when(F.coalesce("matches1", F.lit(0)) == 0, F.lit(0.0)).otherwise(_brevity(F.col("_p"), F.col("_r")) * F.exp(_log_precision()))
-    return sizes.join(wide, keys, "left").select(*keys, score.alias("bleu"))
+    return df.select(*keys, code.bleu_of(reference, prediction).alias("bleu"))
 
 
-def corpus_bleu(df: DataFrame, by: list[str], keys: list[str], reference: str, prediction: str) -> DataFrame:
-    """(by, bleu): counts are summed over each group's pairs before the formula, which is that of sentence_bleu()."""
-    counts = clipped(df, [*by, *keys], reference, prediction, BLEU_ORDER).groupBy(*by).agg(*[F.sum(F.when(F.col("n") == n, F.col(c)).otherwise(0)).alias(f"{c}{n}") for n in range(1, BLEU_ORDER + 1) for c in ("matches", "predicted")])
-    sizes = df.groupBy(*by).agg(F.sum(F.size(reference)).alias("_r"), F.sum(F.size(prediction)).alias("_p"))
-    score = F.when(F.coalesce("matches1", F.lit(0)) == 0, F.lit(0.0)).otherwise(_brevity(F.col("_p"), F.col("_r")) * F.exp(_log_precision()))
-    return sizes.join(counts, by, "left").select(*by, score.alias("bleu"))
+def corpus_bleu(df: DataFrame, by: list[str], reference: str, prediction: str) -> DataFrame:
+    """(by, bleu): counts are made in each row, and only their sums over a group are shuffled."""
+    counts = df.select(*by, code.bleu_counts_of(reference, prediction).alias("c"))
+    sums = counts.groupBy(*by).agg(*[F.sum(F.col("c")[k]).alias(f"c{k}") for k in range(2 + 2 * BLEU_ORDER)])
+    c = [F.col(f"c{k}").cast("double") for k in range(2 + 2 * BLEU_ORDER)]
+    logs = F.lit(0.0)
+    for k in range(2, len(c), 2):
+        logs = logs + F.log(F.when(c[k] > 0, c[k]).otherwise(F.lit(BLEU_EPSILON)) / F.greatest(c[k + 1], F.lit(1.0))) / BLEU_ORDER
+    brevity = F.when(c[1] > c[0], F.lit(1.0)).otherwise(F.exp(1 - c[0] / c[1]))
+    return sums.select(*by, F.when(c[2] > 0, brevity * F.exp(logs)).otherwise(F.lit(0.0)).alias("bleu"))
 
 
-def rouge_n(df: DataFrame, keys: list[str], reference: str, prediction: str, orders: int = 2) -> DataFrame:
-    """(keys, rouge_1, rouge_2, ...): F1 over clipped n-grams of two lists of words, all orders in one pass."""
-    counts = clipped(df, keys, reference, prediction, orders)
-    f1 = F.coalesce(F.try_divide(2 * F.col("matches"), F.col("predicted") + F.col("expected")), F.lit(0.0)).cast("double")
-    wide = counts.groupBy(*keys).agg(*[F.max(F.when(F.col("n") == n, f1)).alias(f"rouge_{n}") for n in range(1, orders + 1)])
-    return df.select(*keys).join(wide, keys, "left").select(*keys, *[F.coalesce(f"rouge_{n}", F.lit(0.0)).alias(f"rouge_{n}") for n in range(1, orders + 1)])
+def rouge(df: DataFrame, keys: list[str], reference: str, prediction: str) -> DataFrame:
+    """(keys, rouge_1, rouge_2, rouge_l): F1 over stems of two texts."""
+    found = df.select(*keys, code.rouges_of(reference, prediction).alias("_f"))
+    return found.select(*keys, *[F.col("_f")[k].alias(f"rouge_{n}") for k, n in enumerate("12l")])
 
 
 def chrf(df: DataFrame, keys: list[str], reference: str, prediction: str) -> DataFrame:
-    """(keys, chrf): mean over n = 1..6 of the F-score (beta 3) of character n-grams, white space removed.
-
-    An order for which either side is too short counts as 0.
-    """
-    split = df.select(*keys, *[F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""), "").alias(c) for c in (reference, prediction)])
-    letters = split.select(*keys, *[F.filter(c, lambda x: x != "").alias(c) for c in (reference, prediction)])
-    counts = clipped(letters, keys, reference, prediction, CHRF_ORDER).filter((F.col("predicted") > 0) & (F.col("expected") > 0))
-    square = CHRF_BETA * CHRF_BETA
-    precision, recall = F.col("matches") / F.col("predicted"), F.col("matches") / F.col("expected")
-    score = F.coalesce(F.try_divide((1 + square) * precision * recall, square * precision + recall), F.lit(0.0))
-    means = counts.withColumn("_f", score).groupBy(*keys).agg((F.sum("_f") / CHRF_ORDER).alias("chrf"))
-    return df.select(*keys).join(means, keys, "left").select(*keys, F.coalesce("chrf", F.lit(0.0)).alias("chrf"))
+    """(keys, chrf): mean over n = 1..6 of the F-score (beta 3) of character n-grams, white space removed."""
+    return df.select(*keys, code.chrf_of(reference, prediction).alias("chrf"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, templates
@@ -13,6 +13,32 @@ from .relational import take_first, unprocessed
 KEYS = {"codegeneration": ["question_id"], "testoutputprediction": ["question_id", "test_id"], "selfrepair": ["question_id"], "codeexecution": ["id"]}
 
 
+# The models of each style.
+MODELS = {
+    "Qwen3Instruct": "Qwen/Qwen3-4B-Instruct-2507",
+    "GenericBase": "meta-llama/Meta-Llama-3-8B meta-llama/Meta-Llama-3-70B meta-llama/Llama-3.1-8B meta-llama/Llama-3.1-70B meta-llama/Llama-3.1-405B-FP8 deepseek-ai/deepseek-coder-33b-base deepseek-ai/deepseek-coder-6.7b-base deepseek-ai/deepseek-coder-1.3b-base bigcode/starcoder2-3b bigcode/starcoder2-7b bigcode/starcoder2-15b google/codegemma-7b google/codegemma-2b google/gemma-7b google/gemma-2b",
+    "LLaMa3": "meta-llama/Meta-Llama-3-8B-Instruct meta-llama/Meta-Llama-3-70B-Instruct meta-llama/Llama-3.1-8B-Instruct meta-llama/Llama-3.1-70B-Instruct meta-llama/Llama-3.1-405B-Instruct-FP8 meta-llama/Llama-3.3-70B-Instruct",
+    "DeepSeekCodeInstruct": "deepseek-ai/deepseek-coder-33b-instruct deepseek-ai/deepseek-coder-6.7b-instruct deepseek-ai/deepseek-coder-1.3b-instruct",
+    "DeepSeekAPI": "01-ai/Yi-Coder-9B-Chat deepseek-r1-preview deepseek-r1-lite-preview deepseek-chat deepseek-coder",
+    "OpenAIChat": "gpt-3.5-turbo-0301 gpt-3.5-turbo-0125 gpt-4-0613 gpt-4-1106-preview gpt-4-turbo-2024-04-09 gpt-4o-2024-05-13 gpt-4o-2024-08-06 gpt-4o-mini-2024-07-18",
+    "OpenAIReasonPreview": "o1-preview-2024-09-12 o1-mini-2024-09-12",
+    "OpenAIReason": "o1-2024-12-17__low o1-2024-12-17__medium o1-2024-12-17__high o3-mini-2025-01-31__low o3-mini-2025-01-31__medium o3-mini-2025-01-31__high o4-mini__high o4-mini__medium o4-mini__low o3__high",
+    "Claude": "claude-instant-1 claude-2",
+    "Claude3": "claude-3-opus-20240229 claude-3-sonnet-20240229 claude-3-5-sonnet-20240620 claude-3-5-sonnet-20241022 claude-3-haiku-20240307 claude-sonnet-4-20250514_nothink",
+    "Claude3Thinking": "claude-3-7-sonnet-20250219 claude-sonnet-4-20250514 claude-opus-4-20250514 claude-opus-4-20250514_nothink",
+    "Gemini": "gemini-1.5-pro-002 gemini-1.5-flash-002",
+    "GeminiThinking": "gemini-2.5-pro gemini-2.5-pro-preview-06-05 gemini-2.5-pro-preview-05-06 gemini-2.5-flash-preview-04-17 gemini-2.5-flash-preview-05-20",
+    "MistralWeb": "mistral-large-latest open-mixtral-8x22b open-mixtral-8x7b codestral-latest",
+    "QwQ": "Qwen/QwQ-32B-Preview Qwen/QwQ-32B Qwen/QwQ-Max-Preview",
+    "CodeQwenInstruct": "Qwen/Qwen2-72B-Instruct Qwen/Qwen2.5-7B-Instruct Qwen/Qwen2.5-32B-Instruct Qwen/Qwen2.5-72B-Instruct Qwen/Qwen2.5-Coder-7B-Instruct Qwen/Qwen2.5-Coder-32B-Instruct Qwen/Qwen3-235B-A22B azerogpt Kimi-k1.6-IOI-high Kimi-k1.6-IOI",
+    "DeepSeekR1": "accounts/fireworks/models/deepseek-r1 deepseek-reasoner deepseek-ai/DeepSeek-R1-Distill-Qwen-1.5B deepseek-ai/DeepSeek-R1-Distill-Qwen-7B deepseek-ai/DeepSeek-R1-Distill-Qwen-14B deepseek-ai/DeepSeek-R1-Distill-Qwen-32B deepseek-ai/DeepSeek-R1-Distill-Llama-8B deepseek-ai/DeepSeek-R1-Distill-Llama-70B MetaStone-L1-7B nvidia/Llama-3_1-Nemotron-Ultra-253B-v1 nvidia/Llama-3_1-Nemotron-Nano-8B-v1 agentica-org/DeepCoder-14B-Preview",
+    "CohereCommand": "command-r-plus-08-2024 command-r-08-2024 command-r7b-12-2024 command-a-03-2025",
+    "TogetherAI": "Qwen/Qwen2.5-72B-Instruct-Turbo",
+    "Grok": "grok-3-mini-beta grok-3-mini-beta_high",
+}
+REGISTRY = tuple((model, style) for style, models in MODELS.items() for model in models.split())
+
+
 def usable_rows(old: DataFrame) -> DataFrame:
     """Rows of an earlier run with at least one output that is not empty."""
     return old.filter(F.coalesce(F.exists("output_list", lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(False)))
@@ -44,13 +70,17 @@ def combined(old: DataFrame, new: DataFrame, scenario: str) -> DataFrame:
 
 
 def repair_rows(benchmark: DataFrame, evaluated: DataFrame) -> DataFrame:
-    """(question_id, position, prompt): a repair prompt for each sample, empty where the sample passes.
+    """(question_id, position, style, prompt): a repair prompt of each style for each sample, empty where it passed.
 
-    Samples and their metadata are parallel lists; a problem with no evaluated row gives none.
+    Samples, verdicts and metadata are parallel lists. A problem must have exactly one evaluated row.
     """
-    samples = F.posexplode(F.arrays_zip(F.col("code_list"), F.col("metadata"))).alias("position", "s")
-    rows = benchmark.select("question_id", "question_content").join(evaluated, "question_id").select("question_id", "question_content", samples)
-    return rows.select("question_id", "position", templates.repair_prompt(F.col("question_content"), F.col("s.code_list"), F.col("s.metadata")).alias("prompt"))
+    samples = F.arrays_zip("code_list", "graded_list", "metadata").alias("samples")
+    found = evaluated.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.any_value(samples).alias("samples"))
+    joined = benchmark.select("question_id", "question_content").join(found, "question_id", "left")
+    only = F.when(F.col("n") == 1, F.col("samples")).otherwise(F.raise_error(F.concat(F.lit("not one evaluated row: "), F.col("question_id").cast("string"))))
+    rows = joined.select("question_id", "question_content", F.posexplode(only).alias("position", "s"))
+    flat = rows.select("question_id", "question_content", "position", F.col("s.code_list").alias("code"), F.col("s.graded_list").alias("passed"), "s.metadata")
+    return templates.repair_prompts(flat).select("question_id", "position", "style", "prompt")
 
 
 def with_scores(rows: DataFrame) -> DataFrame:
@@ -69,6 +99,11 @@ def first_passing(rows: DataFrame, verdict: Column, order: list[str], n: int) ->
     return take_first(rows.filter(verdict), order, n)
 
 
+def registry(spark: SparkSession) -> DataFrame:
+    """(model_name, model_style) of the known models."""
+    return spark.createDataFrame(list(REGISTRY), "model_name string, model_style string")
+
+
 def with_style(requests: DataFrame, registry: DataFrame) -> DataFrame:
     """Requests with their model's style; unknown models keep a null style. The registry is a small dimension table."""
     return requests.join(registry.select("model_name", "model_style").dropDuplicates(["model_name"]), "model_name", "left")

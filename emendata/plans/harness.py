@@ -12,8 +12,8 @@ from .tables import rounded, table
 
 def _old_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An earlier run over the conversations: the outputs of a question are its assistant turns."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("question_id"), F.when(F.col("role") == "assistant", F.left("text", F.lit(30))).otherwise(F.lit("")).alias("said"), "turn")
-    return turns.filter(F.col("turn") < 2).groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "said"))), lambda x: x["said"]).alias("output_list"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("question_id"), F.when(F.col("role") == "assistant", F.col("text")).otherwise(F.lit("")).alias("said"), "turn")
+    return turns.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "said"))), lambda x: x["said"]).alias("output_list"))
 
 
 def harness_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +27,9 @@ def repair_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").filter(F.col("text").isNotNull())
     problems = items.select(F.col("item_id").alias("question_id"), F.col("text").alias("question_content"))
     wrong = F.lit('{"error_code": -2, "inputs": "1", "output": "2", "expected": "3"}')
-    graded = items.select(F.col("item_id").alias("question_id"), F.array(F.lit("a = 1"), F.lit("b = 2")).alias("code_list"), F.array(wrong, F.lit("{}")).alias("metadata"))
-    rows = harness.repair_rows(problems, graded)
-    return rows.select("question_id", F.col("position").cast("long").alias("position"), "prompt")
+    graded = items.select(F.col("item_id").alias("question_id"), F.array(F.lit("a = 1"), F.lit("b = 2")).alias("code_list"), F.array(wrong, F.lit("{}")).alias("metadata"), F.array(F.lit(False), F.lit(True)).alias("graded_list"))
+    rows = harness.repair_rows(problems, graded).filter("style = 'MistralWeb'")
+    return rows.select("question_id", F.col("position").cast("long").alias("position"), F.col("prompt.messages")[0]["content"].alias("prompt"))
 
 
 def harness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ QUERIES = {f.__name__: f for f in (harness_resume, repair_prompts, harness_repor
 ORACLES = {
     "harness_resume": """
         SELECT conv_id AS question_id, role FROM conversations c WHERE turn = 0
-            AND NOT EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = c.conv_id AND o.turn < 2 AND o.role = 'assistant' AND left(o.text, 30) <> '')""",
+            AND NOT EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = c.conv_id AND o.role = 'assistant' AND o.text <> '')""",
     "repair_prompts": """
         SELECT item_id AS question_id, unnest([0, 1])::BIGINT AS position, unnest(['### Question:' || chr(10) || text || chr(10) || chr(10) || '### Answer:' || chr(10) || '```python' || chr(10) || 'a = 1' || chr(10) || '```' || chr(10) || chr(10)
             || 'The above code is incorrect and got a wrong answer.' || chr(10) || 'Input: 1' || chr(10) || 'Generated Output: 2' || chr(10) || 'Expected: 3' || chr(10)

@@ -50,7 +50,7 @@ def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preference_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("problem_spec"), F.col("lang").alias("corrupted_answer"), F.left("text", F.lit(60)).alias("completion"), F.col("n_chars").alias("levenshtein"), F.col("doc_id").alias("_pos"))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("problem_spec"), F.col("lang").alias("corrupted_answer"), F.sha2("text", 256).alias("completion"), F.col("n_chars").alias("levenshtein"), F.col("doc_id").alias("_pos"))
     return datasets.preference_pairs(rows).select(F.col("input").alias("prompt"), "chosen", "rejected")
 
 
@@ -137,7 +137,7 @@ ORACLES = {
     "preference_records": """
         WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS a, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS b FROM documents)
         SELECT 'I am trying to implement a function with the following specifications:' || chr(10) || x.source || '.' || chr(10) || chr(10) || 'The function I have written so far is:' || chr(10) || '```python' || chr(10) || x.lang || ' ```' || chr(10) || chr(10) || 'Wrap your response in ```python and ```' AS prompt,
-            left(x.text, 60) AS chosen, left(y.text, 60) AS rejected
+            sha256(x.text) AS chosen, sha256(y.text) AS rejected
         FROM r x JOIN r y ON x.source = y.source AND x.a = 1 AND y.b = 1 WHERE x.lang = y.lang AND x.n_chars < y.n_chars""",
     "sort_by_difficulty": "SELECT o_orderkey, count(l_orderkey) AS n_lines FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1 ORDER BY n_lines, o_orderkey LIMIT 100",
     "metric_unpivot_mean": f"WITH {_MEANS} SELECT * FROM means",

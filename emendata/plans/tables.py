@@ -22,11 +22,11 @@ def graded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(F.col("l_orderkey").alias("question_id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") != "R").alias("c"))
 
 
-def turn_pairs(spark: SparkSession, sf_dir: str, words: int = 40) -> DataFrame:
-    """(conv_id, turn, role, reference, prediction): the first words of each turn and of the one before it."""
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, role, reference, prediction): the words of each turn and of the one before it."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    cut = lambda c: F.slice(F.filter(F.split(F.translate(c, "\n", " "), " "), lambda x: x != ""), 1, words)
+    cut = lambda c: F.filter(F.split(F.translate(c, "\n", " "), " "), lambda x: x != "")
     pairs = rows.withColumn("_before", before).filter(F.col("_before").isNotNull() & F.col("text").isNotNull())
     return pairs.select("conv_id", "turn", "role", cut("_before").alias("reference"), cut("text").alias("prediction"))
 
@@ -36,8 +36,8 @@ TURN_PAIRS = """
 before AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prior FROM conversations),
 pairs AS (
     SELECT conv_id, turn, role,
-        list_filter(string_split(replace(prior, chr(10), ' '), ' '), lambda x: x <> '')[1:40] AS reference,
-        list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '')[1:40] AS prediction
+        list_filter(string_split(replace(prior, chr(10), ' '), ' '), lambda x: x <> '') AS reference,
+        list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS prediction
     FROM before WHERE prior IS NOT NULL AND text IS NOT NULL
 )"""
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import compare, extract, prompts, similarity, templates
+from .mutations import values
 from .tables import FENCE, TURN_PAIRS, rounded, table, turn_pairs
 
 
@@ -36,7 +37,7 @@ def strip_think(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.concat(F.lit("[ANSWER]\nassert f("), F.col("doc_id").cast("string"), F.lit(") == "), F.left(F.translate("text", "=[]\n", "----"), F.lit(40)), F.lit("\n[/ANSWER] more"))
+    said = F.concat(F.lit("[ANSWER]\nassert f("), F.col("doc_id").cast("string"), F.lit(") == "), F.translate("text", "=[]\n", "----"), F.lit("\n[/ANSWER] more"))
     rows = _documents(spark, sf_dir).select("doc_id", said.alias("said"))
     return rows.select("doc_id", extract.execution_answer(F.col("said"), steps=True).alias("answer"), extract.assert_line(F.concat(F.lit("so\n"), F.regexp_replace("said", r"^\[ANSWER\]\n", ""))).alias("line"))
 
@@ -52,14 +53,14 @@ def user_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fewshot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").filter(F.col("text").isNotNull()).select("item_id", F.col("text").alias("problem"), F.left("text", F.lit(20)).alias("corrupted"), F.right("text", F.lit(20)).alias("canonical"))
+    items = table(spark, sf_dir, "benchmark").filter(F.col("text").isNotNull()).select("item_id", F.col("text").alias("problem"), F.translate("text", "e", "3").alias("corrupted"), F.concat(F.lit("fixed "), "text").alias("canonical"))
     shots = prompts.with_shots(items, 2, "item_id", "problem", "corrupted", "canonical")
     return shots.select("item_id", F.sha2(prompts.system_prompt(F.col("shots")), 256).alias("system_sha256"))
 
 
 def chat_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").filter(F.col("text").isNotNull())
-    record = prompts.chat_record(prompts.fenced_message(F.col("role"), F.col("text")), F.left("text", F.lit(10)))
+    record = prompts.chat_record(prompts.fenced_message(F.col("role"), F.col("text")), F.concat(F.lit("fixed "), "text"))
     return rows.select("conv_id", "turn", F.array_join(F.transform(record, lambda t: F.concat(t["from"], F.lit("="), t["content"])), "|").alias("record"))
 
 
@@ -70,13 +71,6 @@ def self_repair_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event.select("event_id", templates.check_message(metadata).alias("message"))
 
 
-def generation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").filter(F.col("text").isNotNull())
-    problems = items.select(F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("question_content"), F.when(F.col("item_id") % 2 == 0, F.lit("def f():")).otherwise(F.lit("")).alias("starter_code"))
-    made = templates.generation_prompts(problems)
-    return made.select("question_id", "style", F.col("prompt.system").isNotNull().alias("has_system"), F.length(F.col("prompt.messages")[0]["content"]).cast("long").alias("n_characters"))
-
-
 def token_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = turn_pairs(spark, sf_dir)
     distance = similarity.sequence_distance(F.col("reference"), F.col("prediction"))
@@ -86,8 +80,8 @@ def token_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn against itself with one line changed and one taken away, and against the plain turn."""
-    rows = table(spark, sf_dir, "conversations").filter(F.col("text").isNotNull()).select("conv_id", "turn", F.slice(similarity.stripped_lines(F.col("text")), 1, 60).alias("a"))
-    edited = F.concat(F.array(F.lit("new line")), F.slice("a", 2, 1000))
+    rows = table(spark, sf_dir, "conversations").filter(F.col("text").isNotNull()).select("conv_id", "turn", similarity.stripped_lines(F.col("text")).alias("a"))
+    edited = F.concat(F.array(F.lit("new line")), F.slice("a", 2, 1 << 30))
     return rows.select("conv_id", "turn", similarity.sequence_distance(F.col("a"), edited).cast("long").alias("distance"))
 
 
@@ -97,13 +91,27 @@ def sentence_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = similarity.corpus_bleu(turn_pairs(spark, sf_dir), ["role"], ["conv_id", "turn"], "reference", "prediction")
+    scores = similarity.corpus_bleu(turn_pairs(spark, sf_dir), ["role"], "reference", "prediction")
     return scores.select("role", rounded(F.col("bleu")).alias("bleu"))
 
 
+#: (reference, prediction, ROUGE-1, ROUGE-2, ROUGE-L): words meet by their stems, in lower case; NAME stands for a name of the row.
+ROUGE_CASES = (
+    ("The running dogs, NAME", "the run dog NAME", 1.0, 1.0, 1.0),
+    ("hopping NAME; filing", "filed hops", 0.8, 0.0, 0.4),
+    ("agreed NAME plastered", "plaster NAME agree", 1.0, 0.0, 1 / 3),
+    ("its NAME", "it NAME", 0.5, 0.0, 0.5),
+    ("NAME NAME a", "NAME", 0.5, 0.0, 0.5),
+    ("- ?", "NAME", 0.0, 0.0, 0.0),
+)
+
+
 def rouge_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = similarity.rouge_n(turn_pairs(spark, sf_dir), ["conv_id", "turn"], "reference", "prediction", 2)
-    return scores.select("conv_id", "turn", rounded(F.col("rouge_1")).alias("rouge_1"), rounded(F.col("rouge_2")).alias("rouge_2"))
+    """One of the cases for each document, by doc_id."""
+    cases = spark.createDataFrame([(i, a, b) for i, (a, b, *_) in enumerate(ROUGE_CASES)], "case_id int, a string, b string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.pmod("doc_id", F.lit(len(ROUGE_CASES))).cast("int").alias("case_id"), F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("own"))
+    pairs = docs.join(F.broadcast(cases), "case_id").select("doc_id", *[F.replace(c, F.lit("NAME"), F.col("own")).alias(c) for c in ("a", "b")])
+    return similarity.rouge(pairs, ["doc_id"], "a", "b").select("doc_id", *[rounded(F.col(f"rouge_{n}")).alias(f"rouge_{n}") for n in "12l"])
 
 
 def chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +140,7 @@ def model_effort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", extract.model_base(F.col("model")).alias("base"), extract.effort_suffix(F.col("model")).alias("effort"))
 
 
-QUERIES = {f.__name__: f for f in (extract_last_fence, extract_longest_fence, extract_between_fences, strip_think, extract_answer, truncate_middle, user_prompt, fewshot_prompt, chat_record, self_repair_prompt, generation_prompts, token_levenshtein, line_edit_distance, sentence_bleu, corpus_bleu, rouge_n, chrf, stdout_compare, sse_text, model_effort)}
+QUERIES = {f.__name__: f for f in (extract_last_fence, extract_longest_fence, extract_between_fences, strip_think, extract_answer, truncate_middle, user_prompt, fewshot_prompt, chat_record, self_repair_prompt, token_levenshtein, line_edit_distance, sentence_bleu, corpus_bleu, rouge_n, chrf, stdout_compare, sse_text, model_effort)}
 
 _TASK = "'I am trying to implement a function with the following specifications:' || chr(10)"
 _SO_FAR = "'.' || chr(10) || chr(10) || 'The function I have written so far is:' || chr(10)"
@@ -155,7 +163,7 @@ ORACLES = {
     "extract_between_fences": "SELECT doc_id, sha256(translate(text, '`', '''')) AS block_sha256 FROM documents WHERE text IS NOT NULL",
     "strip_think": "SELECT doc_id, length(chr(10) || 'First:' || chr(10) || '```python' || chr(10) || lang || chr(10) || '```' || chr(10) || 'Then:' || chr(10) || '```python' || chr(10) || text || chr(10) || '```' || chr(10) || 'Done.') AS n_characters FROM documents WHERE text IS NOT NULL",
     "extract_answer": f"""
-        WITH x AS (SELECT doc_id, left(translate(text, '=[]' || chr(10), '----'), 40) AS t FROM documents WHERE text IS NOT NULL)
+        WITH x AS (SELECT doc_id, translate(text, '=[]' || chr(10), '----') AS t FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, {_STRIP.format('t')} AS answer, 'assert f(' || doc_id || ') == ' || t AS line FROM x""",
     "truncate_middle": "SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE left(text, 150) || '...(truncated) ...' || right(text, 150) END AS short, least(length(text), 1000) AS n_head FROM documents WHERE text IS NOT NULL",
     "user_prompt": f"""
@@ -163,10 +171,10 @@ ORACLES = {
             || 'What is wrong? Fix and complete my function but keep as much of the original code as possible.Wrap your response in ```python and ```' AS prompt FROM conversations WHERE text IS NOT NULL""",
     "fewshot_prompt": f"""
         WITH items AS (SELECT *, row_number() OVER (ORDER BY item_id) AS i FROM benchmark WHERE text IS NOT NULL),
-        shots AS (SELECT string_agg(chr(10) || '## Example ' || i || chr(10) || chr(10) || '**Problem Statement:**' || chr(10) || text || chr(10) || chr(10) || '**Problematic Code:**' || chr(10) || '```python' || chr(10) || left(text, 20) || chr(10) || '```' || chr(10) || chr(10) || '**Fixed Solution:**' || chr(10) || '```python' || chr(10) || right(text, 20) || chr(10) || '```' || chr(10), chr(10) ORDER BY i) AS shots FROM items WHERE i <= 2)
+        shots AS (SELECT string_agg(chr(10) || '## Example ' || i || chr(10) || chr(10) || '**Problem Statement:**' || chr(10) || text || chr(10) || chr(10) || '**Problematic Code:**' || chr(10) || '```python' || chr(10) || translate(text, 'e', '3') || chr(10) || '```' || chr(10) || chr(10) || '**Fixed Solution:**' || chr(10) || '```python' || chr(10) || 'fixed ' || text || chr(10) || '```' || chr(10), chr(10) ORDER BY i) AS shots FROM items WHERE i <= 2)
         SELECT item_id, sha256('{(prompts.FEW_SHOT_SYSTEM_PROMPT + prompts.EXAMPLES).replace(chr(39), chr(39) * 2)}' || shots) AS system_sha256 FROM items, shots WHERE i > 2""",
     "chat_record": f"""
-        SELECT conv_id, turn, 'user=' || {_TASK} || role || {_SO_FAR} || '```python' || chr(10) || text || chr(10) || '```' || chr(10) || 'Wrap your response in ```python and ```' || '|assistant=' || left(text, 10) AS record
+        SELECT conv_id, turn, 'user=' || {_TASK} || role || {_SO_FAR} || '```python' || chr(10) || text || chr(10) || '```' || chr(10) || 'Wrap your response in ```python and ```' || '|assistant=fixed ' || text AS record
         FROM conversations WHERE text IS NOT NULL""",
     "self_repair_prompt": """
         SELECT event_id, CASE event_id % 3
@@ -177,7 +185,7 @@ ORACLES = {
         WITH {TURN_PAIRS}, x AS (SELECT *, list_distinct(list_concat(reference, prediction)) AS known FROM pairs), d AS (SELECT *, {_EDIT.format('reference', 'prediction')} AS d FROM x)
         SELECT conv_id, turn, d AS distance, round(coalesce(d / nullif(greatest(len(reference), len(prediction)), 0)::DOUBLE, 0), 6) AS normalised FROM d""",
     "line_edit_distance": f"""
-        WITH l AS (SELECT conv_id, turn, list_transform(string_split(text, chr(10)), lambda x: trim(x))[1:60] AS a FROM conversations WHERE text IS NOT NULL),
+        WITH l AS (SELECT conv_id, turn, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS a FROM conversations WHERE text IS NOT NULL),
         x AS (SELECT *, list_concat(['new line'], a[2:]) AS b FROM l), k AS (SELECT *, list_distinct(list_concat(a, b)) AS known FROM x)
         SELECT conv_id, turn, {_EDIT.format('a', 'b')} AS distance FROM k""",
     "sentence_bleu": f"""
@@ -192,10 +200,7 @@ ORACLES = {
             FROM (SELECT DISTINCT role, unnest(range(1, 5)) AS n FROM pairs) r LEFT JOIN s ON s.role = r.role AND s.n = r.n GROUP BY 1),
         z AS (SELECT role, sum(len(reference)) AS r, sum(len(prediction)) AS p FROM pairs GROUP BY 1)
         SELECT z.role, round(CASE WHEN z.p = 0 THEN 0 WHEN z.p > z.r THEN 1 ELSE exp(1 - z.r / z.p::DOUBLE) END * coalesce(score, 0), 6)::DOUBLE AS bleu FROM z LEFT JOIN w ON z.role IS NOT DISTINCT FROM w.role""",
-    "rouge_n": f"""
-        WITH {TURN_PAIRS}, {_GRAMS}
-        SELECT p.conv_id, p.turn, round(coalesce(max(2 * m / (c.p + c.r)::DOUBLE) FILTER (WHERE n = 1), 0), 6)::DOUBLE AS rouge_1, round(coalesce(max(2 * m / (c.p + c.r)::DOUBLE) FILTER (WHERE n = 2), 0), 6)::DOUBLE AS rouge_2
-        FROM pairs p LEFT JOIN clipped c ON p.conv_id = c.conv_id AND p.turn = c.turn GROUP BY ALL""",
+    "rouge_n": f"SELECT doc_id, round(rouge_1, 6)::DOUBLE AS rouge_1, round(rouge_2, 6)::DOUBLE AS rouge_2, round(rouge_l, 6)::DOUBLE AS rouge_l FROM documents JOIN {values([c[2:] for c in ROUGE_CASES], 'rouge_1, rouge_2, rouge_l')} ON doc_id % {len(ROUGE_CASES)} = case_id",
     "chrf": f"""
         WITH {TURN_PAIRS},
         letters AS (SELECT conv_id, turn, regexp_replace(array_to_string(reference, ''), '\\s+', '', 'g') AS r, regexp_replace(array_to_string(prediction, ''), '\\s+', '', 'g') AS p FROM pairs),
@@ -209,10 +214,4 @@ ORACLES = {
     "stdout_compare": "SELECT event_id, event_id % 3 = 0 AS equal FROM events",
     "sse_text": "SELECT event_id, event_type || '-' || json_extract_string(props, '$.k') AS said FROM events",
     "model_effort": "SELECT event_id, 'model-' || user_id AS base, CASE WHEN event_id % 2 = 0 THEN 'high' END AS effort FROM events",
-    "generation_prompts": f"""
-        WITH s AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}', {len(c)})" for a, b, c in templates.STYLES)}) t(style, shape, n))
-        SELECT item_id::VARCHAR AS question_id, style, shape = 'chat' AS has_system,
-            (length(text) + 16 + CASE WHEN item_id % 2 = 0 THEN {len('### Format: ' + templates.WITH_STARTER) + len(chr(10) + '```python' + chr(10) + 'def f():' + chr(10) + '```' + chr(10) * 2)} ELSE {len('### Format: ' + templates.WITHOUT_STARTER + chr(10) + templates.YOUR_CODE)} END + {len(templates.ANSWER_FORMAT)}
-            + CASE shape WHEN 'chat' THEN 0 WHEN 'plain' THEN n + 1 ELSE n + 2 END)::BIGINT AS n_characters
-        FROM benchmark, s WHERE text IS NOT NULL""",
 }
