@@ -334,17 +334,26 @@ def chrf(reference: str, prediction: str) -> float:
 CODEBLEU_PARTS = ("n_reference", "n_prediction", *(f"{kind}_{part}{n}" for kind in ("plain", "keyword") for n in range(1, 5) for part in ("right", "total")), "tree_right", "tree_total")
 
 
+@lru_cache(maxsize=1024)
+def _prepared(code: str) -> tuple[int, list[Counter], Counter | None]:
+    """Tokens, n-grams and subtrees of a program: made once, however many pairs it is in."""
+    tokens = code_tokens(code)
+    return len(tokens), [_grams(tokens, n) for n in range(1, 5)], _subtrees(code)
+
+
+def _weight(gram: tuple[str, ...]) -> float:
+    """Words that are no keywords count a fifth."""
+    return 0.2 if len(gram) == 1 and gram[0] not in KEYWORDS else 1.0
+
+
 def codebleu_parts(reference: str, prediction: str) -> dict[str, float]:
     """What one pair adds to the corpus score: lengths, clipped and weighted n-gram counts, equal subtrees."""
-    a, b = code_tokens(reference), code_tokens(prediction)
-    out = {"n_reference": float(len(a)), "n_prediction": float(len(b))}
+    (n_reference, expected, x), (n_prediction, found, y) = _prepared(reference), _prepared(prediction)
+    out = {"n_reference": float(n_reference), "n_prediction": float(n_prediction)}
     for n in range(1, 5):
-        expected, found = _grams(a, n), _grams(b, n)
-        for kind in ("plain", "keyword"):
-            weight = (lambda g: 0.2 if len(g) == 1 and g[0] not in KEYWORDS else 1.0) if kind == "keyword" else (lambda g: 1.0)
-            out[f"{kind}_right{n}"] = sum(weight(g) * min(c, expected[g]) for g, c in found.items())
-            out[f"{kind}_total{n}"] = sum(weight(g) * c for g, c in found.items())
-    x, y = _subtrees(reference), _subtrees(prediction)
+        right, total = found[n - 1] & expected[n - 1], found[n - 1]
+        out[f"plain_right{n}"], out[f"plain_total{n}"] = float(sum(right.values())), float(sum(total.values()))
+        out[f"keyword_right{n}"], out[f"keyword_total{n}"] = (sum(_weight(g) * c for g, c in grams.items()) for grams in (right, total))
     out["tree_right"] = float(sum((x & y).values())) if x and y else 0.0
     out["tree_total"] = float(sum(x.values())) if x else 0.0
     return out

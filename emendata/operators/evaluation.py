@@ -74,6 +74,13 @@ def complexity_rows(solutions: DataFrame) -> DataFrame:
     return complexity_deltas(flat)
 
 
+def complexity_means(rows: DataFrame) -> DataFrame:
+    """(measure, mean) of the twelve measures of complexity_rows(); unknown values are skipped."""
+    measures = [c for c in rows.columns if c.startswith(("cyclomatic_", "cognitive_"))]
+    means = rows.agg(*[F.avg(c).alias(c) for c in measures])
+    return means.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("mean")) for c in measures])))
+
+
 def summarise(long: DataFrame) -> DataFrame:
     """(pair, variant, metric, mean, n): missing values are skipped, the sentinel -1 is not."""
     return long.groupBy("pair", "variant", "metric").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
@@ -91,10 +98,10 @@ def corpus_scores(solutions: DataFrame) -> DataFrame:
         sums: dict[tuple[str, str], dict[str, float]] = {}
         for frame in frames:
             for r in frame.itertuples(index=False):
+                forms = {c: {v: _variant(text, v) for v in VARIANTS} for c in columns if (text := getattr(r, c))}
                 for i, (pair, ref, pred) in enumerate(PAIRS):
-                    reference, prediction = getattr(r, ref), getattr(r, pred)
                     for v in VARIANTS if i else VARIANTS[:2]:
-                        if reference and prediction and (a := _variant(reference, v)) and (b := _variant(prediction, v)):
+                        if ref in forms and pred in forms and (a := forms[ref][v]) and (b := forms[pred][v]):
                             total = sums.setdefault((pair, v), dict.fromkeys(names, 0.0))
                             for k, x in code_functions.codebleu_parts(a, b).items():
                                 total[k] += x

@@ -1,60 +1,91 @@
-"""Queries about programs, over an inline fixture laid over the documents. Tests hold them against golden rows."""
+"""Queries about programs. One of a few programs is laid over each document, with a name of the row's own in it.
+
+What the SQL expects of each program is worked out by hand from the rules.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import code
 from ..operators import evaluation
 from ..streaming import resume
+from .mutations import values
 from .tables import rounded, table, turn_pairs
 
-#: (canonical, corrupted, answer) of the fixture.
-PROGRAMS = (
-    ("def total(xs):\n    '''Sum.'''\n    s = 0  # start\n    for x in xs:\n        if x > 0 and x < 100:\n            s += x\n    return s\n", "def total(xs):\n    s = 1\n    for x in xs:\n        if x >= 0 and x < 100:\n            s += x\n    return s\n", "def total(xs):\n    s = 0\n    for x in xs:\n        if x > 0 and x < 100:\n            s += x\n    return s\n"),
-    ("def best(xs, k=2):\n    return sorted(xs, reverse=True)[:k]\n", "def best(xs, k=2):\n    return sorted(xs, reverse=False)[:k]\n", "def best(xs, k=2):\n    ys = list(xs)\n    ys.sort(reverse=True)\n    return ys[:k]\n"),
-    ("def words(t):\n    return [w for w in t.split(',') if w]\n", "def words(t):\n    return [w for w in t.split(',')]\n", "def words(t) return"),
+SOLUTIONS = "canonical_solution string, corrupted_solution string, solution string"
+#: (canonical, corrupted, answer); NAME stands for v and three digits.
+EDITS = (("NAME = 1", "NAME = 2", "NAME = 1"), ("NAME = 1  # c", "NAME = 2", None))
+DIFFS = (
+    ("def f(NAME):\n    x = 1\n    return NAME + x", "def f(NAME):\n    x = 1\n    return NAME - x", "def f(NAME):\n    return NAME + 1"),
+    ("NAME = 1", "NAME = 1", ""),
+)
+COMPLEX = (
+    ("def g(NAME, b): return NAME and b", "def h(NAME): return [x for x in NAME if x]", "def ("),
+    ("def f(NAME, b):\n if NAME and b:\n  for x in NAME: return x\n return 0", "try:\n NAME()\nexcept E:\n b()\nfinally:\n c()", "x = NAME if b else c"),
+)
+#: (program, in standard form, its body, tokens)
+FORMS = (
+    ("def f(NAME, b):\n    # note\n    return NAME+b\n", "def f(NAME, b):\n    return NAME + b", "def f(NAME, b):\n    return NAME + b", 14),
+    ("def f(NAME):\n    '''Doc.'''\n    x = 'a # b'  # c\n    return x\n", 'def f(NAME):\n    """Doc."""\n    x = \'a # b\'\n    return x', "    x = 'a # b'\n    return x", 16),
+    ("def f(NAME):\n    'only'\n", "def f(NAME):\n    \"\"\"only\"\"\"", "", 9),
+)
+#: (response, the program in it)
+RESPONSES = (
+    (" NAME = 1\n", "NAME = 1"),
+    ("Hi\n```python\nNAME=1\n```\nand\n```\nlonger = NAME\n```\n", "longer = NAME"),
+    ("say\n```python\nNAME(", "NAME("),
+    ("<think>\n```python\nlonger = 12345678\n```\n</think>\n```python\nNAME=1\n```", "NAME=1"),
+    ("plain text NAME, no code", ""),
+    ("so\n```\nNAME1\n```\n```\nNAME2\n```", "NAME1"),
 )
 
 
-def _programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document: one of the programs, by doc_id."""
-    fixture = spark.createDataFrame([(i, *p) for i, p in enumerate(PROGRAMS)], "program int, canonical_solution string, corrupted_solution string, solution string")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.pmod("doc_id", F.lit(len(PROGRAMS))).cast("int").alias("program"))
-    return docs.join(F.broadcast(fixture), "program").select(F.col("doc_id").cast("string").alias("task_id"), F.col("doc_id").alias("_line"), "canonical_solution", "corrupted_solution", "solution")
+def _over(spark: SparkSession, sf_dir: str, rows: tuple, ddl: str) -> DataFrame:
+    """(task_id, _line, the columns): one of the rows for each document, by doc_id."""
+    names = [x.split(" ")[0] for x in ddl.split(", ")]
+    cases = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"case_id int, {ddl}")
+    own = F.concat(F.lit("v"), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.pmod("doc_id", F.lit(len(rows))).cast("int").alias("case_id"), own.alias("own"))
+    return docs.join(F.broadcast(cases), "case_id").select(F.col("doc_id").cast("string").alias("task_id"), F.col("doc_id").alias("_line"), *[F.replace(n, F.lit("NAME"), F.col("own")).alias(n) for n in names])
 
 
 def structured_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.diff_rows(_programs(spark, sf_dir))
+    return evaluation.diff_rows(_over(spark, sf_dir, DIFFS, SOLUTIONS)).select("task_id", "pair", F.col("row").cast("long").alias("row"), "type", "content")
 
 
 def code_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.complexity_rows(_programs(spark, sf_dir))
+    return evaluation.complexity_rows(_over(spark, sf_dir, COMPLEX, SOLUTIONS)).drop("_line")
+
+
+def complexity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = evaluation.complexity_means(evaluation.complexity_rows(_over(spark, sf_dir, COMPLEX, SOLUTIONS)))
+    return means.select("measure", rounded(F.col("mean")).alias("mean"))
 
 
 def standardize_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _programs(spark, sf_dir)
-    return rows.select("task_id", code.standardise_code("canonical_solution").alias("standard"), code.body_of("canonical_solution").alias("body"), F.size(code.tokenise_code("solution")).cast("long").alias("n_tokens"))
+    rows = _over(spark, sf_dir, [f[:1] for f in FORMS], "program string")
+    return rows.select("task_id", code.standardise_code("program").alias("standard"), code.body_of("program").alias("body"), F.size(code.tokenise_code("program")).cast("long").alias("n_tokens"))
 
 
 def response_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _programs(spark, sf_dir).select("task_id", F.concat(F.lit("Sure.\n```python\n"), "solution", F.lit("```\n")).alias("response"))
-    return rows.select("task_id", code.code_of_response("response").alias("code"))
+    return _over(spark, sf_dir, [r[:1] for r in RESPONSES], "response string").select("task_id", code.code_of_response("response").alias("code"))
 
 
 def similarity_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.similarity_long(_programs(spark, sf_dir)).select("task_id", "pair", "variant", "metric", rounded(F.col("value")).alias("value"))
+    return evaluation.similarity_long(_over(spark, sf_dir, EDITS, SOLUTIONS)).select("task_id", "pair", "variant", "metric", rounded(F.col("value")).alias("value"))
 
 
 def similarity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.summarise(evaluation.similarity_long(_programs(spark, sf_dir))).select("pair", "variant", "metric", rounded(F.col("mean")).alias("mean"), "n")
+    return evaluation.summarise(evaluation.similarity_long(_over(spark, sf_dir, EDITS, SOLUTIONS))).select("pair", "variant", "metric", rounded(F.col("mean")).alias("mean"), "n")
 
 
 def corpus_codebleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.corpus_scores(_programs(spark, sf_dir)).select("pair", "variant", rounded(F.col("codebleu")).alias("codebleu"), rounded(F.col("bleu")).alias("bleu"))
+    return evaluation.corpus_scores(_over(spark, sf_dir, EDITS, SOLUTIONS)).select("pair", "variant", rounded(F.col("codebleu"), 9).alias("codebleu"), rounded(F.col("bleu"), 9).alias("bleu"))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,22 +101,85 @@ def meteor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codebleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _programs(spark, sf_dir)
-    return rows.select("task_id", rounded(code.codebleu_of("canonical_solution", "solution")).alias("codebleu"))
+    rows = _over(spark, sf_dir, EDITS, SOLUTIONS)
+    return rows.select("task_id", rounded(code.codebleu_of("corrupted_solution", "canonical_solution")).alias("codebleu"), rounded(code.codebleu_of("canonical_solution", "solution")).alias("of_answer"))
 
 
 def streaming_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream of files: the first of each user, appended batch by batch, then read back."""
+    """Events as a stream of files: the first of each user within the watermark, appended batch by batch, then read back."""
     events = table(spark, sf_dir, "events")
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/stream-{id(events)}-{events.count()}"
-    events.select(F.col("user_id").cast("string").alias("task_id"), "event_id", "ts").write.mode("overwrite").json(f"{folder}/in")
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
     ddl = "task_id string, event_id long, ts timestamp"
-    spark.createDataFrame([], ddl).write.mode("overwrite").json(f"{folder}/out")
-    query = resume.append_batches(resume.new_records(spark, f"{folder}/in", ddl), f"{folder}/out", f"{folder}/state")
+    keyed = events.select(F.col("user_id").cast("string").alias("task_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    # one file, so that one batch holds all: which of a user's events comes first is then their order in it
+    keyed.orderBy("ts", "event_id").coalesce(1).write.json(f"{folder}/in")
+    query = resume.append_batches(resume.new_records(spark, f"{folder}/in", ddl, time="ts", late="3650 days"), f"{folder}/out", f"{folder}/state")
     query.awaitTermination()
-    return spark.read.schema(f"{ddl}, batch int").option("recursiveFileLookup", "true").json(f"{folder}/out").select("task_id").distinct()
-
-
-QUERIES = {f.__name__: f for f in (structured_diff, code_complexity, standardize_code, response_code, similarity_metrics, similarity_summary, corpus_codebleu, rouge_l, meteor, codebleu, streaming_resume)}
-#: The others need a parser for programs, a stemmer or an edit table, which SQL has not.
-ORACLES = {"streaming_resume": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS task_id FROM events"}
+    rows = spark.read.schema(f"{ddl}, batch int").option("recursiveFileLookup", "true").json(f"{folder}/out")
+    return rows.select("task_id", F.count(F.lit(1)).over(Window.partitionBy("task_id")).alias("n_rows"))
+
+
+QUERIES = {f.__name__: f for f in (structured_diff, code_complexity, complexity_summary, standardize_code, response_code, similarity_metrics, similarity_summary, corpus_codebleu, rouge_l, meteor, codebleu, streaming_resume)}
+
+
+def _joined(rows: list[tuple], names: str) -> str:
+    return f"(SELECT doc_id, doc_id::VARCHAR AS task_id, 'v' || lpad((doc_id % 1000)::VARCHAR, 3, '0') AS own, cases.* FROM documents JOIN {values(rows, names)} ON doc_id % {len(rows)} = case_id)"
+
+
+def _rows_of(rows: list[tuple], n: int, names: str) -> str:
+    """Several rows for each document: the first column says for which of n programs."""
+    return f"(SELECT doc_id::VARCHAR AS task_id, 'v' || lpad((doc_id % 1000)::VARCHAR, 3, '0') AS own, cases.* FROM documents JOIN {values(rows, 'program, ' + names)} ON doc_id % {n} = program)"
+
+
+_DIFF_ROWS = [
+    (0, "canonical_vs_corrupted", 0, "context", "def f(NAME):"), (0, "canonical_vs_corrupted", 1, "context", "    x = 1"), (0, "canonical_vs_corrupted", 2, "removed", "    return NAME - x"), (0, "canonical_vs_corrupted", 3, "added", "    return NAME + x"),
+    (0, "llm_vs_corrupted", 0, "context", "def f(NAME):"), (0, "llm_vs_corrupted", 1, "removed", "    x = 1"), (0, "llm_vs_corrupted", 2, "removed", "    return NAME - x"), (0, "llm_vs_corrupted", 3, "added", "    return NAME + 1"),
+    (0, "llm_vs_canonical", 0, "context", "def f(NAME):"), (0, "llm_vs_canonical", 1, "removed", "    x = 1"), (0, "llm_vs_canonical", 2, "removed", "    return NAME + x"), (0, "llm_vs_canonical", 3, "added", "    return NAME + 1"),
+    (1, "canonical_vs_corrupted", 0, "context", "NAME = 1"),
+]
+#: Cyclomatic and cognitive complexity of canonical, corrupted and answer.
+_COMPLEX_ROWS = [(2, 1, 3, 2, None, None), (3, 3, 3, 1, 2, 1)]
+_COMPLEX_SQL = f"""
+    SELECT task_id, a AS cyclomatic_canonical, b AS cognitive_canonical, c AS cyclomatic_corrupted, d AS cognitive_corrupted, e::INT AS cyclomatic_llm, f::INT AS cognitive_llm,
+        a - c AS cyclomatic_canonical_corrupted, a - e::INT AS cyclomatic_canonical_llm, c - e::INT AS cyclomatic_corrupted_llm,
+        b - d AS cognitive_canonical_corrupted, b - f::INT AS cognitive_canonical_llm, d - f::INT AS cognitive_corrupted_llm
+    FROM {_joined(_COMPLEX_ROWS, 'a, b, c, d, e, f')}"""
+#: What two programs give that differ in one of four tokens, that are equal, and that also differ by a comment.
+_BLEU = "power(3.0 / 4 * 1 / 3 * 0.1 / 2 * 0.1, 0.25)"
+_CODEBLEU = f"(2 * {_BLEU} + 1.0 / 3) / 3"
+_COMMENT_CHRF = " + ".join(f"10.0 * ({c} / {p}.0) * ({c} / {r}.0) / (9 * ({c} / {p}.0) + {c} / {r}.0)" for c, p, r in ((5, 8, 6), (4, 7, 5), (3, 6, 4), (2, 5, 3), (1, 4, 2)))
+_METRICS_SQL = f"""
+    metrics AS (
+        SELECT unnest([{', '.join(f"'{m}'" for m in evaluation.METRICS)}]) AS metric,
+            unnest([1, 0.25, 1, 1, {_BLEU}, 0.5, 0, 0.5, 0.625, (5.0 / 6 + 4.0 / 5 + 3.0 / 4 + 2.0 / 3 + 1.0 / 2) / 6, {_CODEBLEU}, -1, -1]::DOUBLE[]) AS other,
+            unnest([0, 0, 0, 0, 1, 1, 1, 1, 1 - 0.5 / 27, 1, 1, -1, -1]::DOUBLE[]) AS same,
+            unnest([1, 0.25, 1, 1, {_BLEU}, 0.4, 0, 0.4, 0.5859375, ({_COMMENT_CHRF}) / 6, {_CODEBLEU}, -1, -1]::DOUBLE[]) AS comment
+    ),
+    kinds AS (
+        SELECT * FROM (VALUES (0, 'canonical_vs_corrupted'), (0, 'llm_vs_corrupted'), (0, 'llm_vs_canonical'), (1, 'canonical_vs_corrupted')) p(program, pair), (VALUES (''), ('no_comments_'), ('body_'), ('body_no_comments_')) v(variant)
+    ),
+    found AS (
+        SELECT doc_id::VARCHAR AS task_id, pair, variant, metric, CASE WHEN pair = 'llm_vs_canonical' THEN same WHEN program = 1 AND variant = '' THEN comment ELSE other END AS value
+        FROM documents JOIN kinds ON doc_id % 2 = program, metrics
+    )"""
+#: The others need a stemmer or a table for each pair of texts, which SQL has not; tests hold them against brute force.
+ORACLES = {
+    "structured_diff": f"SELECT task_id, pair, pos::BIGINT AS row, type, replace(content, 'NAME', own) AS content FROM {_rows_of(_DIFF_ROWS, len(DIFFS), 'pair, pos, type, content')}",
+    "code_complexity": _COMPLEX_SQL,
+    "complexity_summary": f"SELECT measure, round(avg(value), 6) AS mean FROM (UNPIVOT (SELECT * EXCLUDE task_id FROM ({_COMPLEX_SQL})) ON COLUMNS(*) INTO NAME measure VALUE value) GROUP BY measure",
+    "standardize_code": f"SELECT task_id, replace(standard, 'NAME', own) AS standard, replace(body, 'NAME', own) AS body, n_tokens::BIGINT AS n_tokens FROM {_joined([f[1:] for f in FORMS], 'standard, body, n_tokens')}",
+    "response_code": f"SELECT task_id, replace(code, 'NAME', own) AS code FROM {_joined([r[1:] for r in RESPONSES], 'code')}",
+    "similarity_metrics": f"WITH {_METRICS_SQL} SELECT task_id, pair, variant, metric, round(value, 6) AS value FROM found",
+    "similarity_summary": f"WITH {_METRICS_SQL} SELECT pair, variant, metric, round(avg(value), 6) AS mean, count(*) AS n FROM found GROUP BY ALL",
+    "corpus_codebleu": """
+        WITH sizes AS (SELECT count(*)::DOUBLE AS every, (count(*) FILTER (WHERE doc_id % 2 = 0))::DOUBLE AS answered FROM documents),
+        pairs AS (
+            SELECT 'canonical_vs_corrupted' AS pair, unnest(['', 'no_comments_']) AS variant, every AS n FROM sizes
+            UNION ALL SELECT 'llm_vs_corrupted', unnest(['', 'no_comments_', 'body_', 'body_no_comments_']), answered FROM sizes
+            UNION ALL SELECT 'llm_vs_canonical', unnest(['', 'no_comments_', 'body_', 'body_no_comments_']), NULL FROM sizes
+        ),
+        scored AS (SELECT pair, variant, coalesce(power(3.0 / 4 * 1 / 3 * 0.1 / (2 * n) * 0.1 / n, 0.25), 1) AS bleu, CASE WHEN n IS NULL THEN 1 ELSE 1.0 / 3 END AS tree FROM pairs)
+        SELECT pair, variant, round((2 * bleu + tree) / 3, 9) AS codebleu, round(bleu, 9) AS bleu FROM scored""",
+    "codebleu": f"SELECT doc_id::VARCHAR AS task_id, round({_CODEBLEU}, 6) AS codebleu, CASE WHEN doc_id % 2 = 0 THEN 1.0 END::DOUBLE AS of_answer FROM documents",
+    "streaming_resume": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS task_id, 1::BIGINT AS n_rows FROM events",
+}

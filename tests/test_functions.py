@@ -2,6 +2,7 @@
 
 import ast
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -166,6 +167,16 @@ def test_sequence_distance(spark, pairs):
         assert r.d == r.e == plain_distance(r.a, r.b)
 
 
+def test_distance_of_long_lists(spark):
+    """More different elements than any one-byte alphabet holds."""
+    rng = random.Random(1)
+    pairs = [([f"t{rng.randrange(n)}" for _ in range(rng.randrange(n))], [f"t{rng.randrange(n)}" for _ in range(rng.randrange(n))]) for n in (1, 40, 200, 400) for _ in range(3)]
+    rows = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", similarity.sequence_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r.d for r in rows] == [plain_distance(r.a, r.b) for r in rows]
+    wide = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: i.cast("string")).alias("a"))
+    assert wide.select(similarity.sequence_distance(F.slice("a", 59_000, 900), F.slice("a", 59_010, 900)).alias("d")).first().d == 20
+
+
 def test_outputs(spark):
     cases = [("1 2\n3", "1.0 2\n3.00", True), ("a b", "a  b", False), ("a\nb", "a", False), (" a \n", "a", True), ("1e2", "100", True), ("x", "y", False)]
     rows = spark.createDataFrame(cases, "got string, want string, equal boolean")
