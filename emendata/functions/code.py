@@ -462,12 +462,48 @@ def without_main_guard(code: str) -> str:
         return code
     tree = ast.parse(code)
     last = tree.body[-1] if tree.body else None
-    if isinstance(last, ast.If) and "__name__" in ast.unparse(last.test):
-        tree.body = [*tree.body[:-1], *last.body]
-        return ast.unparse(tree)
+    if isinstance(last, ast.If) and ast.unparse(last.test) == "__name__ == '__main__'":
+        return "\n".join(ast.unparse(ast.Module(part, [])) for part in (tree.body[:-1], last.body))
     return code
 
 
+def as_function_or_same(code: str) -> str:
+    return as_function(code) if parses(code) else code
+
+
+# What graders put before a program.
+PRELUDE = (
+    "import sys\nimport time\nimport itertools\nfrom itertools import accumulate, product, permutations, combinations\nimport collections\n"
+    "from collections import Counter, OrderedDict, deque, defaultdict, ChainMap\nfrom functools import lru_cache\nimport math\n"
+    "from math import sqrt, sin, cos, tan, ceil, fabs, floor, gcd, exp, log, log2\nimport fractions\nfrom typing import List, Tuple\n"
+    "import numpy as np\nimport random\nimport heapq\nfrom heapq import *\n"
+)
+STREAMS = "\nstdin = sys.stdin\nstdout = sys.stdout\n"
+
+
+def with_prelude(code: str) -> str:
+    """A program whose function is to be called."""
+    return PRELUDE + code
+
+
+def script_forms(code: str) -> tuple[str, str]:
+    """A script that reads standard input, as a function code() and as a script, with the prelude before its first plain line.
+
+    Imports of all names cannot stand in a function, so that form has them before it.
+    """
+    lines = code.split("\n")
+    star = [x for x in lines if "import *" in x]
+    plain = lambda x: x not in star and not x.startswith(("from ", "import "))
+    first = next((i for i, x in enumerate(lines) if plain(x)), len(lines))
+    head, body = lines[:first], lines[first:]
+    text = lambda rows, indent="": "".join(f"{indent}{x}\n" for x in rows)
+    if not body:
+        return text(x for x in head if x not in star), text(head)
+    names = "\n".join(x.lstrip("\t") for x in star)
+    function = text(x for x in head if x not in star) + PRELUDE + names + STREAMS + "def code():\n" + text((x for x in body if x not in star), "\t")
+    return function, text(head) + PRELUDE + STREAMS + text(body)
+
+
 def _each(function, kind: DataType):
     """A pandas function over strings; nulls stay null."""
 
@@ -491,6 +527,11 @@ tokenise_code = _each(code_tokens, ArrayType(StringType()))
 body_of = _each(function_body, StringType())
 code_of_response = _each(response_code, StringType())
 function_named = _each(function_name, StringType())
+opened = _each(without_main_guard, StringType())
+wrapped = _each(as_function_or_same, StringType())
+whole_keys = _each(integer_keys, StringType())
+prefixed = _each(with_prelude, StringType())
+forms_of = _each(lambda code: list(script_forms(code)), ArrayType(StringType()))
 right_side = _each(assert_right_side, StringType())
 tests_of = _each(private_tests, StringType())
 insert_doc = _each_pair(insert_docstring, StringType())

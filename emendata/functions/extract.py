@@ -13,6 +13,7 @@ DOCSTRING = r"(def\s+[^:]+:\s*)(\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')\s*\n"
 THOUGHT_ENDS = ("</think>", "</thought>")
 ANSWER, ANSWER_END = "[ANSWER]", "[/ANSWER]"
 TRUNCATED = "...(truncated) ..."
+THINKING = {"low": 1024, "medium": 8192, "high": 24576}
 
 
 def strip(text: Column) -> Column:
@@ -35,6 +36,13 @@ def longest_block(text: Column) -> Column:
     return F.when(F.size(blocks) > 0, longest).otherwise(strip(F.regexp_extract(body, OPEN_FENCE, 1)))
 
 
+def first_two_fences(text: Column, tag: str = "```") -> Column:
+    """What the first two lines with a mark enclose, else nothing."""
+    lines = F.split(text, "\n", -1)
+    marks = _marked(lines, tag)
+    return F.when(F.size(marks) >= 2, _between(lines, F.get(marks, F.lit(0)), F.get(marks, F.lit(1)))).otherwise(F.lit(""))
+
+
 def last_block(text: Column) -> Column:
     """The last closed block of any language, null without one."""
     return strip(F.try_element_at(F.regexp_extract_all(text, F.lit(ANY_FENCE), F.lit(1)), F.lit(-1)))
@@ -108,14 +116,27 @@ def docstring(code: Column) -> Column:
     return strip(F.regexp_extract(code, DOCSTRING, 2))
 
 
-def effort_suffix(model: Column) -> Column:
-    """low, medium or high where a model's name ends so, else null."""
-    found = F.regexp_extract(model, r"_(low|medium|high)$", 1)
+def _effort(minimal: bool) -> str:
+    return f"_({'minimal|' if minimal else ''}low|medium|high)$"
+
+
+def effort_suffix(model: Column, minimal: bool = False) -> Column:
+    """low, medium or high (or minimal) where a model's name ends so, else null."""
+    found = F.regexp_extract(model, _effort(minimal), 1)
     return F.when(found != "", found)
 
 
-def model_base(model: Column) -> Column:
-    return F.regexp_replace(model, r"_(low|medium|high)$", "")
+def model_base(model: Column, minimal: bool = False) -> Column:
+    return F.regexp_replace(model, _effort(minimal), "")
+
+
+def thinking_budget(model: Column) -> Column:
+    """Tokens to think for models that count them, null without a suffix."""
+    effort = effort_suffix(model)
+    budget = F.lit(None).cast("int")
+    for name, tokens in THINKING.items():
+        budget = F.when(effort == name, F.lit(tokens)).otherwise(budget)
+    return budget
 
 
 def sse_text(body: Column) -> Column:

@@ -33,9 +33,10 @@ def fold_status(status: Column, has_details: Column) -> Column:
     return F.when((status == "pass") & has_details, F.lit("fail")).otherwise(status)
 
 
-def longest_tests(tests: Column, most: int = MOST_TESTS) -> Column:
-    """The tests of longest input, equal lengths in their order."""
-    numbered = F.transform(tests, lambda t, i: F.struct((-F.length(t["input"])).alias("n"), i.alias("i"), t.alias("t")))
+def longest_tests(tests: Column, most: int = MOST_TESTS, lists: bool = False) -> Column:
+    """The tests of longest input (characters, or elements of ``lists``), equal lengths in their order; all if these are few."""
+    size = F.size if lists else F.length
+    numbered = F.transform(tests, lambda t, i: F.struct(F.when(F.size(tests) > most, -size(t["input"])).alias("n"), i.alias("i"), t.alias("t")))
     return F.transform(F.slice(F.array_sort(numbered), 1, most), lambda x: x["t"])
 
 

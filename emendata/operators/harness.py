@@ -13,6 +13,12 @@ from .relational import take_first, unprocessed
 KEYS = {"codegeneration": ["question_id"], "testoutputprediction": ["question_id", "test_id"], "selfrepair": ["question_id"], "codeexecution": ["id"]}
 
 
+# The columns of a problem that each scenario's rows show.
+COLUMNS = {
+    "codegeneration": ["question_title", "question_content", "platform", "question_id", "contest_id", "contest_date", "starter_code", "difficulty"],
+    "codeexecution": ["question_id", "contest_id", "contest_date", "difficulty", "function_name", "code", "input", "output", "id", "problem_id", "numsteps"],
+    "testoutputprediction": ["question_title", "question_content", "question_id", "contest_id", "contest_date", "difficulty", "test_id", "function_name", "starter_code"],
+}
 # The models of each style.
 MODELS = {
     "Qwen3Instruct": "Qwen/Qwen3-4B-Instruct-2507",
@@ -83,6 +89,17 @@ def repair_rows(benchmark: DataFrame, evaluated: DataFrame) -> DataFrame:
     return templates.repair_prompts(flat).select("question_id", "position", "style", "prompt")
 
 
+def inserted(problems: DataFrame, outputs: DataFrame, scenario: str, graded: bool = False) -> DataFrame:
+    """The rows that a run writes: the scenario's columns of a problem, its outputs, and verdicts with pass_at_1 if ``graded``.
+
+    ``outputs`` has the scenario's key, output_list, what was taken from it, and graded_list; other columns of it stay.
+    """
+    rows = problems.select(*COLUMNS[scenario]).join(outputs, KEYS[scenario])
+    listed = F.date_format("contest_date", "yyyy-MM-dd'T'HH:mm:ss")
+    shown = rows.withColumn("contest_date", listed) if "contest_date" in rows.columns else rows
+    return with_scores(shown) if graded else shown.drop("graded_list")
+
+
 def with_scores(rows: DataFrame) -> DataFrame:
     """pass_at_1 of each row from graded_list."""
     return rows.withColumn("pass_at_1", passk.share_passed(F.col("graded_list")))

@@ -6,15 +6,20 @@ import json
 import subprocess
 import sys
 import tempfile
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 VERDICT = "status string, details map<string,string>, tests_run int, failures int, errors int, skipped int, was_successful boolean"
-CODES = "codes array<int>"
+CODES = "codes array<int>, metadata string"
 #: Fixed limits, in seconds and bytes.
-SOLUTION_SECONDS, TEST_SECONDS, ASSERTION_SECONDS, MEMORY = 240, 6, 3, 4 << 30
+SOLUTION_SECONDS, TEST_SECONDS, ASSERTION_SECONDS, VERIFY_SECONDS, MEMORY = 240, 6, 3, 60, 4 << 30
+MOST_TESTS = 5
+#: Fixed texts of failed tests.
+MESSAGES = {-2: "Wrong Answer", -3: "Time Limit Exceeded", -4: "Runtime Error"}
+TRUNCATED = "...(truncated) ..."
 
 _UNITTEST = """
 import json, sys, types, unittest
@@ -69,25 +74,97 @@ def run_unittest(code: str, test: str, seconds: float = SOLUTION_SECONDS) -> dic
     return {"status": "pass" if good and not details else "fail", "details": details, "tests_run": run, "failures": failures, "errors": errors, "skipped": skipped, "was_successful": good}
 
 
-def run_tests(code: str, tests: list[tuple[str, str]], name: str | None, seconds: float = TEST_SECONDS) -> list[int]:
-    """A code for each test up to the first that fails: 1 right, -2 wrong, -3 too slow, -4 an error."""
+def _short(value: object, length: int = 300) -> str:
+    text = str(value)
+    return text if len(text) <= length else f"{text[: length // 2]}{TRUNCATED}{text[-(length // 2) :]}"
+
+
+def run_graded(code: str, tests: list[tuple[str, str]], name: str | None, seconds: float = TEST_SECONDS) -> tuple[list[int], dict]:
+    """A code for each test up to the first that fails (1 right, -2 wrong, -3 too slow, -4 an error), and what failed.
+
+    All tests together may take a second more for each and five in all; past that every one counts as -1. A
+    grader that fails itself gives -2 and the error code -5.
+    """
     from ..functions.compare import decimals_equal
 
-    out = []
-    for given, want in tests:
-        if name:
-            got, _, code_no = _child(_CALL, json.dumps({"code": code, "name": name, "input": given}), seconds)
-            text = None if got is None else got.rpartition("\n@@")[2]
-            right = bool(got) and "\n@@" in got and json.loads(text) == json.loads(want)
-        else:
-            got, _, code_no = _child(code, given, seconds)
-            right = got is not None and decimals_equal(got, want)
-        out.append(-3 if got is None else -4 if code_no else 1 if right else -2)
-        if out[-1] != 1:
-            break
+    out, begin = [], time.monotonic()
+    try:
+        for given, want in tests:
+            if time.monotonic() - begin > (seconds + 1) * len(tests) + 5:
+                return [-1] * len(tests), {"error": "global timeout", "error_code": -1, "error_message": "Time Limit Exceeded"}
+            if name:
+                got, error, code_no = _child(_CALL, json.dumps({"code": code, "name": name, "input": given}), seconds)
+                shown = None if got is None else got.rpartition("\n@@")[2]
+                right = bool(got) and "\n@@" in got and json.loads(shown) == json.loads(want)
+            else:
+                shown, error, code_no = _child(code, given, seconds)
+                right = shown is not None and decimals_equal(shown, want)
+            out.append(-3 if shown is None else -4 if code_no else 1 if right else -2)
+            if out[-1] != 1:
+                about = {"inputs": _short(given), "expected": _short(want), "error_code": out[-1], "error_message": MESSAGES[out[-1]]}
+                return out, about | ({"output": _short(shown)} if out[-1] == -2 else {"error": (error or "TimeoutException").strip().split("\n")[-1]})
+    except Exception as e:  # noqa: BLE001  the grader's own failure is a verdict
+        return [-2], {"error": repr(e), "error_code": -5, "error_message": "TestRunnerError"}
+    return out, {"execution time": time.monotonic() - begin}
+
+
+def run_tests(code: str, tests: list[tuple[str, str]], name: str | None, seconds: float = TEST_SECONDS) -> list[int]:
+    return run_graded(code, tests, name, seconds)[0]
+
+
+def verify(code: str, tests: list[tuple[str, str]], name: str | None = None, seconds: float = VERIFY_SECONDS, most: int = MOST_TESTS) -> list[int]:
+    """The lenient verifier: 1 passed, 0 false, -1 too slow, -3 an error, up to the first that is not 1; -2 if it does not compile.
+
+    Of more than ``most`` tests those of longest input count. A script whose first test ends with return code 1
+    is tried once more as a function.
+    """
+    from ..functions.code import parses, script_forms, with_prelude
+    from ..functions.compare import lenient_equal
+
+    if len(tests) > most:
+        tests = sorted(tests, key=lambda t: -len(t[0]))[:most]
+    if not parses(code):
+        return [-2]
+
+    def scripted(program: str) -> tuple[list[int], int]:
+        out: list[int] = []
+        for given, want in tests:
+            got, _, code_no = _child(program, given, seconds)
+            out.append(-1 if got is None else -3 if code_no else int(lenient_equal(got.rstrip("\n"), want)))
+            if out[-1] <= 0:
+                return out, code_no
+        return out, 0
+
+    if name:
+        out: list[int] = []
+        for given, want in tests:
+            got, error, code_no = _child(_CALL, json.dumps({"code": with_prelude(code), "name": name, "input": given}), seconds)
+            if got is not None and f"KeyError: '{name}'" in error:
+                return [-2]
+            right = bool(got) and "\n@@" in got and json.loads(got.rpartition("\n@@")[2]) == json.loads(want)
+            out.append(-1 if got is None else -3 if code_no else int(right))
+            if out[-1] <= 0:
+                break
+        return out
+    function, script = script_forms(code)
+    out, code_no = scripted(script)
+    if out == [-3] and code_no == 1:
+        out, _ = scripted(f"{function}\ncode()\n")
     return out
 
 
+def verified(df: DataFrame, code: str = "code", tests: str = "tests", name: str = "fn_name", seconds: float = VERIFY_SECONDS, most: int = MOST_TESTS) -> DataFrame:
+    """``df`` with codes of verify() and passed: whether there is a test and all pass."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            codes = [verify(c or "", [(t["input"], t["output"]) for t in (ts if ts is not None else [])], n if isinstance(n, str) else None, seconds, most) for c, ts, n in zip(frame[code], frame[tests], frame[name], strict=True)]
+            yield frame.assign(codes=codes, passed=[bool(c) and all(x == 1 for x in c) for c in codes])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInPandas(run, f"{fields}, codes array<int>, passed boolean")
+
+
 def run_assertion(code: str, output: str, generation: str, seconds: float = ASSERTION_SECONDS) -> bool:
     """Whether the program's known output equals what a generation says it is."""
     out, _, code_no = _child(f"{code}\nassert {output} == {generation}\n", "", seconds)
@@ -129,8 +206,8 @@ def grade(df: DataFrame, code: str = "code", tests: str = "tests", name: str = "
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            codes = [run_tests(c or "", [(t["input"], t["output"]) for t in (ts if ts is not None else [])], n if isinstance(n, str) else None, seconds) for c, ts, n in zip(frame[code], frame[tests], frame[name], strict=True)]
-            yield frame.assign(codes=codes)
+            graded = [run_graded(c or "", [(t["input"], t["output"]) for t in (ts if ts is not None else [])], n if isinstance(n, str) else None, seconds) for c, ts, n in zip(frame[code], frame[tests], frame[name], strict=True)]
+            yield frame.assign(codes=[c for c, _ in graded], metadata=[json.dumps(m) for _, m in graded])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInPandas(run, f"{fields}, {CODES}")

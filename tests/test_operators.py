@@ -78,7 +78,9 @@ def test_connector(spark):
     assert [r.id for r in connectors.usable(made).collect()] == [1]
     lines = spark.createDataFrame([('{"custom_id": "2", "response": {"body": {"choices": [{"message": {"content": "hi"}}]}}}',), ("broken",)], "value string")
     requests = spark.createDataFrame([("1",), ("2",)], "custom_id string")
-    assert {r.custom_id: r.response for r in connectors.join_batch(requests, lines).collect()} == {"1": "Result missing", "2": "hi"}
+    assert {r.custom_id: (r.response, r.error) for r in connectors.join_batch(requests, lines).collect()} == {"1": ("", "Result missing"), "2": ("hi", None)}
+    failed = spark.createDataFrame([('{"custom_id": "1", "error": "late"}',)], "value string")
+    assert {r.custom_id: (r.response, r.error) for r in connectors.join_batch(requests, lines, failed).collect()} == {"1": ("", "late"), "2": ("hi", None)}
 
 
 def test_benchmark_tables(spark, tmp_path):
@@ -134,6 +136,33 @@ def test_sandbox():
     assert sandbox.run_tests("1 / 0", [("", "")], None, 20) == [-4]
 
 
+def test_metadata_of_failed_tests(monkeypatch):
+    codes, about = sandbox.run_graded("print(int(input()) * 2)", [("1", "2"), ("2", "5" * 400)], None, 20)
+    assert codes == [1, -2] and about["error_code"] == -2 and about["inputs"] == "2" and about["output"] == "4\n" and len(about["expected"]) < 330
+    codes, about = sandbox.run_graded("1 / 0", [("", "")], None, 20)
+    assert codes == [-4] and about["error_message"] == "Runtime Error" and "ZeroDivisionError" in about["error"]
+    assert sandbox.run_graded("while True: pass", [("", "")], None, 0.5)[1]["error_code"] == -3
+    assert sandbox.run_graded("def f(x): return x", [("1", "not json")], "f", 20)[1]["error_code"] == -5
+    ticks = iter([0.0, 0.0, 1000.0])
+    monkeypatch.setattr(sandbox.time, "monotonic", lambda: next(ticks))
+    monkeypatch.setattr(sandbox, "_child", lambda *_: ("1\n", "", 0))
+    assert sandbox.run_graded("print(1)", [("", "1"), ("", "1"), ("", "1")], None, 6)[0] == [-1, -1, -1]
+
+
+def test_lenient_verifier(spark):
+    assert sandbox.verify("n = int(input())\nprint(n / 3)", [("1", "0.333333333"), ("2", "0.66666666")], None, 20) == [1, 1]
+    assert sandbox.verify("print(1)", [("", "1"), ("", "2"), ("", "1")], None, 20) == [1, 0]
+    assert sandbox.verify("import sys\nif 1:\n    print(input())\n    return\n", [("x", "x")], None, 20) == [1]  # as a function
+    assert sandbox.verify("while True: pass", [("", "")], None, 0.5) == [-1]
+    assert sandbox.verify("print(", [("", "")], None, 20) == [-2] and sandbox.verify("1 / 0", [("", "")], None, 20) == [-3]
+    assert sandbox.verify("def f(a): return [a, gcd(4, 6)]", [("1", "[1, 2]")], "f", 20) == [1]
+    assert sandbox.verify("def g(a): return a", [("1", "1")], "f", 20) == [-2]
+    many = [("a" * k, "") for k in (1, 5, 3, 5, 2, 4, 9)]
+    assert len(sandbox.verify("input()", many, None, 20)) == 5
+    rows = spark.createDataFrame([("print(input())", [("a", "a")], None), ("print(input())", [], None)], "code string, tests array<struct<input:string,output:string>>, fn_name string")
+    assert sorted((r.codes, r.passed) for r in sandbox.verified(rows, seconds=20).collect()) == [([], False), ([1], True)]
+
+
 def test_sandbox_in_a_table(spark):
     rows = spark.createDataFrame([("print(input())", [("a", "a")], None), ("print(1)", [("a", "a")], None)], "code string, tests array<struct<input:string,output:string>>, fn_name string")
     assert sorted(r.codes for r in sandbox.grade(rows, seconds=20).collect()) == [[-2], [1]]
