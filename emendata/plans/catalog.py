@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import harness, mutations, programs, prompt_styles, relations, scores, texts
+from . import files, harness, mutations, programs, prompt_styles, relations, scores, texts
 
-_MODULES = (scores, relations, harness, texts, programs, mutations, prompt_styles)
+_MODULES = (scores, relations, harness, texts, programs, mutations, prompt_styles, files)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

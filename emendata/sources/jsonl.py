@@ -58,8 +58,9 @@ def processed_ids(spark: SparkSession, path: str, key: str = "task_id") -> DataF
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], f"{key} string")
-    rows = spark.read.schema(f"{key} string, _corrupt_record string").json(path).cache()
-    if not rows.filter(F.col("_corrupt_record").isNotNull()).isEmpty():
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", _schema(f"{key} string, _broken string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r")).select("r.*")
+    if not rows.filter(F.col("_broken").isNotNull()).isEmpty():
         return spark.createDataFrame([], f"{key} string")
     return rows.filter(F.col(key).isNotNull()).select(key).distinct()
 
@@ -92,10 +93,14 @@ def rewrite(df: DataFrame, path: str) -> None:
     fs.delete(paths[2], True)
 
 
-def read_results(spark: SparkSession, folder: str, suffix: str = "_eval_results.json") -> DataFrame:
-    """All result files below a folder, with their path, in the order of the paths."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").option("wholetext", "true")
-    return reader.text(folder).select(F.input_file_name().alias("path"), F.col("value").alias("json")).orderBy("path")
+def read_results(spark: SparkSession, folder: str, suffix: str = "_eval_results.json", whole: bool = False) -> DataFrame:
+    """(path, json) of all result files below a folder, in the order of the paths: a row for each line, or each ``whole`` file.
+
+    A result is a file of that name, or a folder of it that Spark wrote; path is that of the result.
+    """
+    rows = spark.read.option("recursiveFileLookup", "true").option("wholetext", str(whole).lower()).text(folder)
+    named = rows.select(F.regexp_replace(F.col("_metadata.file_path"), r"/part-[^/]*$", "").alias("path"), F.col("value").alias("json"))
+    return named.filter(F.endswith("path", F.lit(suffix))).orderBy("path")
 
 
 def read_custom_outputs(spark: SparkSession, path: str) -> DataFrame:
@@ -109,4 +114,4 @@ def read_custom_outputs(spark: SparkSession, path: str) -> DataFrame:
 def write_results(results: dict[str, DataFrame], folder: str, stem: str) -> None:
     """The three outputs of a run: samples, scores, and both together, named by their suffix."""
     for suffix, df in results.items():
-        df.coalesce(1).write.mode("overwrite").json(f"{folder}/{stem}{suffix}.json")
+        df.write.mode("overwrite").json(f"{folder}/{stem}{suffix}.json")
