@@ -13,26 +13,8 @@ from pyspark.sql.types import BooleanType
 RELATIVE, ABSOLUTE = 1e-05, 1e-08
 
 
-def stdout_equal(got: Column, want: Column) -> Column:
-    """Lines compared stripped, then line by line as exact decimals; another number of lines is unequal.
-
-    Numbers must fit decimal(38, 18), which is checked by a cast that gives null otherwise.
-    """
-
-    def lines(text: Column) -> Column:
-        return F.transform(F.split(F.regexp_replace(text, r"^\s+|\s+\z", ""), "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+\z", ""))
-
-    def same(a: Column, b: Column) -> Column:
-        x, y = F.split(a, r"\s+", -1), F.split(b, r"\s+", -1)
-        numbers = F.zip_with(x, y, lambda p, q: F.coalesce(p.try_cast("decimal(38,18)") == q.try_cast("decimal(38,18)"), F.lit(False)))
-        return (a == b) | ((F.size(x) == F.size(y)) & F.forall(numbers, lambda ok: ok))
-
-    a, b = lines(got), lines(want)
-    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, same), lambda ok: F.coalesce(ok, F.lit(False)))
-
-
 def decimals_equal(got: str, want: str) -> bool:
-    """stdout_equal() for numbers of any size."""
+    """Lines compared stripped, then line by line as exact decimals of any size; another number of lines is unequal."""
     a, b = ([line.strip() for line in text.strip().split("\n")] for text in (got, want))
     if len(a) != len(b):
         return False
@@ -108,3 +90,8 @@ def _pairs(function):
 
 lenient = _pairs(lenient_equal)
 decimals = _pairs(decimals_equal)
+
+
+def stdout_equal(got: Column, want: Column) -> Column:
+    """decimals_equal() as a column; null where either output is."""
+    return decimals(got, want)

@@ -37,6 +37,13 @@ def share_passed(graded: Column) -> Column:
     return F.try_divide(F.size(F.filter(graded, lambda x: x)), F.size(graded))
 
 
+def fold_codes(results: DataFrame, key: str, code: str) -> DataFrame:
+    """(key, n, passed, all_passed, verified, pass_at_1) from one row for each code: counts, so nothing is gathered."""
+    counts = results.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(code) > 0).alias("passed"), F.count_if(F.col(code) == 1).alias("_right"))
+    every = F.when(F.col("_right") == F.col("n"), 1).otherwise(0)
+    return counts.select(key, "n", "passed", (F.col("passed") == F.col("n")).alias("all_passed"), every.alias("verified"), (F.col("passed") / F.col("n")).alias("pass_at_1"))
+
+
 def fold_generations(results: DataFrame, key: str = "question_id", codes: str = "codes") -> DataFrame:
     """(key, n, c) from one row for each generation with its list of test codes."""
     return results.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(all_passed(F.col(codes))).alias("c"))

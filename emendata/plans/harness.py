@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import harness
+from ..operators import harness, passk
 from . import scores
 from .tables import rounded, table
 
@@ -34,9 +34,10 @@ def repair_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def harness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pass@k by difficulty from graded lists: an order's lines, by the order's priority."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.col("l_returnflag") != "R").alias("graded_list"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_returnflag") != "R", 1).otherwise(-2).alias("code"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("difficulty"))
-    report = harness.report(lines.join(orders, "o_orderkey"), (1, 5))
+    counts = passk.fold_codes(lines, "o_orderkey", "code").join(orders, "o_orderkey").select("difficulty", "n", F.col("passed").alias("c"))
+    report = passk.by_slice(counts, "difficulty", (1, 5))
     return report.select(F.coalesce("difficulty", F.lit("all")).alias("difficulty"), "k", rounded(F.col("pass_at_k")).alias("pass_at_k"), F.col("problems").cast("long").alias("problems"))
 
 

@@ -174,7 +174,7 @@ def corrupt_code_both(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def literal(value: str | float | None) -> str:
     """An SQL literal; line breaks as they are."""
-    return "NULL" if value is None else str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
+    return "NULL" if value is None else str(value).upper() if isinstance(value, bool) else str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
 
 
 def values(rows: list[tuple], names: str) -> str:

@@ -72,11 +72,21 @@ def metric_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def union_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents parted by a hash of their language: each language's rows come back from one side only, and all of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    test = docs.filter(F.col("doc_id") % 10 == 0)
-    train = docs.filter(F.col("doc_id") % 10 != 0)
-    both = relational.union_with_origin(train, test)
-    return both.groupBy("lang", F.col("_origin").cast("long").alias("origin")).agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("id_sum"))
+    both = relational.union_with_origin(*relational.split_by_key(docs.filter(F.col("lang").isNotNull()), "lang", 3))
+    return both.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("id_sum"), F.count_distinct("_origin").alias("sides"))
+
+
+def edge_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and the last hundred documents (or half of them) as test sides, and their rows in a seeded order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    out = None
+    for last in (False, True):
+        train, test = relational.edge_split(docs, ["doc_id"], 100, last)
+        both = relational.union_with_origin(train, test).select("doc_id", F.col("_origin").cast("long").alias("origin"), F.lit(last).alias("last"))
+        out = both if out is None else out.union(both)
+    return relational.seeded_order(out, "doc_id", 7)
 
 
 def length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +128,7 @@ def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.select("source", "prompt_tokens", "completion_tokens", "total_tokens", "requests", rounded(F.col("mean_tokens")).alias("mean_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (resume_anti_join, task_inner_join, completion_ordinal, first_last_per_key, first_match_join, topk_per_group, preference_pairs, preference_records, sort_by_difficulty, metric_unpivot_mean, metric_difference, union_split, length_filter, explode_regroup, zip_results, batch_responses, prompt_cache, token_usage)}
+QUERIES = {f.__name__: f for f in (resume_anti_join, task_inner_join, completion_ordinal, first_last_per_key, first_match_join, topk_per_group, preference_pairs, preference_records, sort_by_difficulty, metric_unpivot_mean, metric_difference, union_split, edge_splits, length_filter, explode_regroup, zip_results, batch_responses, prompt_cache, token_usage)}
 
 _MEANS = "means AS (SELECT l_returnflag, metric, round(avg(value), 4) AS mean, count(value) AS n FROM (UNPIVOT (SELECT l_returnflag, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME metric VALUE value) GROUP BY 1, 2)"
 ORACLES = {
@@ -142,7 +152,10 @@ ORACLES = {
     "sort_by_difficulty": "SELECT o_orderkey, count(l_orderkey) AS n_lines FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1 ORDER BY n_lines, o_orderkey LIMIT 100",
     "metric_unpivot_mean": f"WITH {_MEANS} SELECT * FROM means",
     "metric_difference": f"WITH {_MEANS} SELECT a.metric, round(a.mean - r.mean, 4) AS difference FROM means a JOIN means r ON a.metric = r.metric WHERE a.l_returnflag = 'A' AND r.l_returnflag = 'R'",
-    "union_split": "SELECT lang, CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END::BIGINT AS origin, count(*) AS n, sum(doc_id)::BIGINT AS id_sum FROM documents GROUP BY 1, 2",
+    "union_split": "SELECT lang, count(*) AS n, sum(doc_id)::BIGINT AS id_sum, 1::BIGINT AS sides FROM documents WHERE lang IS NOT NULL GROUP BY 1",
+    "edge_splits": """
+        WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS a, row_number() OVER (ORDER BY doc_id DESC) AS b, least(100, count(*) OVER () // 2) AS n FROM documents)
+        SELECT doc_id, (CASE WHEN last THEN b ELSE a END <= n)::BIGINT AS origin, last FROM r, (VALUES (FALSE), (TRUE)) l(last)""",
     "length_filter": "SELECT doc_id, length(text) AS n_characters, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE length(text) < 2000",
     "explode_regroup": "SELECT conv_id, string_agg(coalesce(role, ''), '>' ORDER BY turn) AS roles FROM conversations GROUP BY 1",
     "zip_results": "SELECT doc_id, lang, toxic FROM documents JOIN labels USING (doc_id)",

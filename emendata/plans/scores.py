@@ -35,14 +35,13 @@ def score_date_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pass_at_1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graded = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("question_id")).agg(F.collect_list(F.col("l_returnflag") != "R").alias("graded"))
-    return graded.select("question_id", F.size("graded").cast("long").alias("n"), rounded(passk.share_passed(F.col("graded"))).alias("pass_at_1"), F.forall("graded", lambda g: g).alias("all_passed"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.when(F.col("l_returnflag") != "R", 1).otherwise(-2).alias("code"))
+    return passk.fold_codes(lines, "question_id", "code").select("question_id", "n", rounded(F.col("pass_at_1")).alias("pass_at_1"), "all_passed")
 
 
 def verdict_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.when(F.col("l_returnflag") == "R", -2).when(F.col("l_linestatus") == "O", 1).otherwise(1)
-    results = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(code).alias("codes"))
-    return results.select("l_orderkey", passk.all_passed(F.col("codes")).alias("all_passed"), passk.verified(F.col("codes")).cast("long").alias("verified"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_returnflag") == "R", -2).otherwise(1).alias("code"))
+    return passk.fold_codes(lines, "l_orderkey", "code").select("l_orderkey", "all_passed", F.col("verified").cast("long").alias("verified"))
 
 
 def eval_merge_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +80,12 @@ def reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def test_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return relational.top_per_group(rows, "source", [F.desc("n_chars"), F.asc("doc_id")], 5, "rank").select("source", "doc_id", F.col("rank").cast("long").alias("rank"))
+    """The longest five of each document's lines, and the two longest lists of its words by line; ties in their order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    tests = F.transform("lines", lambda x, i: F.struct(x.alias("input"), i.alias("output")))
+    lists = F.transform("lines", lambda x, i: F.struct(F.split(x, " ", -1).alias("input"), i.alias("output")))
+    places = lambda c: F.array_join(F.transform(c, lambda t: t["output"].cast("string")), ",")
+    return docs.select("doc_id", places(grading.longest_tests(tests)).alias("by_characters"), places(grading.longest_tests(lists, 2, lists=True)).alias("by_elements"))
 
 
 def json_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +130,11 @@ ORACLES = {
     "reward": """
         SELECT doc_id, round(CASE WHEN quality = 1 THEN 0.1 - (n_chars / 100000.0::DOUBLE - 0.05) - CASE WHEN toxic = 1 THEN 0.25 ELSE 0 END ELSE -0.2 END, 6)::DOUBLE AS reward
         FROM documents JOIN labels USING (doc_id)""",
-    "test_selection": "SELECT source, doc_id, rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 5",
+    "test_selection": """
+        WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        x AS (SELECT doc_id, len(ls) AS n, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM l),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN n > 5 THEN -length(line) END, i) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN n > 2 THEN -len(string_split(line, ' ')) END, i) AS b FROM x)
+        SELECT doc_id, string_agg(i::VARCHAR, ',' ORDER BY a) FILTER (WHERE a <= 5) AS by_characters, string_agg(i::VARCHAR, ',' ORDER BY b) FILTER (WHERE b <= 2) AS by_elements FROM r GROUP BY 1""",
     "json_normalise": """
         WITH e AS (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events)
         SELECT event_id, 0::BIGINT AS position, k AS input, event_type AS output FROM e
