@@ -143,7 +143,8 @@ def resolve(records: DataFrame) -> DataFrame:
     responses are those of type response and status 200. A revisit without one before it is "missing"; where
     both name an ETag, or else both a Last-Modified, these must agree ("mismatch" otherwise), and without a
     validator on either side it is "unchecked". Only resolved and unchecked rows get headers and a payload. Records
-    without a URL or date are no responses; revisits without are missing. Other record types are ignored.
+    without a URL or date are no responses; revisits without are missing. Other record types are ignored, and so
+    are other columns. A record that is there twice gives its rows once for each pair of copies.
     """
     based = records.withColumn("url", canonical_url(F.col("uri")))
     full = (F.col("type") == "response") & (F.col("status") == 200)
