@@ -75,11 +75,11 @@ def _telling_grams(toxic: list[bytes], ordinary: list[bytes], z_least: float = 7
     with marks or digits: they tell of layout.
     """
     gram, a = _document_frequency(toxic)
-    other, count = _document_frequency(ordinary)
-    b = np.zeros(len(gram))
-    if len(other):
-        at = np.searchsorted(other, gram).clip(0, len(other) - 1)
-        b = np.where(other[at] == gram, count[at], 0)
+    b = np.zeros(len(gram), np.int64)
+    for text in ordinary if len(gram) else []:  # only grams of toxic texts matter, so no others are kept
+        found = np.unique(_grams(text))
+        at = np.searchsorted(gram, found).clip(0, len(gram) - 1)
+        b[at[gram[at] == found]] += 1
     n, m = max(len(toxic), 1), max(len(ordinary), 1)
     share = (a + b) / (n + m)
     z = (a - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
