@@ -8,7 +8,7 @@ only star-shaped edges, from its members to one hub, so that pairs stay in propo
 1. Documents with equal shingle sets collapse to a class; classes alone enter buckets.
 2. Every bucket offers its members' edges to its least document. Edges are confirmed on full shingle sets.
 3. Where a bucket still holds several components it offers more stars, around a few hubs drawn from its
-   largest component, to the members outside it, for ``rounds`` rounds.
+   largest component, to the members outside it, until the last of ``rounds`` rounds.
 4. What the stars left apart is settled exactly, by a prefix filter over the members of such buckets: sets of
    n and m shingles that reach the similarity share one of the first few in an order from rare to common, and
    its places bound what they have in common.
@@ -204,7 +204,7 @@ def _remaining(placed: DataFrame, texts: DataFrame, size: int, percent: int) ->
     return pairs.select(F.greatest("a_node", "b_node").alias("u"), F.least("a_node", "b_node").alias("v"))
 
 
-def judge(df: DataFrame, size: int = 5, percent: int = 80, rounds: int = 4, text: str = "text") -> DataFrame:
+def judge(df: DataFrame, size: int = 5, percent: int = 80, rounds: int = 2, text: str = "text") -> DataFrame:
     """doc_id, text_key, n_shingles and component for every row of ``df``; see near_duplicates().
 
     component is null for rows that link with nothing, because they have no shingles or no doc_id.
@@ -252,7 +252,7 @@ def judge(df: DataFrame, size: int = 5, percent: int = 80, rounds: int = 4, text
     return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
 
 
-def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, rounds: int = 4, text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, rounds: int = 2, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``df``.
 
     Words are lower-cased (A-Z); documents of equal sets, or of sets whose Jaccard similarity is ``percent`` or
