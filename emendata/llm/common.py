@@ -50,14 +50,15 @@ def join_back(rows: DataFrame, grouped: DataFrame, keys: list[str]) -> DataFrame
 
     The aggregate is already dealt by the keys, so a plain join would keep it so, and a key that holds a third
     of all rows would be one task's work. A further condition, derived from the keys, makes Spark deal both
-    sides for the join alone; adaptive execution then splits the parts of a hot key.
+    sides for the join alone; adaptive execution then splits the parts of a hot key. The hint keeps the plan the
+    same at every size: iterations over small tables would else broadcast each of them from the driver.
     """
     theirs = {k: f"_{k}_of" for k in keys}
     named = grouped.withColumnsRenamed(theirs)
     condition = F.pmod(F.hash(*[F.col(k) for k in keys]), F.lit(1 << 16)) == F.pmod(F.hash(*[F.col(theirs[k]) for k in keys]), F.lit(1 << 16))
     for k in keys:
         condition = condition & (F.col(k) == F.col(theirs[k]))
-    return rows.join(named, condition).drop(*theirs.values())
+    return rows.join(named.hint("merge"), condition).drop(*theirs.values())
 
 
 def kept_fields(df: DataFrame, kept: int, more: str) -> StructType:
