@@ -79,6 +79,11 @@ def signatures(value: np.ndarray, text: np.ndarray, n: int, bins: int) -> np.nda
     return out
 
 
+def _met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by sorting at every size: the many small tables of a run would else be broadcast from the driver, each with pages of its own."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
@@ -117,8 +122,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, rows: i
     the join on the hub may be split, as no later step needs its pairs together. ``rows`` is the number of
     texts: every partition of these joins reads a part of them, however few the pairs are.
     """
-    left = packed(pairs.join(texts.select(F.col("node").alias("u"), F.col("_text").alias("_u")), "u"), rows, 1000)
-    both = left.join(texts.select(F.col("node").alias("v"), F.col("_text").alias("_v")), "v").select("u", "v", "_u", "_v")
+    left = packed(_met(pairs, texts.select(F.col("node").alias("u"), F.col("_text").alias("_u")), "u"), rows, 1000)
+    both = _met(left, texts.select(F.col("node").alias("v"), F.col("_text").alias("_v")), "v").select("u", "v", "_u", "_v")
     both = packed(both, rows, 1000)
 
     def sets(column: pa.Array) -> list[np.ndarray]:
@@ -174,7 +179,7 @@ def _offers(placed: DataFrame, turn: int) -> DataFrame:
     """
     members = join_back(placed, _split(placed), ["key"])
     hubs = members.filter((F.col("label") == F.col("top")) & (hash_unit(turn, "key", "node") < 2.0**turn / F.col("n"))).select("key", F.col("node").alias("hub"))
-    return members.filter("label != top").select("key", "node").join(hubs, "key").select("node", "hub")
+    return _met(members.filter("label != top").select("key", "node"), hubs, "key").select("node", "hub")
 
 
 def _remaining(placed: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -188,19 +193,19 @@ def _remaining(placed: DataFrame, texts: DataFrame, size: int, percent: int) ->
     """
     labels = join_back(placed, _split(placed).select("key"), ["key"]).select("node", "label").distinct()
     open_ = materialise(labels)
-    tokens = materialise(_tokens(texts.join(open_.select("node"), "node", "left_semi"), size))
+    tokens = materialise(_tokens(_met(texts, open_.select("node"), "node", "left_semi"), size))
     often = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
     order = Window.partitionBy("node").orderBy("often", "key")
     ranked = join_back(tokens, often, ["key"]).withColumn("at", F.row_number().over(order) - 1)
     reach = ranked.filter(F.col("at") * 100 <= F.col("n") * (100 - percent)).filter("often > 1")
     early = (F.col("n") - F.col("at")) * (100 + percent) >= 2 * percent * F.col("n")
-    prefix = materialise(reach.join(open_, "node").select("key", "node", "label", "n", "at", early.alias("early")))
+    prefix = materialise(_met(reach, open_, "node").select("key", "node", "label", "n", "at", early.alias("early")))
     members = materialise(join_back(prefix, _split(prefix).select("key", "top"), ["key"]).select(*prefix.columns, (F.col("label") == F.col("top")).alias("inner")))
     left, right = [members.select(*[F.col(c).alias(f"{side}_{c}") for c in members.columns]) for side in ("a", "b")]
     common = percent * (F.col("a_n") + F.col("b_n"))
     near = ((F.col("a_n") - F.col("a_at")) * (100 + percent) >= common) & ((F.col("b_n") - F.col("b_at")) * (100 + percent) >= common)
     meet = (F.col("a_key") == F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & near
-    pairs = left.filter("a_early and not a_inner").join(right, meet).union(left.filter("a_early and a_inner").join(right.filter("not b_inner"), meet))
+    pairs = _met(left.filter("a_early and not a_inner"), right, meet).union(_met(left.filter("a_early and a_inner"), right.filter("not b_inner"), meet))
     return pairs.select(F.greatest("a_node", "b_node").alias("u"), F.least("a_node", "b_node").alias("v"))
 
 
@@ -214,14 +219,14 @@ def judge(df: DataFrame, size: int = 5, percent: int = 80, rounds: int = 2, text
     sets = ["set_a", "set_b", "n_shingles"]
     # a checkpoint's partitions stay as they are, so these numbers do
     classes = materialise(known.groupBy(*sets).agg(F.min("doc_id").alias("class_id"))).withColumn("node", F.monotonically_increasing_id())
-    members = known.join(classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", *sets])
+    members = _met(known, classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", *sets])
     banded = members.select("node", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub")
     # only documents in a bucket with others go on
     buckets = materialise(join_back(banded, hubs, ["key"]).select("key", "node", "hub"))
-    wanted = members.select("node", "doc_id", "text_key").join(buckets.select("node").distinct(), "node", "left_semi")
+    wanted = members.select("node", "doc_id", "text_key").join(buckets.select("node").distinct().hint("merge"), "node", "left_semi")
     every = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("_text"))
-    texts = materialise(every.join(wanted.distinct(), ["doc_id", "text_key"]).select("node", "_text").dropDuplicates(["node"]))
+    texts = materialise(_met(every, wanted.distinct(), ["doc_id", "text_key"]).select("node", "_text").dropDuplicates(["node"]))
 
     n_buckets, n_texts = buckets.count(), texts.count()
     offered = packed(buckets.filter("node > hub").select(F.col("node").alias("u"), F.col("hub").alias("v")), n_buckets).distinct()
@@ -230,13 +235,13 @@ def judge(df: DataFrame, size: int = 5, percent: int = 80, rounds: int = 2, text
     stars = connected_components(links)
     for turn in range(1, rounds + 1):
         labels = stars.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        placed = materialise(packed(buckets.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), n_buckets))
+        placed = materialise(packed(_met(buckets.select("key", "node"), labels, "node", "left").withColumn("label", F.coalesce("label", "node")), n_buckets))
         if turn < rounds:
             again = _offers(placed, turn).select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
         else:
             again = _remaining(placed, texts, size, percent)
         again = packed(again, n_buckets).distinct()
-        fresh = materialise(packed(packed(again, n_buckets).join(tried, ["u", "v"], "left_anti"), n_buckets))
+        fresh = materialise(packed(_met(packed(again, n_buckets), tried, ["u", "v"], "left_anti"), n_buckets))
         n_fresh = fresh.count()
         if not n_fresh:
             continue
@@ -244,11 +249,11 @@ def judge(df: DataFrame, size: int = 5, percent: int = 80, rounds: int = 2, text
         tried = tried.union(fresh)
         if not found.isEmpty():
             stars = connected_components(stars.union(found))
-    ends = classes.join(stars, classes["node"] == stars["u"], "left").select(*sets, "class_id", F.coalesce("v", "node").alias("end"))
+    ends = _met(classes, stars, classes["node"] == stars["u"], "left").select(*sets, "class_id", F.coalesce("v", "node").alias("end"))
     least = ends.groupBy("end").agg(F.min("class_id").alias("component"))
     labels = join_back(ends, least, ["end"]).select(*[F.col(c).alias(f"_{c}") for c in sets], "component")
     same = [F.col(c) == F.col(f"_{c}") for c in sets]
-    out = sketched.join(labels, same[0] & same[1] & same[2], "left")
+    out = _met(sketched, labels, same[0] & same[1] & same[2], "left")
     return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
 
 
