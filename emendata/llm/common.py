@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def no_runtime_filters(spark: SparkSession) -> Iterator[None]:
+    """Plans made within have no Bloom filters of one join side for the other.
+
+    The size of a checkpointed table is unknown to the optimizer, so that it makes filters of several megabytes
+    for tables of a few rows, and sends each through the driver.
+    """
+    name = "spark.sql.optimizer.runtime.bloomFilter.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def packed(df: DataFrame, rows: int, rows_per_partition: int = 50_000) -> DataFrame:
     """``df``, of which about ``rows`` rows are known, in no more partitions than they fill.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import hash_unit, join_back, materialise, packed, text_key
+from .common import hash_unit, join_back, materialise, no_runtime_filters, packed, text_key
 from .components import connected_components
 
 BANDS, ROWS = 52, 7
@@ -214,6 +214,11 @@ def judge(df: DataFrame, size: int = 5, percent: int = 80, rounds: int = 2, text
 
     component is null for rows that link with nothing, because they have no shingles or no doc_id.
     """
+    with no_runtime_filters(df.sparkSession):
+        return _judged(df, size, percent, rounds, text)
+
+
+def _judged(df: DataFrame, size: int, percent: int, rounds: int, text: str) -> DataFrame:
     sketched = materialise(sketch(df, size, text))
     known = sketched.filter("n_shingles > 0 and doc_id is not null")
     sets = ["set_a", "set_b", "n_shingles"]
