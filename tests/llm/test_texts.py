@@ -145,6 +145,36 @@ def test_ratio_is_that_of_the_multinomials(spark):
     assert llr_quality.mean_ratios(texts, model.log_ratio)[0] == pytest.approx(want)
 
 
+def test_every_labelled_text_is_learned_from(spark):
+    rng = random.Random(4)
+    rows = [(i, sentence(rng, 60, 0, 40) if i % 7 else sentence(rng, 60, 10, 40)) for i in range(9000)] + [(5, "w1 w2"), (None, "w3"), (9001, None), (9002, "")]
+    marks = [(i, int(i % 7 != 0)) for i in range(0, 9003)] + [(14, 1), (15, 0), (20, 1)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(marks, "doc_id long, quality int")
+    learned = {(i, q) for i, q in marks if zlib.crc32(str(i).encode()) % 4 != 2}
+    texts = textscan.as_texts(pa.array([t for _, t in rows]))
+    llr_quality.base_counts(texts)
+    bucket, of = llr_quality.ngram_buckets(texts)
+    trusted = np.array([(i, 1) in learned and t is not None for i, t in rows])
+    other = np.array([(i, 0) in learned and t is not None for i, t in rows])
+    assert trusted.sum() > 4000
+    raw, target = np.bincount(bucket, minlength=65536), np.bincount(bucket[trusted[of]], minlength=65536)
+    ratio = np.log((target + 1) / (target.sum() + 65536)) - np.log((raw + 1) / (raw.sum() + 65536))
+    llr = llr_quality.mean_ratios(texts, ratio)
+    good, low = np.sort(llr[trusted]), np.sort(llr[other])
+    highest = good[int(0.01 * len(good))]
+    cuts = np.unique([*low[low < highest], highest])
+    best = cuts[np.argmax([(low <= c).mean() - (good < c).mean() for c in cuts])]
+    want = best if best in good else (best + min(v for v in llr[trusted | other] if v > best)) / 2
+    got = llr_quality.quality_rules(df, labels).collect()
+    assert Counter((r.doc_id, round(r.llr, 9), r.kept) for r in got) == Counter((i, round(v, 9), not brute_failed(t) and v >= want) for (i, t), v in zip(rows, llr, strict=True))
+    assert {r.kept for r in got if not r.base_failed} == {True, False}
+
+
+def brute_failed(text):
+    n, *_, repeated = brute_counts(text)
+    return n < 50 or 100 * repeated > 50 * n
+
+
 def test_toxicity_on_held_out_rows(spark):
     import random
 
