@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emendata.llm import decontaminate, kd_shards, minhash, pfair_mix, zstd_toxicity
-from emendata.llm.common import table, text_key
+from emendata.llm.common import file_order, table, text_key
 
 SHARDS = 24
 #: SQL can express neither compression lengths nor MinHash; tests hold each stage against brute force.
@@ -43,10 +43,14 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with shard and slot; within a shard slots follow the order of the mixing stage."""
-    placed = kd_shards.assign_shards(docs, shards=SHARDS)
-    ordered = pfair_mix.mix(placed, ties=(text_key(),))
-    return kd_shards.number_slots(ordered, along="mix_position").drop("mix_block", "mix_slot", "mix_position")
+    """All documents with shard and slot; within a shard slots follow the order in which the files hold ``docs``.
+
+    That is the order of the mixing stage. A table that is not read from Parquet files has none, and is mixed here.
+    """
+    if (ordered := file_order(docs, "mix_position")) is None:
+        ordered = pfair_mix.mix(docs, ties=(text_key(),)).drop("mix_block", "mix_slot")
+    placed = kd_shards.assign_shards(ordered, shards=SHARDS)
+    return kd_shards.number_slots(placed, along="mix_position").drop("mix_position")
 
 
 STAGES = [

@@ -266,6 +266,24 @@ def test_slots_follow_the_mixed_order(spark, data, monkeypatch, shards):
             assert abs(sum(source == "rare" for _, _, _, source in got[:n]) - n / 4) <= 2 * pfair_mix.LEAST_BLOCK_ROWS
 
 
+def test_mixing_decides_the_slots(spark, data, monkeypatch, tmp_path):
+    """Slots follow the files that the stage before has written, whatever order these hold."""
+    monkeypatch.setattr(corpus_pipeline, "SHARDS", 3)
+    docs = spark.createDataFrame([(i, f"text {i}", "rare" if i % 10 == 0 else "common", i) for i in range(5000)], "doc_id long, text string, source string, mix_position int")
+    ways = {"falling": docs.repartitionByRange(7, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id")), "mixed": corpus_pipeline.mixing(spark, docs, data), "even": pfair_mix.mixed(docs, weights={"rare": 1.0, "common": 1.0})}
+    position = {"falling": {i: -i for i in range(5000)}}
+    for name, weights in (("mixed", None), ("even", {"rare": 1.0, "common": 1.0})):
+        position[name] = {r.doc_id: r.mix_position for r in pfair_mix.mix(docs, weights, ties=(text_key(),)).collect()}
+    for name, rows in ways.items():
+        rows.write.parquet(str(tmp_path / name))
+        got = sorted((r.shard, r.slot, r.doc_id) for r in corpus_pipeline.sharding(spark, spark.read.parquet(str(tmp_path / name)), data).collect())
+        assert sorted(i for *_, i in got) == list(range(5000))
+        for shard in range(3):
+            mine = [(k, i) for s, k, i in got if s == shard]
+            assert [k for k, _ in mine] == list(range(len(mine))) and mine
+            assert [i for _, i in mine] == sorted((i for _, i in mine), key=position[name].get)
+
+
 def test_pipeline(spark, data, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     columns, before = docs.columns, docs.count()
