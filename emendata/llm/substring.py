@@ -11,6 +11,7 @@ of half windows, and only what repeats there is extended to the full length:
 
 Before that, documents of equal word sequence collapse to the one of least id: all others are repeats from
 the first word to the last. Texts are shuffled once, by doc_id, and that exchange serves every later join.
+The shuffle files of the first level go before the second begins.
 """
 
 from __future__ import annotations
@@ -147,12 +148,12 @@ def remove_repeats(df: DataFrame, window: int = 50, text: str = "text") -> DataF
     """
     every = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"))
     texts = every.filter("doc_id is not null")
-    survey = materialise(_survey(texts, window)).filter(F.col("n_words") >= window)
-    classes = materialise(survey.groupBy("seq_a", "seq_b", "n_words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")))
+    survey = materialise(_survey(texts, window), drop_shuffles=True).filter(F.col("n_words") >= window)
+    classes = materialise(survey.groupBy("seq_a", "seq_b", "n_words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")), drop_shuffles=True)
     halves = survey.select(F.explode("halves").alias("half"), "doc_id", "seq_a")
     twice = halves.groupBy("half").agg(F.min("seq_a").alias("a"), F.max("seq_a").alias("b")).filter("a < b").select("half")
     listed = join_back(halves.select("half", "doc_id"), twice, ["half"]).groupBy("doc_id").agg(F.collect_set("half").alias("_halves"))
-    wanted = materialise(listed.join(classes.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    wanted = materialise(listed.join(classes.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi"), drop_shuffles=True)
     found = _full_windows(texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "_text", "_halves"), window)
     least = found.groupBy("win_a", "win_b").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("win_a", "win_b", "a")
     repeats = join_back(found, least, ["win_a", "win_b"]).filter("doc_id > a").groupBy("doc_id").agg(F.collect_set("at").alias("_at"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import time
 from collections import Counter
 
 from emendata.llm import decontaminate, minhash, substring
@@ -225,3 +226,16 @@ def test_texts_that_collide_in_polynomial_hashes(spark):
     assert {r.doc_id: r.n_removed for r in substring.remove_repeats(whole, window=2048).collect()} == {i: n for i, (_, n, _) in brute_repeats([(1, " ".join(one)), (2, " ".join(two))], 2048).items()}
     letters = spark.createDataFrame([(1, "".join(one)), (2, "".join(two))], "doc_id long, text string")
     assert {r.component_id for r in minhash.near_duplicates(letters, size=4).collect()} == {1, 2}
+
+
+def test_first_level_leaves_no_shuffle_files(spark, documents):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {p.rsplit("/", 1)[-1] for p in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in p}
+    documents.count()
+    before = files()
+    cleaned = substring.remove_repeats(documents, window=50)
+    end = time.monotonic() + 10
+    while files() - before and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert cleaned.count() == documents.count()
