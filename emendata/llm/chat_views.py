@@ -107,11 +107,11 @@ WITH rows AS (
         CASE WHEN name = 'system' THEN '<|system|>' WHEN name = perspective THEN '<|assistant|>' ELSE '<|user name=' || name || '|>' END || chr(10) AS head
     FROM rows JOIN participants ON conv_id IS NOT DISTINCT FROM c
 ), placed AS (
-    SELECT *, coalesce(sum(length(head) + length(said) + 8) OVER (PARTITION BY conv_id, perspective ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+    SELECT *, coalesce(sum(length(head) + length(said) + 8) OVER (PARTITION BY conv_id, perspective ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
     FROM views
 )
-SELECT conv_id, perspective, piece::BIGINT AS piece, count(*) AS n_turns, min(at)::BIGINT AS start,
+SELECT conv_id, perspective, piece::BIGINT AS piece, count(*) AS n_turns, min(begins)::BIGINT AS start,
     string_agg(head || said || '<|end|>' || chr(10), '' ORDER BY position) AS text,
-    coalesce(string_agg(CAST(at + length(head) AS BIGINT) || '-' || CAST(at + length(head) + length(said) + 7 AS BIGINT), ',' ORDER BY position) FILTER (WHERE name = perspective), '') AS mask
+    coalesce(string_agg(CAST(begins + length(head) AS BIGINT) || '-' || CAST(begins + length(head) + length(said) + 7 AS BIGINT), ',' ORDER BY position) FILTER (WHERE name = perspective), '') AS mask
 FROM placed GROUP BY conv_id, perspective, piece
 """
