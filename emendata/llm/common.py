@@ -110,6 +110,14 @@ def file_order(df: DataFrame, name: str) -> DataFrame | None:
     return placed.join(F.broadcast(first), "path").select("row.*", (F.col("first") + F.col("at")).alias(name))
 
 
+def crc32_sql(value: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of the UTF-8 bytes of a string expression, which has no function of its own."""
+    bit = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"  # the reversed polynomial 0xEDB88320
+    step = f"list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: {bit})"
+    bytes_ = f"list_transform(range(strlen({value})), lambda i: ('0x' || substr(hex({value}), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_}), lambda c, b: {step}), 4294967295)"
+
+
 def kept_fields(df: DataFrame, kept: int, more: str) -> StructType:
     """The first ``kept`` fields of ``df`` and those that the DDL string ``more`` names."""
     return StructType([*df.schema.fields[:kept], *StructType.fromDDL(more).fields])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_views, decontaminate, kd_shards, llr_quality, minhash, pfair_mix, ppm_language, substring, warc_revisits, zstd_toxicity
+from . import chat_views, decontaminate, kd_shards, llr_quality, merkle, minhash, pfair_mix, ppm_language, substring, warc_revisits, zstd_toxicity
 from .common import held_out, table, text_key
 
 
@@ -62,6 +62,15 @@ def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    tampered = merkle.leaf_of(*[F.col(f) + 1 if f == "n_chars" else F.col(f) for f in merkle.FIELDS])
+    claim = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, tampered)
+    proved = merkle.manifest(documents, claim=claim)
+    siblings = F.array_join(F.flatten(F.transform("proof", lambda p: p["siblings"])), "")
+    return proved.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_shards": op1_kd_shards,
     "op2_ppm_language": op2_ppm_language,
@@ -73,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_zstd_toxicity": op10_zstd_toxicity,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 #: The other methods cannot be put in SQL over these tables; tests hold them against brute force.
 ORACLES: dict[str, str] = {
@@ -81,4 +91,5 @@ ORACLES: dict[str, str] = {
     "op7_minhash": minhash.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op9_warc_revisits": warc_revisits.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }
