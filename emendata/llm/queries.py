@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_views, decontaminate, kd_shards, llr_quality, merkle, minhash, pfair_mix, ppm_language, substring, warc_revisits, zstd_toxicity
+from . import chat_views, decontaminate, kd_shards, llr_quality, merkle, minhash, pfair_mix, ppm_language, spelling, substring, warc_revisits, zstd_toxicity
 from .common import held_out, table, text_key
 
 
@@ -62,6 +62,11 @@ def op10_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), spoiled=31)
+    return spelling.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     tampered = merkle.leaf_of(*[F.col(f) + 1 if f == "n_chars" else F.col(f) for f in merkle.FIELDS])
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_zstd_toxicity": op10_zstd_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 #: The other methods cannot be put in SQL over these tables; tests hold them against brute force.
@@ -91,5 +97,6 @@ ORACLES: dict[str, str] = {
     "op7_minhash": minhash.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op9_warc_revisits": warc_revisits.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
 }
