@@ -29,6 +29,8 @@ from .common import crc32_sql, materialise
 
 #: Rows of a range, and forests that one step of the reduction merges.
 ROWS, FAN = 1 << 18, 32
+#: Rows whose proofs are built at once.
+BATCH = 1024
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: The tree above all groups; the groups' own trees are numbered from 0.
 ABOVE = -1
@@ -247,7 +249,6 @@ def _prove(dealt: DataFrame, trees: int, arity: int, root: str) -> DataFrame:
     shape_above = Tree(trees, arity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc", pa.string()), ("lang", pa.string()), ("leaf", pa.string()), ("subroot", pa.string()), ("root", pa.string()), ("proof", pa.list_(pa.struct([("at", pa.int32()), ("siblings", pa.list_(pa.string()))]))), ("folded_root", pa.string())])
         for _, nodes, pieces in _parts(batches):
             beside = {(r["tree"], r["level"], r["at"]): r["leaf"] for r in nodes}
             built = [Piece(p["tree"], p["n"], p["at"], [leaf for _, _, leaf, _ in rows], arity) for p, rows in pieces]
@@ -264,18 +265,30 @@ def _prove(dealt: DataFrame, trees: int, arity: int, root: str) -> DataFrame:
                 def get(level, k, b=b):
                     return b.get(level, k) or beside[b.tree, level, k]
 
-                out = []
-                for i, (doc, lang, leaf, claim) in enumerate(rows):
-                    proof = [*_path(b.shape, first + i, get, cache, 0), *upper]
-                    out.append({"doc": doc, "lang": lang, "leaf": leaf, "subroot": subroot, "root": root, "proof": [{"at": at, "siblings": s} for at, s in proof], "folded_root": fold(claim or leaf, proof)})
-                    if len(out) == 4096:
-                        yield pa.RecordBatch.from_pylist(out, schema)
-                        out = []
-                yield pa.RecordBatch.from_pylist(out, schema)
+                for low in range(0, len(rows), BATCH):
+                    part = rows[low : low + BATCH]
+                    proofs = [[*_path(b.shape, first + low + i, get, cache, 0), *upper] for i in range(len(part))]
+                    folded = [fold(claim or leaf, proof) for (_, _, leaf, claim), proof in zip(part, proofs)]
+                    yield _batch(part, subroot, root, proofs, folded)
 
     return dealt.mapInArrow(run, _PROVED)
 
 
+def _batch(rows: list[tuple], subroot: str, root: str, proofs: list[list[tuple[int, list[str]]]], folded: list[str]) -> pa.RecordBatch:
+    steps = [step for proof in proofs for step in proof]
+    siblings = pa.ListArray.from_arrays(_offsets([s for _, s in steps]), pa.array([d for _, s in steps for d in s], pa.string()))
+    struct = pa.StructArray.from_arrays([pa.array([at for at, _ in steps], pa.int32()), siblings], names=["at", "siblings"])
+    text = [pa.array(c, pa.string()) for c in ([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [subroot] * len(rows), [root] * len(rows))]
+    return pa.RecordBatch.from_arrays([*text, pa.ListArray.from_arrays(_offsets(proofs), struct), pa.array(folded, pa.string())], names=["doc", "lang", "leaf", "subroot", "root", "proof", "folded_root"])
+
+
+def _offsets(lists: list[list]) -> pa.Array:
+    ends = [0]
+    for x in lists:
+        ends.append(ends[-1] + len(x))
+    return pa.array(ends, pa.int32())
+
+
 def _path(shape: Tree, idx: int, get, cache: dict, level: int) -> list[tuple[int, list[str]]]:
     """(place in the run, siblings) for each level from the node to its tree's root."""
     if level == len(shape.counts) - 1:
