@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_views, decontaminate, kd_shards, llr_quality, merkle, minhash, pfair_mix, ppm_language, spelling, substring, warc_revisits, zstd_toxicity
+from . import chat_views, decontaminate, kd_shards, llr_quality, merkle, minhash, pfair_mix, pii_crf, ppm_language, spelling, substring, warc_revisits, zstd_toxicity
 from .common import held_out, table, text_key
 
 
@@ -76,6 +76,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proved.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_semicrf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base_sha256 are those of the base spans; spans and n_added tell what the field adds."""
+    found = pii_crf.detect(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: ~s["added"])
+    counts = [F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii_crf.KINDS]
+    n_added = F.size(F.filter("spans", lambda s: s["added"])).cast("long")
+    return found.select("doc_id", *counts, F.sha2(pii_crf.spans_text(base), 256).alias("base_sha256"), pii_crf.spans_text(F.col("spans")).alias("spans"), n_added.alias("n_added"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_shards": op1_kd_shards,
     "op2_ppm_language": op2_ppm_language,
@@ -89,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_zstd_toxicity": op10_zstd_toxicity,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_semicrf_pii": op13_semicrf_pii,
 }
 #: The other methods cannot be put in SQL over these tables; tests hold them against brute force.
 ORACLES: dict[str, str] = {
