@@ -10,8 +10,9 @@ of half windows, and only what repeats there is extended to the full length:
 3. A document's repeats are united to spans of words, and these are removed.
 
 Before that, documents of equal word sequence collapse to the one of least id: all others are repeats from
-the first word to the last. Texts are shuffled once, by doc_id, and that exchange serves every later join.
-The shuffle files of the first level go before the second begins.
+the first word to the last. A row is told apart from others of its doc_id by its text. Texts are shuffled once, by
+doc_id and a hash of the text, and that exchange serves every later join. The shuffle files of the first level go
+before the second begins.
 """
 
 from __future__ import annotations
@@ -57,11 +58,11 @@ def _standing(texts: textscan.Texts, words: np.ndarray, window: int) -> tuple[np
 
 
 def _survey(df: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, a fingerprint of the word sequence, and the half windows that stand for its windows."""
+    """doc_id, text's hash, n_words, a fingerprint of the word sequence, and the half windows that stand for its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, texts in textscan.chunks(batch.column(1)):
+            for low, high, texts in textscan.chunks(batch.column(2)):
                 texts.find_words()
                 words = texts.word_hash()
                 prints = texts.sequence_prints()
@@ -72,18 +73,18 @@ def _survey(df: DataFrame, window: int) -> DataFrame:
                 least, of = least[new], of[new]
                 edges = np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32)
                 halves = pa.ListArray.from_arrays(pa.array(edges), pa.array(_signed(least)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(texts.counts.astype(np.int64)), pa.array(np.ascontiguousarray(prints[:, 0])), pa.array(np.ascontiguousarray(prints[:, 1])), halves], names=["doc_id", "n_words", "seq_a", "seq_b", "halves"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(texts.counts.astype(np.int64)), pa.array(np.ascontiguousarray(prints[:, 0])), pa.array(np.ascontiguousarray(prints[:, 1])), halves], names=["doc_id", "of", "n_words", "seq_a", "seq_b", "halves"])
 
-    return df.mapInArrow(run, "doc_id long, n_words long, seq_a long, seq_b long, halves array<long>")
+    return df.mapInArrow(run, "doc_id long, of long, n_words long, seq_a long, seq_b long, halves array<long>")
 
 
 def _full_windows(df: DataFrame, window: int) -> DataFrame:
-    """(win_a, win_b, doc_id, at) of the windows that one of the document's repeated half windows stands for."""
+    """(win_a, win_b, doc_id, of, at) of the windows that one of the document's repeated half windows stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(2)
-            for low, high, texts in textscan.chunks(batch.column(1)):
+            ids, hashes, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            for low, high, texts in textscan.chunks(batch.column(2)):
                 texts.find_words()
                 words = texts.word_hash()
                 least, at = _standing(texts, words, window)
@@ -94,9 +95,9 @@ def _full_windows(df: DataFrame, window: int) -> DataFrame:
                 second, _ = textscan.windows(texts, textscan.mix(words ^ np.uint64(_SECOND_BASE)), window, _SECOND_BASE)
                 at, first, second = at[chosen], first[chosen], second[chosen]
                 of = texts.text[at]
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(first)), pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[low:high][of]), pa.array((at - texts.first[of]).astype(np.int32))], names=["win_a", "win_b", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(first)), pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[low:high][of]), pa.array(hashes[low:high][of]), pa.array((at - texts.first[of]).astype(np.int32))], names=["win_a", "win_b", "doc_id", "of", "at"])
 
-    return df.mapInArrow(run, "win_a long, win_b int, doc_id long, at int")
+    return df.mapInArrow(run, "win_a long, win_b int, doc_id long, of long, at int")
 
 
 def _salt(of: np.ndarray) -> np.ndarray:
@@ -143,23 +144,25 @@ def remove_repeats(df: DataFrame, window: int = 50, text: str = "text") -> DataF
 
     A word goes if a window of ``window`` words around it also starts in a document of smaller doc_id; all
     windows are judged on the input. kept_text joins the other words by one space; it is empty for null and
-    empty texts. Texts of fewer words lose nothing. Rows that repeat a doc_id are no repeats of each other.
-    Rows without doc_id neither lose words nor make others lose any. Other columns are ignored.
+    empty texts. Texts of fewer words lose nothing. Rows that repeat a doc_id are judged each by their own text, and
+    are no repeats of each other. Rows without doc_id neither lose words nor make others lose any. Other columns are
+    ignored.
     """
-    every = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    texts = every.filter("doc_id is not null")
+    every = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("of"), F.col(text).alias("_text"))
+    texts, row = every.filter("doc_id is not null"), ["doc_id", "of"]
     survey = materialise(_survey(texts, window), drop_shuffles=True).filter(F.col("n_words") >= window)
-    classes = materialise(survey.groupBy("seq_a", "seq_b", "n_words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")), drop_shuffles=True)
-    halves = survey.select(F.explode("halves").alias("half"), "doc_id", "seq_a")
+    classes = materialise(survey.groupBy("seq_a", "seq_b").agg(F.min("doc_id").alias("least")), drop_shuffles=True)
+    # the first rows of each class stand for it; all others are copies
+    tagged = materialise(join_back(survey.select(*row, "seq_a", "seq_b"), classes, ["seq_a", "seq_b"]).select(*row, "seq_a", (F.col("doc_id") > F.col("least")).alias("_copy")).distinct(), drop_shuffles=True)
+    halves = survey.select(F.explode("halves").alias("half"), "seq_a")
     twice = halves.groupBy("half").agg(F.min("seq_a").alias("a"), F.max("seq_a").alias("b")).filter("a < b").select("half")
-    listed = join_back(halves.select("half", "doc_id"), twice, ["half"]).groupBy("doc_id").agg(F.collect_set("half").alias("_halves"))
-    wanted = materialise(listed.join(classes.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi"), drop_shuffles=True)
-    found = _full_windows(texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "_text", "_halves"), window)
+    listed = join_back(halves, twice, ["half"]).groupBy("seq_a").agg(F.collect_set("half").alias("_halves"))
+    wanted = materialise(tagged.filter("NOT _copy").join(listed, "seq_a").groupBy(*row).agg(F.first("_halves").alias("_halves")), drop_shuffles=True)
+    found = _full_windows(texts.join(wanted.hint("shuffle_hash"), row).select(*row, "_text", "_halves"), window)
     least = found.groupBy("win_a", "win_b").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("win_a", "win_b", "a")
-    repeats = join_back(found, least, ["win_a", "win_b"]).filter("doc_id > a").groupBy("doc_id").agg(F.collect_set("at").alias("_at"))
-    copies = survey.join(classes.filter("least < last").select("seq_a", "seq_b", "least"), ["seq_a", "seq_b"]).filter("doc_id > least").select("doc_id", "seq_a").groupBy("doc_id").agg(F.lit(True).alias("_copy"))
-    marks = repeats.join(copies, "doc_id", "full_outer")
-    marked = texts.join(marks.hint("shuffle_hash"), "doc_id", "left")
+    repeats = join_back(found, least, ["win_a", "win_b"]).filter("doc_id > a").groupBy(*row).agg(F.collect_set("at").alias("_at"))
+    marks = repeats.join(tagged.filter("_copy").select(*row, "_copy"), row, "full_outer")
+    marked = texts.join(marks.hint("shuffle_hash"), row, "left")
     nothing = F.array().cast("array<int>")
     ready = marked.select("doc_id", "_text", F.coalesce("_at", nothing).alias("_at"), F.coalesce("_copy", F.lit(False)).alias("_copy"))
     without = every.filter("doc_id is null").select("doc_id", "_text", nothing.alias("_at"), F.lit(False).alias("_copy"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import time
 from collections import Counter
 
@@ -110,6 +111,30 @@ def test_repeats_match_brute_force(documents, corpus):
             assert sum(s["after"] - s["first"] for s in r.removed) == r.n_removed
 
 
+def test_rows_of_one_id_lose_only_what_their_own_text_repeats(spark):
+    """Every row against brute force over rows: a window goes if a row of smaller doc_id has it too."""
+    rng = random.Random(6)
+    passages = [" ".join(f"p{k}-{i}" for i in range(80)) for k in range(6)]
+    a, b, c = passages[:3]
+    tables = [[(1, a), (2, a), (2, b)], [(1, a), (2, f"{c} {a}"), (2, b)], [(1, a), (2, f"{c} {a}"), (2, "one two three")], [(2, a), (2, a.replace(" ", "\n")), (2, f"{b} {a}"), (1, b), (3, a), (3, None)]]
+    for _ in range(4):
+        tables.append([(rng.randrange(4), " ".join(rng.choice(passages) for _ in range(rng.randrange(1, 4)))) for _ in range(9)])
+    for rows in tables:
+        firsts = {}
+        for d, t in rows:
+            ws = words(t)
+            for k in range(len(ws) - 49):
+                key = tuple(ws[k : k + 50])
+                firsts[key] = min(firsts.get(key, d), d)
+        want = []
+        for d, t in rows:
+            ws = words(t)
+            gone = {k + i for k in range(len(ws) - 49) if firsts[tuple(ws[k : k + 50])] < d for i in range(50)}
+            want.append((d, len(ws), len(gone), " ".join(w for k, w in enumerate(ws) if k not in gone)))
+        got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == sorted(want)
+
+
 def leak_words(text):
     import regex
 
