@@ -7,6 +7,7 @@ import re
 
 import pytest
 from emendata.llm import pii_crf as pii
+from emendata.llm import queries
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -105,6 +106,20 @@ def test_items_side_by_side_are_parted(spark):
             assert not any(s.added for s in r.spans), t
 
 
+def test_query_tells_base_and_all_spans(spark, data):
+    import hashlib
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.op13_semicrf_pii(spark, data).collect()
+    assert len(got) == len(texts) and sum(r.n_card + r.n_ip + r.n_phone + r.n_email for r in got) > 5
+    for r in got:
+        base = list(plain(texts[r.doc_id]))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for k, _, _ in base) for i in range(4)]
+        named = [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(named).encode()).hexdigest()
+        assert set(named) <= set(filter(None, r.spans.split(","))) and len(list(filter(None, r.spans.split(",")))) == len(base) + r.n_added
+
+
 def test_tables_that_teach_nothing(spark, nothing, documents, corpus):
     assert pii.detect(nothing).count() == 0
     got = pii.detect(documents).collect()
