@@ -1,76 +1,42 @@
-"""Running untrusted programs: opt-in, one limited child process for each row. No registered query calls it."""
+"""Running untrusted programs: opt-in, each in a supervised child process (runner.py).
+
+The registered queries run fixed programs only (plans/sandboxed.py), and none from a table.
+"""
 
 from __future__ import annotations
 
 import json
-import subprocess
-import sys
-import tempfile
 import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .runner import Runner, shared
+
 VERDICT = "status string, details map<string,string>, tests_run int, failures int, errors int, skipped int, was_successful boolean"
 CODES = "codes array<int>, metadata string"
-#: Fixed limits, in seconds and bytes.
-SOLUTION_SECONDS, TEST_SECONDS, ASSERTION_SECONDS, VERIFY_SECONDS, MEMORY = 240, 6, 3, 60, 4 << 30
+#: Fixed limits, in seconds.
+SOLUTION_SECONDS, TEST_SECONDS, ASSERTION_SECONDS, VERIFY_SECONDS = 240, 6, 3, 60
 MOST_TESTS = 5
 #: Fixed texts of failed tests.
 MESSAGES = {-2: "Wrong Answer", -3: "Time Limit Exceeded", -4: "Runtime Error"}
 TRUNCATED = "...(truncated) ..."
-
-_UNITTEST = """
-import json, sys, types, unittest
-job = json.load(sys.stdin)
-module = types.ModuleType("solution")
-sys.modules["solution"] = module
-exec(compile(job["code"] + "\\n" + job["test"], "solution.py", "exec"), module.__dict__)
-result = unittest.TestResult()
-unittest.defaultTestLoader.loadTestsFromModule(module).run(result)
-details = {t.id().split(".")[-1]: e[-2000:] for t, e in result.failures + result.errors}
-sys.__stdout__.write("\\n@@" + json.dumps([result.testsRun, len(result.failures), len(result.errors), len(result.skipped), result.wasSuccessful(), details]))
-"""
-_CALL = """
-import json, sys
-job = json.load(sys.stdin)
-space = {"__name__": "solution"}
-exec(compile(job["code"], "solution.py", "exec"), space)
-owner = space["Solution"]() if "Solution" in space else None
-function = getattr(owner, job["name"]) if owner is not None else space[job["name"]]
-value = function(*[json.loads(x) for x in job["input"].split("\\n")])
-sys.__stdout__.write("\\n@@" + json.dumps(list(value) if isinstance(value, tuple) else value))
-"""
-
-
-def _limits() -> None:
-    import resource
-
-    resource.setrlimit(resource.RLIMIT_AS, (MEMORY, MEMORY))
-    resource.setrlimit(resource.RLIMIT_CORE, (0, 0))
-    resource.setrlimit(resource.RLIMIT_FSIZE, (64 << 20, 64 << 20))
+# What the strict grader puts before a program.
+ALL_OF = "string re datetime collections heapq bisect copy math random statistics itertools functools operator io sys json builtins typing".split()
+BY_NAME = ALL_OF[:-2]
+STRICT_PRELUDE = "".join(f"from {m} import *\n" for m in ALL_OF) + "".join(f"import {m}\n" for m in BY_NAME) + "sys.setrecursionlimit(50000)\n"
 
 
-def _child(program: str, given: str, seconds: float) -> tuple[str | None, str, int]:
-    """(standard output, or null past the time limit; standard error; return code) in a folder of its own."""
-    with tempfile.TemporaryDirectory() as folder:
-        try:
-            done = subprocess.run([sys.executable, "-I", "-c", program], input=given, capture_output=True, text=True, timeout=seconds, cwd=folder, env={"PATH": "/usr/bin:/bin"}, preexec_fn=_limits, start_new_session=True, check=False)
-        except subprocess.TimeoutExpired:
-            return None, "", -1
-        return done.stdout, done.stderr, done.returncode
-
-
-def run_unittest(code: str, test: str, seconds: float = SOLUTION_SECONDS) -> dict:
-    out, error, _ = _child(_UNITTEST, json.dumps({"code": code, "test": test}), seconds)
+def run_unittest(code: str, test: str, seconds: float = SOLUTION_SECONDS, runner: Runner | None = None) -> dict:
     blank = {"details": {}, "tests_run": 0, "failures": 0, "errors": 0, "skipped": 0, "was_successful": False}
-    if out is None:
+    with (runner or shared()).session("unittest", code, seconds, seconds + 1, test=test) as (made, step):
+        done = step(seconds + 1) if made["ended"] == "ok" else made
+    if done["ended"] in ("over", "slow"):
         return blank | {"status": "timeout"}
-    _, mark, text = out.rpartition("\n@@")
-    if not mark:
-        return blank | {"status": "fail", "details": {"ALL": error[-2000:]}}
-    run, failures, errors, skipped, good, details = json.loads(text)
+    if done["ended"] != "ok":
+        return blank | {"status": "fail", "details": {"ALL": done.get("text") or done.get("error") or done["ended"]}}
+    run, failures, errors, skipped, good, details = done["result"]
     return {"status": "pass" if good and not details else "fail", "details": details, "tests_run": run, "failures": failures, "errors": errors, "skipped": skipped, "was_successful": good}
 
 
@@ -79,44 +45,65 @@ def _short(value: object, length: int = 300) -> str:
     return text if len(text) <= length else f"{text[: length // 2]}{TRUNCATED}{text[-(length // 2) :]}"
 
 
-def run_graded(code: str, tests: list[tuple[str, str]], name: str | None, seconds: float = TEST_SECONDS) -> tuple[list[int], dict]:
+def run_graded(code: str, tests: list[tuple[str, str]], name: str | None, seconds: float = TEST_SECONDS, runner: Runner | None = None) -> tuple[list[int], dict]:
     """A code for each test up to the first that fails (1 right, -2 wrong, -3 too slow, -4 an error), and what failed.
 
-    All tests together may take a second more for each and five in all; past that every one counts as -1. A
-    grader that fails itself gives -2 and the error code -5.
+    One child runs all tests of a program: a function is called on one object, a script becomes a function that
+    reads and writes real streams. A timer within the child ends each test. All tests together may take a second
+    more for each and five in all; the child is killed then, within whatever test, and every one counts as -1. A
+    program that cannot be prepared, has no such function, or whose tests are no JSON gives [-4]. A grader that
+    fails itself gives [-2] and the error code -5.
     """
+    from ..functions.code import as_function_or_same, without_main_guard
     from ..functions.compare import decimals_equal
 
-    out, begin = [], time.monotonic()
+    begin = time.monotonic()
     try:
-        for given, want in tests:
-            if time.monotonic() - begin > (seconds + 1) * len(tests) + 5:
-                return [-1] * len(tests), {"error": "global timeout", "error_code": -1, "error_message": "Time Limit Exceeded"}
-            if name:
-                got, error, code_no = _child(_CALL, json.dumps({"code": code, "name": name, "input": given}), seconds)
-                shown = None if got is None else got.rpartition("\n@@")[2]
-                right = bool(got) and "\n@@" in got and json.loads(shown) == json.loads(want)
-            else:
-                shown, error, code_no = _child(code, given, seconds)
-                right = shown is not None and decimals_equal(shown, want)
-            out.append(-3 if shown is None else -4 if code_no else 1 if right else -2)
-            if out[-1] != 1:
-                about = {"inputs": _short(given), "expected": _short(want), "error_code": out[-1], "error_message": MESSAGES[out[-1]]}
-                return out, about | ({"output": _short(shown)} if out[-1] == -2 else {"error": (error or "TimeoutException").strip().split("\n")[-1]})
+        if not tests:
+            return [], {"execution time": 0.0}
+        end = begin + (seconds + 1) * len(tests) + 5
+        overdue = [-1] * len(tests), {"error": "global timeout", "error_code": -1, "error_message": "Time Limit Exceeded"}
+        program = STRICT_PRELUDE + "\n" + (code if name else as_function_or_same(without_main_guard(code)))
+        out: list[int] = []
+        with (runner or shared()).session("call" if name else "stdio", program, seconds, end - time.monotonic(), name=name or "wrapped_function") as (made, step):
+            if made["ended"] == "over":
+                return overdue
+            if made["ended"] != "ok":
+                return [-4], {"error_code": -4, "error_message": f"Error during testing: {made.get('text') or made['ended']}"}
+            for given, want in tests:
+                if name and not (_is_json(want) and all(_is_json(x) for x in given.split("\n"))):
+                    return [-4], {"error_code": -4, "error_message": "Error during testing: a test is no JSON"}
+                done = step(max(0.0, end - time.monotonic()), input=given, expected=want)
+                if done["ended"] == "over":
+                    return overdue
+                right = done["ended"] == "ok" and (done["right"] if name else decimals_equal(done["output"], want))
+                out.append(-3 if done["ended"] == "slow" else -4 if done["ended"] != "ok" else 1 if right else -2)
+                if out[-1] != 1:
+                    about = {"inputs": _short(given), "expected": _short(want), "error_code": out[-1], "error_message": MESSAGES[out[-1]]}
+                    return out, about | ({"output": _short(done["output"])} if out[-1] == -2 else {"error": done.get("error", done["ended"])})
     except Exception as e:  # noqa: BLE001  the grader's own failure is a verdict
         return [-2], {"error": repr(e), "error_code": -5, "error_message": "TestRunnerError"}
     return out, {"execution time": time.monotonic() - begin}
 
 
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
 def run_tests(code: str, tests: list[tuple[str, str]], name: str | None, seconds: float = TEST_SECONDS) -> list[int]:
     return run_graded(code, tests, name, seconds)[0]
 
 
-def verify(code: str, tests: list[tuple[str, str]], name: str | None = None, seconds: float = VERIFY_SECONDS, most: int = MOST_TESTS) -> list[int]:
+def verify(code: str, tests: list[tuple[str, str]], name: str | None = None, seconds: float = VERIFY_SECONDS, most: int = MOST_TESTS, runner: Runner | None = None) -> list[int]:
     """The lenient verifier: 1 passed, 0 false, -1 too slow, -3 an error, up to the first that is not 1; -2 if it does not compile.
 
-    Of more than ``most`` tests those of longest input count. A script whose first test ends with return code 1
-    is tried once more as a function.
+    Of more than ``most`` tests those of longest input count. A script runs anew for each test; one whose first
+    test ends with return code 1 is tried once more as a function. A function is prepared once; a result also
+    passes if it equals the first element of an expected list.
     """
     from ..functions.code import parses, script_forms, with_prelude
     from ..functions.compare import lenient_equal
@@ -129,7 +116,7 @@ def verify(code: str, tests: list[tuple[str, str]], name: str | None = None, sec
     def scripted(program: str) -> tuple[list[int], int]:
         out: list[int] = []
         for given, want in tests:
-            got, _, code_no = _child(program, given, seconds)
+            got, _, code_no = (runner or shared()).script(program, given, seconds)
             out.append(-1 if got is None else -3 if code_no else int(lenient_equal(got.rstrip("\n"), want)))
             if out[-1] <= 0:
                 return out, code_no
@@ -137,14 +124,14 @@ def verify(code: str, tests: list[tuple[str, str]], name: str | None = None, sec
 
     if name:
         out: list[int] = []
-        for given, want in tests:
-            got, error, code_no = _child(_CALL, json.dumps({"code": with_prelude(code), "name": name, "input": given}), seconds)
-            if got is not None and f"KeyError: '{name}'" in error:
-                return [-2]
-            right = bool(got) and "\n@@" in got and json.loads(got.rpartition("\n@@")[2]) == json.loads(want)
-            out.append(-1 if got is None else -3 if code_no else int(right))
-            if out[-1] <= 0:
-                break
+        with (runner or shared()).session("call", with_prelude(code), seconds, seconds + 1, name=name, lenient=True) as (made, step):
+            if made["ended"] != "ok":
+                return [-1] if made["ended"] in ("over", "slow") else [-2] if "AttributeError" in made.get("error", "") else [-3]
+            for given, want in tests:
+                done = step(seconds + 1, input=given, expected=want)
+                out.append(-1 if done["ended"] in ("over", "slow") else -3 if done["ended"] != "ok" else int(done["right"]))
+                if out[-1] <= 0:
+                    break
         return out
     function, script = script_forms(code)
     out, code_no = scripted(script)
@@ -167,7 +154,7 @@ def verified(df: DataFrame, code: str = "code", tests: str = "tests", name: str
 
 def run_assertion(code: str, output: str, generation: str, seconds: float = ASSERTION_SECONDS) -> bool:
     """Whether the program's known output equals what a generation says it is."""
-    out, _, code_no = _child(f"{code}\nassert {output} == {generation}\n", "", seconds)
+    out, _, code_no = shared().script(f"{code}\nassert {output} == {generation}\n", "", seconds)
     return out is not None and code_no == 0
 
 

@@ -24,7 +24,9 @@ GRADED = (
     ("NAME = 1 / 0", None, ("", ""), ("", ""), "-4", -4, "-3"),
     ("def f(NAME, b): return (NAME, b)", "f", ("1\n2", "3\n4"), ("[1, 2]", "[3, 5]"), "1,-2", -2, "1,0"),
     ("class Solution:\n    def f(self, NAME): return [NAME]", "f", ("1",), ("[1]",), "1", None, "1"),
-    ("if 1:\n    print(input())\n    return", None, ("x",), ("x",), "-4", -4, "1"),
+    ("if 1:\n    print(input())\n    return", None, ("x",), ("x",), "1", None, "1"),
+    ("import os\nNAME = os.fork()\nif not NAME:\n    while True:\n        pass\nprint(input())", None, ("x", "y"), ("x", "y"), "1,1", None, "1,1"),
+    ("NAME = []\ndef f(x):\n    NAME.append(x)\n    return (x, len(NAME))", "f", ("7", "7"), ("[7, 1]", "[7, 2]"), "1,1", None, "1,1"),
 )
 #: (program, call, generations, which are right)
 EXECUTED = (

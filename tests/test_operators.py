@@ -1,8 +1,12 @@
 """Sources, joins that need an order, the sandbox and the stream."""
 
 import json
+import os
+import re
+import textwrap
+import time
 
-from emendata.operators import datasets, evaluation, grading, passk, relational, sandbox
+from emendata.operators import datasets, evaluation, grading, passk, relational, runner, sandbox
 from emendata.sources import benchmarks, connectors, jsonl, naming, schemas
 from emendata.streaming import resume
 from pyspark.sql import functions as F
@@ -136,17 +140,93 @@ def test_sandbox():
     assert sandbox.run_tests("1 / 0", [("", "")], None, 20) == [-4]
 
 
-def test_metadata_of_failed_tests(monkeypatch):
+def test_metadata_of_failed_tests():
     codes, about = sandbox.run_graded("print(int(input()) * 2)", [("1", "2"), ("2", "5" * 400)], None, 20)
     assert codes == [1, -2] and about["error_code"] == -2 and about["inputs"] == "2" and about["output"] == "4\n" and len(about["expected"]) < 330
     codes, about = sandbox.run_graded("1 / 0", [("", "")], None, 20)
     assert codes == [-4] and about["error_message"] == "Runtime Error" and "ZeroDivisionError" in about["error"]
     assert sandbox.run_graded("while True: pass", [("", "")], None, 0.5)[1]["error_code"] == -3
-    assert sandbox.run_graded("def f(x): return x", [("1", "not json")], "f", 20)[1]["error_code"] == -5
-    ticks = iter([0.0, 0.0, 1000.0])
-    monkeypatch.setattr(sandbox.time, "monotonic", lambda: next(ticks))
-    monkeypatch.setattr(sandbox, "_child", lambda *_: ("1\n", "", 0))
-    assert sandbox.run_graded("print(1)", [("", "1"), ("", "1"), ("", "1")], None, 6)[0] == [-1, -1, -1]
+    codes, about = sandbox.run_graded("def f(x): return x", [("1", "not json")], "f", 20)
+    assert codes == [-4] and about["error_message"].startswith("Error during testing")
+    assert sandbox.run_graded("def g(x): return x", [("1", "1")], "f", 20)[0] == [-4]
+    assert sandbox.run_graded("def f(", [("1", "1")], None, 20)[0] == [-4] and sandbox.run_graded("1", [], None, 20)[0] == []
+    assert sandbox.run_graded("print(1)", [("", None)], None, 20)[1]["error_code"] == -5  # the grader itself fails
+
+
+def test_strict_grading_runs_scripts_as_functions():
+    graded = lambda code, *tests: sandbox.run_graded(code, list(tests), None, 20)[0]
+    assert graded("if 1:\n    print(input())\n    return", ("x", "x")) == [1]
+    assert graded("if __name__ == '__main__':\n    print(gcd(4, 6), deque([1])[0])", ("", "2 1")) == [1]  # the prelude's names
+    assert graded("import sys\nfor line in sys.stdin:\n    print(line.strip())\nsys.exit(3)", ("a\nb", "a\nb"), ("c", "c")) == [1, 1]
+    assert graded("print(open(0).read().split()[1])", ("a b", "b")) == [1]
+    assert graded("import sys\nsys.stdout.buffer.write(sys.stdin.buffer.readline())", ("é\nb", "é")) == [1]
+    assert sandbox.run_graded("class Solution:\n    n = 0\n    def f(self):\n        self.n += 1\n        return self.n, 0", [("1", "[1, 0]")], "f", 20)[0] == [-4]
+
+
+def children(pid):
+    with open(f"/proc/{pid}/task/{pid}/children") as f:
+        return f.read().split()
+
+
+FORKS = "import os, time\nfor k in range(4):\n    if not os.fork():\n        if k % 2: os.setsid()\n        if not os.fork():\n            time.sleep(600)\n        time.sleep(600)\nprint(input())"
+
+
+def test_what_programs_fork_does_not_outlive_them():
+    own = runner.Runner()
+    try:
+        assert sandbox.run_graded(FORKS, [("a", "a"), ("b", "b")], None, 5, own)[0] == [1, 1]
+        assert not children(own._server.pid)
+        assert sandbox.verify(FORKS, [("a", "a"), ("b", "b")], None, 5, runner=own) == [1, 1]
+        assert sandbox.run_unittest(FORKS.replace("print(input())", ""), "import unittest\nclass T(unittest.TestCase):\n    def test_a(self): pass", 5, own)["status"] == "pass"
+        assert not children(own._server.pid)
+        assert own.starts == 1  # one interpreter for all of them
+    finally:
+        own.close()
+
+
+def test_output_without_end_is_bounded():
+    own = runner.Runner(output=1 << 20)
+    try:
+        flood = "while True:\n    print('x' * 1000)"
+        codes, about = sandbox.run_graded(flood, [("", "x")], None, 20, own)
+        assert codes == [-4] and "File too large" in about["error"]
+        assert sandbox.verify(flood, [("", "x")], None, 20, runner=own) == [-3]
+        out, _, code = own.script("import os\nwhile True:\n    os.write(2, b'e' * 4096)", "", 20)
+        assert out == "" and code
+        with open(f"/proc/{own._server.pid}/status") as f:
+            assert int(re.search(r"VmRSS:\s+(\d+)", f.read())[1]) < 400_000
+        long = "def f(x): return 'y' * (1 << 24)"
+        assert sandbox.run_graded(long, [("1", '"y"')], "f", 20, own)[0] == [-2]
+        assert own.script("print('a' * 10)", "", 20)[0] == "a" * 10 + "\n" and own.starts == 1
+    finally:
+        own.close()
+
+
+def test_a_test_that_swallows_its_timer_meets_the_limit_of_all():
+    own = runner.Runner()
+    try:
+        stubborn = "while True:\n    try:\n        while True: pass\n    except Exception: pass"
+        begin = time.monotonic()
+        codes, about = sandbox.run_graded("n = input()\nif n == 'a': print(n)\nelse:\n" + textwrap.indent(stubborn, "    "), [("a", "a"), ("b", "b")], None, 0.3, own)
+        assert codes == [-1, -1] and about["error_code"] == -1 and 7 < time.monotonic() - begin < 12
+        assert not children(own._server.pid)
+        assert sandbox.run_graded("def f(x):\n    while True: pass", [("1", "1")], "f", 0.3, own)[0] == [-3]
+    finally:
+        own.close()
+
+
+def test_a_program_that_kills_the_server_or_itself_is_an_error():
+    own = runner.Runner()
+    try:
+        assert sandbox.run_graded("import os, signal\nos.kill(os.getppid(), signal.SIGKILL)\nimport time\ntime.sleep(60)", [("", "")], None, 5, own)[0] == [-4]
+        assert sandbox.run_graded("import os\nos._exit(0)", [("", "")], None, 5, own)[0] == [-4]
+        assert sandbox.run_graded("print(input())", [("a", "a")], None, 5, own)[0] == [1] and own.starts == 2
+        assert sandbox.run_graded("x = bytearray(1 << 33)", [("", "")], None, 5, own)[0] == [-4]  # more memory than it may have
+        assert sandbox.verify("import sys\nsys.exit('no')", [("", "")], None, 5, runner=own) == [-3]
+        assert own.script("print(open('f', 'w').write('x'), __name__)", "", 5)[0] == "1 __main__\n"
+        assert own.script("import os\nprint(os.listdir('.'), sorted(os.environ))", "", 5)[0].startswith("[] [")
+    finally:
+        own.close()
 
 
 def test_lenient_verifier(spark):
