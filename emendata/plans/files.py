@@ -139,13 +139,16 @@ def dataset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def custom_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON list of records with code_list or pred_list, one list for each hundred items."""
+    """JSON lists of records with code_list or pred_list, each a file of two thousand items."""
     path = _folder(spark) + "/custom"
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("item_id").cast("string").alias("question_id"), F.lit("0").alias("test_id"), F.array(F.coalesce("text", F.lit(""))).alias("texts"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("item_id").cast("string").alias("question_id"), F.lit("0").alias("test_id"), F.array(F.coalesce("text", F.lit("")), F.lit('"}],\\{["')).alias("texts"))
     odd = F.col("item_id") % 2 == 1
     record = F.to_json(F.struct("question_id", "test_id", F.when(odd, F.col("texts")).alias("code_list"), F.when(~odd, F.col("texts")).alias("pred_list")))
-    lists = items.groupBy(F.expr("item_id div 100").alias("part")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(record), ",\n"), F.lit("\n]")).alias("value"))
-    lists.select("value", "part").write.partitionBy("part").text(path)
+    listed = items.select("item_id", F.expr("item_id div 2000").alias("part"), record.alias("record"))
+    edges = listed.groupBy(F.col("part").alias("_part")).agg(F.min("item_id").alias("low"), F.max("item_id").alias("high"))
+    line = F.concat(F.when(F.col("item_id") == F.col("low"), F.lit("[\n")).otherwise(F.lit("")), "record", F.when(F.col("item_id") == F.col("high"), F.lit("\n]")).otherwise(F.lit(",")))
+    lines = listed.join(edges, F.col("part") == F.col("_part")).select("part", "item_id", line.alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "item_id").select("part", "value").write.partitionBy("part").text(path)
     return jsonl.read_custom_outputs(spark, f"{path}/*").select("question_id", "test_id", F.array_join("outputs", "|").alias("outputs"))
 
 
@@ -246,7 +249,7 @@ ORACLES = {
         FROM records, (VALUES (''), ('_eval'), ('_eval_all')) s(suffix)""",
     "partitioned_runs": "SELECT doc_id::VARCHAR AS task_id, model, 'plain' AS mode, 2 AS num_shots FROM documents, (VALUES ('m'), ('n')) m(model) WHERE doc_id % 2 = 0",
     "dataset_registry": "SELECT doc_id::VARCHAR AS task_id, CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS name, CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END || '.parquet' AS file_name, 'conversations' AS messages, doc_id % 10 = 0 AS ranking FROM documents",
-    "custom_outputs": "SELECT item_id::VARCHAR AS question_id, '0' AS test_id, coalesce(text, '') AS outputs FROM benchmark",
+    "custom_outputs": "SELECT item_id::VARCHAR AS question_id, '0' AS test_id, coalesce(text, '') || '|\"}],\\{[\"' AS outputs FROM benchmark",
     "generation_problems": f"""
         WITH {_ITEMS} SELECT question_id, strftime(day, '%Y-%m-%dT00:00:00') AS contest_date, ['leetcode', 'codeforces', 'atcoder'][item_id % 3 + 1] AS platform, ['easy', 'medium', 'hard'][item_id % 3 + 1] AS difficulty, 'a,b' AS codes, 0.5::DOUBLE AS pass_at_1,
             '{{"inputs":["' || item_id || '","' || item_id || '"],"outputs":["1","2"],"fn_name":"f"}}' AS input_output

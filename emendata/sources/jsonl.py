@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from . import schemas
+from . import json_array, schemas
 
 
 def _schema(ddl: str) -> StructType:
@@ -104,8 +104,8 @@ def read_results(spark: SparkSession, folder: str, suffix: str = "_eval_results.
 
 
 def read_custom_outputs(spark: SparkSession, path: str) -> DataFrame:
-    """(question_id, test_id, outputs) from a JSON list of records with code_list or pred_list."""
-    rows = spark.read.schema("question_id string, test_id string, code_list array<string>, pred_list array<string>").option("multiLine", "true").json(path)
+    """(question_id, test_id, outputs) from JSON lists of records with code_list or pred_list; any task reads any part of a list."""
+    rows = json_array.read_records(spark, path, "question_id string, test_id string, code_list array<string>, pred_list array<string>")
     outputs = F.coalesce("code_list", "pred_list")
     checked = F.when(outputs.isNotNull(), outputs).otherwise(F.from_json(F.raise_error(F.lit("a record has no outputs")).cast("string"), "array<string>"))
     return rows.select("question_id", "test_id", checked.alias("outputs")).orderBy("question_id", "test_id")
