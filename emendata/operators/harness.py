@@ -122,5 +122,5 @@ def registry(spark: SparkSession) -> DataFrame:
 
 
 def with_style(requests: DataFrame, registry: DataFrame) -> DataFrame:
-    """Requests with their model's style; unknown models keep a null style. The registry is a small dimension table."""
-    return requests.join(registry.select("model_name", "model_style").dropDuplicates(["model_name"]), "model_name", "left")
+    """Requests with their model's style, the least of several; unknown models keep a null style. The registry is a small dimension table."""
+    return requests.join(registry.groupBy("model_name").agg(F.min("model_style").alias("model_style")), "model_name", "left")

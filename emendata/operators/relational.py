@@ -133,7 +133,7 @@ def usage_totals(samples: DataFrame, by: list[str]) -> DataFrame:
 
 
 def cache_split(prompts: DataFrame, cache: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(hits, misses): a prompt hits when the cache holds n outputs for it."""
-    usable = cache.filter(F.size("outputs") == n).select(F.sha2("prompt", 256).alias("_key"), "outputs").dropDuplicates(["_key"])
+    """(hits, misses): a prompt hits when the cache holds n outputs for it; of several such entries the greatest outputs."""
+    usable = cache.filter(F.size("outputs") == n).groupBy(F.sha2("prompt", 256).alias("_key")).agg(F.max("outputs").alias("outputs"))
     keyed = prompts.withColumn("_key", F.sha2("prompt", 256))
     return keyed.join(usable, "_key").drop("_key"), keyed.join(usable, "_key", "left_anti").drop("_key")

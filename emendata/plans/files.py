@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract
 from ..operators import harness, relational
-from ..sources import benchmarks, connectors, jsonl, naming
+from ..sources import benchmarks, cache, connectors, jsonl, naming, versions
 from .tables import table
 
 
@@ -82,13 +83,36 @@ def failed_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rewritten_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table that replaces itself, twice."""
-    path = _folder(spark) + "/rows"
-    ddl = "task_id string, solution string"
-    jsonl.append(_records(spark, sf_dir).select("task_id", "solution"), path)
-    for mark in ("a", "b"):
-        jsonl.rewrite(spark.read.schema(ddl).json(path).filter("solution != 'none'").withColumn("solution", F.concat("solution", F.lit(mark))), path)
-    return spark.read.schema(ddl).json(path)
+    """A table that replaces itself, twice, beside one whose second writer stops before it publishes."""
+    folder, ddl = _folder(spark), "task_id string, solution string"
+    shown = []
+    for name, stops in (("whole", None), ("stopped", "publish")):
+        path = f"{folder}/{name}"
+        jsonl.append(_records(spark, sf_dir).select("task_id", "solution"), path)
+        for mark in ("a", "b"):
+            rows = versions.read(spark, path, ddl).filter("solution != 'none'").withColumn("solution", F.concat("solution", F.lit(mark)))
+
+            def stop(step: str, at: str | None = stops if mark == "b" else None) -> None:
+                if step == at:
+                    raise InterruptedError(step)
+
+            with contextlib.suppress(InterruptedError):
+                versions.VersionedTable(spark, path, stop).rewrite(rows)
+        shown.append(versions.read(spark, path, ddl).withColumn("name", F.lit(name)))
+    return shown[0].union(shown[1])
+
+
+def cache_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache over three runs: the first asks some prompts, the second what the cache has not, and the third finds all."""
+    turns = table(spark, sf_dir, "conversations").filter(F.col("text").isNotNull()).select("conv_id", "turn", F.col("text").alias("prompt"), F.concat(F.col("conv_id"), F.lit(":"), F.col("turn")).alias("name"), (F.col("conv_id") * 1000 + F.col("turn")).alias("place"))
+    store = cache.PromptCache(spark, _folder(spark) + "/cache", buckets=16)
+    store.upsert(turns.filter("conv_id % 2 = 0").withColumn("outputs", F.array(F.concat(F.lit("first "), "name"))))
+    hits, misses = store.lookup(turns, 1)
+    outcome = hits.select("conv_id", "turn", F.lit("hit").alias("outcome")).union(misses.select("conv_id", "turn", F.lit("miss").alias("outcome")))
+    store.upsert(misses.withColumn("outputs", F.array(F.concat(F.lit("second "), "name"))))
+    found, missed = store.lookup(turns, 1)
+    final = found.select("conv_id", "turn", F.col("outputs")[0].alias("output")).union(missed.select("conv_id", "turn", F.lit("missed")))
+    return outcome.join(final, ["conv_id", "turn"])
 
 
 def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +258,7 @@ def thinking_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", extract.thinking_budget(F.col("model")).alias("budget"), extract.effort_suffix(F.col("model"), minimal=True).alias("effort"), extract.model_base(F.col("model"), minimal=True).alias("base"))
 
 
-QUERIES = {f.__name__: f for f in (solution_lines, question_lines, resumed_ids, failed_list, rewritten_table, result_files, scenario_outputs, partitioned_runs, dataset_registry, custom_outputs, generation_problems, execution_problems, test_output_problems, ordered_outputs, connector_answers, batch_files, thinking_budgets)}
+QUERIES = {f.__name__: f for f in (solution_lines, question_lines, resumed_ids, failed_list, rewritten_table, cache_upserts, result_files, scenario_outputs, partitioned_runs, dataset_registry, custom_outputs, generation_problems, execution_problems, test_output_problems, ordered_outputs, connector_answers, batch_files, thinking_budgets)}
 _RECORDS = "records AS (SELECT doc_id, doc_id::VARCHAR AS task_id, coalesce(lang, 'none') AS solution, coalesce(source, 'none') AS corrupted_solution FROM documents)"
 _ITEMS = "items AS (SELECT *, item_id::VARCHAR AS question_id, (DATE '2024-01-01' + (item_id % 300)::INT)::DATE AS day FROM benchmark WHERE text IS NOT NULL)"
 ORACLES = {
@@ -242,7 +266,13 @@ ORACLES = {
     "question_lines": f"WITH {_RECORDS} SELECT task_id, corrupted_solution, 'a,' || corrupted_solution AS mutations, TRUE AS in_order, kind FROM records, (VALUES ('questions'), ('shots')) k(kind)",
     "resumed_ids": f"WITH {_RECORDS} SELECT task_id, kind, 'true,false' AS complete FROM records JOIN (VALUES ('left'), ('anew')) k(kind) ON kind = 'anew' OR doc_id % 3 = 2",
     "failed_list": f"WITH {_RECORDS} SELECT task_id || ' ' || solution AS value FROM records WHERE doc_id % 3 = 0 OR doc_id % 2 = 0",
-    "rewritten_table": f"WITH {_RECORDS} SELECT task_id, solution || 'ab' AS solution FROM records WHERE solution <> 'none'",
+    "rewritten_table": f"WITH {_RECORDS} SELECT task_id, solution || marks AS solution, name FROM records, (VALUES ('whole', 'ab'), ('stopped', 'a')) v(name, marks) WHERE solution <> 'none'",
+    "cache_upserts": """
+        WITH turns AS (SELECT conv_id, turn, text, conv_id || ':' || turn AS name FROM conversations WHERE text IS NOT NULL),
+        first AS (SELECT text, arg_max(name, conv_id * 1000 + turn) AS name FROM turns WHERE conv_id % 2 = 0 GROUP BY text),
+        every AS (SELECT text, arg_max(name, conv_id * 1000 + turn) AS name FROM turns GROUP BY text)
+        SELECT conv_id, turn, CASE WHEN first.text IS NULL THEN 'miss' ELSE 'hit' END AS outcome, coalesce('first ' || first.name, 'second ' || every.name) AS output
+        FROM turns JOIN every USING (text) LEFT JOIN first USING (text)""",
     "result_files": f"WITH {_RECORDS} SELECT stem, stem AS run, task_id FROM records, (VALUES ('one'), ('two')) s(stem)",
     "scenario_outputs": f"""
         WITH {_RECORDS} SELECT 'codegeneration_10_0.2' || suffix || '.json' AS file, task_id AS question_id, CASE WHEN suffix <> '_eval' THEN solution END AS codes, CASE WHEN suffix <> '' THEN CASE WHEN solution = 'en' THEN 1 ELSE 0.5 END END::DOUBLE AS pass_at_1

@@ -99,5 +99,5 @@ def join_batch(requests: DataFrame, lines: DataFrame, errors: DataFrame | None =
 
 
 def answer_batch(requests: DataFrame, answers: DataFrame) -> DataFrame:
-    """Requests with the answers of a service that gives (custom_id, response) rows; the default where one is missing."""
-    return with_responses(requests, answers.dropDuplicates(["custom_id"]))
+    """Requests with the answers of a service that gives (custom_id, response) rows, the greatest of several; the default where one is missing."""
+    return with_responses(requests, answers.groupBy("custom_id").agg(F.max("response").alias("response")))

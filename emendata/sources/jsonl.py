@@ -1,4 +1,4 @@
-"""JSON lines: scans that keep the file order, append-only sinks, and safe rewrites."""
+"""JSON lines: scans that keep the file order, and append-only sinks. Rewrites are in versions.py."""
 
 from __future__ import annotations
 
@@ -79,20 +79,6 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def rewrite(df: DataFrame, path: str) -> None:
-    """Replaces a table that ``df`` may be read from: written beside it first, then swapped by renaming."""
-    spark = df.sparkSession
-    new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
-    df.write.mode("overwrite").json(new)
-    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old)]
-    fs = paths[0].getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(paths[2], True)
-    if fs.exists(paths[0]):
-        fs.rename(paths[0], paths[2])
-    fs.rename(paths[1], paths[0])
-    fs.delete(paths[2], True)
-
-
 def read_results(spark: SparkSession, folder: str, suffix: str = "_eval_results.json", whole: bool = False) -> DataFrame:
     """(path, json) of all result files below a folder, in the order of the paths: a row for each line, or each ``whole`` file.
 

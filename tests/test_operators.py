@@ -43,12 +43,6 @@ def test_processed_ids(spark, tmp_path):
     assert jsonl.processed_ids(spark, str(tmp_path / "bad.jsonl")).count() == 0
 
 
-def test_rewrite_of_its_own_source(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.range(5).write.json(path)
-    jsonl.rewrite(spark.read.schema("id long").json(path).filter("id > 2"), path)
-    assert sorted(r.id for r in spark.read.schema("id long").json(path).collect()) == [3, 4]
-
 
 def test_results_and_lists(spark, tmp_path):
     for n in ("b", "a"):

@@ -5,6 +5,9 @@ import random
 
 import pytest
 from emendata.sources import json_array
+from emendata.sources.cache import PromptCache
+from emendata.sources.versions import Conflict, VersionedTable, read, rewrite
+from pyspark.sql import functions as F
 
 
 def splits(spark, size):
@@ -67,3 +70,84 @@ def test_what_is_no_list_fails(spark, tmp_path, text):
     (tmp_path / "bad.json").write_text(text)
     with pytest.raises(Exception, match="list|JSON|PARSE|parse|Malformed|MALFORMED"):
         json_array.read_records(spark, str(tmp_path / "bad.json"), "a int").collect()
+
+
+def ids(spark, path):
+    return sorted(r.id for r in read(spark, path, "id long").collect())
+
+
+class Stopped(Exception):
+    pass
+
+
+def stopping(at):
+    def step(name):
+        if name == at:
+            raise Stopped(name)
+
+    return step
+
+
+def test_rewrite_of_its_own_source(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(6).write.json(path)
+    for k in range(4):
+        rewrite(read(spark, path, "id long").filter(f"id > {k}"), path)
+        assert ids(spark, path) == list(range(k + 1, 6))
+    names = {p.name for p in (tmp_path / "t").iterdir()}
+    assert len([n for n in names if n.startswith("data-")]) == 2 and len(list((tmp_path / "t" / "_versions").glob("*.json"))) == 2
+    assert names == {n for n in names if n.startswith("data-")} | {"_versions"}  # the plain files went with version 0
+
+
+@pytest.mark.parametrize("at", ["data", "manifest", "publish", "vacuum"])
+@pytest.mark.parametrize("plain", [True, False])
+def test_a_writer_that_stops_between_steps(spark, tmp_path, at, plain):
+    """Before it publishes, readers see the old version; after, the new one; the next writer goes on from there."""
+    path = str(tmp_path / "t")
+    spark.range(3).write.json(path)
+    if not plain:
+        rewrite(spark.range(3).select((F.col("id") + 10).alias("id")), path)
+    before = ids(spark, path)
+    with pytest.raises(Stopped):
+        VersionedTable(spark, path, stopping(at)).rewrite(read(spark, path, "id long").withColumn("id", F.col("id") + 100))
+    after = [i + 100 for i in before] if at == "vacuum" else before
+    assert ids(spark, path) == after
+    rewrite(read(spark, path, "id long").withColumn("id", -F.col("id")), path)
+    assert ids(spark, path) == sorted(-i for i in after)
+    used = {f.split("/")[0] for n in VersionedTable(spark, path).numbers() for f in VersionedTable(spark, path)._version(n).parts.values()}
+    assert {p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("data-")} == used  # nothing is left of it
+    assert not [p for p in (tmp_path / "t" / "_versions").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+
+
+def test_readers_keep_their_version_and_second_writers_fail(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rewrite(spark.range(4), path)
+    old, table = read(spark, path, "id long"), VersionedTable(spark, path)
+    base = table.current()
+    rewrite(spark.range(2), path)
+    assert old.count() == 4 and ids(spark, path) == [0, 1]
+    with pytest.raises(Conflict):
+        table.publish({"all": "data-late"}, base)
+    assert ids(spark, path) == [0, 1]
+    rewrite(spark.range(0), path)
+    assert ids(spark, path) == []
+
+
+def test_cache_rewrites_touched_buckets_only(spark, tmp_path):
+    cache = PromptCache(spark, str(tmp_path / "c"), buckets=8)
+    rows = lambda items: spark.createDataFrame([(p, [o] if o is not None else None, k) for k, (p, o) in enumerate(items)], "prompt string, outputs array<string>, place int")
+    shown = lambda: {r.prompt: list(r.outputs) for r in cache.read().collect()}
+    assert shown() == {} and cache.upsert(rows([])) == set()
+    asked = spark.createDataFrame([(f"p{k}",) for k in range(40)], "prompt string")
+    assert cache.lookup(asked, 1)[1].count() == 40
+    cache.upsert(rows([(f"p{k}", f"a{k}") for k in range(30)] + [("p3", "later"), (None, "x")]))
+    hits, misses = cache.lookup(asked, 1)
+    assert hits.count() == 30 and misses.count() == 10
+    assert shown()["p3"] == ["later"] and len(shown()) == 30
+    before = cache.table.current()
+    touched = cache.upsert(rows([("p5", "new"), ("q", "q")]))
+    now = cache.table.current()
+    assert len(touched) <= 2 and {b for b in now.parts if now.parts[b] != before.parts.get(b)} == {str(b) for b in touched}
+    assert shown() == {f"p{k}": [f"a{k}"] for k in range(30)} | {"p3": ["later"], "p5": ["new"], "q": ["q"]}
+    cache.table.vacuum(keep=1)
+    assert len(shown()) == 31 and cache.lookup(asked, 2)[0].count() == 0
