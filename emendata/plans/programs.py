@@ -5,10 +5,11 @@ What the SQL expects of each program is worked out by hand from the rules.
 
 from __future__ import annotations
 
+import datetime
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import code
@@ -105,21 +106,48 @@ def codebleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("task_id", rounded(code.codebleu_of("corrupted_solution", "canonical_solution")).alias("codebleu"), rounded(code.codebleu_of("canonical_solution", "solution")).alias("of_answer"))
 
 
+#: Batches of the streams, the days of event time that each covers, and the horizon within which a key is given once.
+BATCHES, DAYS, HORIZON = 4, 8, 7
+
+
+def _stream_folder(spark: SparkSession) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="stream-")
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the batch in which they arrive: that of their days, the next for some of its last hours, the last for a few of the first days."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("task_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    days = F.datediff("ts", F.lit("2024-01-01"))
+    batch = F.least(F.expr(f"int({BATCHES - 1})"), F.floor(days / DAYS)).cast("int")
+    held = (days % DAYS == DAYS - 1) & (F.hour("ts") >= 12) & (F.col("event_id") % 3 == 0) & (batch < BATCHES - 1)
+    lost = (batch == 0) & (F.col("event_id") % 11 == 5)
+    return events.withColumn("arrives", F.when(lost, BATCHES - 1).when(held, batch + 1).otherwise(batch))
+
+
 def streaming_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream of files: the first of each user within the watermark, appended batch by batch, then read back."""
-    events = table(spark, sf_dir, "events")
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    """Runs over files that keep arriving: the first event of each user and horizon, with late, lost and repeated ones."""
+    arrivals, folder = _arrivals(spark, sf_dir), _stream_folder(spark)
     ddl = "task_id string, event_id long, ts timestamp"
-    keyed = events.select(F.col("user_id").cast("string").alias("task_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    # one file, so that one batch holds all: which of a user's events comes first is then their order in it
-    keyed.orderBy("ts", "event_id").coalesce(1).write.json(f"{folder}/in")
-    query = resume.append_batches(resume.new_records(spark, f"{folder}/in", ddl, time="ts", late="3650 days"), f"{folder}/out", f"{folder}/state")
-    query.awaitTermination()
-    rows = spark.read.schema(f"{ddl}, batch int").option("recursiveFileLookup", "true").json(f"{folder}/out")
-    return rows.select("task_id", F.count(F.lit(1)).over(Window.partitionBy("task_id")).alias("n_rows"))
+    for batch in range(BATCHES):
+        part = arrivals.filter(F.col("arrives") == batch).drop("arrives")
+        part.union(part.filter("event_id % 7 = 1")).write.mode("append").json(f"{folder}/in")
+        stream = resume.first_records(resume.new_records(spark, f"{folder}/in", ddl), horizon=datetime.timedelta(days=HORIZON))
+        resume.append_batches(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(ddl).option("recursiveFileLookup", "true").json(f"{folder}/out").select("task_id", "event_id")
+
+
+def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each type and hour, in the windows that the watermark has closed when the stream ends."""
+    folder = _stream_folder(spark)
+    table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts")).write.json(f"{folder}/in")
+    stream = resume.counts_by_window(resume.new_records(spark, f"{folder}/in", "event_type string, ts timestamp"), "ts", "event_type")
+    resume.append_batches(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    rows = spark.read.schema("begin timestamp, event_type string, n long").option("recursiveFileLookup", "true").json(f"{folder}/out")
+    return rows.select(F.date_format("begin", "yyyy-MM-dd HH").alias("begin"), "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (structured_diff, code_complexity, complexity_summary, standardize_code, response_code, similarity_metrics, similarity_summary, corpus_codebleu, rouge_l, meteor, codebleu, streaming_resume)}
+QUERIES = {f.__name__: f for f in (structured_diff, code_complexity, complexity_summary, standardize_code, response_code, similarity_metrics, similarity_summary, corpus_codebleu, rouge_l, meteor, codebleu, streaming_resume, streaming_windows)}
 
 
 def _joined(rows: list[tuple], names: str) -> str:
@@ -181,5 +209,20 @@ ORACLES = {
         scored AS (SELECT pair, variant, coalesce(power(3.0 / 4 * 1 / 3 * 0.1 / (2 * n) * 0.1 / n, 0.25), 1) AS bleu, CASE WHEN n IS NULL THEN 1 ELSE 1.0 / 3 END AS tree FROM pairs)
         SELECT pair, variant, round((2 * bleu + tree) / 3, 9) AS codebleu, round(bleu, 9) AS bleu FROM scored""",
     "codebleu": f"SELECT doc_id::VARCHAR AS task_id, round({_CODEBLEU}, 6) AS codebleu, CASE WHEN doc_id % 2 = 0 THEN 1.0 END::DOUBLE AS of_answer FROM documents",
-    "streaming_resume": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS task_id, 1::BIGINT AS n_rows FROM events",
+    # rows that come more than a day late are in no batch
+    "streaming_resume": f"""
+        WITH RECURSIVE events_in AS (SELECT user_id::VARCHAR AS task_id, event_id, date_trunc('millisecond', ts) AS ts, datediff('day', DATE '2024-01-01', ts::DATE) AS days FROM events),
+        batches AS (SELECT *, least({BATCHES - 1}, days // {DAYS}) AS batch FROM events_in),
+        arrived AS (SELECT task_id, event_id, ts, CASE WHEN days % {DAYS} = {DAYS - 1} AND hour(ts) >= 12 AND event_id % 3 = 0 AND batch < {BATCHES - 1} THEN batch + 1 ELSE batch END AS arrives FROM batches WHERE NOT (batch = 0 AND event_id % 11 = 5)),
+        walk AS (
+            SELECT DISTINCT task_id, -1 AS batch, NULL::TIMESTAMP AS at_, NULL::BIGINT AS event_id FROM arrived
+            UNION ALL
+            SELECT w.task_id, w.batch + 1, coalesce(min(a.ts), w.at_), arg_min(a.event_id, (a.ts, a.event_id))
+            FROM walk w LEFT JOIN arrived a ON a.task_id = w.task_id AND a.arrives = w.batch + 1 AND (w.at_ IS NULL OR a.ts >= w.at_ + INTERVAL {HORIZON} DAY)
+            WHERE w.batch < {BATCHES - 1} GROUP BY w.task_id, w.batch, w.at_
+        )
+        SELECT task_id, event_id FROM walk WHERE event_id IS NOT NULL""",
+    "streaming_windows": """
+        SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS begin, event_type, count(*) AS n FROM events
+        WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2""",
 }

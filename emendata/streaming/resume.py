@@ -1,24 +1,73 @@
 """Incremental runs: new files of records are read as a stream, each key once, and appended batch by batch.
 
-The watermark bounds the state of the deduplication; a batch that is retried is written again under the same
-number, so that readers of the committed batches see each row once.
+A batch that is retried is written again under the same number, so that readers of the committed batches see each row
+once. What is known of a key is one row of state, which a timer of the key's own drops when the watermark has passed
+its horizon; rows older than the watermark are left out before, so state is bounded by the keys of one horizon.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def new_records(spark: SparkSession, folder: str, ddl: str, key: str = "task_id", time: str | None = None, late: str = "1 day", source: str = "json") -> DataFrame:
-    """A stream of the records in a folder, the first of each key."""
-    rows = spark.readStream.schema(ddl).format(source).load(folder)
-    if time is None:
-        return rows.dropDuplicates([key])
-    return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+
+class _FirstWithin(StatefulProcessor):
+    """The least row of a batch by time and order, unless one was given less than the horizon before it."""
+
+    def __init__(self, time: str, order: str, horizon_ms: int):
+        self.time, self.order, self.horizon = time, order, horizon_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.given = handle.getValueState("given", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803  names of the interface
+        last = self.given.get()[0] if self.given.exists() else None
+        best = None
+        for row in rows:  # one at a time, so that a key that fills the batch needs no memory
+            at = _millis(row[self.time])
+            if at is not None and (last is None or at >= last + self.horizon) and (best is None or (at, row[self.order]) < best[0]):
+                best = ((at, row[self.order]), row)
+        if best is None:
+            return
+        if last is not None:
+            self.handle.deleteTimer(last + self.horizon)
+        self.given.update((best[0][0],))
+        self.handle.registerTimer(best[0][0] + self.horizon)
+        yield best[1]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        self.given.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(at: datetime.datetime | None) -> int | None:
+    return None if at is None else int(at.timestamp() * 1000)
+
+
+def new_records(spark: SparkSession, folder: str, ddl: str, source: str = "json") -> DataFrame:
+    """A stream of the records in a folder."""
+    return spark.readStream.schema(ddl).format(source).load(folder)
+
+
+def first_records(stream: DataFrame, key: str = "task_id", time: str = "ts", order: str = "event_id", horizon: datetime.timedelta = datetime.timedelta(days=7), late: str = "1 day") -> DataFrame:
+    """The first record of each key: of a batch the one of least ``time`` and ``order``, if none was given within ``horizon`` before it.
+
+    Records without key or time, and those more than ``late`` behind the latest of earlier batches, are left out.
+    """
+    rows = stream.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).withWatermark(time, late)
+    kind = StructType(rows.schema.fields)
+    return rows.groupBy(key).transformWithState(_FirstWithin(time, order, int(horizon.total_seconds() * 1000)), kind, "append", "eventTime")
 
 
 def append_batches(stream: DataFrame, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
@@ -27,7 +76,18 @@ def append_batches(stream: DataFrame, out: str, checkpoint: str, transform: Call
     def write(batch: DataFrame, number: int) -> None:
         (transform(batch) if transform else batch).write.mode("overwrite").json(f"{out}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return start(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True), stream.sparkSession)
+
+
+def start(writer, spark: SparkSession) -> StreamingQuery:
+    """Starts a query whose state lies in RocksDB, on disk, as state of one's own must."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(name, before)
 
 
 def counts_by_window(stream: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -1,5 +1,6 @@
 """Sources, joins that need an order, the sandbox and the stream."""
 
+import datetime
 import json
 import os
 import re
@@ -275,13 +276,29 @@ def test_evaluation(spark):
 
 
 def test_stream_resumes(spark, tmp_path):
-    folder, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
-    ddl = "task_id string, v long"
-    for rows in ([("a", 1), ("b", 1), ("a", 2)], [("b", 3), ("c", 3)]):
-        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").json(folder)
-        resume.append_batches(resume.new_records(spark, folder, ddl), out, state).awaitTermination()
-    got = spark.read.schema(ddl).option("recursiveFileLookup", "true").json(out)
-    assert sorted(r.task_id for r in got.collect()) == ["a", "b", "c"]
+    """The first of each key and horizon over several runs, and the state of keys that are over is dropped."""
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    ddl = "task_id string, event_id long, ts timestamp"
+    day = lambda d, h=0: datetime.datetime(2024, 1, d, h)
+    batches = [
+        [("a", 2, day(1, 5)), ("a", 1, day(1, 5)), ("a", 9, day(1, 9)), ("b", 3, day(2)), (None, 4, day(2)), ("n", 5, None)],
+        [("a", 6, day(3)), ("b", 7, day(1, 1)), ("c", 8, day(4))],
+        [("a", 10, day(9)), ("b", 11, day(8)), ("a", 12, day(8, 6)), ("late", 13, day(1))],
+        [("d", 14, day(28))],
+        [("b", 15, day(29)), ("b", 16, day(28, 12)), ("a", 17, day(15))],
+    ]
+    seen, sizes = [], []
+    for rows in batches:
+        spark.createDataFrame(rows, ddl).repartition(2).write.mode("append").json(folder)
+        stream = resume.first_records(resume.new_records(spark, folder, ddl), horizon=datetime.timedelta(days=7), late="1 day")
+        query = resume.append_batches(stream, out, state)
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        got = spark.read.schema(ddl).option("recursiveFileLookup", "true").json(out).collect()
+        seen.append(sorted(r.event_id for r in got))
+    assert seen == [[1, 3], [1, 3, 8], [1, 3, 8, 12], [1, 3, 8, 12, 14], [1, 3, 8, 12, 14, 16]]
+    # 11 came within seven days of 3 and a day less; a late row and rows without key or time give nothing
+    assert sizes[3] < sizes[2]  # timers have dropped what the watermark has passed
 
 
 def test_schemas_parse(spark):
