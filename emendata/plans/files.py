@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract
 from ..operators import harness, relational
-from ..sources import benchmarks, cache, connectors, jsonl, naming, versions
+from ..sources import batch_jobs, benchmarks, cache, connectors, jsonl, naming, versions
 from .tables import table
 
 
@@ -252,13 +252,48 @@ def batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.join(effort, "custom_id").select("custom_id", "request", "response", "reasoning", "error", "total_tokens", "reasoning_tokens")
 
 
+def batch_polling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch job whose answers and errors come in parts, in no order, between polls; some requests are never answered."""
+    folder = _folder(spark)
+    asked = _records(spark, sf_dir).select(F.concat(F.lit("task-"), "task_id").alias("custom_id"), F.lit("be kind").alias("system"), F.col("solution").alias("prompt"))
+    connectors.batch_requests(asked, "m-1").write.text(f"{folder}/requests")
+    sent, get = spark.read.text(f"{folder}/requests"), lambda p: F.get_json_object("value", f"$.{p}")
+    number, spread = F.regexp_extract(get("custom_id"), r"(\d+)$", 1).cast("long"), F.pmod(F.xxhash64(get("custom_id")), F.lit(3))
+    message = F.struct(F.struct(F.concat(F.lit("re: "), get("body.messages[1].content")).alias("content")).alias("message"))
+    answer = F.to_json(F.struct(get("custom_id").alias("custom_id"), F.struct(F.struct(F.array(message).alias("choices")).alias("body")).alias("response")))
+    error = F.to_json(F.struct(get("custom_id").alias("custom_id"), F.lit("too long").alias("error")))
+    names = iter((("1-output", answer, (number % 4 < 2) & (spread == 0)), ("2-errors", error, number % 4 == 2), ("3-output", answer, (number % 4 < 2) & (spread > 0))))
+
+    def deliver() -> None:
+        """The service's next part; its end comes with the last."""
+        if (part := next(names, None)) is None:
+            spark.createDataFrame([("completed",)], "value string").coalesce(1).write.text(f"{folder}/ended")
+            _renamed(spark, f"{folder}/ended", f"{folder}/job/status")
+        else:
+            name, line, chosen = part
+            sent.filter(chosen).select(line.alias("value")).write.text(f"{folder}/job/parts/{name}")
+
+    job = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/job")
+    uri = job.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(job).toUri().toString()
+    done = batch_jobs.collect_job(asked, f"{folder}/lines", f"{folder}/state", wait=deliver, most_polls=10, path=uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    return done.select("custom_id", "response", "error")
+
+
+def _renamed(spark: SparkSession, folder: str, target: str) -> None:
+    """The one file with rows of a folder that Spark wrote, under another name."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (folder, target)]
+    fs = paths[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    (part,) = [s.getPath() for s in fs.listStatus(paths[0]) if s.getPath().getName().startswith("part-") and s.getLen()]
+    fs.rename(part, paths[1])
+
+
 def thinking_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = F.element_at(F.array(*[F.lit(e) for e in ("", "_low", "_medium", "_high", "_minimal")]), (F.col("c_custkey") % 5 + 1).cast("int"))
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("m_low_"), F.col("c_custkey").cast("string"), ends).alias("model"))
     return rows.select("c_custkey", extract.thinking_budget(F.col("model")).alias("budget"), extract.effort_suffix(F.col("model"), minimal=True).alias("effort"), extract.model_base(F.col("model"), minimal=True).alias("base"))
 
 
-QUERIES = {f.__name__: f for f in (solution_lines, question_lines, resumed_ids, failed_list, rewritten_table, cache_upserts, result_files, scenario_outputs, partitioned_runs, dataset_registry, custom_outputs, generation_problems, execution_problems, test_output_problems, ordered_outputs, connector_answers, batch_files, thinking_budgets)}
+QUERIES = {f.__name__: f for f in (solution_lines, question_lines, resumed_ids, failed_list, rewritten_table, cache_upserts, result_files, scenario_outputs, partitioned_runs, dataset_registry, custom_outputs, generation_problems, execution_problems, test_output_problems, ordered_outputs, connector_answers, batch_files, batch_polling, thinking_budgets)}
 _RECORDS = "records AS (SELECT doc_id, doc_id::VARCHAR AS task_id, coalesce(lang, 'none') AS solution, coalesce(source, 'none') AS corrupted_solution FROM documents)"
 _ITEMS = "items AS (SELECT *, item_id::VARCHAR AS question_id, (DATE '2024-01-01' + (item_id % 300)::INT)::DATE AS day FROM benchmark WHERE text IS NOT NULL)"
 ORACLES = {
@@ -291,6 +326,8 @@ ORACLES = {
     "batch_files": f"""
         WITH {_RECORDS} SELECT 'task-' || task_id AS custom_id, 'm-1|minimal|/v1/chat/completions|be kind' AS request, CASE WHEN doc_id % 4 < 2 THEN 're: ' || solution ELSE '' END AS response, CASE WHEN doc_id % 4 < 2 THEN 'because' ELSE '' END AS reasoning,
             CASE doc_id % 4 WHEN 2 THEN 'too long' WHEN 3 THEN 'Result missing' END AS error, CASE WHEN doc_id % 4 < 2 THEN 9 END::BIGINT AS total_tokens, CASE WHEN doc_id % 4 < 2 THEN 2 END::BIGINT AS reasoning_tokens FROM records""",
+    "batch_polling": f"""
+        WITH {_RECORDS} SELECT 'task-' || task_id AS custom_id, CASE WHEN doc_id % 4 < 2 THEN 're: ' || solution ELSE '' END AS response, CASE doc_id % 4 WHEN 2 THEN 'too long' WHEN 3 THEN 'Result missing' END AS error FROM records""",
     "thinking_budgets": """
         SELECT c_custkey, CASE c_custkey % 5 WHEN 1 THEN 1024 WHEN 2 THEN 8192 WHEN 3 THEN 24576 END AS budget, [NULL, 'low', 'medium', 'high', 'minimal'][c_custkey % 5 + 1] AS effort, 'm_low_' || c_custkey AS base FROM customer""",
 }

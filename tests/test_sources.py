@@ -4,7 +4,7 @@ import json
 import random
 
 import pytest
-from emendata.sources import json_array
+from emendata.sources import batch_jobs, json_array
 from emendata.sources.cache import PromptCache
 from emendata.sources.versions import Conflict, VersionedTable, read, rewrite
 from pyspark.sql import functions as F
@@ -151,3 +151,32 @@ def test_cache_rewrites_touched_buckets_only(spark, tmp_path):
     assert shown() == {f"p{k}": [f"a{k}"] for k in range(30)} | {"p3": ["later"], "p5": ["new"], "q": ["q"]}
     cache.table.vacuum(keep=1)
     assert len(shown()) == 31 and cache.lookup(asked, 2)[0].count() == 0
+
+
+def line(k, text=None, error=None):
+    answer = {"response": {"body": {"choices": [{"message": {"content": text}}]}}} if error is None else {"error": error}
+    return json.dumps({"custom_id": f"r{k}"} | answer)
+
+
+def test_polls_read_each_part_once_and_go_on_after_a_stop(spark, tmp_path):
+    job, out, state = tmp_path / "job", str(tmp_path / "out"), str(tmp_path / "state")
+    requests = spark.createDataFrame([(f"r{k}", f"p{k}") for k in range(7)], "custom_id string, prompt string")
+    options = {"path": job.as_uri()}
+
+    def part(name, lines, complete=True):
+        (job / "parts" / name).mkdir(parents=True, exist_ok=True)
+        (job / "parts" / name / "a.jsonl").write_text("\n".join(lines) + "\n\n")
+        if complete:
+            (job / "parts" / name / "_SUCCESS").touch()
+
+    late = iter([lambda: part("1-output", [line(3, "c"), line(0, "a")]), lambda: part("2-output", [line(9, "half")], complete=False), lambda: None])
+    with pytest.raises(TimeoutError):
+        batch_jobs.collect_job(requests, out, state, wait=lambda: next(late)(), most_polls=3, **options)
+    count = lambda: spark.read.schema(batch_jobs.LINES).option("recursiveFileLookup", "true").json(out).count()
+    assert count() == 2  # the part without its mark is not read
+    more = iter([lambda: part("2-output", [line(1, "b"), "{broken", line(5, "f")]), lambda: part("3-errors", [line(2, error="no"), line(5, error="later")]), lambda: (job / "status").write_text("completed\n")])
+    done = batch_jobs.collect_job(requests, out, state, wait=lambda: next(more)(), most_polls=9, **options)
+    got = {r.custom_id: (r.response, r.error) for r in done.collect()}
+    assert got == {"r0": ("a", None), "r1": ("b", None), "r2": ("", "no"), "r3": ("c", None), "r4": ("", "Result missing"), "r5": ("", "later"), "r6": ("", "Result missing")}
+    assert count() == 7
+    assert batch_jobs.collect_job(requests, out, state, **options).count() == 7 and count() == 7
