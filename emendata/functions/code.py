@@ -20,12 +20,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import stemmer
 
 LEFT_OUT = {tokenize.COMMENT, tokenize.NL, tokenize.ENCODING, tokenize.ENDMARKER, tokenize.INDENT, tokenize.DEDENT}
 MOST_DIFF_LINES = 1000
+# Fixed value: what stands for a diff of longer programs.
+TOO_LARGE = "Files too large for diff. Reference: {} lines, Prediction: {} lines"
 #: Fixed keywords that weigh more in the code metric.
 KEYWORDS = frozenset("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
 
@@ -185,21 +188,105 @@ def _steps(node: ast.AST) -> tuple[list, list, tuple[int, int, int]]:
 
 
 def structured_diff(before: str, after: str) -> list[dict[str, str]]:
-    """Rows (type, content): context, added or removed; equal texts are one context row, long ones a summary."""
-    if before == after:
+    """Rows (type, content): context (its mark, a space, stays), added or removed; equal texts are one context row, long ones a summary."""
+    if not before and not after:
+        return []
+    a, b = before.splitlines(keepends=True), after.splitlines(keepends=True)
+    if a == b:
         return [{"type": "context", "content": before}]
-    a, b = before.splitlines(), after.splitlines()
     if max(len(a), len(b)) > MOST_DIFF_LINES:
-        return [{"type": "summary", "content": f"{len(a)} lines before, {len(b)} after"}]
-    kinds = {"+": "added", "-": "removed", " ": "context"}
+        return [{"type": "summary", "content": TOO_LARGE.format(len(a), len(b))}]
     out = []
     for line in difflib.unified_diff(a, b, lineterm=""):
-        if line[:3] in ("+++", "---") or line[:2] == "@@" or line[:1] not in kinds:
+        if line.startswith(("+++", "---", "@@")):
             continue
-        out.append({"type": kinds[line[0]], "content": line[1:]})
+        kind = {"+": "added", "-": "removed"}.get(line[0], "context")
+        out.append({"type": kind, "content": (line if kind == "context" else line[1:]).rstrip()})
     return out
 
 
+@udtf(returnType="row long, type string, content string")
+class DiffRows:
+    """structured_diff() as a table function: of the rows of a table it is called laterally, also by name in SQL."""
+
+    def eval(self, before: str, after: str):
+        if before is not None and after is not None:
+            for k, row in enumerate(structured_diff(before, after)):
+                yield k, row["type"], row["content"]
+
+
+def leaves(code: str) -> list[tuple[str, int, int]]:
+    """(label, first line, last line) of what the syntax tree of a program is made of, in the order of the source.
+
+    A node without nodes in it is a leaf, and so is each name or constant that a node holds itself. What has no
+    place of its own, such as an operator, has that of the node around it.
+    """
+    out: list[tuple[str, int, int]] = []
+    todo: list[tuple[ast.AST, int, int]] = [(ast.parse(code), 1, 1)]
+    while todo:
+        node, first, last = todo.pop()
+        first, last = getattr(node, "lineno", first), getattr(node, "end_lineno", last)
+        inner = []
+        for name, value in ast.iter_fields(node):
+            for x in value if isinstance(value, list) else [value]:
+                if isinstance(x, ast.AST):
+                    if not isinstance(x, ast.expr_context):
+                        inner.append((x, first, last))
+                elif x is not None and name not in ("kind", "type_comment", "type_ignores"):
+                    single = first if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else last
+                    out.append((f"{type(node).__name__}.{name}={x!r}", first, single))
+        if not inner and not any(x is not None and not isinstance(x, (list, ast.expr_context)) for _, x in ast.iter_fields(node)):
+            out.append((type(node).__name__, first, last if not isinstance(node, ast.Module) else first))
+        todo += reversed(inner)
+    return out
+
+
+def common_pairs(a: list, b: list) -> list[tuple[int, int]]:
+    """Places (i, j) of a longest common subsequence: equal ends first, then rows of bit sets, walked backwards."""
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    x, y = a[low : len(a) - high], b[low : len(b) - high]
+    places, whole = _places(x), (1 << len(x)) - 1
+    rows = [whole]
+    for item in y:
+        hit = rows[-1] & places.get(item, 0)
+        rows.append(((rows[-1] + hit) | (rows[-1] - hit)) & whole)
+    length = lambda i, j: i - (rows[j] & ((1 << i) - 1)).bit_count()  # noqa: E731  of the prefixes
+    i, j, found = len(x), len(y), []
+    while i and j:
+        best = length(i, j)
+        if length(i, j - 1) == best:
+            j -= 1
+        elif length(i - 1, j) == best:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            found.append((low + i, low + j))
+    ends = [(len(a) - k, len(b) - k) for k in range(high, 0, -1)]
+    return [(k, k) for k in range(low)] + found[::-1] + ends
+
+
+def changed_leaf_lines(reference: str, prediction: str) -> int:
+    """How many line numbers hold a leaf that only one of the programs has; -1 if either does not parse.
+
+    Numbers of both sides count as one set. This is the library's own measure in the place of an external tool's.
+    """
+    if not parses(reference) or not parses(prediction):
+        return -1
+    sides = [leaves(reference), leaves(prediction)]
+    pairs = common_pairs(*[[label for label, _, _ in side] for side in sides])
+    lines: set[int] = set()
+    for side, kept in zip(sides, ({i for i, _ in pairs}, {j for _, j in pairs}), strict=True):
+        for k, (_, first, last) in enumerate(side):
+            if k not in kept:
+                lines.update(range(first, last + 1))
+    return len(lines)
+
+
 def _places(items: list[str]) -> dict[str, int]:
     """For each element the positions that hold it, as bits."""
     out: dict[str, int] = {}
@@ -247,7 +334,7 @@ def rouge_l(reference: str, prediction: str) -> float:
 
 
 def meteor(reference: str, prediction: str) -> float:
-    """Unigram matches, exact and then by stem, with a penalty for chunks (0.9, 3, 0.5). Synonyms need WordNet and are left out."""
+    """Unigram matches, exact and then by stem, with a penalty for chunks (0.9, 3, 0.5); synonyms need a table, see meteor_aligned()."""
     ref, pred = reference.lower().split(), prediction.lower().split()
     free, pairs = set(range(len(ref))), {}
     for form in (lambda w: w, _stem):
@@ -258,14 +345,95 @@ def meteor(reference: str, prediction: str) -> float:
             if i not in pairs and places.get(form(word)):
                 pairs[i] = places[form(word)].pop()
                 free.discard(pairs[i])
+    return _meteor_of(len(ref), len(pred), sorted(pairs.items()))
+
+
+def _meteor_of(n_ref: int, n_pred: int, pairs: list[tuple[int, int]]) -> float:
+    """The score of an alignment, pairs (place in the prediction, place in the reference) in order."""
     if not pairs:
         return 0.0
     m = len(pairs)
-    precision, recall = m / len(pred), m / len(ref)
+    precision, recall = m / n_pred, m / n_ref
     mean = precision * recall / (0.9 * precision + 0.1 * recall)
-    order = sorted(pairs.items())
-    chunks = 1 + sum(1 for (i, j), (k, n) in zip(order, order[1:], strict=False) if k != i + 1 or n != j + 1)
-    return mean * (1 - 0.5 * (chunks / m) ** 3)
+    return mean * (1 - 0.5 * (_chunks(pairs) / m) ** 3)
+
+
+def _chunks(pairs: list[tuple[int, int]]) -> int:
+    return 1 + sum(1 for (i, j), (k, n) in zip(pairs, pairs[1:], strict=False) if k != i + 1 or n != j + 1)
+
+
+#: Alignments that the search for the fewest chunks keeps at each word, and places that it tries for a word.
+BEAM, WIDTH = 16, 8
+
+
+def align(ref: list[str], pred: list[str], synonyms: dict[str, set[str]]) -> list[tuple[int, int]]:
+    """Pairs (place in ``pred``, place in ``ref``): as many equal words as there are, then equal stems, then synonyms, in the fewest chunks.
+
+    Of a word as many pairs are equal as both sides have it; only what is left over on either side goes to the later
+    stages. A search from left to right keeps, of the alignments that have used the same places and end alike, the
+    best, and BEAM of these: those with the fewest chunks, then those that can go on for longest. So the result is
+    exact for texts with no more open choices than that.
+    """
+    mine, theirs = Counter(pred), Counter(ref)
+    equal = {w: min(n, theirs[w]) for w, n in mine.items()}
+    spare = {w: n - equal.get(w, 0) for w, n in theirs.items()}
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(ref):
+        places.setdefault(w, []).append(j)
+    by_stem: dict[str, list[str]] = {}
+    for w in places:
+        by_stem.setdefault(_stem(w), []).append(w)
+    takes: dict[str, dict[int, int]] = {}  # for each word the places that it may take, and the stage
+    for w in mine:
+        later = {j: 2 for x in synonyms.get(w, ()) if x != w and spare.get(x) for j in places[x]} | {j: 1 for x in by_stem.get(_stem(w), ()) if x != w and spare[x] for j in places[x]}
+        takes[w] = later | (dict.fromkeys(places[w], 0) if equal[w] else {})
+    runs: list[dict[int, int]] = [{} for _ in range(len(pred) + 1)]  # how many words can go on from a pair
+    for i in range(len(pred) - 1, -1, -1):
+        runs[i] = {j: 1 + runs[i + 1].get(j + 1, 0) for j in takes[pred[i]]}
+    counted = {w for w, n in equal.items() if n and (mine[w] > n or theirs[w] > n)}  # others need no account of their stages
+
+    # (less pairs of each stage, then chunks), places used, last pair, pairs of counted words by stage, pairs as a linked list
+    states = [((0, 0, 0, 0), 0, (-2, -2), {}, None)]
+    left = Counter(pred)
+    for i, word in enumerate(pred):
+        left[word] -= 1
+        longest = max(runs[i].values(), default=0)
+        grown: dict[tuple, tuple] = {}
+        for value, used, last, done, pairs in states:
+            need = equal[word] - done.get((0, word), 0) if word in counted else bool(equal[word]) * (left[word] + 1)
+            if need <= left[word]:  # the word may stay alone
+                key = (used, last)
+                if key not in grown or value < grown[key][0]:
+                    grown[key] = (value, used, last, done, pairs)
+            on = last[1] + 1 if last[0] == i - 1 else -2
+            if on in runs[i] and runs[i][on] == longest and not used >> on & 1 and (takes[word][on] == 0) == bool(need):
+                free = [on]  # no other place goes on for longer
+            elif len(free := [j for j in takes[word] if not used >> j & 1]) > 1:
+                free.sort(key=lambda j: (j != on, -runs[i][j], j))
+            for j in free[:WIDTH]:
+                stage, other = takes[word][j], ref[j]
+                if stage == 0 and not need or stage and (need > left[word] or other in counted and done.get((1, other), 0) >= spare[other]):
+                    continue
+                mark = (0, word) if stage == 0 else (1, other)
+                new = [*value]
+                new[stage] -= 1
+                new[3] += j != on
+                key, state = (used | 1 << j, (i, j)), tuple(new)
+                if key not in grown or state < grown[key][0]:
+                    grown[key] = (state, key[0], (i, j), {**done, mark: done.get(mark, 0) + 1} if mark[1] in counted else done, ((i, j), pairs))
+        ahead = lambda x, i=i: -runs[i + 1].get(x[2][1] + 1, 0) if x[2][0] == i else 0
+        states = sorted(grown.values(), key=lambda x: (x[0], ahead(x), x[2]))[:BEAM]
+    out, node = [], states[0][4]
+    while node:
+        out.append(node[0])
+        node = node[1]
+    return out[::-1]
+
+
+def meteor_aligned(reference: str, prediction: str, synonyms: dict[str, set[str]]) -> float:
+    """METEOR with a stage of synonyms, over the alignment with few chunks."""
+    ref, pred = reference.lower().split(), prediction.lower().split()
+    return _meteor_of(len(ref), len(pred), align(ref, pred, synonyms))
 
 
 def _grams(items: list[str], n: int) -> Counter:
@@ -541,11 +709,26 @@ bleu_of = _each_pair(lambda a, b: sentence_bleu(list(a), list(b)), DoubleType())
 bleu_counts_of = _each_pair(lambda a, b: bleu_counts(list(a), list(b)), ArrayType(LongType()))
 rouges_of = _each_pair(lambda a, b: list(rouges(a, b)), ArrayType(DoubleType()))
 meteor_of = _each_pair(meteor, DoubleType())
+distance_of = _each_pair(lambda a, b: sequence_distance(list(a), list(b)), IntegerType())
+leaf_lines_of = _each_pair(changed_leaf_lines, IntegerType())
 codebleu_of = _each_pair(codebleu, DoubleType())
 diff_of = _each_pair(structured_diff, ArrayType(StructType([StructField("type", StringType()), StructField("content", StringType())])))
 equals_expected = _each_pair(expected_equal, BooleanType())
 
 
+@F.pandas_udf(DoubleType())
+def aligned_meteor_of(reference: pd.Series, prediction: pd.Series, words: pd.Series, synonyms: pd.Series) -> pd.Series:
+    """meteor_aligned(), with the synonyms of a row as two lists: words, and a synonym for each."""
+
+    def score(a, b, w, s):
+        known: dict[str, set[str]] = {}
+        for x, y in zip([] if w is None else w, [] if s is None else s):
+            known.setdefault(x, set()).add(y)
+        return None if a is None or b is None else meteor_aligned(a, b, known)
+
+    return pd.Series([score(*row) for row in zip(reference, prediction, words, synonyms, strict=True)], dtype="Float64")
+
+
 @F.pandas_udf(StructType([StructField("cyclomatic", IntegerType()), StructField("cognitive", IntegerType())]))
 def complexity_of(code: pd.Series) -> pd.DataFrame:
     found = [complexities(c) if isinstance(c, str) else (None, None) for c in code]

@@ -1,8 +1,7 @@
 """Similarity metrics as expressions and aggregates.
 
-What counts n-grams does so within the row, by an Arrow function, so that none of them is shuffled.
-Distances over tokens or lines use the built-in levenshtein(): each distinct element is mapped to a character
-of its own, so the edit distance of two short strings is that of the sequences.
+What counts n-grams or needs a table for a pair of texts does so within the row, by an Arrow function, so that none
+of it is shuffled. Distances over tokens or lines are bit-parallel: a column of the table is two numbers.
 """
 
 from __future__ import annotations
@@ -12,8 +11,6 @@ from pyspark.sql import functions as F
 
 from . import code
 
-#: Code points for elements begin here; surrogates (no characters) are skipped.
-FIRST_CODE, SURROGATES, SURROGATE_COUNT = 0x100, 0xD800, 0x800
 #: Fixed values of the metrics.
 BLEU_ORDER, BLEU_EPSILON = 4, 0.1
 
@@ -28,22 +25,8 @@ def stripped_lines(text: Column) -> Column:
 
 
 def sequence_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two lists of strings."""
-    known = F.array_distinct(F.concat(a, b))
-
-    def spelled(items: Column) -> Column:
-        def letter(x: Column) -> Column:
-            at = F.array_position(known, x).cast("int") + FIRST_CODE - 1
-            return _character(F.when(at >= SURROGATES, at + SURROGATE_COUNT).otherwise(at))
-
-        return F.array_join(F.transform(items, letter), "")
-
-    return F.levenshtein(spelled(a), spelled(b))
-
-
-def _character(code: Column) -> Column:
-    """The character of a code point, from its UTF-32 bytes."""
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    """Edit distance of two lists of strings; null where either is."""
+    return code.distance_of(a, b)
 
 
 def normalised(distance: Column, a: Column, b: Column) -> Column:
@@ -82,3 +65,16 @@ def rouge(df: DataFrame, keys: list[str], reference: str, prediction: str) -> Da
 def chrf(df: DataFrame, keys: list[str], reference: str, prediction: str) -> DataFrame:
     """(keys, chrf): mean over n = 1..6 of the F-score (beta 3) of character n-grams, white space removed."""
     return df.select(*keys, code.chrf_of(reference, prediction).alias("chrf"))
+
+
+def meteor(df: DataFrame, keys: list[str], reference: str, prediction: str, synonyms: DataFrame) -> DataFrame:
+    """(keys, meteor): METEOR with the stage of synonyms that a table (word, synonym) gives, and the fewest chunks.
+
+    Words of the predictions are joined with the table, so each row gets what it needs of it, however large it is.
+    ``keys`` must tell rows apart. Null words and synonyms are left out; both are compared in lower case.
+    """
+    known = synonyms.filter("word IS NOT NULL AND synonym IS NOT NULL").select(F.lower("word").alias("_word"), F.lower("synonym").alias("_synonym")).distinct()
+    words = df.select(*keys, F.explode(F.array_distinct(F.split(F.lower(F.coalesce(prediction, F.lit(""))), r"\s+"))).alias("_word"))
+    needed = words.join(known, "_word").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_word", "_synonym"))).alias("_known"))
+    joined = df.join(needed, keys, "left")
+    return joined.select(*keys, code.aligned_meteor_of(reference, prediction, F.col("_known._word"), F.col("_known._synonym")).alias("meteor"))

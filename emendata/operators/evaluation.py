@@ -21,13 +21,14 @@ LONG = "task_id string, _line long, pair string, variant string, metric string,
 
 @lru_cache(maxsize=4096)
 def _metrics(reference: str, prediction: str) -> tuple[float, ...]:
-    """METRICS of one pair of texts, tokenised once; diffsitter is an external program and absent, which is -1."""
+    """METRICS of one pair of texts, tokenised once; the structural diff is the library's own, -1 where a side does not parse."""
     a, b = code_functions.code_tokens(reference), code_functions.code_tokens(prediction)
     x, y = ([line.strip() for line in text.split("\n")] for text in (reference, prediction))
     tokens, lines = code_functions.sequence_distance(a, b), code_functions.sequence_distance(x, y)
     distances = (float(tokens), tokens / max(len(a), len(b), 1), float(lines), lines / max(len(x), len(y), 1))
     overlaps = (code_functions.sentence_bleu(a, b), code_functions.rouge_n(reference, prediction, 1), code_functions.rouge_n(reference, prediction, 2), code_functions.rouge_l(reference, prediction), code_functions.meteor(reference, prediction), code_functions.chrf(reference, prediction), code_functions.codebleu(reference, prediction))
-    return (*distances, *overlaps, -1.0, -1.0)
+    leaf_lines, most = code_functions.changed_leaf_lines(reference, prediction), max(len(reference.splitlines()), len(prediction.splitlines()))
+    return (*distances, *overlaps, float(leaf_lines), -1.0 if leaf_lines < 0 else leaf_lines / max(most, 1))
 
 
 def _variant(text: str, variant: str) -> str:

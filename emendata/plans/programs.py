@@ -12,11 +12,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import code
+from ..functions import code, registry, similarity
 from ..operators import evaluation
 from ..streaming import resume
+from . import texts
 from .mutations import values
-from .tables import rounded, table, turn_pairs
+from .tables import PASS_AT_K, TURN_PAIRS, rounded, table, turn_pairs
 
 SOLUTIONS = "canonical_solution string, corrupted_solution string, solution string"
 #: (canonical, corrupted, answer); NAME stands for v and three digits.
@@ -106,6 +107,41 @@ def codebleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("task_id", rounded(code.codebleu_of("corrupted_solution", "canonical_solution")).alias("codebleu"), rounded(code.codebleu_of("canonical_solution", "solution")).alias("of_answer"))
 
 
+def diff_rows_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diffs in SQL, by the table function: a document's words as numbered lines against those with the first replaced and the sixth gone."""
+    registry.register(spark)
+    words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), "\n\t\r", "   "), " "), lambda w: w != "")
+    lines = F.transform(words, lambda w, i: F.concat(i.cast("string"), F.lit(": "), w))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("before"), F.concat(F.array_join(F.concat(F.array(F.lit("new")), F.slice(lines, 2, 4), F.slice(lines, 7, 1 << 30)), "\n"), F.lit("\n")).alias("after"))
+    return spark.sql("SELECT doc_id, row, type, content FROM {rows}, LATERAL diff_rows(before, after)", rows=rows)
+
+
+def functions_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of turns in SQL, by the names of the functions."""
+    registry.register(spark)
+    rows = turn_pairs(spark, sf_dir)
+    text = """
+        SELECT conv_id, turn, token_distance(reference, prediction) AS distance, round(bleu(reference, prediction), 6) AS bleu,
+            round(pass_at_k(size(reference), least(size(prediction), size(reference)) div 2, 3), 6) AS chance,
+            output_equal(array_join(reference, ' '), concat(' ', array_join(reference, ' '), '\n')) AS same,
+            all_verified(transform(prediction, x -> 1)) AS verified
+        FROM {rows}"""
+    return spark.sql(text, rows=rows)
+
+
+#: What stands before a word's synonym in meteor_synonyms.
+MARK = "zz9"
+
+
+def meteor_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns against themselves with every word replaced; words that begin with a to m have the new word as a synonym."""
+    words = F.split(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), " ")
+    rows = table(spark, sf_dir, "conversations").filter(F.trim("text") != "").select("conv_id", "turn", words.alias("words"))
+    texts = rows.select("conv_id", "turn", F.array_join("words", " ").alias("a"), F.array_join(F.transform("words", lambda w: F.concat(F.lit(MARK), w)), " ").alias("b"))
+    known = rows.select(F.explode("words").alias("synonym")).distinct().filter("synonym RLIKE '^[a-m]'").select(F.concat(F.lit(MARK), "synonym").alias("word"), "synonym")
+    return similarity.meteor(texts, ["conv_id", "turn"], "a", "b", known).select("conv_id", "turn", rounded(F.col("meteor")).alias("meteor"))
+
+
 #: Batches of the streams, the days of event time that each covers, and the horizon within which a key is given once.
 BATCHES, DAYS, HORIZON = 4, 8, 7
 
@@ -147,7 +183,7 @@ def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.date_format("begin", "yyyy-MM-dd HH").alias("begin"), "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (structured_diff, code_complexity, complexity_summary, standardize_code, response_code, similarity_metrics, similarity_summary, corpus_codebleu, rouge_l, meteor, codebleu, streaming_resume, streaming_windows)}
+QUERIES = {f.__name__: f for f in (structured_diff, code_complexity, complexity_summary, standardize_code, response_code, similarity_metrics, similarity_summary, corpus_codebleu, rouge_l, meteor, codebleu, diff_rows_by_name, functions_by_name, meteor_synonyms, streaming_resume, streaming_windows)}
 
 
 def _joined(rows: list[tuple], names: str) -> str:
@@ -160,9 +196,9 @@ def _rows_of(rows: list[tuple], n: int, names: str) -> str:
 
 
 _DIFF_ROWS = [
-    (0, "canonical_vs_corrupted", 0, "context", "def f(NAME):"), (0, "canonical_vs_corrupted", 1, "context", "    x = 1"), (0, "canonical_vs_corrupted", 2, "removed", "    return NAME - x"), (0, "canonical_vs_corrupted", 3, "added", "    return NAME + x"),
-    (0, "llm_vs_corrupted", 0, "context", "def f(NAME):"), (0, "llm_vs_corrupted", 1, "removed", "    x = 1"), (0, "llm_vs_corrupted", 2, "removed", "    return NAME - x"), (0, "llm_vs_corrupted", 3, "added", "    return NAME + 1"),
-    (0, "llm_vs_canonical", 0, "context", "def f(NAME):"), (0, "llm_vs_canonical", 1, "removed", "    x = 1"), (0, "llm_vs_canonical", 2, "removed", "    return NAME + x"), (0, "llm_vs_canonical", 3, "added", "    return NAME + 1"),
+    (0, "canonical_vs_corrupted", 0, "context", " def f(NAME):"), (0, "canonical_vs_corrupted", 1, "context", "     x = 1"), (0, "canonical_vs_corrupted", 2, "removed", "    return NAME - x"), (0, "canonical_vs_corrupted", 3, "added", "    return NAME + x"),
+    (0, "llm_vs_corrupted", 0, "context", " def f(NAME):"), (0, "llm_vs_corrupted", 1, "removed", "    x = 1"), (0, "llm_vs_corrupted", 2, "removed", "    return NAME - x"), (0, "llm_vs_corrupted", 3, "added", "    return NAME + 1"),
+    (0, "llm_vs_canonical", 0, "context", " def f(NAME):"), (0, "llm_vs_canonical", 1, "removed", "    x = 1"), (0, "llm_vs_canonical", 2, "removed", "    return NAME + x"), (0, "llm_vs_canonical", 3, "added", "    return NAME + 1"),
     (1, "canonical_vs_corrupted", 0, "context", "NAME = 1"),
 ]
 #: Cyclomatic and cognitive complexity of canonical, corrupted and answer.
@@ -179,9 +215,9 @@ _COMMENT_CHRF = " + ".join(f"10.0 * ({c} / {p}.0) * ({c} / {r}.0) / (9 * ({c} /
 _METRICS_SQL = f"""
     metrics AS (
         SELECT unnest([{', '.join(f"'{m}'" for m in evaluation.METRICS)}]) AS metric,
-            unnest([1, 0.25, 1, 1, {_BLEU}, 0.5, 0, 0.5, 0.625, (5.0 / 6 + 4.0 / 5 + 3.0 / 4 + 2.0 / 3 + 1.0 / 2) / 6, {_CODEBLEU}, -1, -1]::DOUBLE[]) AS other,
-            unnest([0, 0, 0, 0, 1, 1, 1, 1, 1 - 0.5 / 27, 1, 1, -1, -1]::DOUBLE[]) AS same,
-            unnest([1, 0.25, 1, 1, {_BLEU}, 0.4, 0, 0.4, 0.5859375, ({_COMMENT_CHRF}) / 6, {_CODEBLEU}, -1, -1]::DOUBLE[]) AS comment
+            unnest([1, 0.25, 1, 1, {_BLEU}, 0.5, 0, 0.5, 0.625, (5.0 / 6 + 4.0 / 5 + 3.0 / 4 + 2.0 / 3 + 1.0 / 2) / 6, {_CODEBLEU}, 1, 1]::DOUBLE[]) AS other,
+            unnest([0, 0, 0, 0, 1, 1, 1, 1, 1 - 0.5 / 27, 1, 1, 0, 0]::DOUBLE[]) AS same,
+            unnest([1, 0.25, 1, 1, {_BLEU}, 0.4, 0, 0.4, 0.5859375, ({_COMMENT_CHRF}) / 6, {_CODEBLEU}, 1, 1]::DOUBLE[]) AS comment
     ),
     kinds AS (
         SELECT * FROM (VALUES (0, 'canonical_vs_corrupted'), (0, 'llm_vs_corrupted'), (0, 'llm_vs_canonical'), (1, 'canonical_vs_corrupted')) p(program, pair), (VALUES (''), ('no_comments_'), ('body_'), ('body_no_comments_')) v(variant)
@@ -209,6 +245,23 @@ ORACLES = {
         scored AS (SELECT pair, variant, coalesce(power(3.0 / 4 * 1 / 3 * 0.1 / (2 * n) * 0.1 / n, 0.25), 1) AS bleu, CASE WHEN n IS NULL THEN 1 ELSE 1.0 / 3 END AS tree FROM pairs)
         SELECT pair, variant, round((2 * bleu + tree) / 3, 9) AS codebleu, round(bleu, 9) AS bleu FROM scored""",
     "codebleu": f"SELECT doc_id::VARCHAR AS task_id, round({_CODEBLEU}, 6) AS codebleu, CASE WHEN doc_id % 2 = 0 THEN 1.0 END::DOUBLE AS of_answer FROM documents",
+    # one hunk: the first line, those up to the sixth, and three of context; without a sixth line three behind the first
+    "diff_rows_by_name": """
+        WITH w AS (SELECT doc_id, list_filter(string_split(translate(coalesce(text, ''), chr(10) || chr(9) || chr(13), '   '), ' '), lambda x: x <> '') AS ws FROM documents),
+        l AS (SELECT doc_id, len(ws) AS n, list_transform(ws, lambda x, i: (i - 1) || ': ' || x) AS ls FROM w)
+        SELECT doc_id, 0::BIGINT AS row, 'summary' AS type, 'Files too large for diff. Reference: ' || n || ' lines, Prediction: ' || (n - 1) || ' lines' AS content FROM l WHERE n > 1000
+        UNION ALL SELECT doc_id, 0, 'removed', coalesce(ls[1], '') FROM l WHERE n <= 1000
+        UNION ALL SELECT doc_id, 1, 'added', 'new' FROM l WHERE n <= 1000
+        UNION ALL SELECT doc_id, i, CASE WHEN i = 6 THEN 'removed' ELSE 'context' END, CASE WHEN i = 6 THEN '' ELSE ' ' END || ls[i] FROM (SELECT *, unnest(range(2, CASE WHEN n < 6 THEN least(n, 4) ELSE least(n, 9) END + 1)) AS i FROM l WHERE n <= 1000)""",
+    "functions_by_name": f"""
+        WITH {TURN_PAIRS.strip()}, x AS (SELECT *, len(reference) AS n, least(len(prediction), len(reference)) // 2 AS c, 3 AS k FROM pairs)
+        SELECT x.conv_id, x.turn, t.distance::INT AS distance, s.bleu, round(CAST({PASS_AT_K} AS DOUBLE), 6) AS chance, TRUE AS same, len(prediction) > 0 AS verified
+        FROM x JOIN ({texts.ORACLES['token_levenshtein']}) t ON t.conv_id = x.conv_id AND t.turn = x.turn JOIN ({texts.ORACLES['sentence_bleu']}) s ON s.conv_id = x.conv_id AND s.turn = x.turn""",
+    "meteor_synonyms": r"""
+        WITH w AS (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM (SELECT conv_id, turn, string_split(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' ') AS ws FROM conversations WHERE trim(text) <> '')),
+        m AS (SELECT *, regexp_matches(w, '^[a-m]') AS hit, lag(regexp_matches(w, '^[a-m]')) OVER (PARTITION BY conv_id, turn ORDER BY i) AS before FROM w),
+        c AS (SELECT conv_id, turn, n::DOUBLE AS n, (count(*) FILTER (WHERE hit))::DOUBLE AS m, (count(*) FILTER (WHERE hit AND before IS DISTINCT FROM TRUE))::DOUBLE AS chunks FROM m GROUP BY ALL)
+        SELECT conv_id, turn, round(CASE WHEN m = 0 THEN 0 ELSE m / n * (1 - 0.5 * power(chunks / m, 3)) END, 6) AS meteor FROM c""",
     # rows that come more than a day late are in no batch
     "streaming_resume": f"""
         WITH RECURSIVE events_in AS (SELECT user_id::VARCHAR AS task_id, event_id, date_trunc('millisecond', ts) AS ts, datediff('day', DATE '2024-01-01', ts::DATE) AS days FROM events),

@@ -182,6 +182,17 @@ ORACLES = {
             WHEN 0 THEN 'The above code is incorrect and got a wrong answer.' || chr(10) || 'Input: ' || k || chr(10) || 'Generated Output: ' || event_type || chr(10) || 'Expected: none'
             WHEN 1 THEN 'The above code is incorrect and got time limit exceeded.' || chr(10) || 'slow' || chr(10) || 'Input: ' || k || chr(10) || 'Expected: none' ELSE '' END AS message
         FROM (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events)""",
+    # a column of the table at a time: the running minimum stands for insertions
+    "token_levenshtein": f"""
+        WITH RECURSIVE {TURN_PAIRS.strip()}, p AS (SELECT conv_id, turn, reference AS a, prediction AS b FROM pairs),
+        t AS (
+            SELECT conv_id, turn, 0 AS i, j, j AS d FROM (SELECT conv_id, turn, unnest(range(len(a) + 1)) AS j FROM p)
+            UNION ALL
+            SELECT conv_id, turn, i + 1, j, j + min(m - j) OVER (PARTITION BY conv_id, turn ORDER BY j ROWS UNBOUNDED PRECEDING)
+            FROM (SELECT t.conv_id, t.turn, i, j, least(t.d + 1, lag(t.d) OVER (PARTITION BY t.conv_id, t.turn ORDER BY j) + (a[j] <> b[i + 1])::INT) AS m FROM t JOIN p ON p.conv_id = t.conv_id AND p.turn = t.turn WHERE i < len(b))
+        )
+        SELECT p.conv_id, p.turn, d::BIGINT AS distance, round(CASE WHEN len(a) + len(b) = 0 THEN 0 ELSE d / greatest(len(a), len(b))::DOUBLE END, 6) AS normalised
+        FROM t JOIN p ON p.conv_id = t.conv_id AND p.turn = t.turn WHERE i = len(b) AND j = len(a)""",
     "line_edit_distance": f"""
         WITH l AS (SELECT conv_id, turn, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS a FROM conversations WHERE text IS NOT NULL),
         x AS (SELECT *, list_concat(['new line'], a[2:]) AS b FROM l), k AS (SELECT *, list_distinct(list_concat(a, b)) AS known FROM x)

@@ -90,9 +90,93 @@ def test_execution_answers(spark):
 
 
 def test_structured_diff():
-    assert code.structured_diff("a", "a") == [{"type": "context", "content": "a"}]
-    assert code.structured_diff("a\nb", "a\nc") == [{"type": "context", "content": "a"}, {"type": "removed", "content": "b"}, {"type": "added", "content": "c"}]
-    assert code.structured_diff("\n".join("ab" * 600), "x")[0]["type"] == "summary"
+    assert code.structured_diff("a", "a") == [{"type": "context", "content": "a"}] and code.structured_diff("", "") == []
+    assert code.structured_diff("a\nb", "a\nc") == [{"type": "context", "content": " a"}, {"type": "removed", "content": "b"}, {"type": "added", "content": "c"}]
+    assert code.structured_diff("a\n", "a") == [{"type": "removed", "content": "a"}, {"type": "added", "content": "a"}]
+    assert code.structured_diff("\n".join("ab" * 600), "x") == [{"type": "summary", "content": "Files too large for diff. Reference: 1200 lines, Prediction: 1 lines"}]
+
+
+def plain_pairs(a, b):
+    """Whether places are a common subsequence, for any list of them."""
+    return lambda found: all(a[i] == b[j] for i, j in found) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.sampled_from("abc"), max_size=40))
+def test_common_pairs_are_a_longest_common_subsequence(a, b):
+    found = code.common_pairs(a, b)
+    assert plain_pairs(a, b)(found) and len(found) == plain_common(a, b)
+
+
+def test_changed_leaf_lines():
+    base = "def f(a, b=2):\n    # note\n    x = a.b + 1\n    if x:\n        return [x, 'é']\n    return None\n"
+    assert code.changed_leaf_lines(base, base) == 0
+    assert code.changed_leaf_lines(base, base.replace("# note", "# other").replace("x = a.b + 1", "x=(a.b+1)")) == 0  # comments and layout are no leaves
+    assert code.changed_leaf_lines(base, base.replace("a.b + 1", "a.c - 1")) == 1
+    assert code.changed_leaf_lines(base, base.replace("b=2", "c=3").replace("None", "b")) == 2
+    assert code.changed_leaf_lines("x = 1\n", "x = 1\ny = (2,\n 3)\n") == 2
+    assert code.changed_leaf_lines("x = 1", "x = ") == -1 == code.changed_leaf_lines("(", "x")
+    assert code.changed_leaf_lines("", "") == 0 and code.changed_leaf_lines("", "x = 1") == 1
+    rng = random.Random(5)
+    lines = ["a = 1", "b = a", "c(a, b)", "a += 2", "pass"]
+    for _ in range(60):
+        one, two = ([rng.choice(lines) for _ in range(rng.randrange(6))] for _ in range(2))
+        found, leaves = code.changed_leaf_lines("\n".join(one), "\n".join(two)), [code.leaves("\n".join(x)) for x in (one, two)]
+        labels = [[x for x, _, _ in side] for side in leaves]
+        changed = sum(map(len, labels)) - 2 * plain_common(*labels)
+        assert (found == 0) == (changed == 0) and found <= max(len(one), len(two))
+
+
+def chunks(pairs):
+    return sum(1 for k, (i, j) in enumerate(pairs) if not k or pairs[k - 1] != (i - 1, j - 1))
+
+
+def every_alignment(ref, pred, synonyms, i=0, used=frozenset(), pairs=()):
+    """(pairs of each stage, less than none, chunks) of all alignments."""
+    if i == len(pred):
+        stages = [0, 0, 0]
+        for a, b in pairs:
+            stages[0 if pred[a] == ref[b] else 1 if code._stem(pred[a]) == code._stem(ref[b]) else 2] -= 1
+        yield (*stages, chunks(pairs))
+        return
+    yield from every_alignment(ref, pred, synonyms, i + 1, used, pairs)
+    for j, w in enumerate(ref):
+        if j not in used and (w == pred[i] or code._stem(w) == code._stem(pred[i]) or w in synonyms.get(pred[i], ())):
+            yield from every_alignment(ref, pred, synonyms, i + 1, used | {j}, (*pairs, (i, j)))
+
+
+def test_alignments_equal_exhaustive_search():
+    rng = random.Random(2)
+    words = ["run", "running", "cat", "dog", "the", "hound"]
+    synonyms = {"dog": {"hound", "cat"}, "cat": {"the"}}
+    for _ in range(250):
+        ref, pred = ([rng.choice(words) for _ in range(rng.randrange(1, 6))] for _ in range(2))
+        found = code.align(ref, pred, synonyms)
+        stages = [0, 0, 0]
+        for a, b in found:
+            stages[0 if pred[a] == ref[b] else 1 if code._stem(pred[a]) == code._stem(ref[b]) else 2] -= 1
+        assert (*stages, chunks(found)) == min(every_alignment(ref, pred, synonyms)), (ref, pred)
+    assert code.meteor_aligned("the hound sat", "the dog sat", {"dog": {"hound"}}) == pytest.approx(1 - 0.5 / 27)
+    assert code.meteor_aligned("a b a c", "a c", {}) > code.meteor("a b a c", "a c")  # one chunk where the first places make two
+
+
+def test_meteor_with_a_table_of_synonyms(spark):
+    rows = spark.createDataFrame([(1, "The hound sat", "the DOG sat"), (2, "a", None), (3, "x", "y"), (4, "", "")], "id int, a string, b string")
+    known = spark.createDataFrame([("dog", "Hound"), ("dog", "cat"), (None, "x"), ("y", None), ("dog", "Hound")], "word string, synonym string")
+    got = {r.id: r.meteor for r in similarity.meteor(rows, ["id"], "a", "b", known).collect()}
+    assert got == {1: pytest.approx(1 - 0.5 / 27), 2: None, 3: 0.0, 4: 0.0}
+
+
+def test_functions_by_name(spark):
+    from emendata.functions import registry
+
+    names = registry.register(spark)
+    assert len(names) == len(set(names)) and {"diff_rows", "pass_at_k", "changed_leaf_lines"} <= set(names)
+    rows = spark.createDataFrame([(1, "a\nb", "a\nc"), (2, "x", None), (3, "x", "x")], "id int, before string, after string")
+    got = spark.sql("SELECT id, d.* FROM {r} r, LATERAL diff_rows(r.before, r.after) d", r=rows).collect()
+    assert sorted(map(tuple, got)) == sorted((r.id, k, d["type"], d["content"]) for r in rows.collect() if r.after for k, d in enumerate(code.structured_diff(r.before, r.after)))
+    one = spark.sql("SELECT pass_at_k(10, 3, 5), pass_at_k(4, 1, 1), pass_at_k(3, 0, 5), changed_leaf_lines('x = 1', 'x = 2'), all_verified(array()), without_thought('<think>a</think> b')").first()
+    assert list(one) == [pytest.approx(0.916667, abs=1e-6), 0.25, 1.0, 1, False, " b"]
 
 
 def test_stems():

@@ -7,7 +7,7 @@ import re
 import textwrap
 import time
 
-from emendata.operators import datasets, evaluation, grading, passk, relational, runner, sandbox
+from emendata.operators import datasets, evaluation, grading, harness, passk, relational, runner, sandbox
 from emendata.sources import benchmarks, connectors, jsonl, naming, schemas
 from emendata.streaming import resume
 from pyspark.sql import functions as F
@@ -267,7 +267,7 @@ def test_evaluation(spark):
     got = {(r.pair, r.variant, r.metric): r.value for r in long.filter("task_id = 't'").collect()}
     assert len(got) == 3 * 4 * len(evaluation.METRICS)
     assert got["llm_vs_canonical", "", "levenshtein"] == 0 and got["llm_vs_corrupted", "", "levenshtein"] == 1
-    assert got["llm_vs_canonical", "", "diffsitter"] == -1
+    assert got["llm_vs_canonical", "", "diffsitter"] == 0 and got["llm_vs_corrupted", "", "diffsitter"] == 1 and got["llm_vs_corrupted", "", "normalized_diffsitter"] == 0.5
     assert long.filter("task_id = 'u'").count() == 0
     summary = {(r.pair, r.variant, r.metric): r.mean for r in evaluation.summarise(long).collect()}
     assert summary["llm_vs_corrupted", "body_", "levenshtein"] == 1
@@ -301,6 +301,25 @@ def test_stream_resumes(spark, tmp_path):
     assert sizes[3] < sizes[2]  # timers have dropped what the watermark has passed
 
 
+def test_first_passing_judges_no_more_than_it_needs(spark):
+    judged = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def verdict(v):
+        judged.add(1)
+        return v % 3 == 0
+
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("k"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("t"), F.col("id") % 50)).alias("t"), F.col("id").alias("v")).repartition(5)
+    for order, n in ((["k"], 30), (["t", "k"], 20), (["t", "k"], 0)):
+        judged.value = 0
+        got = harness.first_passing(rows, verdict("v"), order, n, splitters=256)
+        want = rows.filter("v % 3 = 0").orderBy(*order).limit(n)
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+        assert judged.value < 3000  # of 20,000
+    every = harness.first_passing(rows, F.col("v") > 19_990, ["k"], 50, splitters=16)
+    assert every.count() == 9 and harness.first_passing(rows.limit(0), F.col("v") > 0, ["k"], 5).count() == 0
+
+
 def test_schemas_parse(spark):
     from pyspark.sql.types import StructType
 
