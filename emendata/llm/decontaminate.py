@@ -1,10 +1,14 @@
-"""Benchmark decontamination by exact comparison of item-sized windows, in DataFrame functions only.
-
-1. Words are the lower-cased runs of letters and digits. A shingle that a document shares with an item proposes
-   the window that lays the item's shingle over the document's, cut to the document.
-2. Each proposed window is compared exactly with the items that proposed it: the weighted Jaccard similarity of
-   their shingles, weighted by how often each occurs. No fingerprint comes between, as any radius of one drops
-   some windows that pass.
+"""Benchmark decontamination by SimHash, multi-index Hamming blocks and an exact check, in DataFrame functions only.
+
+1. Words are the lower-cased runs of letters and digits. A shingle that a document shares with an item proposes the
+   item-sized window that lays the item's shingle over the document's, cut to the document. A window without a shared
+   shingle has similarity 0, and one in which none keeps its place is no better than one that is proposed.
+2. A window's fingerprint is the 64-bit SimHash of its shingles, weighted by how often each occurs. Items stand in an
+   index of BLOCKS blocks of their fingerprints, each with all values up to BLOCK_RADIUS bits away: two fingerprints
+   within RADIUS bits agree so far in some block, so a window that looks up its own blocks meets every such item.
+3. What the fingerprints part though a shingle is shared (a pair beyond RADIUS) goes on as well: it is a supplement, as
+   a radius that lost none would select nothing.
+4. Every pair is compared exactly: the weighted Jaccard similarity of window and item.
 """
 
 from __future__ import annotations
@@ -16,6 +20,11 @@ from .common import materialise, text_key
 
 #: An index of at most this many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Blocks of a fingerprint, bits in which one of them may differ, and the radius that this guarantees.
+BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
+RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
+#: Differences of a block within its radius: 697 of them.
+MASKS = [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= BLOCK_RADIUS]
 
 
 def _words(text: Column) -> Column:
@@ -36,6 +45,37 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _simhash(words: Column, k: int) -> Column:
+    """64 bits, each the majority of that bit in the hashes of all runs of ``k`` words; 0 where there are none."""
+    runs = F.size(words) - F.lit(k - 1)
+    hashes = F.transform(F.sequence(F.lit(0), runs - 1), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
+    counts = lambda acc, h: F.transform(acc, lambda c, bit: c + F.getbit(h, bit))
+    bits = lambda acc: F.transform(acc, lambda c, bit: F.call_function("shiftleft", F.when(c * 2 > runs, F.lit(1)).otherwise(F.lit(0)).cast("long"), bit))
+    whole = lambda acc: F.aggregate(bits(acc), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+    return F.when(runs > 0, F.aggregate(hashes, F.array_repeat(F.lit(0), 64), counts, whole)).otherwise(F.lit(0).cast("long"))
+
+
+def _block(fingerprint: Column, block: Column | int) -> Column:
+    shift = F.lit(block * BLOCK_BITS) if isinstance(block, int) else block * BLOCK_BITS
+    return F.call_function("shiftrightunsigned", fingerprint, shift).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+
+
+def _distance(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def _in_radius(windows: DataFrame, items: DataFrame, names: list[str]) -> DataFrame:
+    """(names, item_id, item, first_word, n, window) of the windows (with fp) and the items (with item_fp) of their size within RADIUS bits."""
+    blocks = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
+    own = items.select("item_id", "item", "n", "item_fp", F.explode(blocks).alias("block"))
+    index = own.select("item_id", "item", "n", "item_fp", "block", F.explode(F.lit(MASKS)).alias("mask")).withColumn("value", _block(F.col("item_fp"), F.col("block")).bitwiseXOR(F.col("mask"))).drop("mask")
+    probes = windows.select(*names, "first_word", "n", "window", "fp", F.explode(blocks).alias("block")).withColumn("value", _block(F.col("fp"), F.col("block")))
+    met = probes.join(_small(index, items.count() * BLOCKS * len(MASKS)), ["n", "block", "value"]).filter(_distance("fp", "item_fp") <= RADIUS)
+    # a pair that meets in several blocks counts in the first of them
+    agrees = [F.when(F.bit_count(_block(F.col("fp"), b).bitwiseXOR(_block(F.col("item_fp"), b))) <= BLOCK_RADIUS, F.lit(b)) for b in range(BLOCKS)]
+    return met.filter(F.col("block") == F.coalesce(*agrees)).select(*names, "item_id", "item", "first_word", "n", "window")
+
+
 def _found(texts: DataFrame, benchmark: DataFrame, names: list[str], size: int, percent: int) -> DataFrame | None:
     """(names, item_id, first_word, n_words, similarity) of every window of ``texts`` (names, words) that holds an item.
 
@@ -60,8 +100,9 @@ def _found(texts: DataFrame, benchmark: DataFrame, names: list[str], size: int,
         hits = _shingle_rows(texts, "words", k, [*names, "words"]).join(_small(lines, n_rows), "shingle")
         first = F.greatest(F.least(F.col("at") - F.col("offset"), F.size("words") - F.col("n")), F.lit(0))
         placed = hits.select(*names, "item_id", "item", first.alias("first_word"), "n", "words")
-        windows = placed.select(*key[:-1], F.slice("words", F.col("first_word") + 1, F.col("n")).alias("window")).distinct()
-        of_window = _shingle_rows(windows, "window", k, key).groupBy(*key, "shingle").agg(F.count(F.lit(1)).alias("c"))
+        proposed = placed.select(*key[:-1], F.slice("words", F.col("first_word") + 1, F.col("n")).alias("window")).distinct()
+        candidates = _candidates(materialise(proposed), items.filter(F.least("n", F.lit(size)) == k), names, k)
+        of_window = _shingle_rows(candidates, "window", k, key).groupBy(*key, "shingle").agg(F.count(F.lit(1)).alias("c"))
         found = of_window if found is None else found.union(of_window)
     # exact weighted similarity
     of_item = item_rows.groupBy("item_id", "item", "shingle").agg(F.count(F.lit(1)).alias("d"))
@@ -73,6 +114,16 @@ def _found(texts: DataFrame, benchmark: DataFrame, names: list[str], size: int,
     return common.select(*names, "item_id", "first_word", have.alias("n_words"), similarity.alias("similarity")).filter(F.col("similarity") * 100 >= percent)
 
 
+def _candidates(proposed: DataFrame, items: DataFrame, names: list[str], k: int) -> DataFrame:
+    """Pairs within RADIUS by way of the blocks, then the proposed ones beyond it."""
+    of_items = materialise(items.select("item_id", "item", "n", _simhash(F.col("words"), k).alias("item_fp")))
+    printed = proposed.select("*", _simhash(F.col("window"), k).alias("fp"))
+    windows = printed.select(*names, "first_word", "n", "window", "fp").distinct()
+    near = _in_radius(windows, of_items, names)
+    beyond = printed.join(of_items.drop("n"), ["item_id", "item"]).filter(_distance("fp", "item_fp") > RADIUS)
+    return near.unionByName(beyond.select(*near.columns))
+
+
 def find_leaks(documents: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity): each item found in each document, at its best window.
 

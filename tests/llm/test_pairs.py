@@ -264,3 +264,36 @@ def test_first_level_leaves_no_shuffle_files(spark, documents):
         time.sleep(0.2)
     assert not files() - before
     assert cleaned.count() == documents.count()
+
+
+def test_blocks_meet_every_fingerprint_within_their_radius(spark):
+    rng = random.Random(12)
+    items, windows = [], []
+    for k in range(40):
+        print_ = rng.getrandbits(64)
+        items.append((k, "x", 20, print_ - (1 << 64) if print_ >> 63 else print_))
+        for far in (0, 7, decontaminate.RADIUS, decontaminate.RADIUS + 1, 25):
+            other = print_
+            for bit in rng.sample(range(64), far):
+                other ^= 1 << bit
+            windows.append((len(windows), 0, 20, [str(k)], other - (1 << 64) if other >> 63 else other))
+    item_rows = spark.createDataFrame(items, "item_id long, item string, n int, item_fp long")
+    window_rows = spark.createDataFrame(windows, "doc_id long, first_word int, n int, window array<string>, fp long")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate._in_radius(window_rows, item_rows, ["doc_id"]).collect())
+    want = sorted((d, i) for d, _, _, _, a in windows for i, _, _, b in items if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= decontaminate.RADIUS)
+    assert got == want and len(got) >= 120
+    assert decontaminate._in_radius(window_rows.withColumn("n", F.lit(21)), item_rows, ["doc_id"]).count() == 0
+
+
+def test_recall_of_the_blocks_alone(spark):
+    """Windows at a similarity of 0.8 or little more: words replaced at one end, so that each costs one shingle."""
+    rng = random.Random(13)
+    rows = []
+    for k in range(600):
+        n = rng.randrange(14, 50)
+        item = [f"a{rng.randrange(5000)}" for _ in range(n)]
+        gone = (n - 4) // 9  # the most that leave (n - 4 - gone) / (n - 4 + gone) at 0.8
+        rows.append((k, item, item[:-gone] + [f"b{rng.randrange(5000)}" for _ in range(gone)]))
+    prints = spark.createDataFrame(rows, "k int, item array<string>, window array<string>").select(decontaminate._simhash(F.col("item"), 5).alias("a"), decontaminate._simhash(F.col("window"), 5).alias("b"))
+    found = prints.filter(decontaminate._distance("a", "b") <= decontaminate.RADIUS).count()
+    assert found >= 0.97 * len(rows)
