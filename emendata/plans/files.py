@@ -15,12 +15,12 @@ from ..sources import batch_jobs, benchmarks, cache, connectors, jsonl, naming,
 from .tables import table
 
 
-def _folder(spark: SparkSession) -> str:
+def folder_of(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     return f"{shared}/files-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="files-")
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records: task_id, and two columns of text that are never null."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.col("doc_id").cast("string").alias("task_id"), F.coalesce("lang", F.lit("none")).alias("solution"), F.coalesce("source", F.lit("none")).alias("corrupted_solution"))
@@ -41,16 +41,16 @@ def _place(step: int) -> Column:
 
 def solution_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with their line numbers; blank lines are skipped, but counted."""
-    path = _folder(spark) + "/samples"
-    _lines(_records(spark, sf_dir), path, blank=True)
+    path = folder_of(spark) + "/samples"
+    _lines(records_of(spark, sf_dir), path, blank=True)
     rows = jsonl.read_solutions(spark, path)
     return rows.select("task_id", "solution", _place(2), (F.col("_identifier") == F.concat_ws("_", "task_id", F.col("_line").cast("string"))).alias("identified"))
 
 
 def question_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions, which may have no blank line, and worked examples, which may."""
-    folder = _folder(spark)
-    rows = _records(spark, sf_dir).drop("solution").withColumn("mutation_types", F.array(F.lit("a"), "corrupted_solution"))
+    folder = folder_of(spark)
+    rows = records_of(spark, sf_dir).drop("solution").withColumn("mutation_types", F.array(F.lit("a"), "corrupted_solution"))
     for name, blank in (("questions", False), ("shots", True)):
         _lines(rows, f"{folder}/{name}", blank)
     read = [(jsonl.read_questions(spark, f"{folder}/questions"), "questions", 1), (jsonl.read_shots(spark, f"{folder}/shots"), "shots", 2)]
@@ -60,8 +60,8 @@ def question_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resumed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run has left after two batches were appended, one of them twice; and after a line of the output was broken."""
-    folder = _folder(spark)
-    rows = _records(spark, sf_dir)
+    folder = folder_of(spark)
+    rows = records_of(spark, sf_dir)
     for part in (0, 1, 1):
         jsonl.append(rows.filter(F.col("doc_id") % 3 == part), f"{folder}/out")
     done = jsonl.processed_ids(spark, f"{folder}/out")
@@ -75,8 +75,8 @@ def resumed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def failed_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list that is appended to twice, read as a set."""
-    path = _folder(spark) + "/failed"
-    rows = _records(spark, sf_dir).select("doc_id", F.concat("task_id", F.lit(" "), "solution").alias("value"))
+    path = folder_of(spark) + "/failed"
+    rows = records_of(spark, sf_dir).select("doc_id", F.concat("task_id", F.lit(" "), "solution").alias("value"))
     for part in ("doc_id % 3 = 0", "doc_id % 2 = 0"):
         jsonl.append_list(rows.filter(part), path)
     return jsonl.read_list(spark, path)
@@ -84,11 +84,11 @@ def failed_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rewritten_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that replaces itself, twice, beside one whose second writer stops before it publishes."""
-    folder, ddl = _folder(spark), "task_id string, solution string"
+    folder, ddl = folder_of(spark), "task_id string, solution string"
     shown = []
     for name, stops in (("whole", None), ("stopped", "publish")):
         path = f"{folder}/{name}"
-        jsonl.append(_records(spark, sf_dir).select("task_id", "solution"), path)
+        jsonl.append(records_of(spark, sf_dir).select("task_id", "solution"), path)
         for mark in ("a", "b"):
             rows = versions.read(spark, path, ddl).filter("solution != 'none'").withColumn("solution", F.concat("solution", F.lit(mark)))
 
@@ -105,7 +105,7 @@ def rewritten_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache over three runs: the first asks some prompts, the second what the cache has not, and the third finds all."""
     turns = table(spark, sf_dir, "conversations").filter(F.col("text").isNotNull()).select("conv_id", "turn", F.col("text").alias("prompt"), F.concat(F.col("conv_id"), F.lit(":"), F.col("turn")).alias("name"), (F.col("conv_id") * 1000 + F.col("turn")).alias("place"))
-    store = cache.PromptCache(spark, _folder(spark) + "/cache", buckets=16)
+    store = cache.PromptCache(spark, folder_of(spark) + "/cache", buckets=16)
     store.upsert(turns.filter("conv_id % 2 = 0").withColumn("outputs", F.array(F.concat(F.lit("first "), "name"))))
     hits, misses = store.lookup(turns, 1)
     outcome = hits.select("conv_id", "turn", F.lit("hit").alias("outcome")).union(misses.select("conv_id", "turn", F.lit("miss").alias("outcome")))
@@ -117,8 +117,8 @@ def cache_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of two runs, found by their names among other files."""
-    folder = _folder(spark)
-    rows = _records(spark, sf_dir).select("task_id", "solution")
+    folder = folder_of(spark)
+    rows = records_of(spark, sf_dir).select("task_id", "solution")
     for stem in ("one", "two"):
         rows.withColumn("run", F.lit(stem)).write.json(naming.results_path(f"{folder}/{stem}/{stem}.jsonl"))
         jsonl.append(rows.limit(0), f"{folder}/{stem}/{stem}.jsonl")
@@ -128,8 +128,8 @@ def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scenario_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three outputs of a run, in the order of question_id, read by their names."""
-    folder = _folder(spark)
-    rows = _records(spark, sf_dir).select(F.col("task_id").alias("question_id"), F.array("solution").alias("code_list"))
+    folder = folder_of(spark)
+    rows = records_of(spark, sf_dir).select(F.col("task_id").alias("question_id"), F.array("solution").alias("code_list"))
     graded = harness.with_scores(rows.withColumn("graded_list", F.array(F.col("code_list")[0] == "en", F.lit(True))))
     jsonl.write_results({"": rows, "_eval": graded.select("question_id", "pass_at_1"), "_eval_all": graded}, folder, "codegeneration_10_0.2")
     out = None
@@ -143,8 +143,8 @@ def scenario_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def partitioned_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of several models, modes and numbers of examples in one table, of which one is read by its partition."""
-    path = _folder(spark) + "/runs"
-    rows = _records(spark, sf_dir).select("task_id")
+    path = folder_of(spark) + "/runs"
+    rows = records_of(spark, sf_dir).select("task_id")
     for model, mode, shots in (("m", "reasoning", 0), ("m", "plain", 2), ("n", "plain", 2)):
         naming.write_partitioned(rows.filter(F.col("task_id") % 2 == shots % 2), path, model, mode, shots)
     return spark.read.parquet(path).filter("mode = 'plain'").select("task_id", "model", "mode", "num_shots")
@@ -152,8 +152,8 @@ def partitioned_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dataset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A data set is published in two splits, and its registry names the files."""
-    folder = _folder(spark)
-    rows = _records(spark, sf_dir)
+    folder = folder_of(spark)
+    rows = records_of(spark, sf_dir)
     for split, part in (("train", "doc_id % 10 > 0"), ("test", "doc_id % 10 = 0")):
         benchmarks.write_dataset(rows.filter(part).select("task_id"), folder, split)
     naming.register_dataset(spark, {s: {"file_name": f"{s}.parquet", "formatting": "sharegpt", "columns": {"messages": "conversations"}, "ranking": s == "test"} for s in ("train", "test")}, f"{folder}/registry")
@@ -164,7 +164,7 @@ def dataset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def custom_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON lists of records with code_list or pred_list, each a file of two thousand items."""
-    path = _folder(spark) + "/custom"
+    path = folder_of(spark) + "/custom"
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("item_id").cast("string").alias("question_id"), F.lit("0").alias("test_id"), F.array(F.coalesce("text", F.lit("")), F.lit('"}],\\{["')).alias("texts"))
     odd = F.col("item_id") % 2 == 1
     record = F.to_json(F.struct("question_id", "test_id", F.when(odd, F.col("texts")).alias("code_list"), F.when(~odd, F.col("texts")).alias("pred_list")))
@@ -189,7 +189,7 @@ def _problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def generation_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems of a range of dates, their tests as one JSON of parallel lists, and the row that a run writes of each."""
-    path = _folder(spark) + "/problems"
+    path = folder_of(spark) + "/problems"
     benchmarks.write_dataset(_problems(spark, sf_dir), path, "test")
     problems = benchmarks.generation_problems(spark, f"{path}/test", start="2024-02-01", end="2024-09-01")
     outputs = problems.select("question_id", F.array(F.lit("a"), F.lit("b")).alias("output_list"), F.array(F.lit("a"), F.lit("b")).alias("code_list"), F.array(F.lit(True), F.lit(False)).alias("graded_list"))
@@ -200,7 +200,7 @@ def generation_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def execution_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems by the number in their id, and what is compared of each; with the row that a run writes."""
-    path = _folder(spark) + "/problems"
+    path = folder_of(spark) + "/problems"
     items = _problems(spark, sf_dir).select("question_id", "contest_id", "contest_date", "difficulty", F.lit("f").alias("function_name"), F.lit("def f(): pass").alias("code"), F.concat(F.lit("f("), "question_id", F.lit(")")).alias("input"), F.lit("None").alias("output"), F.concat(F.lit("sample_"), "question_id").alias("id"), F.lit("p").alias("problem_id"), F.lit(3).alias("numsteps"))
     benchmarks.write_dataset(items.withColumn("contest_date", F.to_timestamp("contest_date")), path, "test")
     problems = benchmarks.execution_problems(spark, f"{path}/test")
@@ -211,7 +211,7 @@ def execution_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def test_output_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems with the first test's output as what is expected, and the row that a run writes."""
-    path = _folder(spark) + "/problems"
+    path = folder_of(spark) + "/problems"
     items = _problems(spark, sf_dir).select("question_title", "question_content", "question_id", "contest_id", F.to_timestamp("contest_date").alias("contest_date"), "difficulty", F.col("private_test_cases").alias("test"), "starter_code", F.lit("f").alias("function_name"), F.lit(0).alias("test_id"))
     benchmarks.write_dataset(items, path, "test")
     problems = benchmarks.test_output_problems(spark, f"{path}/test")
@@ -229,7 +229,7 @@ def ordered_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def connector_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that a run writes from its connector's answers; empty prompts have no usable one."""
-    asked = _records(spark, sf_dir).select("task_id", F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("x = "), "task_id")).otherwise(F.lit("")).alias("prompt"))
+    asked = records_of(spark, sf_dir).select("task_id", F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("x = "), "task_id")).otherwise(F.lit("")).alias("prompt"))
     answered = connectors.generate(asked, connectors.EchoConnector())
     empty = answered.withColumn("final_answer", F.when(F.col("prompt") != "", F.col("final_answer")).otherwise(F.lit("")))
     rows = connectors.result_rows(empty, ["task_id"])
@@ -238,8 +238,8 @@ def connector_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch job's request lines, and its output and error lines joined back: some answered, some failed, some missing."""
-    asked = _records(spark, sf_dir).select(F.concat(F.lit("task-"), "task_id").alias("custom_id"), F.lit("be kind").alias("system"), F.col("solution").alias("prompt"), "doc_id")
-    path = _folder(spark) + "/requests"
+    asked = records_of(spark, sf_dir).select(F.concat(F.lit("task-"), "task_id").alias("custom_id"), F.lit("be kind").alias("system"), F.col("solution").alias("prompt"), "doc_id")
+    path = folder_of(spark) + "/requests"
     connectors.batch_requests(asked, "m-1_minimal").write.text(path)
     sent = spark.read.text(path)
     get = lambda p: F.get_json_object("value", f"$.{p}")
@@ -254,8 +254,8 @@ def batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_polling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch job whose answers and errors come in parts, in no order, between polls; some requests are never answered."""
-    folder = _folder(spark)
-    asked = _records(spark, sf_dir).select(F.concat(F.lit("task-"), "task_id").alias("custom_id"), F.lit("be kind").alias("system"), F.col("solution").alias("prompt"))
+    folder = folder_of(spark)
+    asked = records_of(spark, sf_dir).select(F.concat(F.lit("task-"), "task_id").alias("custom_id"), F.lit("be kind").alias("system"), F.col("solution").alias("prompt"))
     connectors.batch_requests(asked, "m-1").write.text(f"{folder}/requests")
     sent, get = spark.read.text(f"{folder}/requests"), lambda p: F.get_json_object("value", f"$.{p}")
     number, spread = F.regexp_extract(get("custom_id"), r"(\d+)$", 1).cast("long"), F.pmod(F.xxhash64(get("custom_id")), F.lit(3))
