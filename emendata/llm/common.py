@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one where that is unset and all tasks run in this process."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
 def materialise(df: DataFrame, drop_shuffles: bool = False) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the cluster's shared folder.
 
@@ -29,7 +38,7 @@ def materialise(df: DataFrame, drop_shuffles: bool = False) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
     if not drop_shuffles:
         return df.checkpoint(eager=True)
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -90,24 +99,28 @@ def join_back(rows: DataFrame, grouped: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(named.hint("merge"), condition).drop(*theirs.values())
 
 
+#: Files whose first places are broadcast; more are joined by a shuffle.
+MOST_FILES = 1_000_000
+
+
 def file_order(df: DataFrame, name: str) -> DataFrame | None:
     """``df`` with column ``name``: the place of each row in the Parquet files that ``df`` reads; None without any.
 
     Files follow one another by the number that Spark writes into their names, then by path; places grow within
     a file. They are gapless from 0 unless ``df`` leaves rows out. A column of that name is replaced. One row for
-    each file is broadcast; the driver lists the files anyway.
+    each file is broadcast, up to MOST_FILES of them.
     """
     try:
         of = df.metadataColumn("_metadata")
         path, row = of.getField("file_path"), of.getField("row_index")
-        files = df.groupBy(path.alias("path")).agg((F.max(row) + 1).alias("n"))
+        files = materialise(df.groupBy(path.alias("path")).agg((F.max(row) + 1).alias("n")))
     except AnalysisException:
         return None
     number = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^part-(\d+)", 1).try_cast("long")
     before = Window.orderBy(number, "path").rowsBetween(Window.unboundedPreceding, -1)
     first = files.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     placed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != name]).alias("row"), path.alias("path"), row.alias("at"))
-    return placed.join(F.broadcast(first), "path").select("row.*", (F.col("first") + F.col("at")).alias(name))
+    return placed.join(F.broadcast(first) if files.count() <= MOST_FILES else first, "path").select("row.*", (F.col("first") + F.col("at")).alias(name))
 
 
 def crc32_sql(value: str) -> str:

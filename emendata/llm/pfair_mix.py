@@ -6,14 +6,14 @@ weights sum to one, no deadline is missed, and at every slot each source has had
 slots to within one block. When a source is used up, the others share its weight and start anew.
 
 The schedule is made on the driver from the number of blocks of each source; blocks grow with the corpus so
-that there are at most MOST_BLOCKS and one for each source. All rows are placed; none is dropped or repeated.
+that there are at most MOST_BLOCKS and one for each source; up to twice MOST_BLOCKS are broadcast. All rows are placed; none is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
-from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,48 +22,82 @@ from .common import bucketed_rank, materialise, text_key
 
 MOST_BLOCKS = 1 << 18
 LEAST_BLOCK_ROWS = 16
+#: The heaviest source's weight as a whole number.
+UNIT = 1 << 30
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple[str, int]]:
-    """(source, block) for each slot. Sources without a positive weight follow when the others are used up."""
-    left, done, out = dict(blocks), dict.fromkeys(blocks, 0), []
-    while any(left.values()):
-        active = sorted(s for s, n in left.items() if n and weights.get(s, 0) > 0) or sorted(s for s, n in left.items() if n)
-        raw = {s: Fraction(weights.get(s, 0)).limit_denominator(1 << 20) for s in active}
-        if not sum(raw.values()):
-            raw = dict.fromkeys(active, Fraction(1))
-        total = sum(raw.values())
-        share = {s: v / total if v else Fraction(1, 1 << 21) for s, v in raw.items()}
-        out_of = _phase(active, share, left, done, out)
-        if out_of is None:
-            break
+def schedule(blocks: dict[str, int], weights: dict[str, float], fan: int = 1024) -> list[tuple[str, int]]:
+    """(source, block) for each slot. Sources without a positive weight follow when the others are used up.
+
+    More than ``fan`` sources are dealt to groups of so many, heaviest first, each with the weights of its members:
+    the slots are dealt to groups, and a group's slots to its members, within one block at either step.
+    """
+    if len(blocks) <= fan:
+        return _flat(blocks, weights)
+    ordered = sorted((s for s, n in blocks.items() if n), key=lambda s: (-max(weights.get(s, 0), 0), s))
+    n_groups = -(-len(ordered) // fan)
+    members = [ordered[g::n_groups] for g in range(n_groups)]
+    inner = [iter(_flat({s: blocks[s] for s in m}, weights)) for m in members]
+    names = {f"{g:012d}": g for g in range(len(members))}
+    outer = schedule({name: sum(blocks[s] for s in members[g]) for name, g in names.items()}, {name: sum(max(weights.get(s, 0), 0) for s in members[g]) for name, g in names.items()}, fan)
+    return [next(inner[names[name]]) for name, _ in outer]
+
+
+def _flat(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple[str, int]]:
+    """The schedule of a few sources; whenever one is used up, a phase with the others begins."""
+    names = sorted(s for s, n in blocks.items() if n)
+    # weights as whole numbers, so that releases and deadlines are exact
+    heaviest = max((weights.get(s, 0) for s in names), default=0)
+    whole = np.array([max(1, round(weights.get(s, 0) / heaviest * UNIT)) if weights.get(s, 0) > 0 else 0 for s in names], np.int64)
+    left, done, out = np.array([blocks[s] for s in names], np.int64), [0] * len(names), []
+    while left.any():
+        active = np.flatnonzero((left > 0) & (whole > 0))
+        share = whole[active]
+        if not len(active):
+            active = np.flatnonzero(left > 0)
+            share = np.ones(len(active), np.int64)
+        taken = _phase(share, left[active], out_of := [])
+        for k in out_of:
+            source = active[k]
+            out.append((names[source], done[source]))
+            done[source] += 1
+        left[active] -= taken
     return out
 
 
-def _phase(active: list[str], share: dict[str, Fraction], left: dict[str, int], done: dict[str, int], out: list) -> str | None:
-    """Slots until a source is used up: earliest deadline first among what is released, ties by source name."""
-    waiting, ready, turn = [], [], dict.fromkeys(active, 0)
-    for s in active:
-        heapq.heappush(waiting, (0, s))
-    slot = 0
+def _phase(share: np.ndarray, left: np.ndarray, slots: list[int]) -> np.ndarray:
+    """Appends the source of each slot until one is used up: earliest deadline first among what is released, ties in order.
+
+    All first blocks are released at once, so they are sorted by their deadlines, and only later blocks go through heaps.
+    """
+    total = int(share.sum())
+    first = -(-total // share)
+    order = np.lexsort((np.arange(len(share)), first))
+    weight, fresh, at = share.tolist(), order.tolist(), 0
+    due = first.tolist()
+    waiting: list[tuple[int, int]] = []
+    ready: list[tuple[int, int]] = []
+    turn: dict[int, int] = {}
+    slot, taken = 0, np.zeros(len(share), np.int64)
     while True:
         while waiting and waiting[0][0] <= slot:
-            _, s = heapq.heappop(waiting)
-            w, j = share[s], turn[s]
-            due = -((-(j + 1) * w.denominator) // w.numerator)
-            heapq.heappush(ready, (due, s))
-        if not ready:
+            _, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(turn[k] + 1) * total // weight[k]), k))
+        new = (due[fresh[at]], fresh[at]) if at < len(fresh) else None
+        if ready and (new is None or ready[0] < new):
+            _, k = heapq.heappop(ready)
+        elif new is not None:
+            k, at = new[1], at + 1
+        else:
             slot = waiting[0][0]
             continue
-        _, s = heapq.heappop(ready)
-        out.append((s, done[s]))
-        done[s] += 1
-        left[s] -= 1
-        if not left[s]:
-            return s
-        turn[s] += 1
+        slots.append(k)
+        taken[k] += 1
+        if taken[k] == left[k]:
+            return taken
+        turn[k] = turn.get(k, 0) + 1
         slot += 1
-        heapq.heappush(waiting, (turn[s] * share[s].denominator // share[s].numerator, s))
+        heapq.heappush(waiting, (turn[k] * total // weight[k], k))
 
 
 def tempered_weights(rows: dict[str, int], power: float = 0.5) -> dict[str, float]:
@@ -95,7 +129,7 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, block_rows: int
     placed = df.sparkSession.createDataFrame(plan)
     ranked = bucketed_rank(base, F.col("source"), [F.col(f"k{i}") for i in range(len(keys) + len(ties))], "rank")
     with_block = ranked.withColumn("mix_block", F.expr(f"rank div {size}"))
-    joined = with_block.join(F.broadcast(placed), (F.col("source") == F.col("_s")) & (F.col("mix_block") == F.col("_j")))
+    joined = with_block.join(F.broadcast(placed) if len(order) <= 2 * MOST_BLOCKS else placed, (F.col("source") == F.col("_s")) & (F.col("mix_block") == F.col("_j")))
     position = F.col("start") + F.col("rank") - F.col("mix_block") * size
     kept = [F.col(f"row.`{c}`") for c in df.columns if c not in ("mix_block", "mix_slot", "mix_position")]
     return joined.select(*kept, "mix_block", "mix_slot", position.alias("mix_position"))

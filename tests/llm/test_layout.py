@@ -1,6 +1,7 @@
 """Shards, mixing, chat views, revisits and the pipeline."""
 
 import random
+import time
 from collections import Counter
 
 import corpus_pipeline
@@ -56,6 +57,24 @@ def test_every_prefix_is_within_one_block(weights, blocks):
             took, slot = Counter(), 0
 
 
+def test_thousands_of_sources(spark):
+    """Groups keep every source within two blocks of its share until a source of its group is used up."""
+    rng = random.Random(4)
+    blocks = {f"s{k}": rng.choice([1, 1, 2, 5]) for k in range(5000)} | {"big": 20_000, "large": 10_000}
+    weights = pfair_mix.tempered_weights(blocks)
+    begin = time.monotonic()
+    order = pfair_mix.schedule(blocks, weights)
+    assert time.monotonic() - begin < 40
+    assert len(order) == sum(blocks.values()) == len(set(order))
+    took = Counter()
+    for slot, (source, block) in enumerate(order[:300], 1):
+        assert block == took[source]
+        took[source] += 1
+        assert abs(took["big"] - slot * weights["big"]) < 2.1 and abs(took["large"] - slot * weights["large"]) < 2.1
+    few = {k: blocks[k] for k in list(blocks)[:40]}
+    assert sorted(pfair_mix.schedule(few, weights, fan=7)) == sorted((s, j) for s, n in few.items() for j in range(n))
+
+
 def test_zero_weights_come_last():
     order = [s for s, _ in pfair_mix.schedule({"a": 3, "b": 2}, {"a": 1.0})]
     assert order == ["a", "a", "a", "b", "b"]
@@ -100,12 +119,26 @@ def test_slots_keep_any_columns(spark):
         assert sorted(r.slot for r in got.collect() if r.shard == shard) == list(range(17 if shard < 2 else 16))
 
 
-def test_tree_splits_at_weighted_medians_along_the_widest_dimension(spark):
+def test_thousands_of_leaves(spark):
+    rng = random.Random(7)
+    points = [(rng.randrange(8, 400), *[rng.randrange(1 << 63) for _ in range(4)]) for _ in range(20_000)]
+    rows = spark.createDataFrame(points, "size long, x0 long, x1 long, x2 long, x3 long").repartition(4).cache()
+    begin = time.monotonic()
+    nodes, depth = kd_shards.build_tree(rows, 5000, local_rows=4000)
+    assert time.monotonic() - begin < 120 and depth >= 13
+    leaf = F.get(kd_shards._literal([n.first for n in nodes]), kd_shards._leaf(nodes, depth))
+    got = rows.groupBy(leaf.alias("shard")).agg(F.sum("size").alias("w")).collect()
+    assert {n.first for n in nodes if n.axis < 0} == set(range(5000)) and len(got) > 4900
+    assert max(r.w for r in got) <= sum(p[0] for p in points) / 5000 + 2 * 400
+
+
+@pytest.mark.parametrize("local_rows", [None, 60])
+def test_tree_splits_at_weighted_medians_along_the_widest_dimension(spark, local_rows):
     """The tree of brute force: each node is cut where its weight parts, on the dimension that is widest in it."""
     rng = random.Random(6)
     points = [(rng.randrange(8, 400), *[rng.randrange(1 << 31) * (1 << 32) // w + rng.randrange(1 << 32) for w in (1, 4, 2, 3)]) for _ in range(700)]
     rows = spark.createDataFrame(points, "size long, x0 long, x1 long, x2 long, x3 long")
-    nodes, depth = kd_shards.build_tree(rows, 11)
+    nodes, depth = kd_shards.build_tree(rows, 11, local_rows)
     total = sum(p[0] for p in points)
     spread = [(max(p[1 + k] for p in points) >> 32) - (min(p[1 + k] for p in points) >> 32) for k in range(4)]
 
