@@ -7,14 +7,13 @@ in the cluster's shared folder and reads them again.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emendata.llm import decontaminate, kd_shards, minhash, pfair_mix, zstd_toxicity
-from emendata.llm.common import file_order, table, text_key
+from emendata.llm.common import file_order, shared_folder, table, text_key
 
 SHARDS = 24
 #: SQL can express neither compression lengths nor MinHash; tests hold each stage against brute force.
@@ -64,7 +63,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written and read again."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='pipeline-')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")

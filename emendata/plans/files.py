@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,12 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import extract
 from ..operators import harness, relational
 from ..sources import batch_jobs, benchmarks, cache, connectors, jsonl, naming, versions
-from .tables import table
+from .tables import table, work_folder
 
 
 def folder_of(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/files-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="files-")
+    return work_folder(spark, "files")
 
 
 def records_of(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,6 @@ What the SQL expects of each program is worked out by hand from the rules.
 from __future__ import annotations
 
 import datetime
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +15,7 @@ from ..operators import evaluation
 from ..streaming import resume
 from . import texts
 from .mutations import values
-from .tables import PASS_AT_K, TURN_PAIRS, rounded, table, turn_pairs
+from .tables import PASS_AT_K, TURN_PAIRS, rounded, table, turn_pairs, work_folder
 
 SOLUTIONS = "canonical_solution string, corrupted_solution string, solution string"
 #: (canonical, corrupted, answer); NAME stands for v and three digits.
@@ -146,11 +144,6 @@ def meteor_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 BATCHES, DAYS, HORIZON = 4, 8, 7
 
 
-def _stream_folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="stream-")
-
-
 def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the batch in which they arrive: that of their days, the next for some of its last hours, the last for a few of the first days."""
     events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("task_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
@@ -163,7 +156,7 @@ def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streaming_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs over files that keep arriving: the first event of each user and horizon, with late, lost and repeated ones."""
-    arrivals, folder = _arrivals(spark, sf_dir), _stream_folder(spark)
+    arrivals, folder = _arrivals(spark, sf_dir), work_folder(spark, "stream")
     ddl = "task_id string, event_id long, ts timestamp"
     for batch in range(BATCHES):
         part = arrivals.filter(F.col("arrives") == batch).drop("arrives")
@@ -175,7 +168,7 @@ def streaming_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each type and hour, in the windows that the watermark has closed when the stream ends."""
-    folder = _stream_folder(spark)
+    folder = work_folder(spark, "stream")
     table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts")).write.json(f"{folder}/in")
     stream = resume.counts_by_window(resume.new_records(spark, f"{folder}/in", "event_type string, ts timestamp"), "ts", "event_type")
     resume.append_batches(stream, f"{folder}/out", f"{folder}/state").awaitTermination()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one of ``spark.checkpoint.dir``; a temporary one where that is unset and all tasks run in this process."""
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return f"{shared}/{name}-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if not master.startswith("local[") and master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix=f"{name}-")
+
+
 def rounded(column: Column, digits: int = 6) -> Column:
     return F.round(column.cast("double"), digits)
 
