@@ -20,6 +20,8 @@ from .common import materialise, text_key
 
 #: An index of at most this many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: The same for the index of fingerprints, which has thousands of rows for an item and meets few windows.
+BROADCAST_VALUES = 100_000
 #: Blocks of a fingerprint, bits in which one of them may differ, and the radius that this guarantees.
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
@@ -41,8 +43,8 @@ def _shingle_rows(df: DataFrame, words: str, size: int, keep: list[str]) -> Data
     return rows.select(*keep, "at", F.xxhash64(*[f"w{k}" for k in range(size)]).alias("shingle"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if rows <= most else df
 
 
 def _simhash(words: Column, k: int) -> Column:
@@ -70,7 +72,7 @@ def _in_radius(windows: DataFrame, items: DataFrame, names: list[str]) -> DataFr
     own = items.select("item_id", "item", "n", "item_fp", F.explode(blocks).alias("block"))
     index = own.select("item_id", "item", "n", "item_fp", "block", F.explode(F.lit(MASKS)).alias("mask")).withColumn("value", _block(F.col("item_fp"), F.col("block")).bitwiseXOR(F.col("mask"))).drop("mask")
     probes = windows.select(*names, "first_word", "n", "window", "fp", F.explode(blocks).alias("block")).withColumn("value", _block(F.col("fp"), F.col("block")))
-    met = probes.join(_small(index, items.count() * BLOCKS * len(MASKS)), ["n", "block", "value"]).filter(_distance("fp", "item_fp") <= RADIUS)
+    met = probes.join(_small(index, items.count() * BLOCKS * len(MASKS), BROADCAST_VALUES), ["n", "block", "value"]).filter(_distance("fp", "item_fp") <= RADIUS)
     # a pair that meets in several blocks counts in the first of them
     agrees = [F.when(F.bit_count(_block(F.col("fp"), b).bitwiseXOR(_block(F.col("item_fp"), b))) <= BLOCK_RADIUS, F.lit(b)) for b in range(BLOCKS)]
     return met.filter(F.col("block") == F.coalesce(*agrees)).select(*names, "item_id", "item", "first_word", "n", "window")
