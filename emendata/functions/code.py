@@ -87,6 +87,7 @@ def function_name(code: str) -> str | None:
     return names[0] if len(names) == 1 else None
 
 
+# What opens a function, and a block of documentation.
 _DEF_LINE = re.compile(r"def\s+[^:]+:\s*\n")
 _DOC_BLOCK = re.compile(r"^\s*(\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')\s*\n")
 

@@ -7,6 +7,8 @@ system message get all of it in one string.
 
 from __future__ import annotations
 
+import json
+import pkgutil
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -53,147 +55,9 @@ LLAMA_END = "<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n"
 LLAMA_DATES = "Cutting Knowledge Date: December 2023\nToday Date: 26 Jul 2024\n\n"
 QWEN_DEFAULT = "You are a helpful assistant."
 # The worked examples for models without chat, for problems with starter code and without.
-FUNCTION_QUESTION = (
-    "You are given a 0-indexed array of positive integers nums. Find the number of triplets (i, j, k) that meet the following conditions:\n"
-    "\n"
-    "0 <= i < j < k < nums.length\n"
-    "nums[i], nums[j], and nums[k] are pairwise distinct.\n"
-    "\t\n"
-    "In other words, nums[i] != nums[j], nums[i] != nums[k], and nums[j] != nums[k].\n"
-    "\n"
-    "\n"
-    "\n"
-    "Return the number of triplets that meet the conditions.\n"
-    " \n"
-    "Example 1:\n"
-    "\n"
-    "Input: nums = [4,4,2,4,3]\n"
-    "Output: 3\n"
-    "Explanation: The following triplets meet the conditions:\n"
-    "- (0, 2, 4) because 4 != 2 != 3\n"
-    "- (1, 2, 4) because 4 != 2 != 3\n"
-    "- (2, 3, 4) because 2 != 4 != 3\n"
-    "Since there are 3 triplets, we return 3.\n"
-    "Note that (2, 0, 4) is not a valid triplet because 2 > 0.\n"
-    "\n"
-    "Example 2:\n"
-    "\n"
-    "Input: nums = [1,1,1,1,1]\n"
-    "Output: 0\n"
-    "Explanation: No triplets meet the conditions so we return 0.\n"
-    "\n"
-    " \n"
-    "Constraints:\n"
-    "\n"
-    "3 <= nums.length <= 100\n"
-    "1 <= nums[i] <= 1000\n"
-    "\n"
-)
-FUNCTION_STARTER = (
-    "class Solution:\n"
-    "    def unequalTriplets(self, nums: List[int]) -> int:\n"
-    "        "
-)
-FUNCTION_ANSWER = (
-    "class Solution:\n"
-    "    def unequalTriplets(self, a: List[int]) -> int:\n"
-    "        ans = 0\n"
-    "        n = len(a)\n"
-    "        for i in range(n):\n"
-    "            for j in range(i + 1, n):\n"
-    "                for k in range(j + 1, n):\n"
-    "                    ans += len({a[i], a[j], a[k]}) == 3\n"
-    "        return ans"
-)
-STDIN_QUESTION = (
-    "You have $n$ gifts and you want to give all of them to children. Of course, you don't want to offend anyone, so all gifts should be equal between each other. The $i$-th gift consists of $a_i$ candies and $b_i$ oranges.\n"
-    "\n"
-    "During one move, you can choose some gift $1 \\le i \\le n$ and do one of the following operations:\n"
-    "\n"
-    "  eat exactly one candy from this gift (decrease $a_i$ by one);  eat exactly one orange from this gift (decrease $b_i$ by one);  eat exactly one candy and exactly one orange from this gift (decrease both $a_i$ and $b_i$ by one). \n"
-    "\n"
-    "Of course, you can not eat a candy or orange if it's not present in the gift (so neither $a_i$ nor $b_i$ can become less than zero).\n"
-    "\n"
-    "As said above, all gifts should be equal. This means that after some sequence of moves the following two conditions should be satisfied: $a_1 = a_2 = \\dots = a_n$ and $b_1 = b_2 = \\dots = b_n$ (and $a_i$ equals $b_i$ is not necessary).\n"
-    "\n"
-    "Your task is to find the minimum number of moves required to equalize all the given gifts.\n"
-    "\n"
-    "You have to answer $t$ independent test cases.\n"
-    "\n"
-    "\n"
-    "-----Input-----\n"
-    "\n"
-    "The first line of the input contains one integer $t$ ($1 \\le t \\le 1000$) — the number of test cases. Then $t$ test cases follow.\n"
-    "\n"
-    "The first line of the test case contains one integer $n$ ($1 \\le n \\le 50$) — the number of gifts. The second line of the test case contains $n$ integers $a_1, a_2, \\dots, a_n$ ($1 \\le a_i \\le 10^9$), where $a_i$ is the number of candies in the $i$-th gift. The third line of the test case contains $n$ integers $b_1, b_2, \\dots, b_n$ ($1 \\le b_i \\le 10^9$), where $b_i$ is the number of oranges in the $i$-th gift.\n"
-    "\n"
-    "\n"
-    "-----Output-----\n"
-    "\n"
-    "For each test case, print one integer: the minimum number of moves required to equalize all the given gifts.\n"
-    "\n"
-    "\n"
-    "-----Example-----\n"
-    "Input\n"
-    "5\n"
-    "3\n"
-    "3 5 6\n"
-    "3 2 3\n"
-    "5\n"
-    "1 2 3 4 5\n"
-    "5 4 3 2 1\n"
-    "3\n"
-    "1 1 1\n"
-    "2 2 2\n"
-    "6\n"
-    "1 1000000000 1000000000 1000000000 1000000000 1000000000\n"
-    "1 1 1 1 1 1\n"
-    "3\n"
-    "10 12 8\n"
-    "7 5 4\n"
-    "\n"
-    "Output\n"
-    "6\n"
-    "16\n"
-    "0\n"
-    "4999999995\n"
-    "7\n"
-    "\n"
-    "\n"
-    "\n"
-    "-----Note-----\n"
-    "\n"
-    "In the first test case of the example, we can perform the following sequence of moves:\n"
-    "\n"
-    "  choose the first gift and eat one orange from it, so $a = [3, 5, 6]$ and $b = [2, 2, 3]$;  choose the second gift and eat one candy from it, so $a = [3, 4, 6]$ and $b = [2, 2, 3]$;  choose the second gift and eat one candy from it, so $a = [3, 3, 6]$ and $b = [2, 2, 3]$;  choose the third gift and eat one candy and one orange from it, so $a = [3, 3, 5]$ and $b = [2, 2, 2]$;  choose the third gift and eat one candy from it, so $a = [3, 3, 4]$ and $b = [2, 2, 2]$;  choose the third gift and eat one candy from it, so $a = [3, 3, 3]$ and $b = [2, 2, 2]$."
-)
-STDIN_ANSWER = (
-    "def minimum_moves(t, test_cases):\n"
-    "    for _ in range(t):\n"
-    "        n = test_cases[_][0]\n"
-    "        candies = test_cases[_][1]\n"
-    "        oranges = test_cases[_][2]\n"
-    "        min_candies = min(candies)\n"
-    "        min_oranges = min(oranges)\n"
-    "        ans = 0\n"
-    "        for i in range(n):\n"
-    "            ans += max(candies[i] - min_candies, oranges[i] - min_oranges)\n"
-    "        print(ans)\n"
-    "\n"
-    "\n"
-    "def main():\n"
-    "    t = int(input())\n"
-    "    test_cases = []\n"
-    "    for _ in range(t):\n"
-    "        n = int(input())\n"
-    "        candies = list(map(int, input().split()))\n"
-    "        oranges = list(map(int, input().split()))\n"
-    "        test_cases.append((n, candies, oranges))\n"
-    "    minimum_moves(t, test_cases)\n"
-    "\n"
-    "\n"
-    "main()\n"
-)
+_EXAMPLES = json.loads(pkgutil.get_data(__package__, "worked_examples.json"))
+FUNCTION_QUESTION, FUNCTION_STARTER, FUNCTION_ANSWER = (_EXAMPLES[f"FUNCTION_{part}"] for part in ("QUESTION", "STARTER", "ANSWER"))
+STDIN_QUESTION, STDIN_ANSWER = (_EXAMPLES[f"STDIN_{part}"] for part in ("QUESTION", "ANSWER"))
 
 
 @dataclass(frozen=True)
