@@ -139,20 +139,22 @@ def latest_before(events: DataFrame, key: str, order: list[str], full: str, part
 def resolve(records: DataFrame) -> DataFrame:
     """(record_id, url, date, outcome, response_id, headers, payload) for every revisit with status 304.
 
-    ``records`` has record_id (unique, orders equal dates), type, uri, date, status, headers and payload. Full
+    ``records`` has record_id (orders equal dates), type, uri, date, status, headers and payload. Full
     responses are those of type response and status 200. A revisit without one before it is "missing"; where
     both name an ETag, or else both a Last-Modified, these must agree ("mismatch" otherwise), and without a
     validator on either side it is "unchecked". Only resolved and unchecked rows get headers and a payload. Records
     without a URL or date are no responses; revisits without are missing. Other record types are ignored, and so
-    are other columns. A record that is there twice gives its rows once for each pair of copies.
+    are other columns. Of rows of one record_id the one of least date, then of least URL or hash of its payload, stands.
     """
     based = records.withColumn("url", canonical_url(F.col("uri")))
     full = (F.col("type") == "response") & (F.col("status") == 200)
     revisit = (F.col("type") == "revisit") & (F.col("status") == 304)
     events = based.filter(full | revisit).select("record_id", "url", "date", F.coalesce(full & F.col("url").isNotNull() & F.col("date").isNotNull(), F.lit(False)).alias("full"))
-    found = latest_before(events, "url", ["date", "record_id"], "full").filter(~F.col("full")).select("record_id", F.when(F.col("date").isNotNull() & F.col("url").isNotNull(), F.col("_found.record_id")).alias("response_id"))
-    asked = based.filter(revisit).select("record_id", "url", "date", F.col("headers").alias("new"))
-    answers = based.filter(full).select(F.col("record_id").alias("response_id"), F.col("headers").alias("old"), "payload")
+    found = latest_before(events, "url", ["date", "record_id"], "full").filter(~F.col("full")).select("record_id", F.struct("date", "url").alias("at"), F.when(F.col("date").isNotNull() & F.col("url").isNotNull(), F.col("_found.record_id")).alias("response_id"))
+    found = found.groupBy("record_id").agg(F.min_by("response_id", "at").alias("response_id"))
+    asked = based.filter(revisit).select("record_id", "url", "date", F.col("headers").alias("new")).groupBy("record_id").agg(F.min_by(F.struct("url", "date", "new"), F.struct("date", "url")).alias("r")).select("record_id", "r.*")
+    answers = based.filter(full).select(F.col("record_id").alias("response_id"), F.struct(F.col("headers").alias("old"), "payload").alias("a"), F.struct("date", F.xxhash64("payload")).alias("at"))
+    answers = answers.groupBy("response_id").agg(F.min_by("a", "at").alias("a")).select("response_id", "a.*")
     both = asked.join(found, "record_id").join(answers, "response_id", "left")
 
     def agree(name: str) -> Column:
