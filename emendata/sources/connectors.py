@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 
@@ -33,6 +34,26 @@ class EchoConnector(Connector):
         return {"final_answer": f"```python\n{prompt}\n```", "prompt_tokens": words, "completion_tokens": words, "total_tokens": 2 * words}
 
 
+class Retrying(Connector):
+    """Asks another connector again after a failure, ``tries`` times in all with ``wait`` seconds between; the last failure counts.
+
+    A failure is an exception of one of the kinds ``on``; any other ends the row at once.
+    """
+
+    def __init__(self, inner: Connector, tries: int = 3, wait: float = 5.0, on: tuple[type[Exception], ...] = (OSError, TimeoutError)):
+        self.inner, self.tries, self.wait, self.on = inner, tries, wait, on
+
+    def respond(self, prompt: str) -> dict:
+        for left in range(self.tries - 1, -1, -1):
+            try:
+                return self.inner.respond(prompt)
+            except self.on:
+                if not left:
+                    raise
+                time.sleep(self.wait)
+        raise ValueError("a connector must be asked once at least")
+
+
 def generate(df: DataFrame, connector: Connector, prompt: str = "prompt") -> DataFrame:
     """``df`` with the columns of RESPONSE. Repartition first where prompts differ much in cost."""
     names = [x.split(" ")[0] for x in RESPONSE.split(", ")]

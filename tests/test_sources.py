@@ -4,7 +4,7 @@ import json
 import random
 
 import pytest
-from emendata.sources import batch_jobs, json_array
+from emendata.sources import batch_jobs, connectors, json_array
 from emendata.sources.cache import PromptCache
 from emendata.sources.versions import Conflict, VersionedTable, read, rewrite
 from pyspark.sql import functions as F
@@ -180,3 +180,24 @@ def test_polls_read_each_part_once_and_go_on_after_a_stop(spark, tmp_path):
     assert got == {"r0": ("a", None), "r1": ("b", None), "r2": ("", "no"), "r3": ("c", None), "r4": ("", "Result missing"), "r5": ("", "later"), "r6": ("", "Result missing")}
     assert count() == 7
     assert batch_jobs.collect_job(requests, out, state, **options).count() == 7 and count() == 7
+
+
+class Flaky(connectors.Connector):
+    """Fails as often as the prompt says before it answers."""
+
+    def __init__(self):
+        self.asked = {}
+
+    def respond(self, prompt):
+        self.asked[prompt] = self.asked.get(prompt, 0) + 1
+        if prompt == "broken":
+            raise ValueError("never")
+        if self.asked[prompt] <= int(prompt):
+            raise ConnectionError(f"down {self.asked[prompt]}")
+        return {"final_answer": f"after {self.asked[prompt]}"}
+
+
+def test_failed_requests_are_asked_again(spark):
+    rows = spark.createDataFrame([("0",), ("2",), ("3",), ("broken",)], "prompt string").coalesce(1)
+    got = {r.prompt: (r.final_answer, r.error) for r in connectors.generate(rows, connectors.Retrying(Flaky(), tries=3, wait=0)).collect()}
+    assert got == {"0": ("after 1", None), "2": ("after 3", None), "3": (None, "ConnectionError: down 3"), "broken": (None, "ValueError: never")}
