@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import corrupt
+from ..functions import mutate
 from .tables import table
 
 #: (mutator, draw, body before, body after); None: the mutator does not apply. NAME stands for a name of the row.
@@ -149,15 +149,16 @@ def _over(spark: SparkSession, sf_dir: str, rows: list[tuple], ddl: str) -> Data
 def mutation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every mutator by itself."""
     rows = _over(spark, sf_dir, [(m, d, _program(b)) for m, d, b, _ in CASES], "mutator string, draw int, program string")
-    code = F.replace("program", F.lit("NAME"), F.col("own"))
-    return rows.select("doc_id", "mutator", corrupt.mutated_by(code, F.col("mutator"), F.col("draw")).alias("code"))
+    ready = rows.select("doc_id", "mutator", "draw", F.replace("program", F.lit("NAME"), F.col("own")).alias("program"))
+    return mutate.mutated_by(ready, "program", "mutator", "draw").select("doc_id", "mutator", "code")
 
 
 def _chain(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
     """Code and mutations, by name, of a family's chains."""
     rows = _over(spark, sf_dir, [(_program(before),) for f, before, _, _ in CHAINS if f == family], "program string")
-    made = corrupt.corrupt(F.replace("program", F.lit("NAME"), F.col("own")), F.col("own"), family=family)
-    return rows.select("doc_id", made.alias("m")).select("doc_id", "m.code", F.array_join(F.array_sort("m.mutations"), ",").alias("mutations"), F.col("m.error").isNotNull().alias("failed"))
+    ready = rows.select("doc_id", "own", F.replace("program", F.lit("NAME"), F.col("own")).alias("program"))
+    made = mutate.corrupt(ready, "program", "own", family=family)
+    return made.select("doc_id", "mutated.code", F.array_join(F.array_sort("mutated.mutations"), ",").alias("mutations"), F.col("mutated.error").isNotNull().alias("failed"))
 
 
 def corrupt_code(spark: SparkSession, sf_dir: str) -> DataFrame:

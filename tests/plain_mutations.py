@@ -1,4 +1,4 @@
-"""Seeded program mutation: small edits that keep a function's signature.
+"""Mutation of programs over Python's own trees, one by one: what the rules over syntax nodes are held against.
 
 A mutator names the kinds of nodes it looks at and a rule; the rule edits the first node, in walk order, that
 it applies to. Rules that draw get the row's own generator, seeded by a stable hash of its key.
@@ -7,21 +7,14 @@ it applies to. Rules that draw get the row's own generator, seeded by a stable h
 from __future__ import annotations
 
 import ast
-import copy
 import random
-import zlib
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from .code import first_function, parses
+from emendata.functions.code import first_function
 
 Rule = Callable[[ast.AST, random.Random], bool]
 BASE: dict[str, tuple[tuple, Rule]] = {}
 EXTRA: dict[str, tuple[tuple, Rule]] = {}
-MOST_BASE, MOST_EXTRA = 2, 10
 #: Fixed swaps of the rules below.
 COMPARISONS = {ast.Lt: ast.LtE, ast.LtE: ast.Lt, ast.Gt: ast.GtE, ast.GtE: ast.Gt, ast.Eq: ast.NotEq, ast.NotEq: ast.Eq}
 ARITHMETIC = {ast.Add: ast.Sub, ast.Sub: ast.Add, ast.Mult: ast.FloorDiv, ast.FloorDiv: ast.Div}
@@ -409,47 +402,6 @@ def apply_rule(code: str, name: str, rng: random.Random) -> str | None:
     return ast.unparse(ast.fix_missing_locations(tree))
 
 
-def mutate(code: str, key: str, seed: int = 42, family: str = "base", most: int | None = None) -> tuple[str | None, list[str], str | None]:
-    """(code, names of the mutations, error): the first function with up to ``most`` mutations that leave its arguments."""
-    if not parses(code):
-        return None, [], "the code does not parse"
-    tree = ast.parse(code)
-    function = first_function(tree)
-    if function is None:
-        return None, [], "no function"
-    signature = ast.dump(function.args)
-    rules = FAMILIES[family]
-    rng = random.Random(zlib.crc32(key.encode()) ^ seed)
-    names = sorted(rules)
-    rng.shuffle(names)
-    applied: list[str] = []
-    for name in names:
-        if len(applied) >= (most or (MOST_BASE if family == "base" else MOST_EXTRA)):
-            break
-        kinds, rule = rules[name]
-        arguments = copy.deepcopy(function.args)
-        if not any(isinstance(n, kinds) and rule(n, rng) for n in ast.walk(function)):
-            continue  # a rule that does not apply leaves the tree as it is
-        if ast.dump(function.args) != signature:
-            function.args = arguments  # a rule edits one place, so all else is as it was
-            continue
-        applied.append(name)
-    if not applied:
-        return None, [], "no mutation fits"
-    return ast.unparse(ast.fix_missing_locations(tree)), applied, None
-
-
-def corrupt(code: Column, key: Column, seed: int = 42, family: str = "base", most: int | None = None) -> Column:
-    """struct<code, mutations, error> of each program; the same key and seed give the same edit on any cluster."""
-
-    @F.pandas_udf("code string, mutations array<string>, error string")
-    def run(codes: pd.Series, keys: pd.Series) -> pd.DataFrame:
-        rows = [mutate(c, k or "", seed, family, most) if isinstance(c, str) else (None, [], "no code") for c, k in zip(codes, keys, strict=True)]
-        return pd.DataFrame(rows, columns=["code", "mutations", "error"])
-
-    return run(code, key)
-
-
 class Draws:
     """A generator whose choice is given: the ``number``-th of the options, round and round."""
 
@@ -458,13 +410,3 @@ class Draws:
 
     def choice(self, options):
         return options[self.number % len(options)]
-
-
-def mutated_by(code: Column, name: Column, draw: Column) -> Column:
-    """Each program after one named mutation with a given draw; null where it does not apply."""
-
-    @F.pandas_udf("string")
-    def run(codes: pd.Series, names: pd.Series, draws: pd.Series) -> pd.Series:
-        return pd.Series([apply_rule(c, n, Draws(d)) if isinstance(c, str) and parses(c) else None for c, n, d in zip(codes, names, draws, strict=True)], dtype=object)
-
-    return run(code, name, draw)

@@ -6,12 +6,15 @@ import random
 from collections import Counter
 
 import pytest
-from emendata.functions import code, compare, corrupt, extract, prompts, similarity, stemmer, templates
+from emendata.functions import code, compare, extract, mutate, prompts, similarity, stemmer, templates
 from emendata.operators import grading, harness, passk
+from emendata.plans import mutations
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests import plain_mutations
+
 SOURCE = "def f(a, b=1):\n    '''Doc.'''\n    total = 0\n    for i in range(len(a)):\n        if a[i] > 2 and not b:\n            total += a[i - 1] * 3\n            break\n    return sorted([x for x in a if x], reverse=True)\n"
 
 
@@ -193,23 +196,66 @@ def test_text_metrics():
 
 
 def test_lists_of_mutators():
-    assert (len(corrupt.BASE), len(corrupt.EXTRA)) == (14, 20)
+    assert (len(mutate.BASE), len(mutate.FAMILIES["extra"])) == (14, 20)
+    assert {r.name for r in mutate.FAMILIES["both"]} == set(plain_mutations.FAMILIES["both"])
+
+
+LONGER_SOURCE = """
+def f(a, b={'k': [1, 2][0]}, *, c=max(3, 4) < 5):
+    x = [y for y in a if (y or b) if not c] + sorted(a, key=lambda q: -q[-1], reverse=c)
+    total_é = 0.0
+    for i, z in enumerate(zip(a[1:-2], b.items()), 3):
+        if (x and not z) or (a and (b or c)) is None:
+            x.append((i, 'é"x', b.get(i, 0)))
+            continue
+        while not (i - 1) * 2 // 3 >= abs(a[i + 1] - 7):
+            x.extend([a[0].strip(), round(2.5)])
+            break
+        else:
+            break
+    try:
+        return '-'.join(str(v).lower() for v in range(len(x))) if any(x) else a.copy().find(max(b))[2:5]
+    except ValueError:
+        return {k: v for k in range(2, 9, 3) for v in set(k) if True}
+
+def g(n):
+    return n < 1
+"""
+
+
+def test_rules_equal_the_plain_ones(spark):
+    """Every rule and draw, over programs of one and of many candidates, against trees that are edited one by one."""
+    programs = [SOURCE, LONGER_SOURCE, *[p for _, _, b, _ in mutations.CASES if (p := mutations._program(b))]]
+    rows = [(k, c, r.name, d) for k, c in enumerate(programs) for r in mutate.FAMILIES["both"] for d in (0, 1)]
+    made = mutate.mutated_by(spark.createDataFrame(rows, "k int, program string, rule string, draw int").repartition(4), "program", "rule", "draw").collect()
+    assert len(made) == len(rows) and sum(r.code is not None for r in made) > 300
+    for r in made:
+        assert r.code == plain_mutations.apply_rule(r.program, r.rule, plain_mutations.Draws(r.draw)), (r.rule, r.program)
 
 
 @pytest.mark.parametrize("family", ["base", "extra", "both"])
-@pytest.mark.parametrize("key", [f"task/{i}" for i in range(25)])
-def test_mutations_keep_the_signature(key, family):
-    made, names, error = corrupt.mutate(SOURCE, key, family=family)
-    assert error is None and names and len(names) <= (corrupt.MOST_BASE if family == "base" else corrupt.MOST_EXTRA)
-    assert made == corrupt.mutate(SOURCE, key, family=family)[0]
-    assert made != ast.unparse(ast.parse(SOURCE))
-    assert ast.dump(ast.parse(made).body[0].args) == ast.dump(ast.parse(SOURCE).body[0].args)
-
-
-def test_programs_that_cannot_be_mutated():
-    assert corrupt.mutate("x = 1", "k")[2] == "no function"
-    assert corrupt.mutate("def (", "k")[2] == "the code does not parse"
-    assert corrupt.mutate("def f(a): return a", "k")[2] == "no mutation fits"
+def test_mutations_keep_the_signature(spark, family):
+    programs = [(f"task/{k}", c) for k in range(12) for c in (SOURCE, LONGER_SOURCE)]
+    df = spark.createDataFrame([(f"{k}/{len(c)}", c, 1, "x") for k, c in programs], "task string, program string, text int, key string")
+    made = mutate.corrupt(df, "program", "task", family=family).collect()
+    assert {r.task: r.mutated for r in made} == {r.task: r.mutated for r in mutate.corrupt(df.repartition(3), "program", "task", family=family).collect()}
+    assert len({tuple(r.mutated.mutations) for r in made}) > 5  # each row has an order of its own
+    for r in made:
+        names = r.mutated.mutations
+        assert r.mutated.error is None and names and len(names) == len(set(names)) <= (mutate.MOST_BASE if family == "base" else mutate.MOST_EXTRA)
+        could = {r.program}
+        for name in names:
+            could = {x for c in could for d in (0, 1) if (x := plain_mutations.apply_rule(c, name, plain_mutations.Draws(d)))}
+        assert r.mutated.code in could
+        assert ast.dump(ast.parse(r.mutated.code).body[0].args) == ast.dump(ast.parse(r.program).body[0].args)
+
+
+def test_programs_that_cannot_be_mutated(spark):
+    rows = spark.createDataFrame([("a", "x = 1"), ("b", "def ("), ("c", "def f(a): return a"), ("d", None), (None, "def f(a): return a + 1")], "k string, c string")
+    got = {r.k: (r.mutated.code, r.mutated.error) for r in mutate.corrupt(rows, "c", "k").collect()}
+    assert got.pop(None)[1] is None
+    assert got == {"a": (None, "no function"), "b": (None, "the code does not parse"), "c": (None, "no mutation fits"), "d": (None, "no code")}
+    assert mutate.corrupt(rows.limit(0), "c", "k").count() == 0
 
 
 TEXTS = st.lists(st.sampled_from(["a", "b", "cc", "é"]), max_size=6)
