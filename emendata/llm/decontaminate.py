@@ -44,7 +44,8 @@ def _shingle_rows(df: DataFrame, words: str, size: int, keep: list[str]) -> Data
 
 
 def _small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if rows <= most else df
+    # beyond that the hint keeps a join by sorting: sizes after an explode() are estimated far too low
+    return F.broadcast(df) if rows <= most else df.hint("merge")
 
 
 def _simhash(words: Column, k: int) -> Column:
