@@ -36,10 +36,14 @@ def fold_status(status: Column, has_details: Column) -> Column:
 def longest_tests(tests: Column, most: int = MOST_TESTS, lists: bool = False) -> Column:
     """The tests of longest input (characters, or elements of ``lists``), equal lengths in their order; all if these are few."""
     size = F.size if lists else F.length
-    # sizes and places are sorted, as one number each, and the chosen tests fetched by their places
-    numbered = F.transform(tests, lambda t, i: F.when(F.size(tests) > most, -size(t["input"])).otherwise(F.lit(0)).cast("long") * F.lit(1 << 32) + i)
-    chosen = F.slice(F.sort_array(numbered), 1, most)
-    return F.transform(chosen, lambda x: F.get(tests, x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")))
+
+    def chosen(ts: Column) -> Column:
+        # sizes and places are sorted, as one number each, and the chosen tests fetched by their places
+        numbered = F.transform(ts, lambda t, i: F.when(F.size(ts) > most, -size(t["input"])).otherwise(F.lit(0)).cast("long") * F.lit(1 << 32) + i)
+        return F.transform(F.slice(F.sort_array(numbered), 1, most), lambda x: F.get(ts, x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")))
+
+    # a lambda binds the list, which an expression would make anew wherever it stands
+    return F.get(F.transform(F.array(tests), chosen), F.lit(0))
 
 
 def normalise_tests(text: Column) -> Column:
