@@ -163,6 +163,19 @@ def test_alignments_equal_exhaustive_search():
     assert code.meteor_aligned("a b a c", "a c", {}) > code.meteor("a b a c", "a c")  # one chunk where the first places make two
 
 
+def test_long_texts_against_themselves_have_the_fewest_chunks():
+    rng = random.Random(5)
+    for size in (300, 600):
+        ref = [rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(size)]
+        known = {f"zz9{w}": {w} for w in ref if w < "e"}
+        hits = [i for i, w in enumerate(ref) if w < "e"]
+        found = code.align(ref, [f"zz9{w}" for w in ref], known)
+        fewest = sum(1 for i in hits if i - 1 not in hits)
+        assert (len(found), chunks(found)) == (len(hits), fewest)
+        want = len(hits) / size * (1 - 0.5 * (fewest / len(hits)) ** 3)
+        assert code.meteor_aligned(" ".join(ref), " ".join(f"zz9{w}" for w in ref), known) == want
+
+
 def test_meteor_with_a_table_of_synonyms(spark):
     rows = spark.createDataFrame([(1, "The hound sat", "the DOG sat"), (2, "a", None), (3, "x", "y"), (4, "", "")], "id int, a string, b string")
     known = spark.createDataFrame([("dog", "Hound"), ("dog", "cat"), (None, "x"), ("y", None), ("dog", "Hound")], "word string, synonym string")
