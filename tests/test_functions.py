@@ -5,13 +5,15 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
-from emendata.functions import code, compare, extract, mutate, prompts, similarity, stemmer, templates
+from emendata.functions import code, compare, extract, mutate, prompts, similarity, stemmer, syntax, templates
 from emendata.operators import grading, harness, passk
 from emendata.plans import mutations
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tests import plain_mutations
 
@@ -404,3 +406,16 @@ def test_unknown_error_codes_and_unmatched_problems_raise(spark):
 def test_names_of_functions():
     assert code.function_name("class A:\n    def f(self): pass") == "f"
     assert code.function_name("def f(): pass\ndef g(): pass") is None and code.function_name("def (") is None and code.function_name("x = 1") is None
+
+
+def test_programs_are_shaped_in_small_slices():
+    class Table:
+        columns, schema = ["code"], StructType([StructField("code", StringType())])
+
+        def mapInArrow(self, run, schema):  # noqa: N802  name of the interface
+            return run
+
+    whole = pa.record_batch({"code": [f"def f(): return {k}" for k in range(1000)]})
+    made = list(syntax.with_syntax(Table(), "code")(iter([whole])))
+    assert max(b.num_rows for b in made) <= 200
+    assert [x for b in made for x in b.column(1).to_pylist()] == [f"def f():\n    return {k}" for k in range(1000)]
