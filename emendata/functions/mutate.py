@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from . import syntax
 
 MOST_BASE, MOST_EXTRA = 2, 10
+#: Rounds of mutation in one stage: a task has a Python worker for each of them at once, and one more at the end.
+ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -206,6 +208,8 @@ def corrupt(rows: DataFrame, code: str, key: str, seed: int = 42, family: str =
     options = ", ".join(f"named_struct('turn', xxhash64({seed}, key, '{r.name}'), 'name', '{r.name}', 'edit', {_edit(r)})" for r in rules)
     fits = "o.turn > turn AND o.edit IS NOT NULL AND (o.edit.start >= args_end OR o.edit.end <= args_start)"
     for n in range(rounds):
+        if n and n % ROUNDS == 0:  # a shuffle ends the stage, so that the next one takes over its workers
+            now = now.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         # a program without a turn is done, and is not parsed again
         ready = now.select("row", "key", "code", F.col("error").alias("earlier"), "applied", "turn", F.when(F.col("turn").isNotNull(), F.col("code")).alias("todo"))
         parsed = syntax.with_syntax(ready, "todo").withColumn("draw", F.pmod(F.xxhash64(F.lit(seed), "key", F.lit(n)), F.lit(1 << 20)))

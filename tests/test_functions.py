@@ -3,6 +3,7 @@
 import ast
 import math
 import random
+import re
 from collections import Counter
 
 import pyarrow as pa
@@ -408,6 +409,13 @@ def test_names_of_functions():
     assert code.function_name("def f(): pass\ndef g(): pass") is None and code.function_name("def (") is None and code.function_name("x = 1") is None
 
 
+def test_mutation_rounds_share_few_workers(spark):
+    rows = spark.createDataFrame([(1, "def f(a):\n    return a < 3")], "id long, program string")
+    plan = mutate.corrupt(rows, "program", "id", family="both")._jdf.queryExecution().sparkPlan().toString()
+    stages = [part.count("MapInArrow") for part in re.split(r"Exchange|Repartition", plan)]
+    assert sum(stages) == mutate.MOST_EXTRA + 1 and max(stages) <= 3
+
+
 def test_programs_are_shaped_in_small_slices():
     class Table:
         columns, schema = ["code"], StructType([StructField("code", StringType())])
