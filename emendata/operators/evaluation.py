@@ -16,6 +16,8 @@ from ..functions import code as code_functions
 PAIRS = (("canonical_vs_corrupted", "corrupted_solution", "canonical_solution"), ("llm_vs_corrupted", "corrupted_solution", "solution"), ("llm_vs_canonical", "canonical_solution", "solution"))
 VARIANTS = ("", "no_comments_", "body_", "body_no_comments_")
 METRICS = ("levenshtein", "normalized_levenshtein", "line_distance", "normalized_line_distance", "bleu", "rouge_1", "rouge_2", "rouge_l", "meteor", "chrf", "codebleu", "diffsitter", "normalized_diffsitter")
+#: Rows of metrics that Python holds at a time.
+SLICE = 10_000
 LONG = "task_id string, _line long, pair string, variant string, metric string, value double"
 
 
@@ -42,9 +44,12 @@ def similarity_long(solutions: DataFrame) -> DataFrame:
     columns = ["task_id", F.col("_line").alias("line"), "solution", "corrupted_solution", "canonical_solution"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, names = [], ["task_id", "_line", "pair", "variant", "metric", "value"]
         for frame in frames:
-            rows = []
             for r in frame.itertuples(index=False):
+                if len(rows) >= SLICE:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
                 for pair, ref, pred in PAIRS:
                     reference, prediction = getattr(r, ref), getattr(r, pred)
                     if not reference or not prediction:
@@ -53,7 +58,7 @@ def similarity_long(solutions: DataFrame) -> DataFrame:
                         a, b = _variant(reference, v), _variant(prediction, v)
                         values = _metrics(a, b) if a and b else (0.0,) * len(METRICS)
                         rows += [(r.task_id, r.line, pair, v, m, x) for m, x in zip(METRICS, values, strict=True)]
-            yield pd.DataFrame(rows, columns=["task_id", "_line", "pair", "variant", "metric", "value"])
+        yield pd.DataFrame(rows, columns=names)
 
     return solutions.select(*columns).mapInPandas(run, LONG)
 
