@@ -1,8 +1,8 @@
 """Incremental runs: new files of records are read as a stream, each key once, and appended batch by batch.
 
 A batch that is retried is written again under the same number, so that readers of the committed batches see each row
-once. What is known of a key is one row of state, which a timer of the key's own drops when the watermark has passed
-its horizon; rows older than the watermark are left out before, so state is bounded by the keys of one horizon.
+once. What is known of a group of keys is one row of state, from which a timer drops each key when the watermark has
+passed its horizon; rows older than the watermark are left out before, so state is bounded by the keys of one horizon.
 """
 
 from __future__ import annotations
@@ -18,38 +18,58 @@ from pyspark.sql.types import StructType
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Groups of keys by hash. A call of the state takes far longer than a row, so a group's keys share one row of it.
+BUCKETS = 4096
+
+
 class _FirstWithin(StatefulProcessor):
-    """The least row of a batch by time and order, unless one was given less than the horizon before it."""
+    """The least row of a batch by time and order, of each key, unless one was given less than the horizon before it."""
 
-    def __init__(self, time: str, order: str, horizon_ms: int):
-        self.time, self.order, self.horizon = time, order, horizon_ms
+    def __init__(self, key: str, time: str, order: str, horizon_ms: int, kind: StructType):
+        self.key, self.time, self.order, self.horizon, self.kind = key, time, order, horizon_ms, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.given = handle.getValueState("given", "at long")
+        self.given = handle.getValueState("given", f"keys array<{self.kind[self.key].dataType.simpleString()}>, at array<bigint>, timer bigint")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803  names of the interface
-        last = self.given.get()[0] if self.given.exists() else None
-        best = None
+        held, timer = self._held()
+        best: dict = {}
         for row in rows:  # one at a time, so that a key that fills the batch needs no memory
-            at = _millis(row[self.time])
-            if at is not None and (last is None or at >= last + self.horizon) and (best is None or (at, row[self.order]) < best[0]):
-                best = ((at, row[self.order]), row)
-        if best is None:
-            return
-        if last is not None:
-            self.handle.deleteTimer(last + self.horizon)
-        self.given.update((best[0][0],))
-        self.handle.registerTimer(best[0][0] + self.horizon)
-        yield best[1]
+            name, at = row[self.key], _millis(row[self.time])
+            if at is not None and (name not in held or at >= held[name] + self.horizon) and (name not in best or (at, row[self.order]) < best[name][0]):
+                best[name] = ((at, row[self.order]), row)
+        if best:
+            self._keep(held | {name: at for name, ((at, _), _) in best.items()}, timer, timerValues)
+        for _, row in best.values():
+            yield Row(**{n: row[n] for n in self.kind.names})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        self.given.clear()
+        self._keep(self._held()[0], None, timerValues)
         return iter(())
 
     def close(self) -> None:
         pass
 
+    def _held(self) -> tuple[dict, int | None]:
+        """When each key of the group was given, and the group's timer."""
+        state = self.given.get()
+        return (dict(zip(state[0], state[1], strict=True)), state[2]) if state else ({}, None)
+
+    def _keep(self, held: dict, timer: int | None, timer_values) -> None:
+        """Drops the keys whose horizon the watermark has passed; the timer goes off at the end of the next one's."""
+        mark = timer_values.getCurrentWatermarkInMs()
+        held = {name: at for name, at in held.items() if at + self.horizon > mark}
+        due = min(held.values()) + self.horizon if held else None
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is not None and timer != due:
+            self.handle.registerTimer(due)
+        if held:
+            self.given.update(([*held], [*held.values()], due))
+        else:
+            self.given.clear()
+
 
 def _millis(at: datetime.datetime | None) -> int | None:
     return None if at is None else int(at.timestamp() * 1000)
@@ -67,7 +87,8 @@ def first_records(stream: DataFrame, key: str = "task_id", time: str = "ts", ord
     """
     rows = stream.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).withWatermark(time, late)
     kind = StructType(rows.schema.fields)
-    return rows.groupBy(key).transformWithState(_FirstWithin(time, order, int(horizon.total_seconds() * 1000)), kind, "append", "eventTime")
+    grouped = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS))).groupBy("_bucket")
+    return grouped.transformWithState(_FirstWithin(key, time, order, int(horizon.total_seconds() * 1000), kind), kind, "append", "eventTime")
 
 
 def append_batches(stream: DataFrame, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:

@@ -328,6 +328,23 @@ def test_schemas_parse(spark):
         assert StructType.fromDDL(getattr(schemas, name)).fields
 
 
+def test_stream_keeps_groups_of_keys_in_a_row(spark, tmp_path, monkeypatch):
+    """Keys that share a row of state do not meet: each is given once within the horizon, and dropped at its end."""
+    monkeypatch.setattr(resume, "BUCKETS", 4, raising=False)
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    ddl = "task_id string, event_id long, ts timestamp"
+    sizes = []
+    for begin, days in ((0, (1, 2)), (1000, (8,)), (2000, (25,))):
+        rows = [(f"k{k}", begin + 100 * d + k, datetime.datetime(2024, 1, d, k % 24)) for d in days for k in range(0 if begin < 2000 else 50, 60)]
+        spark.createDataFrame(rows, ddl).write.mode("append").json(folder)
+        query = resume.append_batches(resume.first_records(resume.new_records(spark, folder, ddl)), out, state)
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = sorted(r.event_id for r in spark.read.schema(ddl).option("recursiveFileLookup", "true").json(out).collect())
+    assert got == [100 + k for k in range(60)] + [1800 + k for k in range(60)] + [4500 + k for k in range(50, 60)]
+    assert max(sizes) <= 16  # a value and its timers
+
+
 def test_metrics_are_given_in_small_frames():
     class Table:
         def select(self, *columns):
